@@ -41,3 +41,40 @@ def mr_surv(spark: SparkSession, d: str) -> DataFrame:
         F.when(q <= 16, 0).when(q <= 33, 1).otherwise(2).alias("snp0"), (pk % 3).cast("int").alias("snp1"),
         (F.col("l_linenumber") % 3).cast("int").alias("snp2"), (q / 10.0 + F.lit(0.2) * (pk % 3)).alias("x"),
         F.col("l_tax").alias("u"), (F.abs(gap) + 1).cast("double").alias("time"), (gap > 0).cast("int").alias("event"))
+
+
+def local_rows(mr: DataFrame, snps=SNPS) -> DataFrame:
+    """Rows with each site's predicted exposure, its square and the first-stage residual."""
+    from sitefold.operators import iv
+    from sitefold.operators import moments as mo
+    from sitefold.runtime import cut
+
+    fs = iv.local_first_stage(cut(mo.moments(mr, [*snps, "x"])), snps)
+    return iv.with_squares(iv.predict_rows(mr, fs, snps, ("site",))).withColumn("resid", F.col("x") - F.col("xhat"))
+
+
+def updates(spark: SparkSession, d: str) -> DataFrame:
+    """One update vector per (round, label): coordinate means, weight = rows behind it."""
+    e = table(spark, d, "embeddings")
+    means = [F.avg(F.col("embedding")[j].cast("double")) for j in range(EMBEDDING_WIDTH)]
+    return (e.groupBy((F.col("vec_id") % 3).cast("int").alias("round"), F.col("label").alias("site"))
+            .agg(F.array(*means).alias("vec"), F.count(F.lit(1)).cast("double").alias("weight")))
+
+
+def curve_params(mr: DataFrame) -> DataFrame:
+    """Per (site, round) slope of y on x and a small curvature, standing in for a trained model."""
+    return mr.groupBy("site", F.col("fold").alias("round")).agg(
+        F.regr_slope("y", "x").alias("t1"), (F.regr_slope("y", "snp0") / 10.0).alias("t2"))
+
+
+def curves(mr: DataFrame) -> DataFrame:
+    from sitefold.operators.curves import with_grid
+
+    x = F.col("x")
+    return with_grid(curve_params(mr)).select("site", "round", "k", "x", (F.col("t1") * x + F.col("t2") * x * x + F.col("t1") / 7.0).alias("f"))
+
+
+def replicates(mr: DataFrame, n: int = 200) -> DataFrame:
+    """Slope per replicate group: a fixed number of groups whatever the table size."""
+    rep = ((F.col("l_orderkey") * 31 + F.col("l_partkey") * 17 + F.col("l_linenumber")) % n).cast("int")
+    return mr.groupBy(rep.alias("rep")).agg(F.regr_slope("y", "x").alias("theta_1"), (F.regr_slope("y", "snp0") / 10.0).alias("theta_2"))

@@ -49,3 +49,18 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
 def scalar_row(one_row: DataFrame) -> Column:
     """All columns of a one-row aggregate as one struct-valued scalar subquery."""
     return one_row.select(F.struct(*one_row.columns).alias("r")).scalar()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever the driver was started from."""
+    import shutil
+
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="sitefold-src-"), "sitefold")
+        spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", root, "sitefold"))
+        _shipped.add(app)
