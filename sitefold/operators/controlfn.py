@@ -132,10 +132,10 @@ def curve_from_coef(fits: DataFrame, n_basis: int, degree: int = 2, knots: Seque
 
 
 def calibrate_intercept(df: DataFrame, z: str, prevalence: float, lo: float = -20.0, hi: float = 20.0,
-                        tol: float = 1e-6, points: int = 65) -> float:
+                        tol: float = 1e-6, points: int = 17) -> float:
     """Intercept a with mean(expit(a + z)) = prevalence. Each pass evaluates a whole grid of
     candidates in one aggregate and keeps the bracketing cell."""
-    for _ in range(12):
+    for _ in range(16):
         grid = np.linspace(lo, hi, points)
         aggs = [F.avg(sc.expit(F.lit(float(a)) + F.col(z))).alias(f"a{i}") for i, a in enumerate(grid)]
         means = np.array(df.agg(*aggs).first())

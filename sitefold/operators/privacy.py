@@ -105,8 +105,12 @@ def _dec(c: Column) -> Column:
     return c.cast("decimal(38,0)")
 
 
+def _wide(v: int) -> Column:
+    return F.lit(str(v)).cast("decimal(38,0)")
+
+
 def _mod64(c: Column) -> Column:
-    return F.pmod(c, F.lit(TWO64).cast("decimal(38,0)"))
+    return F.pmod(c, _wide(TWO64))
 
 
 def pair_masks(updates: DataFrame, key: int) -> DataFrame:
@@ -135,8 +139,8 @@ def masked_messages(updates: DataFrame, key: int, bits: int = 24) -> DataFrame:
 def unmask_sum(messages: DataFrame, bits: int = 24) -> DataFrame:
     """Sum mod 2^64, recentre, decode and divide by the carried weight: the weighted mean."""
     t = messages.groupBy("round", "c").agg(_mod64(F.sum("message").cast("decimal(38,0)")).alias("t"))
-    big = F.lit(TWO64).cast("decimal(38,0)")
-    signed = F.when(F.col("t") >= F.lit(TWO63).cast("decimal(38,0)"), F.col("t") - big).otherwise(F.col("t"))
+    big = _wide(TWO64)
+    signed = F.when(F.col("t") >= _wide(TWO63), F.col("t") - big).otherwise(F.col("t"))
     t = t.withColumn("v", sc.fixed_decode(signed, bits)).select("round", "c", "v")
     last = t.groupBy("round").agg(F.max_by("v", "c").alias("w"), F.max("c").alias("_last"))
     return t.join(last, "round").filter(F.col("c") < F.col("_last")).select("round", F.col("c").alias("j"), (F.col("v") / F.col("w")).alias("v"))

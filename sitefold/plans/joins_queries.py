@@ -124,7 +124,7 @@ def pair_masks(spark, d):
     m = pv.pair_masks(u, 99)
     n = u.groupBy("round").agg(F.count(F.lit(1)).alias("k"))
     left = m.groupBy("round", "c").agg(F.sum("mask").cast("decimal(38,0)").alias("s")).withColumn(
-        "bad", (F.pmod("s", F.lit(pv.TWO64).cast("decimal(38,0)")) != 0).cast("bigint"))
+        "bad", (F.pmod("s", pv._wide(pv.TWO64)) != 0).cast("bigint"))
     return left.groupBy("round").agg(F.sum("bad").alias("uncancelled")).join(n, "round").select(
         "round", F.floor(F.col("k") * (F.col("k") - 1) / 2).alias("pairs"), "uncancelled")
 
