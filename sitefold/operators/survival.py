@@ -59,26 +59,26 @@ def _newton_sums(base: DataFrame, cols: Sequence[str], strata: Sequence[str], be
     per_time = base.groupBy(*strata, "time", "_bucket").agg(*aggs)
     sums = ["s0", *[f"s1_{i}" for i in range(p)], *[f"s2_{i}_{j}" for i, j in _pair_names(p)]]
     risk = od.running_within_buckets(per_time, strata, "time", sums, descending=True, prefix="R_").filter("d > 0")
-    direct = risk.agg(F.sum("deta").alias("deta"), *[F.sum(f"dx_{i}").alias(f"dx_{i}") for i in range(p)])
     t = _tie_terms(risk, ties)
     f, m = F.col("_frac"), F.col("_mult")
+    # a tie split into terms contributes its own covariate sums once in total
+    share = m / F.col("d")
 
     def at(s, e_):
         return F.col("R_" + s) - f * F.col(e_)
 
     s0 = at("s0", "e0")
     s1 = [at(f"s1_{i}", f"e1_{i}") for i in range(p)]
-    out = [F.sum(m * F.log(s0)).alias("logs0")]
-    out += [F.sum(m * s1[i] / s0).alias(f"m_{i}") for i in range(p)]
+    out = [F.sum(share * F.col("deta") - m * F.log(s0)).alias("ll")]
+    out += [F.sum(share * F.col(f"dx_{i}") - m * s1[i] / s0).alias(f"u_{i}") for i in range(p)]
     out += [F.sum(m * (at(f"s2_{i}_{j}", f"e2_{i}_{j}") / s0 - s1[i] * s1[j] / (s0 * s0))).alias(f"v_{i}_{j}")
             for i, j in _pair_names(p)]
-    a = direct.first()
     b = t.agg(*out).first()
-    score = np.array([a[f"dx_{i}"] - b[f"m_{i}"] for i in range(p)])
+    score = np.array([b[f"u_{i}"] for i in range(p)])
     info = np.empty((p, p))
     for i, j in _pair_names(p):
         info[i, j] = info[j, i] = b[f"v_{i}_{j}"]
-    return a["deta"] - b["logs0"], score, info
+    return b["ll"], score, info
 
 
 def cox(df: DataFrame, cols: Sequence[str], strata: Sequence[str] = (), time: str = "time", event: str = "event",
@@ -127,8 +127,7 @@ def cox_gwas(df: DataFrame, snps: Sequence[str], by: Sequence[str] = ("site",),
     at_time = cut(long.groupBy(*keys, "time").agg(F.sum("d").alias("d"), *cells))
     risk = od.running_within_buckets(od.with_buckets(at_time, "time"), keys, "time", ["n0", "n1", "n2"], descending=True,
                                      prefix="R_").filter("d > 0")
-    risk = cut(_tie_terms(risk, ties).select(*keys, "_frac", "_mult", "d", "d1", "d2", "d0", "R_n0", "R_n1", "R_n2",
-                                             ))
+    risk = cut(_tie_terms(risk, ties).select(*keys, "_frac", "_mult", "d", "d0", "d1", "d2", "R_n0", "R_n1", "R_n2"))
     # d1 and d2 repeat once per tie term under Efron; divide so that they add up to the tie's totals.
     share = F.col("_mult") / F.col("d")
     beta = cut(risk.select(*keys).distinct().withColumn("beta", F.lit(0.0)).withColumn("done", F.lit(False)).withColumn(

@@ -1 +1,102 @@
-"""Pending."""
+"""Hazard regressions, risk sets, partial likelihood and concordance."""
+
+from pyspark.sql import functions as F
+
+from sitefold.functions.scalars import r
+from sitefold.operators import survival as sv
+from sitefold.plans import fixtures as fx
+from sitefold.plans import sqlparts as q
+from sitefold.plans.registry import query
+
+STEPS = 7
+
+
+def newton_sql(keys: str, x: str, ties: str, src: str, steps: int = STEPS) -> list[str]:
+    """Unrolled Newton steps for one slope per key group; risk sets per stratum column `st`.
+
+    src has columns (key columns, st, time, x, event).
+    """
+    k = f"{keys}, " if keys else ""
+    on = f"JOIN b{{i}} USING ({keys})" if keys else ", b{i}"
+    ctes = [f"cc AS (SELECT {k}st, time, {x} AS x, count(*) AS n, sum(event) AS d FROM {src} GROUP BY {k}st, time, {x})",
+            f"b0 AS (SELECT {k}0e0 AS beta, 0e0 AS info FROM cc GROUP BY {keys})" if keys else "b0 AS (SELECT 0e0 AS beta, 0e0 AS info)"]
+    for i in range(steps):
+        j = on.format(i=i)
+        ctes.append(f"t{i} AS (SELECT {k}st, time, max(beta) AS beta, sum(n*exp(beta*x)) AS s0, sum(n*x*exp(beta*x)) AS s1, sum(n*x*x*exp(beta*x)) AS s2, sum(d*exp(beta*x)) AS e0, sum(d*x*exp(beta*x)) AS e1, sum(d*x*x*exp(beta*x)) AS e2, sum(d) AS d, sum(d*x) AS dx FROM cc {j} GROUP BY {k}st, time)")
+        ctes.append(f"r{i} AS (SELECT {k}st, beta, d, dx, e0, e1, e2, sum(s0) OVER w AS s0, sum(s1) OVER w AS s1, sum(s2) OVER w AS s2 FROM t{i} WINDOW w AS (PARTITION BY {k}st ORDER BY time DESC ROWS UNBOUNDED PRECEDING))")
+        if ties == "breslow":
+            terms = f"SELECT {k}beta, dx AS dx, d*s1/s0 AS m, d*(s2/s0 - s1*s1/(s0*s0)) AS v, d*ln(s0) AS l FROM r{i} WHERE d > 0"
+        else:
+            terms = (f"SELECT {k}beta, dx/d AS dx, (s1-f*e1)/(s0-f*e0) AS m, (s2-f*e2)/(s0-f*e0) - (s1-f*e1)*(s1-f*e1)/((s0-f*e0)*(s0-f*e0)) AS v, ln(s0-f*e0) AS l "
+                     f"FROM (SELECT *, l*1e0/d AS f FROM (SELECT *, unnest(range(CAST(d AS BIGINT))) AS l FROM r{i} WHERE d > 0))")
+        ctes.append(f"b{i + 1} AS (SELECT {k}max(beta) + sum(dx - m)/sum(v) AS beta, sum(v) AS info FROM ({terms}) {'GROUP BY ' + keys if keys else ''})")
+    return ctes
+
+
+STRAT = "sx AS (SELECT site AS st, time, event, x FROM sv)"
+FLAT = "sx AS (SELECT 0 AS st, time, event, x FROM sv)"
+
+
+def _one(ties, src):
+    return q.select([q.SURV, src, *newton_sql("", "x", ties, "sx")], f"SELECT 'x' AS term, {q.rnd(f'b{STEPS}.beta')} AS beta, {q.rnd(f'1e0/sqrt(b{STEPS}.info)')} AS se FROM b{STEPS}")
+
+
+@query("cox_stratified_srv1", "SRV1", _one("efron", STRAT))
+def cox_stratified(spark, d):
+    return sv.cox(fx.mr_surv(spark, d), ["x"], ["site"]).select("term", r("beta").alias("beta"), r("se").alias("se"))
+
+
+@query("cox_breslow_srv1b", "SRV1", _one("breslow", FLAT))
+def cox_breslow(spark, d):
+    return sv.cox(fx.mr_surv(spark, d), ["x"], ties="breslow").select("term", r("beta").alias("beta"), r("se").alias("se"))
+
+
+def _gwas(ties):
+    long = "sl AS (SELECT site, 'snp0' AS snp, 0 AS st, time, event, snp0 AS g FROM sv UNION ALL SELECT site, 'snp1', 0, time, event, snp1 FROM sv)"
+    return q.select([q.SURV, long, *newton_sql("site, snp", "g", ties, "sl")], f"SELECT site, snp, {q.rnd('beta')} AS beta, {q.rnd('1e0/sqrt(info)')} AS se FROM b{STEPS}")
+
+
+@query("cox_gwas_srv2", "SRV2", _gwas("breslow"))
+def cox_gwas(spark, d):
+    return sv.cox_gwas(fx.mr_surv(spark, d), fx.SNPS, ties="breslow").select("site", "snp", r("beta").alias("beta"), r("se").alias("se"))
+
+
+@query("cox_gwas_efron_srv2b", "SRV2", _gwas("efron"))
+def cox_gwas_efron(spark, d):
+    return sv.cox_gwas(fx.mr_surv(spark, d), fx.SNPS).select("site", "snp", r("beta").alias("beta"), r("se").alias("se"))
+
+
+def predicted(spark, d):
+    """Survival rows with each site's predicted exposure."""
+    return fx.local_rows(fx.mr_surv(spark, d))
+
+
+SXH = [q.SURV, q.mom("mom", ["snp0", "snp1", "x"], ("site",), "sv"), q.fs(), "sh AS (SELECT sv.site, sv.time, sv.event, sv.x, a0 + p0*sv.snp0 + p1*sv.snp1 AS xhat FROM sv JOIN fs USING (site))"]
+
+
+@query("predictor_substitution_srv3", "SRV3", q.select([*SXH, "sx AS (SELECT site AS st, time, event, xhat FROM sh)", *newton_sql("", "xhat", "efron", "sx")],
+       f"SELECT 'xhat' AS term, {q.rnd(f'b{STEPS}.beta')} AS beta, {q.rnd(f'1e0/sqrt(b{STEPS}.info)')} AS se FROM b{STEPS}"))
+def predictor_substitution(spark, d):
+    return sv.cox(predicted(spark, d), ["xhat"], ["site"]).select("term", r("beta").alias("beta"), r("se").alias("se"))
+
+
+@query("hazard_routes_srv4", "SRV4")
+def hazard_routes(spark, d):
+    return sv.route_comparison(predicted(spark, d))
+
+
+@query("partial_likelihood_srv5", "SRV5", q.select([q.SURV, "t AS (SELECT site, time, sum(exp(0.1e0*x)) AS s0, sum(event) AS d, sum(event*0.1e0*x) AS dh FROM sv GROUP BY site, time)",
+       "c AS (SELECT d, dh, sum(s0) OVER (PARTITION BY site ORDER BY time DESC ROWS UNBOUNDED PRECEDING) AS cs FROM t)"], f"SELECT {q.rnd('-(sum(dh) - sum(d*ln(cs)))/sum(d)')} AS loss, CAST(sum(d) AS BIGINT) AS events FROM c"))
+def partial_likelihood(spark, d):
+    s = fx.mr_surv(spark, d).withColumn("h", 0.1 * F.col("x"))
+    return sv.partial_likelihood(s, "h", ["site"]).select(r("loss").alias("loss"), "events")
+
+
+CPAIRS = """c AS (SELECT site, time, event, x, count(*) AS n FROM sv GROUP BY ALL),
+p AS (SELECT a.site, sum(a.n*b.n) AS pairs, sum(CASE WHEN a.x > b.x THEN a.n*b.n WHEN a.x = b.x THEN a.n*b.n/2e0 ELSE 0e0 END) AS good
+ FROM c a JOIN c b ON a.site = b.site AND a.event = 1 AND (b.time > a.time OR (b.time = a.time AND b.event = 0)) GROUP BY a.site)"""
+
+
+@query("concordance_srv6", "SRV6", q.select([q.SURV, CPAIRS], f"SELECT site, CAST(pairs AS BIGINT) AS pairs, {q.rnd('good/pairs')} AS c_index FROM p"))
+def concordance(spark, d):
+    return sv.concordance(fx.mr_surv(spark, d), "x", ("site",)).select("site", F.col("pairs").cast("bigint").alias("pairs"), r("c_index").alias("c_index"))
