@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sitefold.functions import matrix as mx
 from sitefold.operators import moments as mo
 from sitefold.operators import ordered as od
-from sitefold.runtime import cut
+from sitefold.runtime import cut, join_small
 
 # P(N <= k) for N ~ Poisson(1)
 _POISSON_CDF = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1))) for k in range(0, 18)])
@@ -83,7 +83,7 @@ def multinomial_counts(df: DataFrame, ids: Sequence[str], n_boot: int, seed: int
     """Exactly n draws with replacement per site and replicate, as (rep, row, times drawn)."""
     ranked = cut(od.hashed_rank(df, ["site"], ids, seed, "_row"))
     n = ranked.groupBy("site").agg(F.count(F.lit(1)).alias("_n"))
-    draws = ranked.select("site", F.col("_row").alias("_k")).join(F.broadcast(n), "site").withColumn(
+    draws = ranked.select("site", F.col("_row").alias("_k")).transform(lambda t: join_small(t, n, ["site"])).withColumn(
         "rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     from sitefold.functions.scalars import hash_uniform
 

@@ -243,6 +243,19 @@ def _merge_groups(m: DataFrame, names: Sequence[str], by: Sequence[str]) -> Data
     return s.select(*by, *[F.col(c).alias(f"T_{c}") for c in s.columns if c not in (*by, "sites")])
 
 
+def crossfit_site_moments(fold_moments: DataFrame, coefs: DataFrame, z: Sequence[str], d: Design) -> DataFrame:
+    """Second-stage site moments of the linear cross-fit without touching a row: inside one (site,
+    fold) the prediction is linear in z, so its moments are algebra; folds then merge."""
+    part = add_xhat_moments(fold_moments.join(coefs, ["site", "fold"]), z, ["x", d.y, *d.exogenous])
+    mean = F.col("fs_intercept")
+    for j, c in enumerate(z):
+        mean = mean + F.col("pi")[j] * mo.M(c)
+    part = part.withColumn("m_xhat", mean)
+    cols = d.columns
+    part = part.select("site", "n", *[f"m_{c}" for c in cols], *[mo.s_name(a, b) for a, b in mo.pairs(cols)])
+    return mo.total_scatter(part, ["site"]).drop("sites")
+
+
 # ---------------------------------------------------------------- protocols
 
 
@@ -273,8 +286,13 @@ def shared_instruments(df: DataFrame, snps: Sequence[str], covariates: Sequence[
     """The same instruments at every site: one global first stage."""
     z = [*snps, *covariates]
     if crossfit:
-        fold_moments = cut(mo.moments(df, [*z, "x"], ("site", fold)))
-        rows = predict_rows(df, leave_fold_out_shared(fold_moments, z, fold=fold), z, ("site", fold))
+        d = generated_design(basis, covariates)
+        folded = df if fold == "fold" else df.withColumn("fold", F.col(fold))
+        fold_moments = cut(mo.moments(folded, [*z, "x", d.y], ("site", "fold")))
+        coefs = cut(leave_fold_out_shared(fold_moments, z))
+        rows = with_squares(predict_rows(folded, coefs, z, ("site", "fold"))) if robust or basis != "linear" else None
+        m = crossfit_site_moments(fold_moments, coefs, z, d) if basis == "linear" else mo.moments(rows, d.columns)
+        return _finish(rows, m, d, robust, 2)
     elif basis == "quadratic":
         first = cut(mo.moments(df, [*z, "x"]))
         rows = predict_rows(df, global_first_stage(first, snps, covariates), z, ("site",))
@@ -292,13 +310,17 @@ def local_first_stages(df: DataFrame, snps: Sequence[str], covariates: Sequence[
     instrument's moments are combined. The linear basis needs no second scan."""
     z = [*snps, *covariates]
     d = generated_design(basis, covariates)
-    first = cut(mo.moments(df, [*z, "x", "y"]))
-    fs = cut(local_first_stage(first, snps, covariates))
     if crossfit:
-        fold_moments = cut(mo.moments(df, [*z, "x"], ("site", fold)))
-        coefs = leave_fold_out_local(fold_moments, z, fold=fold)
-        rows = with_squares(predict_rows(df, coefs, z, ("site", fold)))
+        folded = df if fold == "fold" else df.withColumn("fold", F.col(fold))
+        fold_moments = cut(mo.moments(folded, [*z, "x", d.y], ("site", "fold")))
+        fs = cut(local_first_stage(mo.total_scatter(fold_moments, ["site"]).drop("sites"), snps, covariates))
+        coefs = cut(leave_fold_out_local(fold_moments, z))
+        rows = with_squares(predict_rows(folded, coefs, z, ("site", "fold"))) if robust or basis != "linear" else None
+        if basis == "linear":
+            m = crossfit_site_moments(fold_moments, coefs, z, d).join(fs.select("site", *FS_SUMS), "site")
+            return _finish(rows, m, d, robust, 1, FS_SUMS)
     else:
+        fs = cut(local_first_stage(mo.moments(df, [*z, "x", d.y]), snps, covariates))
         rows = with_squares(predict_rows(df, fs, z, ("site",))) if (robust or basis == "quadratic") else None
         if basis == "linear":
             m = add_xhat_moments(fs, z, ["x", "y", *covariates]).withColumn("m_xhat", mo.M("x"))

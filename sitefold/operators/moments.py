@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitefold.runtime import cut, join_small
+
 # Beyond this many columns the pair expressions stop fitting one generated aggregate.
 EXPRESSION_WIDTH = 14
 
@@ -83,6 +85,7 @@ def moments_blocked(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("si
     key_schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
     parts = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
         partials, f"{key_schema}, n bigint, mean array<double>, m2 array<double>")
+    parts = cut(parts)
     # Merging partial triples is a covariance of the task means plus the sum of the within parts.
     upper = [(i, j) for i in range(d) for j in range(i, d)]
     n = F.col("n")
@@ -90,7 +93,7 @@ def moments_blocked(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("si
     sums += [F.sum(n * F.col("mean")[i]).alias(f"t{i}") for i in range(d)]
     totals = parts.groupBy(*by).agg(*sums)
     means = totals.select(*by, F.col("n").alias("total"), F.array(*[F.col(f"t{i}") / n for i in range(d)]).alias("grand"))
-    dev = parts.join(means, by).withColumn("dev", F.zip_with("mean", "grand", lambda a, b: a - b))
+    dev = join_small(parts, means, by).withColumn("dev", F.zip_with("mean", "grand", lambda a, b: a - b))
     within = dev.select(*by, "total", "grand", F.posexplode(F.zip_with(
         "m2", F.array(*[n * F.col("dev")[i] * F.col("dev")[j] for i, j in upper]), lambda a, b: a + b)).alias("k", "v"))
     cell = within.groupBy(*by, "k").agg(F.sum("v").alias("v"), F.first("total").alias("total"), F.first("grand").alias("grand"))
@@ -157,8 +160,6 @@ def sum_long(parts: DataFrame) -> DataFrame:
 def centre_within(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("site",), suffix: str = "_c") -> DataFrame:
     """Subtract the group mean from every row. Means are a per-group table joined back, so a site
     that holds most of the rows is not pulled into one window partition."""
-    from sitefold.runtime import join_small
-
     means = df.groupBy(*by).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
     return (join_small(df, means, list(by))
             .select(*df.columns, *[(F.col(c) - F.col(f"_m_{c}")).alias(c + suffix) for c in cols]))

@@ -1,9 +1,10 @@
 """Running totals, ranks and exact quantiles without one task per group.
 
 A group (a site, a class, the whole table) may hold most of the rows, so windows never partition
-on it alone. Rows are first reduced to one per distinct ordering value, value buckets are cut at
-approximate quantiles of the whole table (so no (group, bucket) partition exceeds its share), and
-running totals are bucket offsets plus a window inside the bucket.
+on it alone. Rows are first reduced to one per (group, ordering value), range-partitioned on that
+pair, and the partition number becomes a bucket: a big group spans many buckets, small groups share
+one. A running total is the total of the earlier buckets plus a window inside the bucket. The number
+of buckets is spark.sql.shuffle.partitions, the setting that is already sized to the data.
 """
 
 from __future__ import annotations
@@ -13,29 +14,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitefold.runtime import cut
+from sitefold.runtime import cut, join_small
 
-BUCKETS = 64
 
+def bucket_count(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def bucket_of(value: Column, bounds: Sequence[float]) -> Column:
-    """Index of the bucket holding `value`, as a balanced tree of comparisons."""
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value <= F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(bounds))
+def with_buckets(df: DataFrame, keys: Sequence[str], order: str, buckets: int | None = None) -> DataFrame:
+    """Add `_bucket`, increasing in `order` within every key. `df` has one row per (keys, order).
 
-
-def quantile_bounds(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
-    probs = [i / buckets for i in range(1, buckets)]
-    return sorted(set(df.approxQuantile(value, probs, 0.25 / buckets)))
-
-
-def with_buckets(df: DataFrame, value: str, buckets: int = BUCKETS, name: str = "_bucket") -> DataFrame:
-    return df.withColumn(name, bucket_of(F.col(value), quantile_bounds(df, value, buckets)))
+    The numbers are written out with the rows, so a recomputed task cannot renumber them.
+    """
+    spread = df.repartitionByRange(buckets or bucket_count(df), *keys, order)
+    return cut(spread.withColumn("_bucket", F.spark_partition_id()))
 
 
 def running_within_buckets(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str],
@@ -56,13 +48,13 @@ def running_within_buckets(df: DataFrame, keys: Sequence[str], order: str, sums:
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], descending: bool = False,
-                   buckets: int = BUCKETS, prefix: str = "cum_") -> DataFrame:
+                   prefix: str = "cum_") -> DataFrame:
     """Inclusive running totals of `sums` over distinct values of `order`, per `keys`.
 
     Ties share one total (RANGE semantics). Returns one row per (keys, order).
     """
-    one = cut(df.groupBy(*keys, order).agg(*[F.sum(c).alias(c) for c in sums]))
-    return running_within_buckets(with_buckets(one, order, buckets), keys, order, sums, descending, prefix).drop("_bucket")
+    one = df.groupBy(*keys, order).agg(*[F.sum(c).alias(c) for c in sums])
+    return running_within_buckets(with_buckets(one, keys, order), keys, order, sums, descending, prefix).drop("_bucket")
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
@@ -77,7 +69,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequ
     for name, p in probs.items():
         at = (F.col("_total") - 1) * F.lit(p)
         pos = pos.withColumn(f"_lo_{name}", F.floor(at)).withColumn(f"_fr_{name}", at - F.floor(at))
-    joined = counted.join(F.broadcast(pos) if not by else pos, keys)
+    joined = join_small(counted, pos, keys)
     first, last = F.col("cum__n") - F.col("_n"), F.col("cum__n") - 1
 
     def at(index: Column) -> Column:
@@ -93,8 +85,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequ
     return out if by else out.drop("_all")
 
 
-def hashed_rank(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int, name: str = "rank",
-                buckets: int = 256) -> DataFrame:
+def hashed_rank(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int, name: str = "rank") -> DataFrame:
     """0-based position of each row in a seeded pseudo-random order of its group.
 
     The order is the hash of (seed, ids), so it is the same after a retry. Hash ranges are the
@@ -102,7 +93,8 @@ def hashed_rank(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: in
     """
     keys = list(keys)
     h = F.xxhash64(F.lit(seed), *[F.col(c) for c in ids])
-    hashed = df.withColumn("_h", h).withColumn("_bucket", F.shiftrightunsigned(F.col("_h"), 64 - buckets.bit_length() + 1))
+    bits = max(8, bucket_count(df).bit_length())
+    hashed = df.withColumn("_h", h).withColumn("_bucket", F.shiftrightunsigned(F.col("_h"), 64 - bits))
     counts = hashed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_o"))
@@ -120,8 +112,6 @@ def fold_ids(df: DataFrame, k: int, keys: Sequence[str] = ("site",), ids: Sequen
 def train_test_split(df: DataFrame, test_size: float = 0.2, keys: Sequence[str] = ("site",), strata: Sequence[str] = (),
                      ids: Sequence[str] = ("id",), seed: int = 0) -> DataFrame:
     """Mark ceil(test_size * n) rows per group (and stratum) as test, exactly."""
-    from sitefold.runtime import join_small
-
     groups = [*keys, *strata]
     sizes = df.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_size)).alias("_test_n"))
     ranked = join_small(hashed_rank(df, groups, ids, seed, "_rank"), sizes, groups)

@@ -43,8 +43,9 @@ def _pair_names(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def _newton_sums(base: DataFrame, cols: Sequence[str], strata: Sequence[str], beta: np.ndarray, ties: str):
-    """Log-likelihood, score and information at beta. base is compressed and bucketed on time."""
+def _newton_sums(base: DataFrame, times: DataFrame, cols: Sequence[str], strata: Sequence[str], beta: np.ndarray, ties: str):
+    """Log-likelihood, score and information at beta. base is compressed; times holds the bucket of
+    every distinct (stratum, time)."""
     p = len(cols)
     eta = sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta[1:], cols[1:])), F.lit(float(beta[0])) * F.col(cols[0]))
     e = F.exp(eta)
@@ -56,7 +57,7 @@ def _newton_sums(base: DataFrame, cols: Sequence[str], strata: Sequence[str], be
     for i, j in _pair_names(p):
         xx = F.col(cols[i]) * F.col(cols[j])
         aggs += [F.sum(n * e * xx).alias(f"s2_{i}_{j}"), F.sum(d * e * xx).alias(f"e2_{i}_{j}")]
-    per_time = base.groupBy(*strata, "time", "_bucket").agg(*aggs)
+    per_time = base.groupBy(*strata, "time").agg(*aggs).join(times, [*strata, "time"])
     sums = ["s0", *[f"s1_{i}" for i in range(p)], *[f"s2_{i}_{j}" for i, j in _pair_names(p)]]
     risk = od.running_within_buckets(per_time, strata, "time", sums, descending=True, prefix="R_").filter("d > 0")
     t = _tie_terms(risk, ties)
@@ -88,13 +89,14 @@ def cox(df: DataFrame, cols: Sequence[str], strata: Sequence[str] = (), time: st
         raise ValueError(f"ties must be one of {TIES}, got {ties!r}")
     keys = list(strata) or ["_all"]
     src = df if strata else df.withColumn("_all", F.lit(0))
-    base = cut(od.with_buckets(cut(compress(src, cols, keys, time, event)), "time"))
+    base = cut(compress(src, cols, keys, time, event))
+    times = od.with_buckets(base.select(*keys, "time").distinct(), keys, "time")
     beta = np.zeros(len(cols))
-    ll, score, info = _newton_sums(base, cols, keys, beta, ties)
+    ll, score, info = _newton_sums(base, times, cols, keys, beta, ties)
     for _ in range(max_iter):
         step = np.linalg.solve(info, score)
         for _ in range(30):
-            new_ll, new_score, new_info = _newton_sums(base, cols, keys, beta + step, ties)
+            new_ll, new_score, new_info = _newton_sums(base, times, cols, keys, beta + step, ties)
             if np.isfinite(new_ll) and new_ll >= ll - 1e-9 * abs(ll):
                 break
             step = step / 2
@@ -124,8 +126,8 @@ def cox_gwas(df: DataFrame, snps: Sequence[str], by: Sequence[str] = ("site",),
         F.struct(F.lit(s).alias("snp"), F.col(s).cast("int").alias("g")) for s in snps])).alias("e")).select(
         *by, "time", "n", "d", "e.snp", "e.g")
     cells = [F.sum(F.when(F.col("g") == g, F.col(c)).otherwise(0)).alias(f"{c}{g}") for c in "nd" for g in (0, 1, 2)]
-    at_time = cut(long.groupBy(*keys, "time").agg(F.sum("d").alias("d"), *cells))
-    risk = od.running_within_buckets(od.with_buckets(at_time, "time"), keys, "time", ["n0", "n1", "n2"], descending=True,
+    at_time = long.groupBy(*keys, "time").agg(F.sum("d").alias("d"), *cells)
+    risk = od.running_within_buckets(od.with_buckets(at_time, keys, "time"), keys, "time", ["n0", "n1", "n2"], descending=True,
                                      prefix="R_").filter("d > 0")
     risk = cut(_tie_terms(risk, ties).select(*keys, "_frac", "_mult", "d", "d0", "d1", "d2", "R_n0", "R_n1", "R_n2"))
     # d1 and d2 repeat once per tie term under Efron; divide so that they add up to the tie's totals.

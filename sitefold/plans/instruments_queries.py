@@ -229,21 +229,33 @@ def pooled_estimand(spark, d):
 
 
 def comparison(mr, snps=fx.SNPS):
-    """Every estimator of the linear effect in one table, with its distance from the pooled fit."""
-    rows = mo.centre_within(fx.local_rows(mr), ["xhat", "x", "y"])
-    h, x, y = F.col("xhat_c"), F.col("x_c"), F.col("y_c")
-    pooled = cut(rows.agg((F.sum(h * y) / F.sum(h * h)).alias("theta1"), (F.sum(x * y) / F.sum(x * x)).alias("naive")))
-    run = iv.local_first_stages(mr, snps)
-    f = run.fitted.select(F.lit("local first stages").alias("estimator"), F.col("iv.theta")[0].alias("theta1"), F.sqrt(F.col("iv.cov")[0]).alias("se1"),
-                          F.sqrt(F.col("robust_cov")[0]).alias("robust_se1"), *iv.local_first_stage_f(run.fitted)[:2], F.col("iv.fs_f")[0].alias("generated_instrument_F"))
-    cf = iv.local_first_stages(mr, snps, crossfit=5).estimates().select(F.lit("cross-fitted").alias("estimator"), F.col("theta").alias("theta1"), F.col("se").alias("se1"), F.col("robust_se").alias("robust_se1"))
-    w = se.working(se.site_bundle(mr, snps), "linear")
-    own = se.two_sls(w, "linear").select(F.col("theta_1").alias("theta"), F.col("se_1").alias("se"))
-    meta = ma.inverse_variance(own).select(F.lit("site meta-analysis").alias("estimator"), F.col("meta").alias("theta1"), F.col("meta_se").alias("se1"))
-    ivw = gw.ivw(gw.gwas(mr, snps)).select(F.col("ivw").alias("theta"), F.col("ivw_se").alias("se"))
+    """Every estimator of the linear effect in one table, with its distance from the pooled fit.
+
+    One scan yields the (site, fold) moments behind all of them; the pooled benchmark and the two
+    robust covariances each need the rows once more.
+    """
+    fold_moments = cut(mo.moments(mr, [*snps, "x", "y"], ("site", "fold")))
+    site = mo.total_scatter(fold_moments, ["site"]).drop("sites")
+    design = iv.generated_design("linear")
+    fs = cut(iv.local_first_stage(site, snps))
+    own = cut(iv.add_xhat_moments(fs, snps, ["x", "y"]).withColumn("m_xhat", mo.M("x")))
+    rows = iv.predict_rows(mr, fs, snps, ("site",))
+    fitted = iv.with_robust(iv.fit(mo.combine(own, extra=iv.FS_SUMS), design), rows, own, design)
+    local = fitted.select(F.lit("local first stages").alias("estimator"), F.col("iv.theta")[0].alias("theta1"), F.sqrt(F.col("iv.cov")[0]).alias("se1"),
+                          F.sqrt(F.col("robust_cov")[0]).alias("robust_se1"), *iv.local_first_stage_f(fitted)[:2])
+    coefs = cut(iv.leave_fold_out_local(fold_moments, list(snps)))
+    cf_moments = cut(iv.crossfit_site_moments(fold_moments, coefs, snps, design))
+    cf_fit = iv.with_robust(iv.fit(mo.combine(cf_moments), design), iv.predict_rows(mr, coefs, snps, ("site", "fold")), cf_moments, design)
+    cross = iv.tidy(cf_fit, design).select(F.lit("cross-fitted").alias("estimator"), F.col("theta").alias("theta1"), F.col("se").alias("se1"), F.col("robust_se").alias("robust_se1"))
+    site_iv = iv.tidy(iv.fit(own.withColumn("absorbed", F.lit(1)), design, ("site",)), design, ("site",))
+    meta = ma.inverse_variance(site_iv).select(F.lit("site meta-analysis").alias("estimator"), F.col("meta").alias("theta1"), F.col("meta_se").alias("se1"))
+    ivw = gw.ivw(se.bundle_gwas(own, snps)).select(F.col("ivw").alias("theta"), F.col("ivw_se").alias("se"))
     ss = ma.inverse_variance(ivw).select(F.lit("summary statistics").alias("estimator"), F.col("meta").alias("theta1"), F.col("meta_se").alias("se1"))
+    centred = mo.centre_within(rows, ["xhat", "x", "y"])
+    h, x, y = F.col("xhat_c"), F.col("x_c"), F.col("y_c")
+    pooled = cut(centred.agg((F.sum(h * y) / F.sum(h * h)).alias("theta1"), (F.sum(x * y) / F.sum(x * x)).alias("naive")))
     out = pooled.select(F.lit("pooled rows").alias("estimator"), "theta1")
-    for part in (f, cf, meta, ss, pooled.select(F.lit("naive").alias("estimator"), F.col("naive").alias("theta1"))):
+    for part in (local, cross, meta, ss, pooled.select(F.lit("naive").alias("estimator"), F.col("naive").alias("theta1"))):
         out = out.unionByName(part, allowMissingColumns=True)
     return out.withColumn("abs_diff_from_pooled", F.abs(F.col("theta1") - pooled.select("theta1").scalar()))
 

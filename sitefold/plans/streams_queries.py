@@ -13,7 +13,7 @@ from sitefold.streaming import rounds as rd
 
 def event_stream(spark, d):
     schema = fx.table(spark, d, "events").schema
-    src = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    src = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
     return src.select(F.col("event_type").alias("site"), F.col("value").alias("x"), (F.col("value") + F.col("user_id") % 7).alias("y"))
 
 
@@ -32,7 +32,7 @@ def running_moments(spark, d):
        "lv AS (SELECT m.round, e.label AS site, e.j, e.v FROM emb e JOIN mw m ON e.vec_id = m.last)"], f"SELECT round, 'complete' AS status, CAST(j AS INT) AS j, {q.rnd('avg(v)')} AS v FROM lv WHERE site < 10 GROUP BY round, j"))
 def round_barrier(spark, d):
     schema = fx.table(spark, d, "embeddings").schema
-    src = spark.readStream.schema(schema).parquet(f"{d}/embeddings.parquet")
+    src = spark.readStream.schema(schema).parquet(f"{d}/embeddings.parque[t]")
     msgs = src.select((F.col("vec_id") % 3).cast("int").alias("round"), F.col("label").cast("string").alias("site"), F.col("vec_id").alias("seq"),
                       F.lit(1.0).alias("weight"), F.col("embedding").cast("array<double>").alias("vec"))
     path = scratch_path(spark, "rounds")
