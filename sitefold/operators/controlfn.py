@@ -36,7 +36,7 @@ def basis_columns(x: Column, degree: int = 2, knots: Sequence[float] = ()) -> li
 
 def first_stage(train: DataFrame, rows: DataFrame, snps: Sequence[str], by: Sequence[str] = ("site",)) -> DataFrame:
     """Per-site first stage fitted on `train`, predicted on `rows`."""
-    fs = iv.local_first_stage(cut(mo.moments(train, [*snps, "x"], by)), snps)
+    fs = cut(iv.local_first_stage(mo.moments(train, [*snps, "x"], by), snps))
     return iv.predict_rows(rows, fs, snps, list(by))
 
 

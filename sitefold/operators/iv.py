@@ -93,7 +93,7 @@ def tidy(fitted: DataFrame, d: Design, by: Sequence[str] = ()) -> DataFrame:
 
 def _with_site_means(df: DataFrame, site_moments: DataFrame, cols: Sequence[str], site: str) -> DataFrame:
     means = site_moments.select(site, *[mo.M(c).alias(f"_m_{c}") for c in cols])
-    return join_small(df, means, [site])
+    return join_small(df, means, [site], ready=True)
 
 
 def robust_meat(df: DataFrame, site_moments: DataFrame, d: Design, theta: Sequence[float], site: str = "site") -> DataFrame:
@@ -159,8 +159,8 @@ def add_xhat_moments(fs: DataFrame, z: Sequence[str], others: Sequence[str]) ->
 
 
 def predict_rows(df: DataFrame, coefs: DataFrame, z: Sequence[str], on: Sequence[str], name: str = "xhat") -> DataFrame:
-    """xhat = fs_intercept + z pi on the rows, coefficients joined from a per-group table."""
-    rows = join_small(df, coefs.select(*on, F.col("fs_intercept").alias("_a"), F.col("pi").alias("_pi")), list(on))
+    """xhat = fs_intercept + z pi on the rows, coefficients joined from a written per-group table."""
+    rows = join_small(df, coefs.select(*on, F.col("fs_intercept").alias("_a"), F.col("pi").alias("_pi")), list(on), ready=True)
     xhat = F.col("_a")
     for j, c in enumerate(z):
         xhat = xhat + F.col("_pi")[j] * F.col(c)
@@ -281,6 +281,13 @@ def _finish(df: DataFrame, site_moments: DataFrame, d: Design, robust: bool, rou
     return Run(d, site_moments, fitted, rounds + int(robust))
 
 
+def _origin(first: DataFrame, d: Design) -> dict[str, float]:
+    """Rough centres of the second-stage columns from first-stage moments; xhat shares x's mean."""
+    c = mo.centres(first, ["x"])
+    c.update(xhat=c["x"], xhat2=c["x"] * c["x"])
+    return {name: c[name] for name in d.columns}
+
+
 def shared_instruments(df: DataFrame, snps: Sequence[str], covariates: Sequence[str] = (), basis: str = "linear",
                        crossfit: int = 0, robust: bool = True, fold: str = "fold") -> Run:
     """The same instruments at every site: one global first stage."""
@@ -291,17 +298,17 @@ def shared_instruments(df: DataFrame, snps: Sequence[str], covariates: Sequence[
         fold_moments = cut(mo.moments(folded, [*z, "x", d.y], ("site", "fold")))
         coefs = cut(leave_fold_out_shared(fold_moments, z))
         rows = with_squares(predict_rows(folded, coefs, z, ("site", "fold"))) if robust or basis != "linear" else None
-        m = crossfit_site_moments(fold_moments, coefs, z, d) if basis == "linear" else mo.moments(rows, d.columns)
+        m = crossfit_site_moments(fold_moments, coefs, z, d) if basis == "linear" else mo.moments(rows, d.columns, origin=_origin(fold_moments, d))
         return _finish(rows, m, d, robust, 2)
     elif basis == "quadratic":
-        first = cut(mo.moments(df, [*z, "x"]))
-        rows = predict_rows(df, global_first_stage(first, snps, covariates), z, ("site",))
+        first = cut(mo.moments(df, [*z, "x", "y"]))
+        rows = predict_rows(df, cut(global_first_stage(first, snps, covariates)), z, ("site",))
     else:
         d = shared_design(snps, covariates)
         return _finish(df, mo.moments(df, d.columns), d, robust, 1)
     rows = with_squares(rows)
     d = generated_design(basis, covariates)
-    return _finish(rows, mo.moments(rows, d.columns), d, robust, 2)
+    return _finish(rows, mo.moments(rows, d.columns, origin=_origin(first, d)), d, robust, 2)
 
 
 def local_first_stages(df: DataFrame, snps: Sequence[str], covariates: Sequence[str] = (), basis: str = "linear",
@@ -325,7 +332,7 @@ def local_first_stages(df: DataFrame, snps: Sequence[str], covariates: Sequence[
         if basis == "linear":
             m = add_xhat_moments(fs, z, ["x", "y", *covariates]).withColumn("m_xhat", mo.M("x"))
             return _finish(rows, m, d, robust, 1, FS_SUMS)
-    m = mo.moments(rows, d.columns).join(fs.select("site", *FS_SUMS), "site")
+    m = mo.moments(rows, d.columns, origin=_origin(fold_moments if crossfit else fs, d)).join(fs.select("site", *FS_SUMS), "site")
     return _finish(rows, m, d, robust, 1, FS_SUMS)
 
 

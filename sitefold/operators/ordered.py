@@ -32,8 +32,15 @@ def with_buckets(df: DataFrame, keys: Sequence[str], order: str, buckets: int |
 
 def running_within_buckets(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str],
                            descending: bool = False, prefix: str = "cum_") -> DataFrame:
-    """Running totals when `df` already has one row per (keys, order) and a `_bucket` column."""
+    """Running totals when `df` already has one row per (keys, order) and a `_bucket` column.
+
+    Without the column each group is one window: only for tables whose size has been checked.
+    """
     keys = list(keys)
+    if "_bucket" not in df.columns:
+        w = Window.partitionBy(*keys).orderBy(F.col(order).desc() if descending else F.col(order).asc())
+        w = w.rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*df.columns, *[F.sum(c).over(w).alias(prefix + c) for c in sums])
 
     def direction(c):
         return F.col(c).desc() if descending else F.col(c).asc()

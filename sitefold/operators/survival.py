@@ -18,6 +18,8 @@ from sitefold.runtime import cut
 
 TIES = ("efron", "breslow")
 CHUNK = 10_000
+# Distinct (stratum, time) pairs up to which a stratum is ordered in one window.
+ONE_WINDOW = 100_000
 
 
 def compress(df: DataFrame, cols: Sequence[str], strata: Sequence[str] = ("site",), time: str = "time",
@@ -43,9 +45,9 @@ def _pair_names(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def _newton_sums(base: DataFrame, times: DataFrame, cols: Sequence[str], strata: Sequence[str], beta: np.ndarray, ties: str):
+def _newton_sums(base: DataFrame, times: DataFrame | None, cols: Sequence[str], strata: Sequence[str], beta: np.ndarray, ties: str):
     """Log-likelihood, score and information at beta. base is compressed; times holds the bucket of
-    every distinct (stratum, time)."""
+    every distinct (stratum, time), or is None when they are few."""
     p = len(cols)
     eta = sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta[1:], cols[1:])), F.lit(float(beta[0])) * F.col(cols[0]))
     e = F.exp(eta)
@@ -57,7 +59,9 @@ def _newton_sums(base: DataFrame, times: DataFrame, cols: Sequence[str], strata:
     for i, j in _pair_names(p):
         xx = F.col(cols[i]) * F.col(cols[j])
         aggs += [F.sum(n * e * xx).alias(f"s2_{i}_{j}"), F.sum(d * e * xx).alias(f"e2_{i}_{j}")]
-    per_time = base.groupBy(*strata, "time").agg(*aggs).join(times, [*strata, "time"])
+    per_time = base.groupBy(*strata, "time").agg(*aggs)
+    if times is not None:
+        per_time = per_time.join(times, [*strata, "time"])
     sums = ["s0", *[f"s1_{i}" for i in range(p)], *[f"s2_{i}_{j}" for i, j in _pair_names(p)]]
     risk = od.running_within_buckets(per_time, strata, "time", sums, descending=True, prefix="R_").filter("d > 0")
     t = _tie_terms(risk, ties)
@@ -90,7 +94,8 @@ def cox(df: DataFrame, cols: Sequence[str], strata: Sequence[str] = (), time: st
     keys = list(strata) or ["_all"]
     src = df if strata else df.withColumn("_all", F.lit(0))
     base = cut(compress(src, cols, keys, time, event))
-    times = od.with_buckets(base.select(*keys, "time").distinct(), keys, "time")
+    distinct = base.select(*keys, "time").distinct()
+    times = None if distinct.count() <= ONE_WINDOW else od.with_buckets(distinct, keys, "time")
     beta = np.zeros(len(cols))
     ll, score, info = _newton_sums(base, times, cols, keys, beta, ties)
     for _ in range(max_iter):

@@ -49,7 +49,7 @@ def local_rows(mr: DataFrame, snps=SNPS) -> DataFrame:
     from sitefold.operators import moments as mo
     from sitefold.runtime import cut
 
-    fs = iv.local_first_stage(cut(mo.moments(mr, [*snps, "x"])), snps)
+    fs = cut(iv.local_first_stage(mo.moments(mr, [*snps, "x"]), snps))
     return iv.with_squares(iv.predict_rows(mr, fs, snps, ("site",))).withColumn("resid", F.col("x") - F.col("xhat"))
 
 

@@ -217,7 +217,7 @@ def stacked_shared(spark, d):
 
 @query("per_site_fits_iv15", "IV15 ROB16", q.select([*LIN_BASE, f"fo AS ({LIN.format(src='lb')})"], f"SELECT site, {q.rnd('theta')} AS tsls, {q.rnd('se')} AS tsls_se, {q.rnd('e/d')} AS ols, {q.rnd('sqrt((f - e*e/d)/greatest(n-2, 1)/d)')} AS ols_se FROM fo"))
 def per_site_fits(spark, d):
-    w = se.working(se.site_bundle(fx.mr_rows(spark, d), fx.SNPS), "linear")
+    w = se.working(se.linear_bundle(fx.mr_rows(spark, d), fx.SNPS), "linear")
     a = se.two_sls(w, "linear").select("site", r("theta_1").alias("tsls"), r("se_1").alias("tsls_se"))
     return a.join(se.ols(w, "linear").select("site", r("theta_1").alias("ols"), r("se_1").alias("ols_se")), "site")
 
@@ -251,8 +251,8 @@ def comparison(mr, snps=fx.SNPS):
     meta = ma.inverse_variance(site_iv).select(F.lit("site meta-analysis").alias("estimator"), F.col("meta").alias("theta1"), F.col("meta_se").alias("se1"))
     ivw = gw.ivw(se.bundle_gwas(own, snps)).select(F.col("ivw").alias("theta"), F.col("ivw_se").alias("se"))
     ss = ma.inverse_variance(ivw).select(F.lit("summary statistics").alias("estimator"), F.col("meta").alias("theta1"), F.col("meta_se").alias("se1"))
-    centred = mo.centre_within(rows, ["xhat", "x", "y"])
-    h, x, y = F.col("xhat_c"), F.col("x_c"), F.col("y_c")
+    centred = iv._with_site_means(rows, own, ["xhat", "x", "y"], "site")
+    h, x, y = (F.col(c) - F.col(f"_m_{c}") for c in ("xhat", "x", "y"))
     pooled = cut(centred.agg((F.sum(h * y) / F.sum(h * h)).alias("theta1"), (F.sum(x * y) / F.sum(x * x)).alias("naive")))
     out = pooled.select(F.lit("pooled rows").alias("estimator"), "theta1")
     for part in (local, cross, meta, ss, pooled.select(F.lit("naive").alias("estimator"), F.col("naive").alias("theta1"))):
@@ -302,7 +302,7 @@ BLOCKS = [*BUNDLE_CTES, BLOCK.format(p0=T2[0], p1=T2[1], q0=Y2[0], q1=Y2[1], src
 @query("block_projection_iv19", "IV19", q.select([*BLOCKS, "tt AS (SELECT *, wpy/wpw AS theta FROM bs)"],
        f"SELECT {q.rnd('theta')} AS theta_1, {q.rnd('sqrt((cyy - 2e0*theta*cxy + theta*theta*cxx)/greatest(n - k - 1, 1)/wpw)')} AS se_1, {q.rnd('ypy', 3)} AS ypy, {q.rnd('wpw', 3)} AS wpw, {q.rnd('ypy - 2e0*theta*wpy + theta*theta*wpw', 4)} AS rpr FROM tt"))
 def block_projection(spark, d):
-    b = se.site_bundle(fx.mr_rows(spark, d), fx.SNPS)
+    b = se.linear_bundle(fx.mr_rows(spark, d), fx.SNPS)
     e = se.two_sls(se.pooled(se.working(b, "linear", "snps", fx.SNPS)), "linear")
     return e.select(r("theta_1").alias("theta_1"), r("se_1").alias("se_1"), r("p_y__y", 3).alias("ypy"), r("p_x__x", 3).alias("wpw"),
                     r(se._rss([F.col("theta_1")], ["x"], se._p), 4).alias("rpr"))

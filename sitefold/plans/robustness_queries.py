@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sitefold.functions.scalars import r
 from sitefold.operators import gwas as gw
+from sitefold.operators import moments as mo
 from sitefold.operators import sensitivity as se
 from sitefold.plans import fixtures as fx
 from sitefold.plans import sqlparts as q
@@ -23,8 +24,12 @@ def bundle(spark, d):
     return se.site_bundle(fx.mr_rows(spark, d), fx.SNPS)
 
 
+def linear(spark, d):
+    return se.linear_bundle(fx.mr_rows(spark, d), fx.SNPS)
+
+
 def snp_agg(spark, d):
-    return se.pooled(se.working(bundle(spark, d), "linear", "snps", fx.SNPS))
+    return se.pooled(se.working(linear(spark, d), "linear", "snps", fx.SNPS))
 
 
 @query("kclass_rob1", "ROB1", q.select([*BLOCKS, "kp AS (SELECT unnest([0e0, 0.5e0, 1e0]) AS kappa)"], f"SELECT kappa, {q.rnd('((1e0-kappa)*cxy + kappa*wpy)/((1e0-kappa)*cxx + kappa*wpw)')} AS theta_1 FROM bs, kp"))
@@ -77,7 +82,7 @@ def _anchor_sql(reg):
 @query("anchor_path_rob5", "ROB5", q.select([*BUNDLE_CTES, f"ga AS (SELECT unnest([{', '.join(f'{v!r}e0' for v in GAMMAS)}]) AS gamma)", f"an AS {_anchor_sql('xhat')}"],
        f"SELECT gamma, {q.rnd('(wy + gamma*byy)/(w + gamma*b)')} AS theta_1 FROM an, ga UNION ALL SELECT 1e9, {q.rnd('byy/b', 3)} FROM an"))
 def anchor_path(spark, d):
-    a = se.anchor_path(bundle(spark, d), "linear", [*GAMMAS, float("inf")])
+    a = se.anchor_path(linear(spark, d), "linear", [*GAMMAS, float("inf")])
     inf = F.col("gamma") == float("inf")
     return a.select(F.when(inf, 1e9).otherwise(F.col("gamma")).alias("gamma"), F.when(inf, r("theta_1", 3)).otherwise(r("theta_1")).alias("theta_1"))
 
@@ -87,7 +92,7 @@ SPAN = "sp AS (SELECT min(theta - {w}e0*se) AS lo, max(theta + {w}e0*se) AS hi F
 
 
 def site_lin(spark, d):
-    return se.two_sls(se.working(bundle(spark, d), "linear"), "linear")
+    return se.two_sls(se.working(linear(spark, d), "linear"), "linear")
 
 
 @query("wald_surface_rob6", "ROB6", q.select([*SITE_LIN, SPAN.format(w=3)], f"SELECT site, CAST(g AS INT) AS k, {q.rnd('(lo + (hi-lo)*g/399e0 - theta)*(lo + (hi-lo)*g/399e0 - theta)/(se*se)', 5)} AS surprise FROM fo, sp, range(400) r(g)"))
@@ -109,7 +114,7 @@ def minimax_two(spark, d):
 
 @query("excess_risk_rob8", "ROB8", q.select([*SITE_LIN, f"ft AS ({LIN.format(src=f'(SELECT {LIN_SUMS} FROM lb)')})"], f"SELECT fo.site, {q.rnd('(ft.theta-fo.theta)*(ft.theta-fo.theta)*(fo.b*fo.b/fo.qq)/fo.n', 8)} AS risk FROM fo, ft"))
 def excess_risk(spark, d):
-    w = se.working(bundle(spark, d), "linear")
+    w = se.working(linear(spark, d), "linear")
     full = se.two_sls(se.pooled(w), "linear").select("theta_1").scalar()
     f = se.two_sls(w, "linear").withColumn("_t", full)
     return f.select("site", r(se.excess_risk(f, "linear", [F.col("_t")]), 8).alias("risk"))
@@ -130,27 +135,27 @@ DIS = [*SITE_LIN, "rs AS (SELECT *, f - 2e0*theta*e + theta*theta*d AS rss, b*b/
 @query("site_disagreement_rob9", "ROB9", q.select(DIS, f"""SELECT site, {q.rnd('theta')} AS theta_1, {q.rnd('(theta - prt/pr)/sqrt(1e0/p + 1e0/pr)', 5)} AS z_joint_1, {q.rnd('pat/pa')} AS theta_joint_1, {q.rnd('sqrt(1e0/pa)')} AS se_joint_1,
  {q.rnd('sum(p*(theta - pat/pa)*(theta - pat/pa)) OVER ()', 5)} AS q, {q.rnd('joint')} AS sigma2_joint, {q.rnd('own')} AS sigma2_site FROM rr"""))
 def site_disagreement(spark, d):
-    s = se.site_disagreement(se.working(bundle(spark, d), "linear"), "linear")
+    s = se.site_disagreement(se.working(linear(spark, d), "linear"), "linear")
     return s.select("site", r("theta_1").alias("theta_1"), r("z_joint_1", 5).alias("z_joint_1"), r("theta_joint_1").alias("theta_joint_1"), r("se_joint_1").alias("se_joint_1"),
                     r("q", 5).alias("q"), r("sigma2_joint").alias("sigma2_joint"), r("sigma2_site").alias("sigma2_site"))
 
 
 @query("site_disagreement_own_rob9b", "ROB9", q.select([*DIS[:-2], "pp AS (SELECT *, h/own AS p FROM s2)", DIS[-1]], f"SELECT site, {q.rnd('(theta - prt/pr)/sqrt(1e0/p + 1e0/pr)', 5)} AS z_joint_1, {q.rnd('pat/pa')} AS theta_joint_1 FROM rr"))
 def site_disagreement_own(spark, d):
-    s = se.site_disagreement(se.working(bundle(spark, d), "linear"), "linear", scale="site")
+    s = se.site_disagreement(se.working(linear(spark, d), "linear"), "linear", scale="site")
     return s.select("site", r("z_joint_1", 5).alias("z_joint_1"), r("theta_joint_1").alias("theta_joint_1"))
 
 
 @query("leave_two_out_rob10", "ROB10 JON9", q.select([*LIN_BASE, "dr AS (SELECT x.site AS i, z.site AS j, " + ", ".join(f"t.{c} - x.{c} - z.{c} AS {c}" for c in ("n", "k", "a", "b", "qq", "f", "e", "d")) + f" FROM lb x JOIN lb z ON x.site < z.site, (SELECT {LIN_SUMS} FROM lb) t)", f"fd AS ({LIN.format(src='dr')})"],
        f"SELECT i, j, CAST(n AS BIGINT) AS n, {q.rnd('theta')} AS theta_1, {q.rnd('se')} AS se_1 FROM fd"))
 def leave_two_out(spark, d):
-    o = se.leave_out(se.working(bundle(spark, d), "linear"), "linear", 2)
+    o = se.leave_out(se.working(linear(spark, d), "linear"), "linear", 2)
     return o.select(F.col("dropped")[0].alias("i"), F.col("dropped")[1].alias("j"), "n", r("theta_1").alias("theta_1"), r("se_1").alias("se_1"))
 
 
 @query("leave_one_out_naive_rob10b", "ROB10 UDF2", q.select([*LIN_BASE, "t AS (SELECT sum(n) AS n, count(*) AS k, sum(e) AS e, sum(d) AS d FROM lb)"], f"SELECT lb.site, {q.rnd('(t.e-lb.e)/(t.d-lb.d)')} AS theta_1 FROM lb, t"))
 def leave_one_out_naive(spark, d):
-    o = se.leave_out(se.working(bundle(spark, d), "linear"), "linear", 1, estimator="ols")
+    o = se.leave_out(se.working(linear(spark, d), "linear"), "linear", 1, estimator="ols")
     return o.select(F.col("dropped")[0].alias("site"), r("theta_1").alias("theta_1"))
 
 
@@ -161,13 +166,13 @@ CERT = [*BUNDLE_CTES, BLOCK.format(p0=T2[0], p1=T2[1], q0=Y2[0], q1=Y2[1], src="
 
 @query("moment_certificate_rob11", "ROB11", q.select(CERT, f"SELECT {q.rnd('max(th)')} AS theta_1, {q.rnd('max(cs.se)')} AS se_1, {q.rnd('max(within)', 5)} AS within, CAST(max(k) AS BIGINT) AS df_within, {q.rnd('sum(h*(theta-th)*(theta-th))', 5)} AS between, CAST(max(k) - 1 AS BIGINT) AS df_between FROM ce, cs"))
 def moment_certificate(spark, d):
-    c = se.certificate(se.working(bundle(spark, d), "linear", "snps", fx.SNPS), "linear")
+    c = se.certificate(se.working(linear(spark, d), "linear", "snps", fx.SNPS), "linear")
     return c.select(r("theta_1").alias("theta_1"), r("se_1").alias("se_1"), r("within", 5).alias("within"), "df_within", r("between", 5).alias("between"), "df_between")
 
 
 @query("snp_invariance_rob12", "ROB12", q.select([*CERT, *GW[1:]], f"SELECT snp, {q.rnd('sum((beta_y - th*beta_x)*(beta_y - th*beta_x)/(se_y*se_y + th*th*se_x*se_x))', 5)} AS t, count(*) AS df FROM gw, cs GROUP BY snp"))
 def snp_invariance(spark, d):
-    b = bundle(spark, d)
+    b = linear(spark, d)
     theta = se.certificate(se.working(b, "linear", "snps", fx.SNPS), "linear").select("theta_1").scalar()
     g = se.bundle_gwas(b, fx.SNPS).withColumn("_th", theta)
     return se.snp_invariance(g, F.col("_th")).select("snp", r("T", 5).alias("t"), "df")
@@ -176,7 +181,7 @@ def snp_invariance(spark, d):
 @query("instrument_search_rob13", "ROB13")
 def instrument_search(spark, d):
     mr = se.perturb(fx.mr_rows(spark, d), ["snp1"], 1.5, [0, 2])
-    b = se.site_bundle(mr, ("snp0", "snp1", "snp2"))
+    b = se.linear_bundle(mr, ("snp0", "snp1", "snp2"))
     return se.invariant_instrument_search(b, ("snp0", "snp1", "snp2"))
 
 
@@ -198,13 +203,14 @@ def _icp_sql():
 
 @query("invariant_prediction_rob14", "ROB14", _icp_sql())
 def invariant_prediction(spark, d):
-    t = se.invariant_prediction(bundle(spark, d), ("x", "u"))
+    t = se.invariant_prediction(mo.moments(fx.mr_rows(spark, d), ["y", "x", "u"]), ("x", "u"))
     return t.select("predictors", "site", r("f_chow", 4).alias("f_chow"), r("f_var").alias("f_var"))
 
 
 @query("accepted_predictors_rob14b", "ROB14 SET3")
 def accepted_predictors(spark, d):
-    return se.accepted_sets(se.invariant_prediction(bundle(spark, d)))
+    rows = fx.mr_rows(spark, d).withColumn("x2", F.col("x") * F.col("x"))
+    return se.accepted_sets(se.invariant_prediction(mo.moments(rows, ["y", "x", "x2", "u"])))
 
 
 @query("iv_invariance_rob15", "ROB15", q.select([*LIN_BASE, f"ft AS ({LIN.format(src=f'(SELECT {LIN_SUMS} FROM lb)')})",
@@ -218,7 +224,7 @@ def iv_invariance(spark, d):
 def dumbbell(spark, d):
     from sitefold.operators import meta as ma
 
-    w = se.working(bundle(spark, d), "linear")
+    w = se.working(linear(spark, d), "linear")
     f = se.two_sls(w, "linear")
     fe = ma.inverse_variance(f.select(F.col("theta_1").alias("theta"), F.col("se_1").alias("se"))).select("meta").scalar()
     o = se.ols(w, "linear").select("site", F.col("theta_1").alias("naive"))
@@ -236,4 +242,4 @@ def random_effects_p(spark, d):
 
 @query("certificate_p_udf3b", "UDF3 ROB11")
 def certificate_p(spark, d):
-    return se.with_p_values(se.certificate(se.working(bundle(spark, d), "linear", "snps", fx.SNPS), "linear"))
+    return se.with_p_values(se.certificate(se.working(linear(spark, d), "linear", "snps", fx.SNPS), "linear"))

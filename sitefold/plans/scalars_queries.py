@@ -14,6 +14,7 @@ from sitefold.operators import sensitivity as se
 from sitefold.plans import fixtures as fx
 from sitefold.plans import sqlparts as q
 from sitefold.plans.registry import query
+from sitefold.runtime import cut
 from sitefold.plans.scans_queries import CURVES
 from sitefold.operators import metrics as me
 
@@ -65,7 +66,7 @@ GLOBAL_FS = [q.MR, q.mom("mom", ["snp0", "snp1", "x"]), q.total("tot", ["snp0",
 @query("global_prediction_prj4b", "PRJ4 AGG6", q.select(GLOBAL_FS, f"SELECT site, {q.rnd('avg(xhat)')} AS mean_xhat, {q.rnd('var_pop(xhat)')} AS var_xhat, {q.rnd('covar_pop(xhat, x)')} AS cov_x FROM xh GROUP BY site"))
 def global_prediction(spark, d):
     mr = fx.mr_rows(spark, d)
-    fs = iv.global_first_stage(mo.moments(mr, [*fx.SNPS, "x"]), fx.SNPS)
+    fs = cut(iv.global_first_stage(mo.moments(mr, [*fx.SNPS, "x"]), fx.SNPS))
     rows = iv.predict_rows(mr, fs, fx.SNPS, ("site",))
     return rows.groupBy("site").agg(r(F.avg("xhat")).alias("mean_xhat"), r(F.var_pop("xhat")).alias("var_xhat"), r(F.covar_pop("xhat", "x")).alias("cov_x"))
 

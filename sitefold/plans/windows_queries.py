@@ -21,7 +21,7 @@ LIN_SUMS = ", ".join(f"sum({c}) AS {c}" for c in ("n", "k", "a", "b", "qq", "f",
 
 
 def lin_work(spark, d):
-    return se.working(se.site_bundle(fx.mr_rows(spark, d), fx.SNPS), "linear")
+    return se.working(se.linear_bundle(fx.mr_rows(spark, d), fx.SNPS), "linear")
 
 
 @query("cumulative_sites_win1", "WIN1", q.select([*LIN_BASE, "cu AS (SELECT site, row_number() OVER o AS step, " + ", ".join(f"sum({c}) OVER o AS {c}" for c in ("n", "k", "a", "b", "qq", "f", "e", "d")) + " FROM lb WINDOW o AS (ORDER BY lb.n DESC, site ROWS UNBOUNDED PRECEDING))",
@@ -135,7 +135,7 @@ def ordered_preview(spark, d):
 @query("weak_instrument_filter_top6", "TOP6", q.select([*LIN_BASE, *GW[1:], "kp AS (SELECT lb.* FROM lb JOIN iw USING (site) WHERE mean_f >= 43000)", f"fit AS ({LIN.format(src=f'(SELECT {LIN_SUMS} FROM kp)')})"],
        f"SELECT CAST(k AS BIGINT) AS sites, {q.rnd('theta')} AS theta_1, {q.rnd('se')} AS se_1 FROM fit"))
 def weak_instrument_filter(spark, d):
-    b = se.site_bundle(fx.mr_rows(spark, d), fx.SNPS)
+    b = se.linear_bundle(fx.mr_rows(spark, d), fx.SNPS)
     f = gw.ivw(se.bundle_gwas(b, fx.SNPS)).select("site", "mean_F")
     e = se.weak_filter(se.working(b.join(f, "site"), "linear"), "linear", 43000.0)
     return e.select(F.col("K").cast("bigint").alias("sites"), r("theta_1").alias("theta_1"), r("se_1").alias("se_1"))

@@ -33,14 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", ready: bool = False) -> DataFrame:
     """Join a per-group table back to its rows.
 
-    `small` is written out first so its size is a fact rather than an estimate. Below
+    `small` is written out first so its size is a fact rather than an estimate (`ready` says it is
+    already a projection of a written table). Below
     BROADCAST_CELLS it is broadcast and `big` never moves; above, the join shuffles and adaptive
     skew handling splits the hot keys.
     """
-    small = cut(small)
+    small = small if ready else cut(small)
     if small.count() * len(small.columns) <= BROADCAST_CELLS:
         small = F.broadcast(small)
     return big.join(small, on, how)
