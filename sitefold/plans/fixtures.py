@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 SNPS = ("snp0", "snp1")
 EMBEDDING_WIDTH = 64
-GRID = F.explode(F.sequence(F.lit(0), F.lit(60)))
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
