@@ -16,7 +16,7 @@ from sitefold.plans.joins_queries import TRUTH_SQL, truth
 from sitefold.plans.registry import query
 from sitefold.plans.scalars_queries import GLOBAL_FS
 from sitefold.plans.windows_queries import LIN, LIN_BASE, LIN_SUMS
-from sitefold.runtime import cut
+from sitefold.runtime import cut, scalar_row
 
 SE_CLASSIC = "sqrt((s_y__y - 2e0*theta*s_x__y + theta*theta*s_x__x)/(n - 1 - k)/info)"
 HC0 = "sqrt((p0*p0*h00 + 2e0*p0*p1*h01 + p1*p1*h11)/(info*info))"
@@ -186,8 +186,8 @@ def pooled_benchmark(spark, d):
     rows = mo.centre_within(fx.local_rows(mr), ["xhat", "x", "y"])
     h = F.col("xhat_c")
     stacked = rows.agg((F.sum(h * F.col("y_c")) / F.sum(h * h)).alias("stacked"), (F.sum(F.col("x_c") * F.col("y_c")) / F.sum(F.col("x_c") * F.col("x_c"))).alias("naive"))
-    e = run.estimates().join(F.broadcast(stacked), F.lit(True))
-    return e.select(r("theta").alias("theta"), r("se").alias("se"), r("naive").alias("naive"), (F.abs(F.col("theta") - F.col("stacked")) < 1e-10).alias("identity_holds"))
+    e = run.estimates().withColumn("_d", scalar_row(stacked))
+    return e.select(r("theta").alias("theta"), r("se").alias("se"), r("_d.naive").alias("naive"), (F.abs(F.col("theta") - F.col("_d.stacked")) < 1e-10).alias("identity_holds"))
 
 
 @query("per_site_quadratic_iv13", "IV13 IV15", q.select(QUAD_SITES, f"SELECT site, {q.rnd('theta_1')} AS theta_1, {q.rnd('sqrt(v_1_1)')} AS se_1, {q.rnd('theta_2')} AS theta_2, {q.rnd('sqrt(v_2_2)')} AS se_2 FROM qf"))
@@ -212,7 +212,7 @@ def stacked_shared(spark, d):
     p = cut(fs).scalar()
     xh = p[0] * F.col("snp0_c") + p[1] * F.col("snp1_c")
     direct = c.withColumn("_h", xh).agg((F.sum(F.col("_h") * F.col("y_c")) / F.sum(F.col("_h") * F.col("x_c"))).alias("direct"))
-    return run.estimates().join(F.broadcast(direct), F.lit(True)).select(r("theta").alias("theta"), (F.abs(F.col("theta") - F.col("direct")) < 1e-10).alias("identity_holds"))
+    return run.estimates().withColumn("_d", direct.scalar()).select(r("theta").alias("theta"), (F.abs(F.col("theta") - F.col("_d")) < 1e-10).alias("identity_holds"))
 
 
 @query("per_site_fits_iv15", "IV15 ROB16", q.select([*LIN_BASE, f"fo AS ({LIN.format(src='lb')})"], f"SELECT site, {q.rnd('theta')} AS tsls, {q.rnd('se')} AS tsls_se, {q.rnd('e/d')} AS ols, {q.rnd('sqrt((f - e*e/d)/greatest(n-2, 1)/d)')} AS ols_se FROM fo"))

@@ -87,10 +87,12 @@ def scenario_grid(spark, d):
         F.lit("scale"), (F.col("r_regionkey") + 1).cast("string"), F.lit("start_round"), F.lit("0")).alias("base"))
     over = F.when(F.col("attack") == "asia", F.create_map(F.lit("start_round"), F.lit("1"))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     attacks = attacks.withColumn("over", over)
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     defenses = fx.table(spark, d, "part").select(F.lower("p_type").alias("defense")).distinct().withColumn(
-        "conf", F.when(F.col("defense") == "economy", F.create_map(F.lit("trim"), F.lit("0.2"))).otherwise(
-            F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
-    g = attacks.join(F.broadcast(defenses), F.lit(True))
+        "conf", F.when(F.col("defense") == "economy", F.create_map(F.lit("trim"), F.lit("0.2"))).otherwise(none))
+    # the grid repeats each attack once per configured defense
+    listed = defenses.agg(F.collect_list(F.struct("defense", "conf")).alias("l")).scalar()
+    g = attacks.withColumn("_d", F.explode(listed)).select("attack", "base", "over", "_d.defense", "_d.conf")
     return g.select(sc_name("attack", "defense"), merged("base", "over", "conf")).select(
         "scenario", F.col("c")["scale"].cast("double").alias("scale"), F.try_element_at("c", F.lit("trim")).cast("double").alias("trim"), F.col("c")["start_round"].cast("int").alias("start_round"))
 

@@ -10,7 +10,6 @@ from sitefold.operators import curves as cv
 from sitefold.operators import fedagg as fa
 from sitefold.operators import metrics as me
 from sitefold.operators import ordered as od
-from sitefold.operators import survival as sv
 from sitefold.plans import fixtures as fx
 from sitefold.plans import sqlparts as q
 from sitefold.plans.registry import query
@@ -163,9 +162,3 @@ def membership_auc(spark, d):
     mr = fx.mr_rows(spark, d).withColumn("member", (F.col("fold") < 4).cast("int"))
     a = me.membership_auc(mr, 0.3 * F.col("x"), 0.9 * F.col("x"), "y", "member", False, ("site",))
     return a.select("site", r("auc").alias("auc"))
-
-
-@query("hazard_control_function_cf1c", "CF1 SRV1")
-def hazard_control_function(spark, d):
-    rows = fx.local_rows(fx.mr_surv(spark, d))
-    return sv.cox(rows, ["x", "resid"], ["site"])

@@ -33,6 +33,23 @@ def newton_sql(keys: str, x: str, ties: str, src: str, steps: int = STEPS) -> li
     return ctes
 
 
+def newton2_sql(x1: str, x2: str, src: str, steps: int = STEPS) -> list[str]:
+    """Unrolled Efron Newton steps for two slopes; strata in column st."""
+    def cells(weight, prefix):
+        e = f"{weight}*exp(b1*x1+b2*x2)"
+        return ", ".join(f"sum({e}{f}) AS {prefix}{k}" for k, f in (("0", ""), ("1", "*x1"), ("2", "*x2"), ("11", "*x1*x1"), ("12", "*x1*x2"), ("22", "*x2*x2")))
+
+    ks = ("0", "1", "2", "11", "12", "22")
+    ctes = [f"cc AS (SELECT st, time, {x1} AS x1, {x2} AS x2, count(*) AS n, sum(event) AS d FROM {src} GROUP BY ALL)", "b0 AS (SELECT 0e0 AS b1, 0e0 AS b2, 0e0 AS i11, 0e0 AS i12, 0e0 AS i22)"]
+    for i in range(steps):
+        ctes.append(f"t{i} AS (SELECT st, time, {cells('n', 's')}, {cells('d', 'e')}, sum(d) AS d, sum(d*x1) AS dx1, sum(d*x2) AS dx2 FROM cc, b{i} GROUP BY st, time)")
+        ctes.append(f"r{i} AS (SELECT d, dx1, dx2, {', '.join('e' + k for k in ks)}, {', '.join(f'sum(s{k}) OVER w AS s{k}' for k in ks)} FROM t{i} WINDOW w AS (PARTITION BY st ORDER BY time DESC ROWS UNBOUNDED PRECEDING))")
+        ctes.append(f"f{i} AS (SELECT dx1/d AS dx1, dx2/d AS dx2, {', '.join(f's{k} - (l*1e0/d)*e{k} AS q{k}' for k in ks)} FROM (SELECT *, unnest(range(CAST(d AS BIGINT))) AS l FROM r{i} WHERE d > 0))")
+        ctes.append(f"u{i} AS (SELECT sum(dx1 - q1/q0) AS u1, sum(dx2 - q2/q0) AS u2, sum(q11/q0 - q1*q1/(q0*q0)) AS i11, sum(q12/q0 - q1*q2/(q0*q0)) AS i12, sum(q22/q0 - q2*q2/(q0*q0)) AS i22 FROM f{i})")
+        ctes.append(f"b{i + 1} AS (SELECT b1 + (u.i22*u1 - u.i12*u2)/(u.i11*u.i22-u.i12*u.i12) AS b1, b2 + (u.i11*u2 - u.i12*u1)/(u.i11*u.i22-u.i12*u.i12) AS b2, u.i11, u.i12, u.i22 FROM u{i} u, b{i})")
+    return ctes
+
+
 STRAT = "sx AS (SELECT site AS st, time, event, x FROM sv)"
 FLAT = "sx AS (SELECT 0 AS st, time, event, x FROM sv)"
 
@@ -80,9 +97,25 @@ def predictor_substitution(spark, d):
     return sv.cox(predicted(spark, d), ["xhat"], ["site"]).select("term", r("beta").alias("beta"), r("se").alias("se"))
 
 
-@query("hazard_routes_srv4", "SRV4")
+def _route(name, ctes, beta, se):
+    return "SELECT * FROM (" + q.select(ctes, f"SELECT '{name}' AS route, {q.rnd(beta)} AS beta, {q.rnd(se)} AS se FROM b{STEPS}") + ")"
+
+
+ROUTES = [*SXH[:-1], "sx AS (SELECT 0 AS st, sv.time, sv.event, sv.x, sv.u, a0 + p0*sv.snp0 + p1*sv.snp1 AS xhat, sv.x - (a0 + p0*sv.snp0 + p1*sv.snp1) AS resid FROM sv JOIN fs USING (site))"]
+SE2 = "sqrt(i22/(i11*i22-i12*i12))"
+
+
+@query("hazard_routes_srv4", "SRV4", q.select(ROUTES, " UNION ALL ".join([
+    _route("naive", newton_sql("", "x", "efron", "sx"), f"b{STEPS}.beta", "1e0/sqrt(info)"), _route("2SPS", newton_sql("", "xhat", "efron", "sx"), f"b{STEPS}.beta", "1e0/sqrt(info)"),
+    _route("2SRI", newton2_sql("x", "resid", "sx"), "b1", SE2), _route("oracle", newton2_sql("x", "u", "sx"), "b1", SE2)])))
 def hazard_routes(spark, d):
-    return sv.route_comparison(predicted(spark, d))
+    return sv.route_comparison(predicted(spark, d)).select("route", r("beta").alias("beta"), r("se").alias("se"))
+
+
+@query("hazard_control_function_cf1c", "CF1 SRV1", q.select([*SXH[:-1], "sx AS (SELECT site AS st, sv.time, sv.event, sv.x, sv.x - (a0 + p0*sv.snp0 + p1*sv.snp1) AS resid FROM sv JOIN fs USING (site))", *newton2_sql("x", "resid", "sx")],
+       f"SELECT 'x' AS term, {q.rnd('b1')} AS beta, {q.rnd(SE2)} AS se FROM b{STEPS} UNION ALL SELECT 'resid', {q.rnd('b2')}, {q.rnd('sqrt(i11/(i11*i22-i12*i12))')} FROM b{STEPS}"))
+def hazard_control_function(spark, d):
+    return sv.cox(predicted(spark, d), ["x", "resid"], ["site"]).select("term", r("beta").alias("beta"), r("se").alias("se"))
 
 
 @query("partial_likelihood_srv5", "SRV5", q.select([q.SURV, "t AS (SELECT site, time, sum(exp(0.1e0*x)) AS s0, sum(event) AS d, sum(event*0.1e0*x) AS dh FROM sv GROUP BY site, time)",

@@ -17,7 +17,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sitefold-")
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if current is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+            current = tempfile.mkdtemp(prefix="sitefold-")
         sc.setCheckpointDir(current)
     return current
 
