@@ -41,16 +41,20 @@ def poisson_weights(row_hash: np.ndarray, reps: np.ndarray) -> np.ndarray:
 
 
 def replicate_moments(df: DataFrame, cols: Sequence[str], ids: Sequence[str], n_boot: int, seed: int = 0,
-                      batch: int = 4096) -> DataFrame:
+                      batch: int = 4096, spread: int | None = None) -> DataFrame:
     """Weighted moments per (rep, site): n, means and centred cross-products of `cols`.
 
-    Columns are shifted by their global means first, so the centred products lose no digits.
+    Columns are shifted by their global means first, so the centred products lose no digits. The
+    work per row grows with n_boot, so rows of a few large files may be worth spreading over
+    `spread` tasks first.
     """
     cols = sorted(set(cols))
     d = len(cols)
     means = df.agg(*[F.avg(c) for c in cols]).first()
     shifted = df.select("site", F.xxhash64(F.lit(seed), *[F.col(c) for c in ids]).alias("_h"),
                         *[(F.col(c).cast("double") - F.lit(float(m))).alias(c) for c, m in zip(cols, means)])
+    if spread is not None:
+        shifted = shifted.repartition(spread)
     upper = [(i, j) for i in range(d) for j in range(i, d)]
     ii, jj = [i for i, _ in upper], [j for _, j in upper]
     reps = np.arange(n_boot)

@@ -348,6 +348,30 @@ def estimate(df: DataFrame, snps: Sequence[str], instruments: str = "site", **op
     return (shared_instruments if instruments == "shared" else local_first_stages)(df, snps, **options)
 
 
+def packed_first_stages(df: DataFrame, g: str, width: int, x: str = "x", y: str = "y", by: Sequence[str] = ("site",)) -> DataFrame:
+    """Local first stages with the instruments in one array column of any width: one scan.
+
+    Each task reduces its rows to one cross-product matrix per site; what remains per site are the
+    six scalar moments of (xhat, x, y), in the layout `fit` takes.
+    """
+    cols = [f"g{j:05d}" for j in range(width)] + ["zx", "zy"]
+    rows = df.select(*by, *[F.col(g)[j].cast("double").alias(c) for j, c in enumerate(cols[:-2])], F.col(x).alias("zx"), F.col(y).alias("zy"))
+    a = mo.moments_arrays(rows, cols, by)
+    s = a.select(*by, "n", "mean", mx.first_stage_packed("m2", F.lit(width)).alias("_p"))
+    xx, xy, yy, px, py = (F.col("_p")[i] for i in range(5))
+    return s.select(*by, "n", F.col("mean")[width].alias(f"m_{x}"), F.col("mean")[width].alias("m_xhat"), F.col("mean")[width + 1].alias(f"m_{y}"),
+                    xx.alias(mo.s_name(x, x)), xy.alias(mo.s_name(x, y)), yy.alias(mo.s_name(y, y)), px.alias(mo.s_name("xhat", x)),
+                    px.alias(mo.s_name("xhat", "xhat")), py.alias(mo.s_name("xhat", y)), (xx - px).alias("fs_rss_full"), xx.alias("fs_rss_reduced"),
+                    F.lit(width).alias("fs_n_instruments"), F.lit(width + 1).alias("fs_n_params"))
+
+
+def require_identity(table: DataFrame, where: Column, tol: float = 1e-10) -> DataFrame:
+    """Fail the run when an estimate that must equal the pooled fit does not."""
+    gap = F.col("abs_diff_from_pooled")
+    checked = F.when(where & (gap >= tol), F.raise_error(F.concat(F.lit("differs from the pooled fit by "), gap.cast("string"))).cast("double"))
+    return table.withColumn("abs_diff_from_pooled", F.coalesce(checked, gap))
+
+
 # ---------------------------------------------------------------- other estimators on moments
 
 

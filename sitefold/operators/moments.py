@@ -82,9 +82,22 @@ def centres(m: DataFrame, squares: Sequence[str] = ()) -> dict[str, float]:
 
 
 def moments_blocked(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("site",)) -> DataFrame:
-    """Same result for wide column lists: each task reduces its batches to (n, mean, M2) per group
-    with one matrix product, and the partial triples are merged by the pairwise update."""
-    cols, by = sorted(set(cols)), list(by)
+    """Same result for wide column lists, from the array kernel."""
+    cols = sorted(set(cols))
+    d = len(cols)
+    a = moments_arrays(df, cols, by)
+    upper = [(i, j) for i in range(d) for j in range(i, d)]
+    return a.select(*by, "n", *[F.col("mean")[i].alias(f"m_{c}") for i, c in enumerate(cols)],
+                    *[F.col("m2")[k].alias(s_name(cols[i], cols[j])) for k, (i, j) in enumerate(upper)])
+
+
+def moments_arrays(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("site",)) -> DataFrame:
+    """(n, mean, m2) per group with m2 the upper triangle of the centred cross-products, row by row.
+
+    Each task reduces its batches to one such triple per group with one matrix product; the triples
+    merge by the pairwise update, cell by cell.
+    """
+    cols, by = list(cols), list(by)
     d = len(cols)
 
     def partials(batches):
@@ -109,21 +122,19 @@ def moments_blocked(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("si
     parts = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
         partials, f"{key_schema}, n bigint, mean array<double>, m2 array<double>")
     parts = cut(parts)
-    # Merging partial triples is a covariance of the task means plus the sum of the within parts.
-    upper = [(i, j) for i in range(d) for j in range(i, d)]
+    # Merging triples: the within parts add up, and so do the products of the deviations of the task
+    # means from the grand mean, weighted by the rows behind them.
     n = F.col("n")
-    sums = [F.sum(n).alias("n")]
-    sums += [F.sum(n * F.col("mean")[i]).alias(f"t{i}") for i in range(d)]
-    totals = parts.groupBy(*by).agg(*sums)
-    means = totals.select(*by, F.col("n").alias("total"), F.array(*[F.col(f"t{i}") / n for i in range(d)]).alias("grand"))
+    mean_cells = parts.select(*by, "n", F.posexplode("mean").alias("k", "v")).groupBy(*by, "k").agg(
+        F.sum("n").alias("total"), (F.sum(n * F.col("v")) / F.sum("n")).alias("v"))
+    means = mean_cells.groupBy(*by).agg(F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("k", "v"))).alias("g"))
+    means = means.select(*by, "total", F.transform("g", lambda e: e["v"]).alias("grand"))
     dev = join_small(parts, means, by).withColumn("dev", F.zip_with("mean", "grand", lambda a, b: a - b))
-    within = dev.select(*by, "total", "grand", F.posexplode(F.zip_with(
-        "m2", F.array(*[n * F.col("dev")[i] * F.col("dev")[j] for i, j in upper]), lambda a, b: a + b)).alias("k", "v"))
-    cell = within.groupBy(*by, "k").agg(F.sum("v").alias("v"), F.first("total").alias("total"), F.first("grand").alias("grand"))
-    wide = cell.groupBy(*by).agg(F.first("total").alias("n"), F.first("grand").alias("grand"),
-                                 F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("cells"))
-    return wide.select(*by, "n", *[F.col("grand")[i].alias(f"m_{c}") for i, c in enumerate(cols)],
-                       *[F.col("cells")[k].alias(s_name(cols[i], cols[j])) for k, (i, j) in enumerate(upper)])
+    between = F.flatten(F.transform("dev", lambda a, i: F.transform(F.slice("dev", i + 1, F.lit(d)), lambda b: a * b * n)))
+    cells = dev.select(*by, "total", "grand", F.posexplode(F.zip_with("m2", between, lambda a, b: a + b)).alias("k", "v"))
+    cell = cells.groupBy(*by, "k").agg(F.sum("v").alias("v"), F.first("total").alias("total"), F.first("grand").alias("grand"))
+    out = cell.groupBy(*by).agg(F.first("total").alias("n"), F.first("grand").alias("mean"), F.array_sort(F.collect_list(F.struct("k", "v"))).alias("c"))
+    return out.select(*by, "n", "mean", F.transform("c", lambda e: e["v"]).alias("m2"))
 
 
 def stat_columns(m: DataFrame) -> list[str]:

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from sitefold.functions import matrix as mx
 from sitefold.functions.scalars import r
 from sitefold.operators import curves as cv
 from sitefold.operators import gwas as gw
@@ -13,7 +12,7 @@ from sitefold.operators import moments as mo
 from sitefold.operators import sensitivity as se
 from sitefold.plans import fixtures as fx
 from sitefold.plans import sqlparts as q
-from sitefold.plans.joins_queries import BAND_SQL, REPS_SQL, TRUTH_SQL, boot, scenario_curves, SCEN_SQL, truth
+from sitefold.plans.joins_queries import BAND_SQL, REPS_SQL, TRUTH_SQL, boot, truth
 from sitefold.plans.registry import query
 from sitefold.plans.scans_queries import CURVES, gwas_sql
 

@@ -11,11 +11,11 @@ from sitefold.operators import moments as mo
 from sitefold.operators import sensitivity as se
 from sitefold.plans import fixtures as fx
 from sitefold.plans import sqlparts as q
-from sitefold.plans.aggregates_queries import BUNDLE_CTES, CROSSFIT, GW, LOCAL_CF, MEAT, QUAD_SITES, SHARED_FIT, quad_fit, site_ivw
+from sitefold.plans.aggregates_queries import BUNDLE_CTES, CROSSFIT, GW, LOCAL_CF, MEAT, QUAD_SITES, SHARED_FIT, T2, Y2, quad_fit
 from sitefold.plans.joins_queries import TRUTH_SQL, truth
 from sitefold.plans.registry import query
 from sitefold.plans.scalars_queries import GLOBAL_FS
-from sitefold.plans.windows_queries import LIN, LIN_BASE, LIN_SUMS
+from sitefold.plans.windows_queries import LIN, LIN_BASE
 from sitefold.runtime import cut, scalar_row
 
 SE_CLASSIC = "sqrt((s_y__y - 2e0*theta*s_x__y + theta*theta*s_x__x)/(n - 1 - k)/info)"
@@ -137,6 +137,14 @@ def local_linear(spark, d):
     return plain(iv.local_first_stages(fx.mr_rows(spark, d), fx.SNPS, robust=False))
 
 
+@query("packed_instruments_iv8c", "IV8 SRC2", lin_sql(LOCAL_CTES))
+def packed_instruments(spark, d):
+    mr = fx.mr_rows(spark, d).withColumn("g", F.array(*[F.col(s).cast("double") for s in fx.SNPS]))
+    design = iv.generated_design("linear")
+    fitted = iv.fit(mo.combine(iv.packed_first_stages(mr, "g", 2)), design)
+    return iv.tidy(fitted, design).select("term", r("theta").alias("theta"), r("se").alias("se"))
+
+
 RU = "ru AS (SELECT site, xhat - avg(xhat) OVER w AS zc, (y - avg(y) OVER w) - theta*(x - avg(x) OVER w) AS uu FROM xh, (SELECT theta, b AS info_b FROM fit) WINDOW w AS (PARTITION BY site))"
 
 
@@ -257,7 +265,8 @@ def comparison(mr, snps=fx.SNPS):
     out = pooled.select(F.lit("pooled rows").alias("estimator"), "theta1")
     for part in (local, cross, meta, ss, pooled.select(F.lit("naive").alias("estimator"), F.col("naive").alias("theta1"))):
         out = out.unionByName(part, allowMissingColumns=True)
-    return out.withColumn("abs_diff_from_pooled", F.abs(F.col("theta1") - pooled.select("theta1").scalar()))
+    out = out.withColumn("abs_diff_from_pooled", F.abs(F.col("theta1") - pooled.select("theta1").scalar()))
+    return iv.require_identity(out, F.col("estimator") == "local first stages")
 
 
 CMP = [*LOCAL_CTES, q.mom("xm", Q7, ("site",), "xh"), q.total("xt", Q7, "xm"), *LIN_XT, RU, "hh AS (SELECT sum(uu*uu*zc*zc) AS h FROM ru)", PDUM,
@@ -293,7 +302,6 @@ def curve_band(spark, d):
 
 
 BLOCK = """bp AS (SELECT *, q0*s_snp0__y + q1*s_snp1__y AS ypy, p0*s_snp0__y + p1*s_snp1__y AS wpy, p0*s_snp0__x + p1*s_snp1__x AS wpw FROM (SELECT *, {p0} AS p0, {p1} AS p1, {q0} AS q0, {q1} AS q1 FROM {src}))"""
-from sitefold.plans.aggregates_queries import T2, Y2  # noqa: E402
 
 BLOCKS = [*BUNDLE_CTES, BLOCK.format(p0=T2[0], p1=T2[1], q0=Y2[0], q1=Y2[1], src="bun"),
           "bs AS (SELECT sum(n) AS n, count(*) AS k, sum(s_y__y) AS cyy, sum(s_x__y) AS cxy, sum(s_x__x) AS cxx, sum(ypy) AS ypy, sum(wpy) AS wpy, sum(wpw) AS wpw FROM bp)"]

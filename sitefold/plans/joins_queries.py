@@ -2,13 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from sitefold.functions import scalars as sc
 from sitefold.functions.scalars import r
 from sitefold.operators import curves as cv
 from sitefold.operators import fedagg as fa
 from sitefold.operators import gwas as gw
-from sitefold.operators import iv
-from sitefold.operators import moments as mo
 from sitefold.operators import privacy as pv
 from sitefold.operators import sensitivity as se
 from sitefold.operators import survival as sv

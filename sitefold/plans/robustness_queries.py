@@ -3,14 +3,12 @@
 from pyspark.sql import functions as F
 
 from sitefold.functions.scalars import r
-from sitefold.operators import gwas as gw
 from sitefold.operators import moments as mo
 from sitefold.operators import sensitivity as se
 from sitefold.plans import fixtures as fx
 from sitefold.plans import sqlparts as q
-from sitefold.plans.aggregates_queries import BUNDLE_CTES, GW, QUAD_SITES
+from sitefold.plans.aggregates_queries import BUNDLE_CTES, GW, T2, Y2
 from sitefold.plans.instruments_queries import BLOCK, BLOCKS
-from sitefold.plans.aggregates_queries import T2, Y2
 from sitefold.plans.registry import query
 from sitefold.plans.windows_queries import LIN, LIN_BASE, LIN_SUMS
 

@@ -1,10 +1,8 @@
 """Scans, role inference, manifests, logs and size tables."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sitefold.functions.scalars import r
-from sitefold.operators import curves as cv
 from sitefold.operators import gwas as gw
 from sitefold.plans import fixtures as fx
 from sitefold.plans import sqlparts as q

@@ -164,3 +164,28 @@ def test_hot_site_gives_the_same_answer(mr, pdf):
     theta, _, _ = brute.tsls(np.column_stack([xh, d]), np.column_stack([p.x, d]), p.y.to_numpy())
     close(iv.local_first_stages(hot, SNPS, robust=False).estimates().first()["theta"], theta[0])
     assert fx.SNPS == tuple(SNPS)
+
+
+def test_many_packed_instruments_equal_stacked_rows(mr, pdf):
+    width = 24
+    levels = [F.when(F.pmod(F.xxhash64(F.lit(j), "l_orderkey", "l_partkey", "y"), F.lit(3)) == 0, F.col("snp0") + j % 2).otherwise(F.lit(j % 3)).cast("double") for j in range(width)]
+    rows = mr.select("site", "x", "y", F.array(*levels).alias("g")).checkpoint()
+    p = rows.toPandas()
+    g = np.stack(p.g)
+    xh = np.empty(len(p))
+    for s in p.site.unique():
+        m = (p.site == s).to_numpy()
+        xh[m] = brute.fitted(g[m], p.x[m].to_numpy())
+    d = brute.dummies(p.site.to_numpy())
+    theta, se, _ = brute.tsls(np.column_stack([xh, d]), np.column_stack([p.x, d]), p.y.to_numpy())
+    design = iv.generated_design("linear")
+    got = iv.tidy(iv.fit(mo.combine(iv.packed_first_stages(rows.repartition(6), "g", width)), design), design).first()
+    close(got["theta"], theta[0], 1e-9)
+    close(got["se"], se[0], 1e-9)
+
+
+def test_identity_gate_fails_loudly(spark):
+    t = spark.createDataFrame([("a", 1e-3), ("b", 0.5)], "estimator string, abs_diff_from_pooled double")
+    assert iv.require_identity(t, F.col("estimator") == "none").count() == 2
+    with pytest.raises(Exception, match="differs from the pooled fit"):
+        iv.require_identity(t, F.col("estimator") == "a").collect()
