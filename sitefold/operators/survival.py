@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.operators import ordered as od
-from sitefold.runtime import cut
+from sitefold.runtime import cut, join_small
 
 TIES = ("efron", "breslow")
-CHUNK = 10_000
+# Terms of an Efron tie that are added one by one.
+EXPLICIT_TERMS = 16
 # Distinct (stratum, time) pairs up to which a stratum is ordered in one window.
 ONE_WINDOW = 100_000
 
@@ -29,16 +30,42 @@ def compress(df: DataFrame, cols: Sequence[str], strata: Sequence[str] = ("site"
         F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("bigint")).alias("d"))
 
 
-def _tie_terms(t: DataFrame, ties: str) -> DataFrame:
-    """One row per event time (Breslow), or per event at a tied time (Efron), with the fraction of
-    the tie already removed from the risk set and the number of events it stands for."""
+def _tie_sums(d: Column, s0: Column, e0: Column, ties: str) -> tuple[Column, Column, Column]:
+    """Sums over the d events of one tie of 1/q, 1/q^2 and ln q, q the risk total each event sees.
+
+    Breslow: all see s0. Efron: q_l = s0 - (l/d) e0, an arithmetic progression, so the sums are
+    differences of digamma, trigamma and log-gamma values. The last few terms (where the
+    progression may come close to zero) are added one by one and the rest by asymptotic series
+    around the half-integer points, which keeps a tie of any size one row.
+    """
+    d = d.cast("double")
     if ties == "breslow":
-        return t.withColumn("_frac", F.lit(0.0)).withColumn("_mult", F.col("d").cast("double"))
-    d = F.col("d")
-    chunked = t.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), (d - 1).cast("bigint"),
-                                                          F.lit(CHUNK).cast("bigint"))))
-    each = chunked.withColumn("_l", F.explode(F.sequence(F.col("_chunk"), F.least(F.col("_chunk") + CHUNK, d) - 1)))
-    return each.withColumn("_frac", F.col("_l") / d).withColumn("_mult", F.lit(1.0)).drop("_chunk", "_l")
+        return d / s0, d / (s0 * s0), d * F.log(s0)
+    h = e0 / d
+    a = s0 / h
+    tail = F.sequence(F.greatest(d - EXPLICIT_TERMS, F.lit(0.0)).cast("bigint"), (d - 1).cast("bigint"))
+
+    def explicit(f):
+        return F.aggregate(tail, F.lit(0.0), lambda acc, j: acc + f(a - j))
+
+    n = F.greatest(d - EXPLICIT_TERMS, F.lit(0.0))
+    top, low = a + 0.5, a - n + 0.5
+    ratio = -F.log1p(-n / top)
+
+    def series(x, *coefs):
+        """sum of c x^-p"""
+        total = F.lit(0.0)
+        for power, c in coefs:
+            total = total + F.lit(c) * F.pow(x, F.lit(-float(power)))
+        return total
+
+    digamma = ((2, 1 / 24), (4, -7 / 960), (6, 31 / 8064), (8, -127 / 30720))
+    trigamma = ((3, -1 / 12), (5, 7 / 240), (7, -31 / 1344), (9, 127 / 3840))
+    loggamma = ((1, -1 / 24), (3, 7 / 2880), (5, -31 / 40320))
+    one = explicit(lambda q: F.lit(1.0) / q) + ratio + series(top, *digamma) - series(low, *digamma)
+    two = explicit(lambda q: F.lit(1.0) / (q * q)) + n / (top * low) + series(low, *trigamma) - series(top, *trigamma)
+    logs = explicit(F.log) + n * F.log(top) + low * ratio - n + series(top, *loggamma) - series(low, *loggamma)
+    return one / h, two / (h * h), logs + d * F.log(h)
 
 
 def _pair_names(p: int) -> list[tuple[int, int]]:
@@ -64,20 +91,26 @@ def _newton_sums(base: DataFrame, times: DataFrame | None, cols: Sequence[str],
         per_time = per_time.join(times, [*strata, "time"])
     sums = ["s0", *[f"s1_{i}" for i in range(p)], *[f"s2_{i}_{j}" for i, j in _pair_names(p)]]
     risk = od.running_within_buckets(per_time, strata, "time", sums, descending=True, prefix="R_").filter("d > 0")
-    t = _tie_terms(risk, ties)
-    f, m = F.col("_frac"), F.col("_mult")
-    # a tie split into terms contributes its own covariate sums once in total
-    share = m / F.col("d")
-
-    def at(s, e_):
-        return F.col("R_" + s) - f * F.col(e_)
-
-    s0 = at("s0", "e0")
-    s1 = [at(f"s1_{i}", f"e1_{i}") for i in range(p)]
-    out = [F.sum(share * F.col("deta") - m * F.log(s0)).alias("ll")]
-    out += [F.sum(share * F.col(f"dx_{i}") - m * s1[i] / s0).alias(f"u_{i}") for i in range(p)]
-    out += [F.sum(m * (at(f"s2_{i}_{j}", f"e2_{i}_{j}") / s0 - s1[i] * s1[j] / (s0 * s0))).alias(f"v_{i}_{j}")
-            for i, j in _pair_names(p)]
+    inv1, inv2, logs = _tie_sums(F.col("d"), F.col("R_s0"), F.col("e0"), ties)
+    t = risk.withColumn("_i1", inv1).withColumn("_i2", inv2).withColumn("_l", logs)
+    efron = ties == "efron"
+    d, i1, i2 = F.col("d"), F.col("_i1"), F.col("_i2")
+    r0, e0 = F.col("R_s0"), F.col("e0")
+
+    def shifted(s, e):
+        """(s - f e) / q = c / q + k, with f eliminated through q."""
+        if not efron:
+            return F.col("R_" + s), F.lit(0.0)
+        k = F.col(e) / e0
+        return F.col("R_" + s) - k * r0, k
+
+    first = [shifted(f"s1_{i}", f"e1_{i}") for i in range(p)]
+    out = [F.sum(F.col("deta") - F.col("_l")).alias("ll")]
+    out += [F.sum(F.col(f"dx_{i}") - (c * i1 + d * k)).alias(f"u_{i}") for i, (c, k) in enumerate(first)]
+    for i, j in _pair_names(p):
+        c2, k2 = shifted(f"s2_{i}_{j}", f"e2_{i}_{j}")
+        (ci, ki), (cj, kj) = first[i], first[j]
+        out.append(F.sum(c2 * i1 + d * k2 - (ci * cj * i2 + (ci * kj + cj * ki) * i1 + d * ki * kj)).alias(f"v_{i}_{j}"))
     b = t.agg(*out).first()
     score = np.array([b[f"u_{i}"] for i in range(p)])
     info = np.empty((p, p))
@@ -134,24 +167,32 @@ def cox_gwas(df: DataFrame, snps: Sequence[str], by: Sequence[str] = ("site",),
     at_time = long.groupBy(*keys, "time").agg(F.sum("d").alias("d"), *cells)
     risk = od.running_within_buckets(od.with_buckets(at_time, keys, "time"), keys, "time", ["n0", "n1", "n2"], descending=True,
                                      prefix="R_").filter("d > 0")
-    risk = cut(_tie_terms(risk, ties).select(*keys, "_frac", "_mult", "d", "d0", "d1", "d2", "R_n0", "R_n1", "R_n2"))
-    # d1 and d2 repeat once per tie term under Efron; divide so that they add up to the tie's totals.
-    share = F.col("_mult") / F.col("d")
+    risk = cut(risk.select(*keys, "d", "d0", "d1", "d2", "R_n0", "R_n1", "R_n2"))
     beta = cut(risk.select(*keys).distinct().withColumn("beta", F.lit(0.0)).withColumn("done", F.lit(False)).withColumn(
         "se", F.lit(None).cast("double")))
+    efron = ties == "efron"
     for _ in range(max_iter):
-        j = risk.join(beta.select(*keys, "beta"), keys)
+        j = join_small(risk, beta.select(*keys, "beta"), keys, ready=True)
         e1 = F.exp(F.col("beta"))
         e2 = e1 * e1
-        f = F.col("_frac")
-        r0, r1, r2 = (F.col(f"R_n{g}") - f * F.col(f"d{g}") for g in (0, 1, 2))
-        s0 = r0 + r1 * e1 + r2 * e2
-        s1 = r1 * e1 + 2 * r2 * e2
-        s2 = r1 * e1 + 4 * r2 * e2
+        at_risk = [F.col(f"R_n{g}") for g in (0, 1, 2)]
+        tied = [F.col(f"d{g}") for g in (0, 1, 2)]
+
+        def power_sums(c):
+            return c[0] + c[1] * e1 + c[2] * e2, c[1] * e1 + 2 * c[2] * e2, c[1] * e1 + 4 * c[2] * e2
+
+        r0, r1, r2 = power_sums(at_risk)
+        t0, t1, t2 = power_sums(tied)
+        j = j.select(*keys, "beta", F.col("d").cast("double").alias("d"), (F.col("d1") + 2 * F.col("d2")).alias("dx"),
+                     r0.alias("r0"), r1.alias("r1"), r2.alias("r2"), t0.alias("t0"), (t1 / t0).alias("k1"), (t2 / t0).alias("k2"))
+        i1, i2, _logs = _tie_sums(F.col("d"), F.col("r0"), F.col("t0"), ties)
+        j = j.withColumn("_i1", i1).withColumn("_i2", i2)
+        i1, i2, d = F.col("_i1"), F.col("_i2"), F.col("d")
+        k1, k2 = (F.col("k1"), F.col("k2")) if efron else (F.lit(0.0), F.lit(0.0))
+        c1, c2 = F.col("r1") - k1 * F.col("r0"), F.col("r2") - k2 * F.col("r0")
         step = j.groupBy(*keys).agg(
-            F.first("beta").alias("beta"),
-            F.sum(share * (F.col("d1") + 2 * F.col("d2")) - F.col("_mult") * s1 / s0).alias("score"),
-            F.sum(F.col("_mult") * (s2 / s0 - s1 * s1 / (s0 * s0))).alias("info"))
+            F.first("beta").alias("beta"), F.sum(F.col("dx") - (c1 * i1 + d * k1)).alias("score"),
+            F.sum(c2 * i1 + d * k2 - (c1 * c1 * i2 + 2 * c1 * k1 * i1 + d * k1 * k1)).alias("info"))
         delta = F.greatest(F.least(F.col("score") / F.col("info"), F.lit(2.0)), F.lit(-2.0))
         beta = cut(step.select(*keys, (F.col("beta") + delta).alias("beta"), (F.abs(delta) < tol).alias("done"),
                                F.sqrt(F.lit(1.0) / F.col("info")).alias("se")))

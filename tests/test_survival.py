@@ -67,3 +67,28 @@ def test_concordance_counts_every_comparable_pair(spark, small):
 def test_unknown_tie_rule(spark, small):
     with pytest.raises(ValueError, match="ties"):
         sv.cox(spark.createDataFrame(small), ["x"], ties="exact")
+
+
+def test_one_huge_tie_is_summed_exactly(spark):
+    """Efron sums of ties far larger than the explicit part, up to everyone at risk failing at once."""
+    from pyspark.sql import functions as F
+
+    for d, s0, e0 in ((1, 5.0, 0.4), (17, 40.0, 12.0), (500, 900.0, 430.0), (4000, 3111.0, 3111.0), (30000, 2.0e7, 1.9e4)):
+        q = s0 - np.arange(d) / d * e0
+        i1, i2, lg = sv._tie_sums(F.lit(d), F.lit(s0), F.lit(e0), "efron")
+        got = spark.range(1).select(i1, i2, lg).first()
+        np.testing.assert_allclose(got, [(1 / q).sum(), (1 / q**2).sum(), np.log(q).sum()], rtol=1e-11)
+
+
+def test_heavily_tied_times(spark):
+    rng = np.random.default_rng(8)
+    n = 400
+    p = pd.DataFrame({"x": rng.normal(size=n).round(2), "snp0": rng.integers(0, 3, n), "site": 0})
+    p["time"] = np.where(rng.random(n) < 0.5, 3.0, rng.integers(1, 6, n)).astype(float)
+    p["event"] = (rng.random(n) < 0.8).astype(int)
+    b, se = brute.cox(p[["x"]], p.time.to_numpy(), p.event.to_numpy(), np.zeros(n), "efron")
+    got = sv.cox(spark.createDataFrame(p), ["x"]).first()
+    assert abs(got["beta"] - b[0]) < 1e-9 and abs(got["se"] - se[0]) < 1e-9
+    b, se = brute.cox(p[["snp0"]], p.time.to_numpy(), p.event.to_numpy(), np.zeros(n), "efron")
+    got = sv.cox_gwas(spark.createDataFrame(p), ["snp0"]).first()
+    assert abs(got["beta"] - b[0]) < 1e-9 and abs(got["se"] - se[0]) < 1e-9
