@@ -59,9 +59,16 @@ def replicate_moments(df: DataFrame, cols: Sequence[str], ids: Sequence[str], n_
     ii, jj = [i for i, _ in upper], [j for _, j in upper]
     reps = np.arange(n_boot)
 
+    def emit(acc):
+        for site, total in acc.items():
+            yield pd.DataFrame({"site": site, "rep": reps.astype("int32"), "t": list(total)})
+
     def partials(batches):
         acc: dict = {}
         for pdf in batches:
+            if len(acc) * n_boot * (1 + d + len(upper)) > mo.TASK_CELLS:
+                yield from emit(acc)
+                acc = {}
             for start in range(0, len(pdf), batch):
                 part_all = pdf.iloc[start:start + batch]
                 for site, part in part_all.groupby("site", sort=False):
@@ -69,8 +76,7 @@ def replicate_moments(df: DataFrame, cols: Sequence[str], ids: Sequence[str], n_
                     w = poisson_weights(part["_h"].to_numpy().astype(np.int64).view(np.uint64), reps)
                     feats = np.concatenate([np.ones((len(v), 1)), v, v[:, ii] * v[:, jj]], axis=1)
                     acc[site] = acc.get(site, 0.0) + w @ feats
-        for site, total in acc.items():
-            yield pd.DataFrame({"site": site, "rep": reps.astype("int32"), "t": list(total)})
+        yield from emit(acc)
 
     kind = df.schema["site"].dataType.simpleString()
     parts = shifted.mapInPandas(partials, f"site {kind}, rep int, t array<double>")

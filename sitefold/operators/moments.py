@@ -18,6 +18,8 @@ from sitefold.runtime import cut, join_small
 
 # Beyond this many columns the pair expressions stop fitting one generated aggregate.
 EXPRESSION_WIDTH = 8
+# Matrix cells one task holds before it hands its partial sums over.
+TASK_CELLS = 20_000_000
 
 
 def s_name(a: str, b: str) -> str:
@@ -100,9 +102,16 @@ def moments_arrays(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("sit
     cols, by = list(cols), list(by)
     d = len(cols)
 
+    def emit(state):
+        return pd.DataFrame([(*key, n, mean, m2[np.triu_indices(d)]) for key, (n, mean, m2) in state.items()], columns=[*by, "n", "mean", "m2"])
+
     def partials(batches):
         state: dict[tuple, list] = {}
         for pdf in batches:
+            # many groups with wide matrices: hand over what is held and go on, parts merge exactly
+            if len(state) * d * d > TASK_CELLS:
+                yield emit(state)
+                state = {}
             for key, part in pdf.groupby(by, sort=False, dropna=False):
                 v = part[cols].to_numpy(dtype=np.float64)
                 n, mean = len(v), v.mean(axis=0)
@@ -115,8 +124,7 @@ def moments_arrays(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("sit
                 else:
                     state[key] = [n, mean, m2]
         if state:
-            yield pd.DataFrame([(*key, n, mean, m2[np.triu_indices(d)]) for key, (n, mean, m2) in state.items()],
-                               columns=[*by, "n", "mean", "m2"])
+            yield emit(state)
 
     key_schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
     parts = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(

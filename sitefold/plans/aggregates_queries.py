@@ -15,6 +15,8 @@ from sitefold.plans import sqlparts as q
 from sitefold.plans.joins_queries import BAND_SQL, REPS_SQL, TRUTH_SQL, boot, truth
 from sitefold.plans.registry import query
 from sitefold.plans.scans_queries import CURVES, gwas_sql
+from sitefold.runtime import scratch_path
+from sitefold.sources import sites
 
 ALL_SNPS = ("snp0", "snp1", "snp2")
 
@@ -62,6 +64,14 @@ def federated_sum(spark, d):
     return t.select("n", "absorbed", *[r(c, 4).alias(c) for c in mo.stat_columns(t)])
 
 
+@query("moment_table_sink_snk3", "SNK3 AGG4", q.select([q.MR, q.mom("mom", MCOLS), q.total("tot", MCOLS, "mom")], "SELECT CAST(n AS BIGINT) AS n, k AS absorbed, " + ", ".join(f"{q.rnd(q.s(a, b), 4)} AS {q.s(a, b)}" for a, b in q.pairs(MCOLS)) + " FROM tot"))
+def moment_table_sink(spark, d):
+    path = scratch_path(spark, "moments")
+    sites.write_moments(mo.moments(fx.mr_rows(spark, d), MCOLS), path)
+    t = mo.combine(sites.read_moments(spark, path))
+    return t.select("n", "absorbed", *[r(c, 4).alias(c) for c in mo.stat_columns(t)])
+
+
 T2 = q.solve2(("snp0", "snp1"), "x")
 # shared design with one regressor: theta = B'A^-1 c / B'A^-1 B with projections pi = A^-1 B
 SHARED_FIT = [q.MR, q.mom("mom", ["snp0", "snp1", "x", "y"]), q.total("tot", ["snp0", "snp1", "x", "y"], "mom"),

@@ -26,7 +26,7 @@ def estimates(run):
     return run.estimates().select("term", r("theta").alias("theta"), r("se").alias("se"), r("robust_se").alias("robust_se"))
 
 
-@query("two_stage_moments_iv1", "IV1", q.select(SHARED_FIT, f"SELECT 'x' AS term, {q.rnd('theta')} AS theta, {q.rnd(SE_CLASSIC)} AS se, {q.rnd('s_y__y - 2e0*theta*s_x__y + theta*theta*s_x__x', 3)} AS rss, CAST(n - 1 - k AS BIGINT) AS df_resid FROM th"))
+@query("two_stage_moments_iv1", "IV1 UDF1", q.select(SHARED_FIT, f"SELECT 'x' AS term, {q.rnd('theta')} AS theta, {q.rnd(SE_CLASSIC)} AS se, {q.rnd('s_y__y - 2e0*theta*s_x__y + theta*theta*s_x__x', 3)} AS rss, CAST(n - 1 - k AS BIGINT) AS df_resid FROM th"))
 def two_stage_moments(spark, d):
     design = iv.shared_design(fx.SNPS)
     fitted = cut(iv.require_identified(iv.fit(mo.combine(mo.moments(fx.mr_rows(spark, d), design.columns)), design)))

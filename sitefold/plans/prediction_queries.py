@@ -54,6 +54,13 @@ def hinge_curves(spark, d):
     return cf.curve_from_coef(fit, 4, 1, (1.5, 2.5, 3.5))
 
 
+@query("hinge_fit_cf1d", "CF1", q.select([*SPLIT_FS, "tr AS (SELECT site, y, x AS b1, greatest(x - 2.5e0, 0e0) AS b2 FROM xh WHERE fold < 4)", *_two(("b1", "b2"), "nv", "tr"), q.GRID61],
+       f"SELECT k, {q.rnd('t0*x + t1*greatest(x - 2.5e0, 0e0)')} AS f FROM nv, grid"))
+def hinge_fit(spark, d):
+    rows, names = cf.design(split_rows(spark, d).filter(~F.col("is_test")), "naive", 1, (2.5,))
+    return cf.curve_from_coef(cf.fit_continuous(rows, names), 2, 1, (2.5,)).select("k", r("f").alias("f"))
+
+
 @query("first_stage_quality_cf2", "CF2", q.select([*SPLIT_FS, "tm AS (SELECT site, avg(x) AS m FROM mr WHERE fold = 4 GROUP BY site)"], f"""SELECT site, {q.rnd('1e0 - sum(CASE WHEN fold = 4 THEN resid*resid END)/sum(CASE WHEN fold = 4 THEN (x-m)*(x-m) END)')} AS fs_r2,
  {q.rnd('stddev_samp(CASE WHEN fold < 4 THEN xhat END)')} AS xhat_sd, count(*) FILTER (fold < 4) AS n_train, count(*) FILTER (fold = 4) AS n_test FROM xh JOIN tm USING (site) GROUP BY site"""))
 def first_stage_quality(spark, d):

@@ -145,11 +145,20 @@ def liability_threshold(spark, d):
     return lab.groupBy("site").agg(F.sum("label").alias("cases"), F.count(F.lit(1)).alias("n"), r(F.avg("z")).alias("mean_z"))
 
 
-@query("prevalence_intercept_prj14", "PRJ14")
+def bisection_sql(steps: int = 40) -> str:
+    """Unrolled bisection for the intercept with mean(expit(a + x)) = 0.2."""
+    ctes = [q.MR, "b0 AS (SELECT -20e0 AS lo, 20e0 AS hi)"]
+    for i in range(steps):
+        ctes.append(f"v{i} AS (SELECT max(lo) AS lo, max(hi) AS hi, avg(1e0/(1e0+exp(-((lo+hi)/2e0 + x)))) AS p FROM mr, b{i})")
+        ctes.append(f"b{i + 1} AS (SELECT CASE WHEN p < 0.2e0 THEN (lo+hi)/2e0 ELSE lo END AS lo, CASE WHEN p < 0.2e0 THEN hi ELSE (lo+hi)/2e0 END AS hi FROM v{i})")
+    return q.select(ctes, f"SELECT {q.rnd('max((lo+hi)/2e0)', 3)} AS intercept, {q.rnd('avg(1e0/(1e0+exp(-((lo+hi)/2e0 + x))))', 5)} AS prevalence FROM mr, b{steps}")
+
+
+@query("prevalence_intercept_prj14", "PRJ14", bisection_sql())
 def prevalence_intercept(spark, d):
     mr = fx.mr_rows(spark, d)
     a = cf.calibrate_intercept(mr, "x", 0.2)
-    return mr.agg(F.lit(a).alias("intercept"), F.avg(sc.expit(F.lit(a) + F.col("x"))).alias("prevalence"))
+    return mr.agg(r(F.lit(a), 3).alias("intercept"), r(F.avg(sc.expit(F.lit(a) + F.col("x"))), 5).alias("prevalence"))
 
 
 @query("clip_to_norm_prj15", "PRJ15", q.select([q.EMB, "nv AS (SELECT vec_id, sqrt(sum(v*v)) AS nrm FROM emb GROUP BY vec_id)"],
