@@ -56,3 +56,19 @@ def op5_pii(spark, d):
     from sitefold.llm import pii
 
     return pii.pseudonymise(table(spark, d, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_bpe_encoding_decoding")
+def op3_bpe_encoding_decoding(spark, d):
+    from sitefold.llm import bpe
+
+    path = tokenizer_file()
+    ids = bpe.encode(table(spark, d, "documents").select("doc_id", "text"), path)
+    ids = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
+    return bpe.decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
