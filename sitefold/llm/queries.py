@@ -72,3 +72,11 @@ def op3_bpe_encoding_decoding(spark, d):
     ids = bpe.encode(table(spark, d, "documents").select("doc_id", "text"), path)
     ids = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
     return bpe.decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark, d):
+    from sitefold.llm import transducer
+
+    counted = transducer.count_tokens(table(spark, d, "documents").select("doc_id", "text"), tokenizer_file())
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
