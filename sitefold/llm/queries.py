@@ -80,3 +80,12 @@ def op8_token_counts(spark, d):
 
     counted = transducer.count_tokens(table(spark, d, "documents").select("doc_id", "text"), tokenizer_file())
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op6_language_id")
+def op6_language_id(spark, d):
+    from sitefold.llm import langid
+
+    docs = table(spark, d, "documents")
+    named = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return named.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
