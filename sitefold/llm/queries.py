@@ -89,3 +89,10 @@ def op6_language_id(spark, d):
     docs = table(spark, d, "documents")
     named = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
     return named.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query("op10_nearest_neighbours")
+def op10_nearest_neighbours(spark, d):
+    from sitefold.llm import ann
+
+    return ann.nearest(table(spark, d, "embeddings"))
