@@ -96,3 +96,10 @@ def op10_nearest_neighbours(spark, d):
     from sitefold.llm import ann
 
     return ann.nearest(table(spark, d, "embeddings"))
+
+
+@query("op2_minhash_near_dedup")
+def op2_minhash_near_dedup(spark, d):
+    from sitefold.llm import chosen_path
+
+    return chosen_path.near_duplicates(table(spark, d, "documents"))
