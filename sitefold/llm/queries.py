@@ -68,10 +68,9 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 def op3_bpe_encoding_decoding(spark, d):
     from sitefold.llm import bpe
 
-    path = tokenizer_file()
-    ids = bpe.encode(table(spark, d, "documents").select("doc_id", "text"), path)
-    ids = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
-    return bpe.decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    rows = bpe.encode(table(spark, d, "documents").select("doc_id", "text"), tokenizer_file(), decoded_col="decoded")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op8_token_counts")
@@ -103,3 +102,10 @@ def op2_minhash_near_dedup(spark, d):
     from sitefold.llm import chosen_path
 
     return chosen_path.near_duplicates(table(spark, d, "documents"))
+
+
+@query("op9_benchmark_decontamination")
+def op9_benchmark_decontamination(spark, d):
+    from sitefold.llm import latent
+
+    return latent.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
