@@ -109,3 +109,10 @@ def op9_benchmark_decontamination(spark, d):
     from sitefold.llm import latent
 
     return latent.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op1_suffix_array_dedup")
+def op1_suffix_array_dedup(spark, d):
+    from sitefold.llm import suffixes
+
+    return suffixes.remove_copies(table(spark, d, "documents"), keep_text=False)
