@@ -116,3 +116,19 @@ def op1_suffix_array_dedup(spark, d):
     from sitefold.llm import suffixes
 
     return suffixes.remove_copies(table(spark, d, "documents"), keep_text=False)
+
+
+@query("op7_paragraph_dedup")
+def op7_paragraph_dedup(spark, d):
+    from sitefold.llm import paragraphs
+
+    return paragraphs.remove_repeats(table(spark, d, "documents"))
+
+
+def _pipeline():
+    import corpus_pipeline
+
+    query("pipeline", corpus_pipeline.ORACLE_SQL)(lambda spark, d: corpus_pipeline.run(spark, d))
+
+
+_pipeline()
