@@ -30,7 +30,7 @@ from sitefold.runtime import ship_package
 SMALL = 2_000
 SAMPLE, MAX_LISTS, TUNING_QUERIES = 20_000, 4_096, 200
 BLOCK, QUERY_BLOCK = 4_096, 256  # vectors of a list in a row, queries of a list in a row
-COLUMNS = 8        # coordinates between two tests
+FIRST_COLUMNS, COLUMNS = 16, 8  # coordinates before the first test, and between two tests
 EPSILON = 2.1      # of the test: a candidate goes if its partial distance is beyond (1 + EPSILON / sqrt(t)) times what it should be
 RECALL = 0.97
 
@@ -84,38 +84,21 @@ def fit(sample: np.ndarray, top: float, n: int, k: int, recall: float = RECALL,
     return index
 
 
-def _scan(q: np.ndarray, qo: np.ndarray, x: np.ndarray, xo: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the k candidates of a block with the largest inner products: place of query, places, scores.
-
-    q, x: turned; qo, xo: original. The k-th best exact score so far sets the distance to beat."""
+def _scan(q: np.ndarray, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, candidate) of the pairs that no test on turned vectors abandons; `reach`: squared distance to beat per query."""
     D = x.shape[1]
-    columns = [np.ascontiguousarray(x[:, c:c + COLUMNS].T) for c in range(0, D, COLUMNS)]
-    norms = np.einsum("ij,ij->i", qo, qo)
-    first = min(len(x), max(8 * k, 256))
-    exact = qo @ xo[:first].T
-    top = float(np.einsum("ij,ij->i", x[:1], x[:1])[0]) if len(x) else 0.0  # the same squared length for all
-    for i in range(len(q)):
-        places, scores = np.arange(first), exact[i]
-        if len(places) > k:
-            best = np.argpartition(-scores, k - 1)[:k]
-            places, scores = places[best], scores[best]
-        if first < len(x):
-            worst = scores.min() if len(scores) >= k else -np.inf
-            limit = max(0.0, top + norms[i] - 2.0 * worst)
-            alive = np.arange(first, len(x))
-            partial = np.zeros(len(alive), np.float32)
-            for c, block in enumerate(columns):
-                t = min(D, (c + 1) * COLUMNS)
-                part = q[i, c * COLUMNS:t, None]
-                partial = partial + ((block[:, alive] - part) ** 2).sum(0)
-                keep = partial <= limit * (t / D) * (1.0 + EPSILON / np.sqrt(t)) ** 2 if t < D else partial <= limit * 1.0001 + 1e-6
-                alive, partial = alive[keep], partial[keep]
-                if not len(alive):
-                    break
-            if len(alive):
-                places = np.concatenate([places, alive])
-                scores = np.concatenate([scores, xo[alive] @ qo[i]])
-        yield i, places, scores
+    bar = lambda t: reach * (t / D) * (1.0 + EPSILON / np.sqrt(t)) ** 2 if t < D else reach * 1.0001 + 1e-6
+    t = min(D, FIRST_COLUMNS)
+    partial = (q[:, :t] ** 2).sum(1)[:, None] + (x[:, :t] ** 2).sum(1)[None, :] - 2.0 * q[:, :t] @ x[:, :t].T
+    i, j = np.nonzero(partial <= bar(t)[:, None])
+    partial = partial[i, j]
+    while t < D and len(i):
+        to = min(D, t + COLUMNS)
+        partial = partial + ((q[i, t:to] - x[j, t:to]) ** 2).sum(1)
+        t = to
+        keep = partial <= bar(t)[i]
+        i, j, partial = i[keep], j[keep], partial[keep]
+    return i, j
 
 
 def _search(batches: Iterator[pa.RecordBatch], index: Index, k: int) -> Iterator[pa.RecordBatch]:
@@ -124,18 +107,16 @@ def _search(batches: Iterator[pa.RecordBatch], index: Index, k: int) -> Iterator
             ids = b.column("ids")[row].values
             xo = _matrix(b.column("vectors")[row].values, index.dim)
             qo = _matrix(b.column("queries")[row].values, index.dim)
-            heads = b.column("heads")[row].values.to_numpy()
-            x, q = index.turned(xo, False), index.turned(qo, True)
-            smallest = np.array([v[0].as_py() for v in ids], np.int64)
-            who, found, score = [], [], []
-            for i, places, _ in _scan(q, qo, x, xo, k):
-                s = np.einsum("ij,j->i", xo[places], qo[i])
-                best = np.lexsort((smallest[places], -s))[:k]
-                who += [heads[i]] * len(best)
-                found.append(places[best])
-                score.append(s[best])
-            if who:
-                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), ids.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(score))], names=["head", "ids", "score"])
+            heads, floors = b.column("heads")[row].values.to_numpy(), b.column("floors")[row].values.to_numpy()
+            reach = np.maximum(0.0, index.top + np.einsum("ij,ij->i", qo, qo) - 2.0 * floors)
+            i, j = _scan(index.turned(qo, True), index.turned(xo, False), reach)
+            s = np.einsum("ij,ij->i", xo[j], qo[i])
+            smallest = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
+            order = np.lexsort((smallest[j], -s, i))
+            i, j, s = i[order], j[order], s[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(heads[i[best]]), ids.take(pa.array(j[best])), pa.array(s[best])], names=["head", "ids", "score"])
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
@@ -174,13 +155,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
                 width = np.ones(len(order), int)
             chosen = np.arange(order.shape[1])[None, :] < width[:, None]
             at = np.nonzero(chosen)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(order[chosen].astype(np.int32)), *b.take(pa.array(at)).columns], names=["list", *b.schema.names])
+            out = [pa.array(order[chosen].astype(np.int32)), *b.take(pa.array(at)).columns]
+            if query:
+                out.append(pa.array(np.nonzero(chosen)[1].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(out, names=["list", *b.schema.names, "place"][:len(out)])
 
     members = classes.select("head", "ids", "v").mapInArrow(lambda it: listed(it, False), "list int, head long, ids array<long>, v array<double>")
     asked = rows.where(F.col("id") % every == 0).select("h1", "h2", F.col("id").alias("query_id"))
     askers = asked.join(classes.select("h1", "h2", "head"), ["h1", "h2"]).select("query_id", "head")
     query_classes = asked.select("h1", "h2").distinct().join(classes, ["h1", "h2"]).select("head", "v")
-    probing = query_classes.mapInArrow(lambda it: listed(it, True), "list int, head long, v array<double>")
+    probing = query_classes.mapInArrow(lambda it: listed(it, True), "list int, head long, v array<double>, place int")
 
     def parts(df: DataFrame, size: int):
         """A hash part of a list with about `size` rows; at most MAX_LISTS counts come to the driver."""
@@ -190,10 +174,23 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
 
     blocks = members.groupBy("list", parts(members, BLOCK).alias("part")).agg(F.collect_list(F.struct("ids", "v")).alias("rows"))
     blocks = blocks.select("list", F.col("rows.ids").alias("ids"), F.flatten("rows.v").alias("vectors"))
-    asks = probing.groupBy("list", parts(probing, QUERY_BLOCK).alias("part")).agg(F.collect_list(F.struct("head", "v")).alias("rows"))
-    asks = asks.select("list", F.col("rows.head").alias("heads"), F.flatten("rows.v").alias("queries"))
-    hits = asks.join(blocks, "list").select("heads", "queries", "ids", "vectors").mapInArrow(lambda it: _search(it, held.value, k + 1), "head long, ids array<long>, score double")
-    best = hits.withColumn("r", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("r") <= k + 1)
+
+    def searched(asking: DataFrame) -> DataFrame:
+        """The k + 1 best classes of each query among the lists it asks for."""
+        asks = asking.groupBy("list", parts(asking, QUERY_BLOCK).alias("part")).agg(F.collect_list(F.struct("head", "v", "floor")).alias("rows"))
+        asks = asks.select("list", F.col("rows.head").alias("heads"), F.col("rows.floor").alias("floors"), F.flatten("rows.v").alias("queries"))
+        hits = asks.join(blocks, "list").select("heads", "floors", "queries", "ids", "vectors").mapInArrow(lambda it: _search(it, held.value, k + 1), "head long, ids array<long>, score double")
+        return top_classes(hits)
+
+    def top_classes(hits: DataFrame) -> DataFrame:
+        by = Window.partitionBy("head").orderBy(F.desc("score"), F.col("ids")[0])
+        return hits.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1)
+
+    # the nearest list of each query sets what candidates of its other lists have to reach
+    nearest_hits = written(searched(probing.where("place = 0").withColumn("floor", F.lit(float("-inf")))), "nearest-lists")
+    floors = nearest_hits.where(F.col("r") == k + 1).select("head", F.col("score").alias("floor"))
+    others = probing.where("place > 0").join(floors, "head", "left").fillna(float("-inf"), "floor")
+    best = top_classes(nearest_hits.drop("r").unionByName(searched(others).drop("r")))
     found = best.select("head", "score", F.explode("ids").alias("vec_id"))
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("head").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1).drop("r")
     each = askers.join(found, "head").where(F.col("query_id") != F.col("vec_id"))
