@@ -67,7 +67,7 @@ class Model:
             depth = pos - begin[owner]
             node = best = np.zeros(len(pos), np.int32)
             for k in range(1, self.order + 1):
-                older = np.where(depth >= k, s[pos - k], a - 1)
+                older = np.where(depth >= k, s[np.maximum(pos - k, 0)], a - 1)
                 node = self.child[node, older]
                 best = np.where(node < len(self.child) - 1, node, best)
             cost = self.bits[best.astype(np.int64) * a + s[part]]
