@@ -125,10 +125,8 @@ def op7_paragraph_dedup(spark, d):
     return paragraphs.remove_repeats(table(spark, d, "documents"))
 
 
-def _pipeline():
+@query("pipeline")
+def pipeline(spark, d):
     import corpus_pipeline
 
-    query("pipeline", corpus_pipeline.ORACLE_SQL)(lambda spark, d: corpus_pipeline.run(spark, d))
-
-
-_pipeline()
+    return corpus_pipeline.run(spark, d)
