@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def _slope_and_se(sxx: Column, sxy: Column, syy: Column, n: Column) -> tuple[Column, Column]:
-    beta = sxy / sxx
-    return beta, F.sqrt(F.greatest(syy - beta * beta * sxx, F.lit(0.0)) / (n - 2) / sxx)
+    """Null where the instrument does not vary in the group, or the group has too few rows."""
+    beta = F.try_divide(sxy, sxx)
+    return beta, F.sqrt(F.try_divide(F.try_divide(F.greatest(syy - beta * beta * sxx, F.lit(0.0)), n - 2), sxx))
 
 
 def gwas(df: DataFrame, snps: Sequence[str], x: str = "x", y: str = "y", by: Sequence[str] = ("site",)) -> DataFrame:
@@ -52,19 +53,19 @@ def gwas_long(df: DataFrame, g: str = "g", x: str = "x", y: str = "y", by: Seque
 
 def ivw(stats: DataFrame, by: Sequence[str] = ("site",)) -> DataFrame:
     """Inverse-variance weighted slope through the origin (fixed effect, weights from se_y only)."""
-    w = F.lit(1.0) / (F.col("se_y") * F.col("se_y"))
+    w = F.try_divide(F.lit(1.0), F.col("se_y") * F.col("se_y"))
     wxx = F.sum(w * F.col("beta_x") * F.col("beta_x"))
     return stats.groupBy(*by).agg(
-        F.max("n").alias("n"), (F.sum(w * F.col("beta_x") * F.col("beta_y")) / wxx).alias("ivw"),
-        F.sqrt(F.lit(1.0) / wxx).alias("ivw_se"), mean_first_stage_f().alias("mean_F"))
+        F.max("n").alias("n"), F.try_divide(F.sum(w * F.col("beta_x") * F.col("beta_y")), wxx).alias("ivw"),
+        F.sqrt(F.try_divide(F.lit(1.0), wxx)).alias("ivw_se"), mean_first_stage_f().alias("mean_F"))
 
 
 def mean_first_stage_f(beta: str = "beta_x", se: str = "se_x") -> Column:
-    return F.avg(F.pow(F.col(beta) / F.col(se), F.lit(2.0)))
+    return F.avg(F.pow(F.try_divide(F.col(beta), F.col(se)), F.lit(2.0)))
 
 
 def naive_slope(df: DataFrame, x: str = "x", y: str = "y", by: Sequence[str] = ("site",)) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.covar_samp(x, y) / F.var_samp(x)).alias("naive"))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_samp(x, y), F.var_samp(x)).alias("naive"))
 
 
 def explained_variance(df: DataFrame, effects: DataFrame, snps: Sequence[str]) -> DataFrame:

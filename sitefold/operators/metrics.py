@@ -16,7 +16,7 @@ ROUTE_Z = 1.96
 def regression(df: DataFrame, pred: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     e = F.col(y) - F.col(pred)
     return df.groupBy(*by).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
-                               (1 - F.sum(e * e) / F.regr_sxx(F.lit(1.0), F.col(y))).alias("r2"))
+                               (1 - F.try_divide(F.sum(e * e), F.regr_sxx(F.lit(1.0), F.col(y)))).alias("r2"))
 
 
 def classification(df: DataFrame, prob: str, y: str, by: Sequence[str] = (), cutoff: float = 0.5) -> DataFrame:

@@ -19,8 +19,6 @@ from sitefold.runtime import cut, join_small
 TIES = ("efron", "breslow")
 # Terms of an Efron tie that are added one by one.
 EXPLICIT_TERMS = 16
-# Distinct (stratum, time) pairs up to which a stratum is ordered in one window.
-ONE_WINDOW = 100_000
 
 
 def compress(df: DataFrame, cols: Sequence[str], strata: Sequence[str] = ("site",), time: str = "time",
@@ -127,8 +125,7 @@ def cox(df: DataFrame, cols: Sequence[str], strata: Sequence[str] = (), time: st
     keys = list(strata) or ["_all"]
     src = df if strata else df.withColumn("_all", F.lit(0))
     base = cut(compress(src, cols, keys, time, event))
-    distinct = base.select(*keys, "time").distinct()
-    times = None if distinct.count() <= ONE_WINDOW else od.with_buckets(distinct, keys, "time")
+    times = od.with_buckets(base.select(*keys, "time").distinct(), keys, "time")
     beta = np.zeros(len(cols))
     ll, score, info = _newton_sums(base, times, cols, keys, beta, ties)
     for _ in range(max_iter):
@@ -138,9 +135,13 @@ def cox(df: DataFrame, cols: Sequence[str], strata: Sequence[str] = (), time: st
             if np.isfinite(new_ll) and new_ll >= ll - 1e-9 * abs(ll):
                 break
             step = step / 2
+        else:
+            raise ArithmeticError("the partial likelihood cannot be raised along the Newton direction")
         beta, ll, score, info = beta + step, new_ll, new_score, new_info
         if np.max(np.abs(step)) < tol:
             break
+    else:
+        raise ArithmeticError(f"no convergence in {max_iter} steps; the last changed a coefficient by {np.max(np.abs(step)):.3g}")
     cov = np.linalg.inv(info)
     return df.sparkSession.createDataFrame(
         [(c, float(beta[i]), float(np.sqrt(cov[i, i])), float(ll)) for i, c in enumerate(cols)],
@@ -161,15 +162,17 @@ def cox_gwas(df: DataFrame, snps: Sequence[str], by: Sequence[str] = ("site",),
     counts = df.groupBy(*by, F.col(time).alias("time"), *snps).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("bigint")).alias("d"))
     long = counts.select(*by, "time", "n", "d", F.explode(F.array(*[
-        F.struct(F.lit(s).alias("snp"), F.col(s).cast("int").alias("g")) for s in snps])).alias("e")).select(
+        F.struct(F.lit(s).alias("snp"), F.when(F.col(s).isin(0, 1, 2), F.col(s).cast("int")).otherwise(
+            F.raise_error(F.lit(f"{s}: a dosage other than 0, 1 and 2; fit it with cox()")).cast("int")).alias("g")) for s in snps])).alias("e")).select(
         *by, "time", "n", "d", "e.snp", "e.g")
     cells = [F.sum(F.when(F.col("g") == g, F.col(c)).otherwise(0)).alias(f"{c}{g}") for c in "nd" for g in (0, 1, 2)]
     at_time = long.groupBy(*keys, "time").agg(F.sum("d").alias("d"), *cells)
     risk = od.running_within_buckets(od.with_buckets(at_time, keys, "time"), keys, "time", ["n0", "n1", "n2"], descending=True,
                                      prefix="R_").filter("d > 0")
     risk = cut(risk.select(*keys, "d", "d0", "d1", "d2", "R_n0", "R_n1", "R_n2"))
-    beta = cut(risk.select(*keys).distinct().withColumn("beta", F.lit(0.0)).withColumn("done", F.lit(False)).withColumn(
-        "se", F.lit(None).cast("double")))
+    # an instrument with one dosage among those at risk says nothing: its slope stays null
+    kinds = sum((F.max(f"R_n{g}") > 0).cast("int") for g in (0, 1, 2))
+    beta = cut(risk.groupBy(*keys).agg(F.when(kinds > 1, 0.0).alias("beta"), F.lit(False).alias("done"), F.lit(None).cast("double").alias("se")))
     efron = ties == "efron"
     for _ in range(max_iter):
         j = join_small(risk, beta.select(*keys, "beta"), keys, ready=True)
@@ -193,12 +196,12 @@ def cox_gwas(df: DataFrame, snps: Sequence[str], by: Sequence[str] = ("site",),
         step = j.groupBy(*keys).agg(
             F.first("beta").alias("beta"), F.sum(F.col("dx") - (c1 * i1 + d * k1)).alias("score"),
             F.sum(c2 * i1 + d * k2 - (c1 * c1 * i2 + 2 * c1 * k1 * i1 + d * k1 * k1)).alias("info"))
-        delta = F.greatest(F.least(F.col("score") / F.col("info"), F.lit(2.0)), F.lit(-2.0))
-        beta = cut(step.select(*keys, (F.col("beta") + delta).alias("beta"), (F.abs(delta) < tol).alias("done"),
-                               F.sqrt(F.lit(1.0) / F.col("info")).alias("se")))
+        delta = F.greatest(F.least(F.try_divide("score", "info"), F.lit(2.0)), F.lit(-2.0))
+        beta = cut(step.select(*keys, (F.col("beta") + delta).alias("beta"), F.coalesce(F.abs(delta) < tol, F.lit(True)).alias("done"),
+                               F.sqrt(F.try_divide(F.lit(1.0), F.col("info"))).alias("se")))
         if beta.filter(~F.col("done")).isEmpty():
             break
-    return beta.select(*keys, "beta", "se")
+    return beta.select(*keys, "beta", "se", F.col("done").alias("converged"))
 
 
 def partial_likelihood(df: DataFrame, log_hazard: str, strata: Sequence[str] = (), time: str = "time",
@@ -207,9 +210,12 @@ def partial_likelihood(df: DataFrame, log_hazard: str, strata: Sequence[str] = (
     no events."""
     keys = list(strata) or ["_all"]
     src = df if strata else df.withColumn("_all", F.lit(0))
+    # hazards relative to the largest of the stratum, so that no exponential overflows
+    top = src.groupBy(*keys).agg(F.max(log_hazard).alias("_top"))
+    src = join_small(src, top, keys).withColumn("_rel", F.col(log_hazard) - F.col("_top"))
     per_time = src.groupBy(*keys, F.col(time).alias("time")).agg(
-        F.sum(F.exp(log_hazard)).alias("s0"), F.sum(F.col(event).cast("bigint")).alias("d"),
-        F.sum(F.col(event) * F.col(log_hazard)).alias("dh"))
+        F.sum(F.exp("_rel")).alias("s0"), F.sum(F.col(event).cast("bigint")).alias("d"),
+        F.sum(F.col(event) * F.col("_rel")).alias("dh"))
     run = od.running_totals(per_time, keys, "time", ["s0", "d", "dh"], descending=True)
     out = run.agg(F.sum("dh").alias("dh"), F.sum(F.col("d") * F.log("cum_s0")).alias("dl"), F.sum("d").alias("events"))
     return out.select(F.when(F.col("events") > 0, -(F.col("dh") - F.col("dl")) / F.col("events")).otherwise(0.0).alias("loss"),

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SNPS = ("snp0", "snp1")
-EMBEDDING_WIDTH = 64
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -53,11 +52,12 @@ def local_rows(mr: DataFrame, snps=SNPS) -> DataFrame:
 
 
 def updates(spark: SparkSession, d: str) -> DataFrame:
-    """One update vector per (round, label): coordinate means, weight = rows behind it."""
-    e = table(spark, d, "embeddings")
-    means = [F.avg(F.col("embedding")[j].cast("double")) for j in range(EMBEDDING_WIDTH)]
-    return (e.groupBy((F.col("vec_id") % 3).cast("int").alias("round"), F.col("label").alias("site"))
-            .agg(F.array(*means).alias("vec"), F.count(F.lit(1)).cast("double").alias("weight")))
+    """One update vector per (round, label): coordinate means over vectors of any width, weight = rows behind it."""
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 3).cast("int").alias("round"), F.col("label").alias("site"), "embedding")
+    cells = e.select("round", "site", F.posexplode("embedding").alias("j", "v")).groupBy("round", "site", "j").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    vectors = cells.groupBy("round", "site").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("p"))
+    weights = e.groupBy("round", "site").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return vectors.join(weights, ["round", "site"]).select("round", "site", F.transform("p", lambda c: c["v"]).alias("vec"), "weight")
 
 
 def curve_params(mr: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def most_influential(spark, d):
 @query("subset_sample_top4", "TOP4", """WITH s AS (SELECT l_suppkey % 5 AS site FROM lineitem GROUP BY 1) SELECT least(7, count(*)*(count(*)-1)//2) AS kept FROM s""")
 def subset_sample(spark, d):
     s = fx.mr_rows(spark, d).select("site").distinct()
-    return se.leave_out_sets(s, 2, max_subsets=7).agg(F.count(F.lit(1)).alias("kept"))
+    return se.sample_subsets(se.leave_out_sets(s, 2), 7).agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("ordered_preview_top5", "TOP5", q.select([q.MR, FLAG_SQL, "s AS (SELECT CASE malicious WHEN 1 THEN 'attack' ELSE 'clean' END AS scenario, round, sum(flagged) AS flagged FROM fl GROUP BY 1, 2)"],

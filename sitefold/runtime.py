@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows (times columns) up to which a per-site table may be broadcast.
+# Numbers (elements of arrays counted one by one) up to which a per-site table may be broadcast.
 BROADCAST_CELLS = 2_000_000
 
 
@@ -37,6 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cells(df: DataFrame) -> int:
+    """How many numbers a table holds."""
+    each = F.lit(0)
+    for name, kind in df.dtypes:
+        each = each + (F.greatest(F.size(name), F.lit(1)) if kind.startswith(("array", "map")) else F.lit(1))
+    return df.agg(F.sum(each)).first()[0] or 0
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", ready: bool = False) -> DataFrame:
     """Join a per-group table back to its rows.
 
@@ -46,7 +54,7 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     skew handling splits the hot keys.
     """
     small = small if ready else cut(small)
-    if small.count() * len(small.columns) <= BROADCAST_CELLS:
+    if cells(small) <= BROADCAST_CELLS:
         small = F.broadcast(small)
     return big.join(small, on, how)
 

@@ -2,6 +2,7 @@ import brute
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sitefold.operators import survival as sv
 
@@ -19,10 +20,7 @@ def small():
 
 
 @pytest.mark.parametrize("ties", ["efron", "breslow"])
-@pytest.mark.parametrize("one_window", [True, False])
-def test_hazard_regression_equals_explicit_risk_sets(spark, small, ties, one_window, monkeypatch):
-    if not one_window:
-        monkeypatch.setattr(sv, "ONE_WINDOW", 0)
+def test_hazard_regression_equals_explicit_risk_sets(spark, small, ties):
     df = spark.createDataFrame(small)
     got = {r["term"]: r for r in sv.cox(df, ["x", "u"], ["site"], ties=ties).collect()}
     b, se = brute.cox(small[["x", "u"]], small.time.to_numpy(), small.event.to_numpy(), small.site.to_numpy(), ties)
@@ -92,3 +90,19 @@ def test_heavily_tied_times(spark):
     b, se = brute.cox(p[["snp0"]], p.time.to_numpy(), p.event.to_numpy(), np.zeros(n), "efron")
     got = sv.cox_gwas(spark.createDataFrame(p), ["snp0"]).first()
     assert abs(got["beta"] - b[0]) < 1e-9 and abs(got["se"] - se[0]) < 1e-9
+
+
+def test_a_constant_instrument_has_no_slope_and_a_fractional_dosage_is_refused(spark, small):
+    df = spark.createDataFrame(small)
+    got = {r["snp"]: r for r in sv.cox_gwas(df.withColumn("flat", F.lit(1)), ["snp0", "flat"]).filter("site = 0").collect()}
+    assert got["flat"]["beta"] is None and got["snp0"]["beta"] is not None and got["snp0"]["converged"]
+    with pytest.raises(Exception, match="dosage"):
+        sv.cox_gwas(df.withColumn("snp0", F.lit(0.4)), ["snp0"]).collect()
+
+
+def test_loss_of_large_hazards_and_a_fit_that_does_not_converge(spark, small):
+    df = spark.createDataFrame(small)
+    plain = sv.partial_likelihood(df, "x", ["site"]).first()["loss"]
+    assert abs(sv.partial_likelihood(df.withColumn("big", F.col("x") + 900.0), "big", ["site"]).first()["loss"] - plain) < 1e-9
+    with pytest.raises(ArithmeticError, match="convergence"):
+        sv.cox(df, ["x"], ["site"], max_iter=1)

@@ -20,39 +20,39 @@ def vec(long):
 
 @pytest.fixture(scope="module")
 def crowd():
-    rng = np.random.default_rng(0)
-    u = 0.3 + 0.05 * rng.normal(size=(10, 50))
-    u[7] = -100.0
-    return u, rng.integers(100, 1000, 10).astype(float)
+    """Thirteen sites around a slope, the fourth with its sign turned and blown up."""
+    rng = np.random.default_rng(17)
+    u = np.linspace(-1, 1, 31) + 0.03 * rng.standard_normal((13, 31))
+    u[3] *= -40
+    return u, 50.0 + 37 * np.arange(13)
 
 
 @pytest.mark.parametrize("rule", ["median", "trimmed_mean", "krum", "multi_krum", "geometric_median"])
 def test_robust_rules_ignore_an_outlier(spark, crowd, rule):
     u, w = crowd
     opts = {"trim": 0.1} if rule == "trimmed_mean" else {}
-    got, info = fa.aggregate(frame(spark, u, np.ones(10)), rule, **opts)
-    assert np.abs(vec(got) - 0.3).max() < 0.2
+    got, info = fa.aggregate(frame(spark, u, np.ones(13)), rule, **opts)
+    assert np.abs(vec(got) - np.linspace(-1, 1, 31)).max() < 0.15
     flags = {r["site"]: r["flagged"] for r in info.collect()}
-    assert flags["s07"]
+    assert flags["s03"]
     mean = vec(fa.aggregate(frame(spark, u, w), "fedavg")[0])
     np.testing.assert_allclose(mean, w @ u / w.sum(), rtol=1e-12)
 
 
-def test_geometric_median_follows_the_row_iteration(spark, crowd):
+def test_geometric_median_balances_the_pulls(spark, crowd):
     u, w = crowd
     z, shares = fa.geometric_median(frame(spark, u, w))
-    np.testing.assert_allclose(z.first()["vec"], brute.geometric_median(u, w), rtol=1e-7)
-    assert {r["site"]: r["share"] for r in shares.collect()}["s07"] < 0.05
+    assert brute.pull(u, w, np.array(z.first()["vec"])) < 1e-4
+    assert {r["site"]: r["share"] for r in shares.collect()}["s03"] < 0.05
 
 
-def test_weighted_median_and_norm_bound_examples(spark):
-    df = frame(spark, [[0.0], [1.0], [2.0], [10.0]], [0.1, 0.1, 0.7, 0.1])
-    assert vec(fa.median(df))[0] == 2.0 and vec(fa.weighted_median(df))[0] == 2.0
-    equal = frame(spark, [[0.0], [1.0], [2.0], [10.0]], np.ones(4))
-    assert vec(fa.median(equal))[0] == 1.5
-    got, info = fa.aggregate(equal, "fedavg", 2.0)
-    assert abs(vec(got)[0] - 1.25) < 1e-12
-    assert [r["clipped"] for r in info.orderBy("site").collect()] == [False, False, False, True]
+def test_medians_and_clipping_of_a_few_numbers(spark):
+    values, heavy = [[-3.0], [1.0], [4.0], [6.0], [25.0]], [1.0, 1.0, 1.0, 9.0, 1.0]
+    assert vec(fa.median(frame(spark, values, heavy)))[0] == 6.0 and vec(fa.median(frame(spark, values, np.ones(5))))[0] == 4.0 and vec(fa.weighted_median(frame(spark, values, heavy)))[0] == 6.0
+    assert vec(fa.median(frame(spark, values[:4], np.ones(4))))[0] == 2.5
+    got, info = fa.aggregate(frame(spark, values, np.ones(5)), "fedavg", 5.0)
+    assert abs(vec(got)[0] - (-3 + 1 + 4 + 5 + 5) / 5) < 1e-12
+    assert [r["clipped"] for r in info.orderBy("site").collect()] == [False, False, False, True, True]
 
 
 def test_secure_sum_equals_weighted_mean_and_hides_messages(spark, crowd):
@@ -72,27 +72,26 @@ def test_incomplete_round_is_an_error(spark, crowd):
     df = frame(spark, u, w)
     sites = df.select("site", F.col("weight").alias("n"))
     fa.require_complete(df, sites).collect()
-    with pytest.raises(Exception, match="9 of 10 sites"):
+    with pytest.raises(Exception, match="12 of 13 sites"):
         fa.require_complete(df.filter("site <> 's03'"), sites).collect()
 
 
 def test_site_selection(spark):
-    s = spark.createDataFrame([(f"site{i + 1:02d}", 1000 + 500 * i) for i in range(10)], "site string, n int")
-    assert sorted(r["site"] for r in fa.select_sites(s, 2).collect()) == ["site09", "site10"]
+    s = spark.createDataFrame([(name, size) for name, size in zip("pqrstuv", (40, 7, 93, 12, 55, 93, 1))], "site string, n int")
+    assert sorted(r["site"] for r in fa.select_sites(s, 3).collect()) == ["r", "t", "u"]
     assert fa.select_sites(s, 3, "random", 5).collect() == fa.select_sites(s, 3, "random", 5).collect()
     with pytest.raises(ValueError, match="not in this federation"):
         fa.select_sites(s, 1, explicit=["nowhere"])
 
 
-def test_configurations_without_guarantees_are_refused():
-    ok = fa.check_configuration
-    assert ok(10) == []
-    assert any("K >= 2f" in n for n in ok(5, rule="krum", krum_f=2))
-    for bad in (dict(dp_mode="central", rule="median"), dict(dp_mode="local", weights="reported"), dict(dp_mode="central", bound=1.0),
-                dict(secure_sum=True, rule="krum"), dict(secure_sum=True, bound=1.0), dict(secure_sum=True, frac_bits=50), dict(trim=0.5),
-                dict(n_malicious=10), dict(rule="nope"), dict(dp_mode="central", clip_norm=0)):
+def test_settings_that_keep_no_promise_are_refused():
+    assert fa.check_configuration(8) == [] and fa.withstands("median", 7) == 3
+    assert "withstands 1 corrupt updates, not 2" in fa.check_configuration(21, rule="multi_krum", n_malicious=2)[0]
+    assert len(fa.check_configuration(4, rule="krum")) == 1 and len(fa.check_configuration(9, dp_mode="distributed")) == 1
+    for refused in (dict(rule="median", dp_mode="distributed"), dict(weights="reported", dp_mode="central"), dict(bound="adaptive", secure_sum=True), dict(secure_sum=True, frac_bits=4),
+                    dict(rule="trimmed_mean", secure_sum=True), dict(trim=-0.1), dict(n_malicious=6), dict(weights="guessed"), dict(dp_mode="local", delta=1.0), dict(speed=3)):
         with pytest.raises(ValueError):
-            ok(10, **bad)
+            fa.check_configuration(6, **refused)
 
 
 def test_noise_is_repeatable_and_scaled(spark):
