@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,8 @@ from sitefold.llm.blocks import from_small_bytes, packed, small_bytes, unpacked,
 from sitefold.llm.shingles import span_hashes
 from sitefold.runtime import ship_package
 
-WINDOW, GRAM = 50, 24
+WINDOW, GRAM = 50, 20
+BY_ITSELF = 255         # in place of an anchor's offset: the string is dealt by its own hash
 AT_ONCE = 1 << 20        # bytes of text anchored together
 PIECE = 8 << 20          # a longer text is anchored in pieces that overlap by a window
 SENT_AT_ONCE = 300_000   # contexts that a task holds before it sends them
@@ -110,12 +112,13 @@ def _contexts(batches: Iterator[pa.RecordBatch], bits: int, found: keyfilter.Fil
         least[order] = np.repeat(ids[order][first], np.diff(np.append(first, len(order))))
         copy = ids > least
         yield from _runs(ids[copy], col("th")[copy], col("start")[copy], col("n")[copy] + WINDOW - 1)
-        t = t.drop_columns(["same"]).filter(pa.array(~copy))
+        t = t.filter(pa.array(~copy))
         bucket = (whole(t.column("key")).to_numpy().astype(np.uint64) >> np.uint64(keyfilter.KEY_BITS - bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
         for b in np.flatnonzero(np.diff(edges)):
-            part = t.take(pa.array(order[edges[b]:edges[b + 1]])).combine_chunks()
+            # the hashes are formed again where the contexts meet: they would be most of what is sent
+            part = t.take(pa.array(order[edges[b]:edges[b + 1]])).drop_columns(["same", "key"]).combine_chunks()
             yield _row(int(b), packed(part), None, None, None)
 
     for data, edges, about in _pieces(batches):
@@ -128,12 +131,12 @@ def _contexts(batches: Iterator[pa.RecordBatch], bits: int, found: keyfilter.Fil
         # one context for the strings that follow each other and have the same anchor; alone and dealt by itself under a frequent anchor
         new = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(begin, prepend=-2) != 1) | often | np.concatenate([[False], often[:-1]]))
         n = np.diff(np.append(new, len(begin)))
-        begin, piece, key, often = begin[new], piece[new], key[new], often[new]
+        begin, piece, place, key, often = begin[new], piece[new], place[new], key[new], often[new]
         same = span_hashes(data, begin, begin + n + WINDOW - 1)
         key = np.where(often, same >> np.uint64(16), key)
         ids, ths, offs = (np.array(x, np.int64) for x in zip(*about))
         held.append(pa.table({"key": pa.array(key.astype(np.int64)), "id": pa.array(ids[piece]), "th": pa.array(ths[piece]), "start": pa.array(begin - edges[piece] + offs[piece]),
-                              "n": pa.array(n.astype(np.int32)), "same": pa.array(same), "bytes": _cut(data, begin, n + WINDOW - 1)}))
+                              "n": pa.array(n.astype(np.uint8)), "offset": pa.array(np.where(often, BY_ITSELF, place - begin).astype(np.uint8)), "same": pa.array(same), "bytes": _cut(data, begin, n + WINDOW - 1)}))
         if sum(t.num_rows for t in held) >= SENT_AT_ONCE:
             yield from sent()
             held = []
@@ -185,19 +188,43 @@ def previous_factors(rank: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.maximum(towards_smaller(rank, lcp), after)
 
 
+def _hashes_of(column: pa.Array, skip: np.ndarray | None = None, size: int = 0) -> np.ndarray:
+    """A hash of each value, or of `size` bytes of it after `skip`."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data, out = np.frombuffer(column.buffers()[2], np.uint8), np.zeros(len(column), np.uint64)
+    for at in range(0, len(column), 20_000):
+        e = ends[at:at + 20_001]
+        begin = e[:-1] - e[0] + (0 if skip is None else skip[at:at + 20_000])
+        out[at:at + 20_000] = span_hashes(data[e[0]:e[-1]], begin, e[1:] - e[0] if skip is None else begin + size)
+    return out
+
+
 def _later_copies(group: pa.Table) -> Iterator[pa.RecordBatch]:
     """Runs that the longest previous factors of one bucket's contexts find."""
     t = pa.concat_tables([unpacked(x) for x in group.column("contexts").to_pylist()])
-    key = whole(t.column("key")).to_numpy()
+    # equal contexts first: all but the smallest document's are later copies whole, and need no sorting
+    same, ids = _hashes_of(whole(t.column("bytes"))), whole(t.column("id")).to_numpy()
+    offset = whole(t.column("offset")).to_numpy()
+    alone = offset == BY_ITSELF
+    key = np.where(alone, same, _hashes_of(whole(t.column("bytes")), np.where(alone, 0, offset).astype(np.int64), GRAM))
+    order = np.lexsort((ids, same))
+    first = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]]))
+    least = np.empty(len(ids), np.int64)
+    least[order] = np.repeat(ids[order][first], np.diff(np.append(first, len(order))))
+    copy = ids > least
+    yield from _runs(ids[copy], whole(t.column("th")).to_numpy()[copy], whole(t.column("start")).to_numpy()[copy], whole(t.column("n")).to_numpy()[copy].astype(np.int64) + WINDOW - 1)
+    t, key = t.filter(pa.array(~copy)), key[~copy]
+    if not len(key):
+        return
     order = np.argsort(key, kind="stable")
-    counts = whole(t.column("n")).to_numpy()
+    counts, keys = whole(t.column("n")).to_numpy().astype(np.int64), key
     key = key[order]
-    new = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     times = np.diff(np.append(new, len(key)))
     order = order[np.repeat(times > 1, times)]     # an anchor with one context has nothing to compare
     if not len(order):
         return
-    key = whole(t.column("key")).to_numpy()[order]
+    key = keys[order]
     done = np.cumsum(counts[order])
     at = 0
     while at < len(order):
@@ -206,7 +233,7 @@ def _later_copies(group: pa.Table) -> Iterator[pa.RecordBatch]:
         to = int(np.searchsorted(key, key[to - 1], side="right"))     # contexts of an anchor stay together
         part = t.take(pa.array(order[at:to])).combine_chunks()
         at = to
-        n, column = whole(part.column("n")).to_numpy(), whole(part.column("bytes"))
+        n, column = whole(part.column("n")).to_numpy().astype(np.int64), whole(part.column("bytes"))
         data = np.frombuffer(column.buffers()[2], np.uint8)
         offset = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column)]
         which = np.repeat(np.arange(len(n)), n)
@@ -223,11 +250,18 @@ def _later_copies(group: pa.Table) -> Iterator[pa.RecordBatch]:
         yield from _runs(ids[which[copy]], whole(part.column("th")).to_numpy()[which[copy]], whole(part.column("start")).to_numpy()[which[copy]] + shift[copy], np.full(len(copy), WINDOW))
 
 
+def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    small = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array([small.compress(t.as_buffer() or b"") for t in b.column("text")], pa.binary())], names=["id", "th", "text"])
+
+
 def _emptied(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
+    small = zstandard.ZstdDecompressor()
     for b in batches:
         sizes, removed, spans, digests, texts = [], [], [], [], []
         for text, runs in zip(b.column("text"), b.column("runs").to_pylist()):
-            data = np.frombuffer(text.as_buffer() or b"", np.uint8)
+            data = np.frombuffer(small.decompress(text.as_buffer()), np.uint8)
             change = np.zeros(len(data) + 1, np.int32)
             for r in runs or ():
                 edges = np.cumsum(from_small_bytes(np.frombuffer(r, np.uint8)), dtype=np.int64)
@@ -260,11 +294,13 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         own = t.filter(t.column("runs").is_valid())
         contexts = t.filter(t.column("contexts").is_valid())
         out = list(_later_copies(contexts)) if contexts.num_rows else []
-        return pa.concat_tables([own, *(pa.Table.from_batches([b]) for b in out)]).select(["id", "th", "runs"])
+        return pa.concat_tables([x.select(["id", "th", "runs"]) for x in (own, *(pa.Table.from_batches([b]) for b in out))])
 
     spread = F.coalesce("bucket", F.pmod(F.xxhash64("id"), F.lit(1 << bits)).cast("int"))
-    runs = sent.groupBy(spread.alias("b")).applyInArrow(met, "id long, th long, runs binary")
+    # many partitions, since little packed data is much work
+    runs = sent.withColumn("b", spread).repartition(2 << bits, "b").groupBy("b").applyInArrow(met, "id long, th long, runs binary")
     by_document = runs.groupBy("id", "th").agg(F.collect_list("runs").alias("runs"))  # bounded by the document
-    done = rows.join(by_document, ["id", "th"], "left").select("id", "text", "runs")
+    texts = rows.mapInArrow(_shrunk, "id long, th long, text binary")
+    done = texts.join(by_document, ["id", "th"], "left").select("id", "text", "runs")
     out = done.mapInArrow(lambda it: _emptied(it, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_text else out.drop("kept")
