@@ -31,10 +31,11 @@ from sitefold.runtime import ship_package
 
 WINDOW, GRAM = 50, 20
 BY_ITSELF = 255         # in place of an anchor's offset: the string is dealt by its own hash
-AT_ONCE = 1 << 20        # bytes of text anchored together
+AT_ONCE = 1 << 19        # bytes of text anchored together
 PIECE = 8 << 20          # a longer text is anchored in pieces that overlap by a window
 SENT_AT_ONCE = 300_000   # contexts that a task holds before it sends them
-SORTED_AT_ONCE = 150_000
+SORTED_AT_ONCE = 100_000
+FINER = 2                # more bits of a bucket for contexts than for keys: they are larger
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -140,6 +141,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], bits: int, found: keyfilter.Fil
         if sum(t.num_rows for t in held) >= SENT_AT_ONCE:
             yield from sent()
             held = []
+            pa.default_memory_pool().release_unused()
     if held:
         yield from sent()
 
@@ -214,6 +216,8 @@ def _later_copies(group: pa.Table) -> Iterator[pa.RecordBatch]:
     copy = ids > least
     yield from _runs(ids[copy], whole(t.column("th")).to_numpy()[copy], whole(t.column("start")).to_numpy()[copy], whole(t.column("n")).to_numpy()[copy].astype(np.int64) + WINDOW - 1)
     t, key = t.filter(pa.array(~copy)), key[~copy]
+    del same, ids, order, first, least, copy, offset, alone
+    pa.default_memory_pool().release_unused()
     if not len(key):
         return
     order = np.argsort(key, kind="stable")
@@ -283,11 +287,12 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     ship_package(spark)
     bits = keyfilter.bucket_bits(spark)
+    fine = bits + FINER
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     keys = rows.mapInArrow(lambda it: keyfilter.dealt(_anchor_keys(it), bits), "bucket int, keys binary")
     held = spark.sparkContext.broadcast(keyfilter.repeated_keys(keys))
     row = "bucket int, contexts binary, id long, th long, runs binary"
-    sent = rows.mapInArrow(lambda it: _contexts(it, bits, held.value), row)
+    sent = rows.mapInArrow(lambda it: _contexts(it, fine, held.value), row)
 
     def met(t: pa.Table) -> pa.Table:
         """A bucket's contexts become runs. Runs of a task pass through under a bucket of their document's own."""
@@ -296,9 +301,9 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         out = list(_later_copies(contexts)) if contexts.num_rows else []
         return pa.concat_tables([x.select(["id", "th", "runs"]) for x in (own, *(pa.Table.from_batches([b]) for b in out))])
 
-    spread = F.coalesce("bucket", F.pmod(F.xxhash64("id"), F.lit(1 << bits)).cast("int"))
+    spread = F.coalesce("bucket", F.pmod(F.xxhash64("id"), F.lit(1 << fine)).cast("int"))
     # many partitions, since little packed data is much work
-    runs = sent.withColumn("b", spread).repartition(2 << bits, "b").groupBy("b").applyInArrow(met, "id long, th long, runs binary")
+    runs = sent.withColumn("b", spread).repartition(2 << fine, "b").groupBy("b").applyInArrow(met, "id long, th long, runs binary")
     by_document = runs.groupBy("id", "th").agg(F.collect_list("runs").alias("runs"))  # bounded by the document
     texts = rows.mapInArrow(_shrunk, "id long, th long, text binary")
     done = texts.join(by_document, ["id", "th"], "left").select("id", "text", "runs")
