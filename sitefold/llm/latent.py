@@ -19,29 +19,34 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitefold.llm.shingles import span_hashes
+from sitefold.llm.shingles import words as runs
 from sitefold.runtime import ship_package
 
 ITEMS = 2_000
 BLOCK = 16                 # words of a block; the shortest windows are two blocks
-RANK, SPARE = 128, 16
-MAX_SHARE = 0.05           # a term in more than this share of all blocks weighs nothing, unless its item has fewer than FEW others
+RANK, SPARE = 128, 8
+MAX_SHARE = 0.02           # a term in more than this share of all blocks weighs nothing, unless its item has fewer than FEW others
 FEW = 3
-COSINE, COMMON, ANSWER_COMMON = 0.2, 0.75, 0.6
+COSINE, COMMON, ANSWER_COMMON = 0.25, 0.75, 0.6
 ANSWER_WORDS, SHORT = 5, 8
 _ANSWER = re.compile(r"(?:^|\s)(?:answer|antwort|réponse|respuesta)\s*[:=]", re.I)
 # Bytes that are no part of a word: ASCII other than letters and digits.
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
+def clean(text: str | None) -> bytes:
+    return text.lower().encode().translate(_BLANK) if text else b""
+
+
 def words(text: str | None) -> list[bytes]:
-    return text.lower().encode().translate(_BLANK).split() if text else []
+    return clean(text).split()
 
 
 def common(a: list[bytes], b: list[bytes]) -> int:
@@ -65,13 +70,21 @@ class Items:
     answers: list[list[bytes]]
     bags: list[frozenset[bytes]]
     vocabulary: dict[bytes, int]
+    hashes: np.ndarray         # of the vocabulary's words, sorted
+    by_hash: np.ndarray        # their terms
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
         split = [(i, words(t), words(t[m.end():]) if (m := _ANSWER.search(t)) else []) for i, t in rows]
         split = [(i, w, a or w[-ANSWER_WORDS:]) for i, w, a in split if w]
         terms = sorted({w for _, ws, _ in split for w in ws})
-        return cls([i for i, _, _ in split], [w for _, w, _ in split], [a for _, _, a in split], [frozenset(w) for _, w, _ in split], {w: n for n, w in enumerate(terms)})
+        return cls([i for i, _, _ in split], [w for _, w, _ in split], [a for _, _, a in split], [frozenset(w) for _, w, _ in split], {w: n for n, w in enumerate(terms)}, *cls._hashed(terms))
+
+    @staticmethod
+    def _hashed(terms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b" ".join(terms), np.uint8)
+        h = span_hashes(data, *runs(data)) if terms else np.zeros(0, np.uint64)
+        return np.sort(h), np.argsort(h)
 
     def found_in(self, item: int, passage: list[bytes]) -> float:
         """The share of the item's words in common order, or 0 if that or its answer's is too small."""
@@ -83,21 +96,25 @@ class Items:
         return share if share >= COMMON and common(answer, passage) >= ANSWER_COMMON * len(answer) else 0.0
 
 
-def _terms(texts: list[str | None], vocabulary: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text; then for the words that the benchmark has: term and block; and the first block of each text.
+def _terms(texts: list[str | None], items: Items) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Cleaned bytes of each text; then for the words that the benchmark has: term and block; and the first block of each text.
 
     Blocks are numbered over all texts; each text begins a new one and has at least one."""
-    split = [words(t) for t in texts]
-    sizes = np.array([len(w) for w in split], np.int64)
+    cleaned = [clean(t) for t in texts]
+    data = np.frombuffer(b" ".join(cleaned), np.uint8)
+    begin, end = runs(data)
+    edges = np.searchsorted(begin, np.cumsum([0] + [len(c) + 1 for c in cleaned]))
+    sizes = np.diff(edges)
     blocks = np.maximum(1, -(-sizes // BLOCK))
     first = np.concatenate([[0], np.cumsum(blocks)])
-    get = vocabulary.get
-    term = np.fromiter(map(get, chain.from_iterable(split), repeat(-1)), np.int32, int(sizes.sum()))
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    place = np.arange(len(term)) - np.repeat(begin, sizes)
+    if not len(begin):
+        return cleaned, np.zeros(0, np.int64), np.zeros(0, np.int64), first
+    h = span_hashes(data, begin, end)
+    at = np.minimum(np.searchsorted(items.hashes, h), len(items.hashes) - 1)
+    known = np.flatnonzero(items.hashes[at] == h)
+    place = np.arange(len(h)) - np.repeat(edges[:-1], sizes)
     block = np.repeat(first[:-1], sizes) + place // BLOCK
-    known = term >= 0
-    return split, term[known], block[known], first
+    return cleaned, items.by_hash[at[known]], block[known], first
 
 
 def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -111,7 +128,7 @@ def _frequencies(batches, items: Items) -> Iterator[pa.RecordBatch]:
     v = len(items.vocabulary)
     df, n = np.zeros(v, np.int64), 0
     for b in _parts(batches):
-        _, term, block, first = _terms(b.column("text").to_pylist(), items.vocabulary)
+        _, term, block, first = _terms(b.column("text").to_pylist(), items)
         df += np.bincount(np.unique(block * v + term) % v, minlength=v)
         n += int(first[-1])
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, v, dtype=np.int32)), pa.array(np.concatenate([[n], df]))], names=["term", "n"])
@@ -122,7 +139,7 @@ def _sketch(batches, items: Items, idf: np.ndarray, omega: np.ndarray) -> Iterat
     y = np.zeros(omega.shape)
     weighted, heard = (omega * idf[:, None]).astype(np.float32), idf > 0
     for b in _parts(batches):
-        _, term, block, first = _terms(b.column("text").to_pylist(), items.vocabulary)
+        _, term, block, first = _terms(b.column("text").to_pylist(), items)
         term, block = term[heard[term]], block[heard[term]]
         if not len(term):
             continue
@@ -151,13 +168,13 @@ def _matches(batches, items: Items, latent: np.ndarray) -> Iterator[pa.RecordBat
             break
         reach *= 2
     for b in _parts(batches):
-        split, term, block, first = _terms(b.column("text").to_pylist(), items.vocabulary)
+        cleaned, term, block, first = _terms(b.column("text").to_pylist(), items)
         sums = np.zeros((int(first[-1]), latent.shape[1]), np.float32)
         term, block = term[heard[term]], block[heard[term]]
         if len(term):
             starts = np.flatnonzero(np.diff(block, prepend=-1))
             sums[block[starts]] = np.add.reduceat(latent[term], starts, axis=0)
-        owner = np.repeat(np.arange(len(split)), np.diff(first))
+        owner, split = np.repeat(np.arange(len(cleaned)), np.diff(first)), {}
         best: dict[tuple[int, int], tuple[float, float]] = {}
         for step, mine in scales:
             if not len(mine):
@@ -165,15 +182,17 @@ def _matches(batches, items: Items, latent: np.ndarray) -> Iterator[pa.RecordBat
             # windows of 2 * step blocks at every step blocks of a text
             nth = np.arange(len(owner)) - first[owner]
             at = np.flatnonzero(nth % step == 0)
-            running = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
+            running = np.concatenate([np.zeros((1, sums.shape[1]), np.float32), np.cumsum(sums, axis=0)])
             to = np.minimum(at + 2 * step, first[owner[at] + 1])
-            w = (running[to] - running[at]).astype(np.float32)
+            w = running[to] - running[at]
             w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
             cosine = w @ q[mine].T
             seen = -1
             for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE))):
                 if i != seen:
                     seen, doc, a = i, int(owner[at[i]]), int(nth[at[i]]) * BLOCK
+                    if doc not in split:
+                        split[doc] = cleaned[doc].split()
                     passage = split[doc][max(0, a - BLOCK):a + (2 * step + 1) * BLOCK]
                     bag = frozenset(passage)
                 item = int(mine[j])
