@@ -1,10 +1,10 @@
 """Near-duplicates by a chosen-path set similarity join over minwise signatures.
 
-In each of `TREES` independent trees a node chooses one or two coordinates of the signature (1 / similarity on average, so that a pair
-at the threshold keeps one shared branch on average) and its documents branch by their minwise token there. A node where few
-pairs are left to compare is compared exhaustively; a larger one is first compared with its smallest document, and what that
-verifies as linked gets one label: pairs within a label are settled, so only pairs across labels count, and a node with one label
-ends. Candidates that pass a lenient test on signatures are verified on the full sets of shingles.
+In each of `TREES` independent trees a node chooses one or two coordinates of the signature (in the upper levels 1 / similarity on average,
+so that a pair at the threshold keeps one shared branch) and its documents branch by their minwise token there. Documents that verified links connect already have one label: pairs within a label are
+settled, so only pairs across labels count, and a node with one label ends. A node where few such pairs are left is compared
+exhaustively; a larger one is compared with its smallest document and branches on. Candidates that pass a lenient test on signatures
+are verified on the full sets of shingles, each pair once.
 
 Defined results: documents with equal sets are one class, whose smallest id joins; a document without words has an empty set and no
 links; a null id has its size, a null component, and is kept; rows that share an id share a component. Other columns play no part.
@@ -27,8 +27,11 @@ from sitefold.runtime import ship_package
 
 WIDTH, PERCENT = 5, 75      # words of a shingle; 100 * intersection >= PERCENT * union
 SIGNATURE, TREES = 96, 16
+DEEPER = (300, 1000)        # a node of more documents branches by two coordinates at once, or by three
+BRANCHING_LEVELS = 2        # below them a node chooses one coordinate, so that dense groups of half-similar documents do not multiply
 LENIENT = 47                # of 96 coordinates: six standard deviations below 0.75 * 96
-PAIRS_PER_DOCUMENT = 20     # a node with at most this many pairs across labels per document is compared exhaustively
+CELL = 200                  # documents that verification brings together for one node, about
+PAIRS_PER_DOCUMENT = 50     # a node with at most this many pairs across labels per document is compared exhaustively
 FILTER_WORDS = 1 << 17      # 64-bit words of the filter that spares documents without candidates the join; its size is fixed
 
 
@@ -58,23 +61,27 @@ def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([z.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary())], names=["id", "packed"])
 
 
+def _close(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdDecompressor()
     for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            sets = shingles.sets([z.decompress(x) for c in ("pa", "pb") for x in part.column(c).to_pylist()], WIDTH)
-            half = part.num_rows
-            ok = []
-            for x, y in zip(sets[:half], sets[half:]):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
-            keep = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep)], names=["a", "b"])
+        for asked, given in zip(b.column("asked"), b.column("given")):
+            texts = given.as_py()
+            of: dict[int, list[np.ndarray]] = {}  # rows that share an id have a set each
+            for x, s in zip(texts, shingles.sets([z.decompress(x["packed"]) for x in texts], WIDTH)):
+                of.setdefault(x["id"], []).append(s)
+            ok = [p for p in asked.as_py() if any(_close(x, y) for x in of.get(p["a"], ()) for y in of.get(p["b"], ()))]
+            if ok:
+                yield pa.RecordBatch.from_arrays([pa.array([p["a"] for p in ok], pa.int64()), pa.array([p["b"] for p in ok], pa.int64())], names=["a", "b"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Only documents that a fixed-size filter lets through are moved."""
+    """The pairs (a, b, cell) whose full sets are similar enough: a cell's documents are brought together, each once. Only documents that
+    a fixed-size filter lets through are moved."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     words = ids.select(bit("id").alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
@@ -82,8 +89,10 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     rows = rows.withColumn("word", F.expr(f"pmod(xxhash64(id), {FILTER_WORDS * 64}) div 64")).join(F.broadcast(words), "word")
     rows = rows.where(F.expr(f"(bits & shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_WORDS * 64}) % 64 as int))) <> 0")).select("id", "text")
     packed = written(rows.mapInArrow(_shrunk, "id long, packed binary"), "candidates")
-    side = lambda c: packed.select(F.col("id").alias(c), F.col("packed").alias("p" + c))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb").mapInArrow(_agree, "a long, b long").distinct()
+    needed = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(packed, "id")
+    given = needed.groupBy("cell").agg(F.collect_list(F.struct("id", "packed")).alias("given"))
+    asked = pairs.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
+    return asked.join(given, "cell").select("asked", "given").mapInArrow(_agree, "a long, b long").distinct()
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -91,7 +100,7 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("sig").alias("s" + c))
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, e: s + e)
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
-    return both.select("a", "b", equal.alias("same")).where(F.col("same") >= LENIENT).groupBy("a", "b").agg(F.max("same").alias("same"))
+    return both.select("a", "b", "cell", equal.alias("same")).where(F.col("same") >= LENIENT).groupBy("a", "b").agg(F.max("same").alias("same"), F.min("cell").alias("cell"))
 
 
 def _child(key, sig, j):
@@ -99,58 +108,73 @@ def _child(key, sig, j):
 
 
 def joined(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Classes of documents with equal sets (h1, h2, node, n), and the verified links (a, b) between their nodes that join all that
-    is linked: pairs already connected by others are not all listed."""
+    """Classes of documents with equal sets (h1, h2, node, n), and (node, root) for the nodes that links join to others: root is
+    the smallest node reachable."""
+    spark = docs.sparkSession
     classes = written(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.min_by("sig", "id").alias("sig")), "classes")
     members = classes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    members = members.select("node", F.col("node").alias("label"), _child(F.lit("root"), "sig", F.col("tree")).alias("key"), F.lit(None).cast("array<int>").alias("sig"))
-    links, level = None, 0
+    members = members.select("node", _child(F.lit("root"), "sig", F.col("tree")).alias("key"))
+    roots = spark.createDataFrame([], "node long, root long")
+    tried, linked, level = spark.createDataFrame([], "a long, b long"), False, 0
     while True:
-        # pairs left to compare in each node: all less those within a label
+        # pairs left to compare in each node: all less those already connected
+        if linked:
+            members = members.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("label"))
+        else:
+            members = members.withColumn("label", F.col("node"))
         by_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead"))
-        nodes = by_label.groupBy("key").agg(F.sum("c").alias("n"), (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("twice"), F.max_by("label", "c").alias("main"), F.min("lead").alias("lead"))
-        nodes = written(nodes.where("twice > 0"), "nodes")
-        inside = written(members.join(nodes, "key"), "members")
+        nodes = by_label.groupBy("key").agg(F.sum("c").alias("n"), (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("twice"), F.max_by("label", F.struct("c", "label")).alias("main"), F.min("lead").alias("lead"))
+        inside = written(members.join(nodes.where("twice > 0"), "key"), "members")
         few = inside.where(F.col("twice") <= 2 * PAIRS_PER_DOCUMENT * F.col("n"))
         many = inside.where(F.col("twice") > 2 * PAIRS_PER_DOCUMENT * F.col("n"))
         x = few.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-        y = few.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("first"))
-        pairs = x.join(y, "key").where("lx <> ly and (first or x < y)").select("x", "y")
-        stars = many.where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
-        pairs = pairs.unionByName(stars).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-        likely = written(_likely(pairs, classes), "likely")
-        # first the likeliest partner of each document, then the pairs these have not connected already
+        y = few.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("first"),
+                       F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL))).alias("cell"))
+        pairs = x.join(y, "key").where("lx <> ly and (first or x < y)").select("x", "y", "cell")
+        stars = many.where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"), F.xxhash64("lead", "node").alias("cell"))
+        pairs = pairs.unionByName(stars).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cell").where("a <> b").groupBy("a", "b").agg(F.min("cell").alias("cell"))
+        likely = written(_likely(pairs.join(tried, ["a", "b"], "left_anti") if level else pairs, classes), "likely")
+        tried = tried.unionByName(likely.select("a", "b"))
+        # first the likeliest partner of each document, which connects most of a group; then the pairs that are still apart
         best = likely.groupBy("b").agg(F.max_by("a", "same").alias("a"))
-        wanted = likely.join(best, ["a", "b"], "left_semi").select("a", "b")
-        # a large node's labels rest on the pairs with its smallest document, so these are always verified
-        wanted = wanted.unionByName(likely.select("a", "b").join(stars.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), ["a", "b"], "left_semi")).distinct()
-        new = written(verified(wanted, docs, id_col, text_col), "links")
-        links = new if links is None else links.unionByName(new)
-        of = written(components(links), "components")
-        side = lambda c: of.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-        rest = likely.select("a", "b").join(wanted, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-        rest = written(rest.where("not coalesce(ra, a) <=> coalesce(rb, b)").select("a", "b"), "pairs")
-        if not rest.isEmpty():
-            links = links.unionByName(written(verified(rest, docs, id_col, text_col), "links"))
+        for wanted in [likely] if level else [likely.join(best, ["a", "b"], "left_semi"), likely.join(best, ["a", "b"], "left_anti")]:
+            if linked:
+                side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+                wanted = wanted.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)")
+            wanted = written(wanted.select("a", "b", "cell"), "pairs")
+            if wanted.isEmpty():
+                continue
+            new = written(verified(wanted, docs, id_col, text_col), "links")
+            if new.isEmpty():
+                continue
+            if linked:  # the new links between what is connected already, then the roots of both
+                new = new.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+                joint = written(components(new), "joint").select(F.col("node").alias("root"), F.col("root").alias("top"))
+                moved = roots.join(joint, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+                roots = written(moved.unionByName(joint.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti")), "roots")
+            else:
+                roots, linked = written(components(new), "roots"), True
         if many.isEmpty():
-            return classes.select("h1", "h2", "node", "n"), links
-        # the documents of large nodes branch, those linked with the smallest under its label
+            return classes.select("h1", "h2", "node", "n"), roots
+        # the documents of large nodes branch
         level += 1
-        settled = new.select(F.col("a").alias("lead"), F.col("b").alias("node"), F.lit(True).alias("settled")).distinct()
-        members = many.drop("sig").join(settled, ["lead", "node"], "left").join(classes.select("node", F.col("sig")), "node")
-        members = members.withColumn("label", F.when(F.col("settled") | (F.col("node") == F.col("lead")), F.col("lead")).otherwise(F.col("label")))
+        # a node goes on by one, two or three coordinates at once, as it is large
         draw = lambda what: F.pmod(F.xxhash64("key", F.lit(f"{what} {level}")), F.lit(SIGNATURE))
         second = F.pmod(F.xxhash64("key", F.lit(f"second {level}")), F.lit(PERCENT)) < 100 - PERCENT  # 1 / 0.75 branches on average
-        chosen = F.when(second, F.array(draw("a"), draw("b"))).otherwise(F.array(draw("a")))
-        members = members.select("node", "label", "key", "sig", F.explode(F.array_distinct(chosen)).alias("j"))
-        members = written(members.select("node", "label", _child("key", "sig", F.col("j")).alias("key"), F.lit(None).cast("array<int>").alias("sig")), "branches")
+        chosen = F.when(second & F.lit(level <= BRANCHING_LEVELS), F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
+        branching = many.select("node", "key", "n").join(classes.select("node", "sig"), "node").withColumn("branch", F.explode(chosen))
+        place = lambda i: F.when(F.col("branch") == "a", draw(f"a{i}")).otherwise(draw(f"b{i}"))
+        child = _child("key", "sig", place(0))
+        for i, size in enumerate(DEEPER, 1):
+            child = F.when(F.col("n") > size, _child(child, "sig", place(i))).otherwise(child)
+        members = branching.select("node", child.alias("key"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links, itself included), kept; one row per document."""
     signed = written(signatures(docs, id_col, text_col), "signatures")
-    classes, links = joined(docs, signed, id_col, text_col)
-    of = classes.join(components(links), "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id"))
+    classes, roots = joined(docs, signed, id_col, text_col)
+    of = classes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("component_id"))
     rows = signed.select("id", "n", "h1", "h2").join(of, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
