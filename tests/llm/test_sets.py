@@ -125,6 +125,40 @@ def test_paragraphs_repeated_across_documents_go_and_others_stay(spark, docs):
     assert paragraphs.edit_distance("a b c d".split(), "a x c".split(), 5) == 2 and paragraphs.edit_distance(list("abcdef"), list("uvwxyz"), 2) == 3
 
 
+def varied_paragraphs(n, seed=7):
+    """Paragraphs that all hold one passage, in chains whose neighbours alone are similar: few of them like any given few others."""
+    rng = np.random.default_rng(seed)
+    core, out = [f"core{k}" for k in range(24)], []
+    while len(out) < n:
+        tail = [f"t{len(out)}x{k}" for k in range(16)]
+        for step in range(int(rng.integers(2, 7))):
+            out.append(" ".join(core + tail))
+            tail = tail[2:] + [f"t{len(out)}y{k}" for k in range(2)]
+    return [out[k] for k in rng.permutation(len(out))]
+
+
+def paragraph_clusters(said):
+    cut = paragraphs.Cut([t.encode() for t in said])
+    bands, sets = cut.bands(np.arange(len(said)), *paragraphs._functions()), [shingle_set(t) for t in said]
+    links = []
+    for a in range(len(said)):
+        for b in np.flatnonzero((bands[a] == bands[a + 1:]).any(1)) + a + 1:
+            n = len(sets[a] & sets[b])
+            if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n) or paragraphs.edit_distance(said[a].split(), said[b].split(), 6) <= int(0.15 * max(len(said[a].split()), len(said[b].split()))):
+                links.append((a, int(b)))
+    return roots(range(len(said)), links)
+
+
+def test_paragraphs_of_a_large_bucket_are_all_compared(spark, monkeypatch):
+    said = varied_paragraphs(300)
+    want = paragraph_clusters(said)
+    rows = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    for cell in (paragraphs.CELL, 40):
+        monkeypatch.setattr(paragraphs, "CELL", cell)
+        got = {r.doc_id: r.n_removed for r in paragraphs.remove_repeats(rows).collect()}
+        assert got == {i: int(want[i] < i) for i in want}
+
+
 def test_benchmark_passages_are_found_and_nothing_else(spark, table, docs):
     items = [(r.item_id, r.text) for r in queries.table(spark, SF, "benchmark").collect()]
     words = {i: latent.words(t) for i, t in items}
