@@ -1,7 +1,8 @@
 """Near-duplicates by a chosen-path set similarity join over minwise signatures.
 
-In each of `TREES` independent trees a node chooses one or two coordinates of the signature (in the upper levels 1 / similarity on average,
-so that a pair at the threshold keeps one shared branch) and its documents branch by their minwise token there. Documents that verified links connect already have one label: pairs within a label are
+In each of `TREES` independent trees a node chooses sets of one to three coordinates of the signature, the more the larger it is (for sets
+of c coordinates 1 / similarity ** c on average, at every level, so that a pair at the threshold keeps one shared branch), and its documents
+branch by their minwise tokens there. Documents that verified links connect already have one label: pairs within a label are
 settled, so only pairs across labels count, and a node with one label ends. A node where few such pairs are left is compared
 exhaustively; a larger one is compared with its smallest document and branches on. Candidates that pass a lenient test on signatures
 are verified on the full sets of shingles, each pair once.
@@ -28,7 +29,6 @@ from sitefold.runtime import ship_package
 WIDTH, PERCENT = 5, 75      # words of a shingle; 100 * intersection >= PERCENT * union
 SIGNATURE, TREES = 96, 16
 DEEPER = (300, 1000)        # a node of more documents branches by two coordinates at once, or by three
-BRANCHING_LEVELS = 2        # below them a node chooses one coordinate, so that dense groups of half-similar documents do not multiply
 LENIENT = 47                # of 96 coordinates: six standard deviations below 0.75 * 96
 CELL = 200                  # documents that verification brings together for one node, about
 PAIRS_PER_DOCUMENT = 50     # a node with at most this many pairs across labels per document is compared exhaustively
@@ -107,6 +107,22 @@ def _child(key, sig, j):
     return F.xxhash64(key, j, F.element_at(sig, (j + 1).cast("int")))
 
 
+def _branched(many: DataFrame, level: int) -> DataFrame:
+    """(node, key) of the children of the nodes with rows (node, key, n, sig). A set of c coordinates is chosen (100 / PERCENT) ** c times."""
+    many = many.withColumn("c", F.lit(1) + sum((F.col("n") > size).cast("int") for size in DEEPER))
+    rate = F.pow(F.lit(100 / PERCENT), F.col("c"))
+    part = F.pmod(F.xxhash64("key", F.lit(f"times {level}")), F.lit(1 << 20)) / (1 << 20)
+    times = F.floor(rate) + (part < rate - F.floor(rate)).cast("long")
+    branching = many.withColumn("branch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
+    draw = lambda what, n: F.pmod(F.xxhash64("key", F.lit(f"{what} {level}")), F.lit(n))
+    # the up to three branches of a node differ in each coordinate
+    place = lambda i: F.pmod(draw(f"a{i}", SIGNATURE) + F.col("branch") * (draw(f"b{i}", SIGNATURE // 3) + 1), F.lit(SIGNATURE))
+    child = _child("key", "sig", place(0))
+    for i in range(1, len(DEEPER) + 1):
+        child = F.when(F.col("c") > i, _child(child, "sig", place(i))).otherwise(child)
+    return branching.select("node", child.alias("key"))
+
+
 def joined(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Classes of documents with equal sets (h1, h2, node, n), and (node, root) for the nodes that links join to others: root is
     the smallest node reachable."""
@@ -158,16 +174,7 @@ def joined(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col:
             return classes.select("h1", "h2", "node", "n"), roots
         # the documents of large nodes branch
         level += 1
-        # a node goes on by one, two or three coordinates at once, as it is large
-        draw = lambda what: F.pmod(F.xxhash64("key", F.lit(f"{what} {level}")), F.lit(SIGNATURE))
-        second = F.pmod(F.xxhash64("key", F.lit(f"second {level}")), F.lit(PERCENT)) < 100 - PERCENT  # 1 / 0.75 branches on average
-        chosen = F.when(second & F.lit(level <= BRANCHING_LEVELS), F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
-        branching = many.select("node", "key", "n").join(classes.select("node", "sig"), "node").withColumn("branch", F.explode(chosen))
-        place = lambda i: F.when(F.col("branch") == "a", draw(f"a{i}")).otherwise(draw(f"b{i}"))
-        child = _child("key", "sig", place(0))
-        for i, size in enumerate(DEEPER, 1):
-            child = F.when(F.col("n") > size, _child(child, "sig", place(i))).otherwise(child)
-        members = branching.select("node", child.alias("key"))
+        members = _branched(many.select("node", "key", "n").join(classes.select("node", "sig"), "node"), level)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -69,6 +69,21 @@ def test_near_duplicates_in_one_dense_group_and_awkward_rows(spark, docs):
     assert chosen_path.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_a_pair_at_the_threshold_keeps_one_shared_branch_on_every_level(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for key in range(3000):
+        x = rng.integers(0, 1 << 30, chosen_path.SIGNATURE)
+        y = np.where(rng.permutation(chosen_path.SIGNATURE) < 72, x, x + 1)
+        rows += [(2 * key, key, x.tolist()), (2 * key + 1, key, y.tolist())]
+    pairs = spark.createDataFrame(rows, "node long, key long, sig array<int>").cache()
+    for level in (1, 2, 3, 9):
+        for n in (200, 500, 5000):
+            children = chosen_path._branched(pairs.withColumn("n", F.lit(n)), level)
+            shared = children.groupBy("key").count().where("count = 2").count()
+            assert 0.88 < shared / 3000 < 1.12, (level, n, shared)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 130)] + [(7, 7), (3, 2), (2, 3)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
