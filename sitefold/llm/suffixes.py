@@ -57,9 +57,9 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
                 held.append(data[at:at + PIECE + WINDOW - 1])
                 about.append((i, th, at))
                 size += len(held[-1])
-            if size >= AT_ONCE:
-                yield out()
-                held, about, size = [], [], 0
+                if size >= AT_ONCE:     # within a text too: places must fit in _PLACE
+                    yield out()
+                    held, about, size = [], [], 0
     if held:
         yield out()
 

@@ -6,6 +6,7 @@ import re
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,24 @@ def test_later_copies_of_periodic_and_frequent_text(spark, docs, monkeypatch):
     assert suffixes.remove_copies(docs.limit(0)).collect() == []
 
 
+def test_a_long_text_is_anchored_in_pieces_whose_places_fit(monkeypatch):
+    monkeypatch.setattr(suffixes, "PIECE", 2000)
+    monkeypatch.setattr(suffixes, "AT_ONCE", 1000)
+    monkeypatch.setattr(suffixes, "_PLACE", np.uint64((1 << 12) - 1))
+    text = bytes(np.random.default_rng(8).integers(97, 123, 12_000, np.uint8))
+    batch = pa.table({"id": [1, 2], "th": [1, 2], "text": [text.decode(), text[9000:11_000].decode()]}).to_batches()
+    keys, seen = {}, {1: set(), 2: set()}
+    for data, edges, about in suffixes._pieces(batch):
+        assert len(data) < 1 << 12
+        for begin, piece, place, key in zip(*(x.tolist() for x in suffixes._anchors(data, edges))):
+            assert 0 <= place - begin <= suffixes.WINDOW - suffixes.GRAM
+            window = data[begin:begin + suffixes.WINDOW].tobytes()
+            assert keys.setdefault(window, key) == key
+            i, _, off = about[piece]
+            seen[i].add(begin - int(edges[piece]) + off)
+    assert seen == {1: set(range(12_000 - 49)), 2: set(range(2000 - 49))}
+
+
 def test_previous_factors_against_all_pairs():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 50):
