@@ -159,6 +159,20 @@ def iban(p: Permuter, v: str) -> str | None:
     return "".join(c if c == " " else next(new) for c in v)
 
 
+# Characters of an IBAN by country.
+IBAN_SIZES = {c: n for n, cs in {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+                                 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+                                 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
+
+
+def iban_ends(v: str) -> list[int]:
+    """Where an IBAN at the begin of `v` may end: at its country's length, or at the end; of an unknown country also at the other ends of words."""
+    ends = [m.end() for m in re.finditer(r"[0-9A-Z]\b", v)][::-1]
+    size = IBAN_SIZES.get(v[:2])
+    own = [e for e in ends if len(v[:e].replace(" ", "")) == size]
+    return own + [e for e in (ends[:1] if size else ends) if e not in own]
+
+
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -227,12 +241,19 @@ def _worker(key: bytes):
             return text, {}
         found: list[tuple[int, int, str, str]] = []
         for kind, pattern, fn in kinds:
-            for m in pattern.finditer(text):
-                a, b = m.span()
-                if any(a < y and x < b for x, y, _, _ in found):
-                    continue
-                if (new := fn(p, m[0])) is not None:
-                    found.append((a, b, kind, new))
+            at = 0
+            while m := pattern.search(text, at):
+                a, at = m.start(), m.end()
+                # what follows an IBAN may look like more of it, or be the next one
+                for b in [a + e for e in iban_ends(m[0])] if kind == "iban" else [m.end()]:
+                    if any(a < y and x < b for x, y, _, _ in found):
+                        continue
+                    if (new := fn(p, text[a:b])) is not None:
+                        found.append((a, b, kind, new))
+                        at = b
+                        break
+                else:
+                    at = a + 1 if kind == "iban" else at
         counts: dict[str, int] = {}
         out, at = [], 0
         for a, b, kind, new in sorted(found):

@@ -77,6 +77,20 @@ def test_pseudonyms_keep_format_validity_and_links(docs):
     assert len(rows) == 12 and {r.doc_id: r.text for r in rows}[2] is None and {r.doc_id: r.text for r in rows}[3] == ""
 
 
+def test_an_iban_before_other_capitals_and_numbers():
+    one = pii._worker(b"k")
+    plain, spaced = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    alone = {v: one(v)[0] for v in (plain, spaced)}
+    assert all(alone[v] != v for v in alone)
+    for v in alone:
+        for tail in (" I paid", " 12 times", " A 7", " USD 500 NOW", " X", ""):
+            assert one(v + tail) == (alone[v] + tail, {"iban": 1})
+    for first, then in ((plain, spaced), (spaced, plain), (spaced, spaced)):
+        assert one(f"{first} {then} I paid") == (f"{alone[first]} {alone[then]} I paid", {"iban": 2})
+    assert one(f"AB12 3456 {plain} OK") == (f"AB12 3456 {alone[plain]} OK", {"iban": 1})
+    assert one("DE89370400440532013001 I paid") == ("DE89370400440532013001 I paid", {})
+
+
 def test_chat_round_trip_and_awkward_rows(spark):
     texts = ["plain", "<|im_end|>", "<\\|im_end|>", "<|im_start|>user\nhi<|im_end|>\n", "", None, "ends with <", "|im_end|>", "a\nb"]
     for role in ("user", "assistant", "odd\nrole", "<|im_end|>%0A", ""):
