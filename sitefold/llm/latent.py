@@ -4,8 +4,8 @@ Passages are windows of blocks of words. The corpus's TF-IDF matrix over the wor
 of all documents) is factorised by a distributed randomised SVD: every task sends its share of A'(A W) for one random W, the shares are
 summed per term, and the small eigenproblem that is left is solved on the driver. Coordinates are scaled to equal variance, so that what all
 passages of a language share does not count. Each passage whose cosine with an item in the latent
-space is high enough is a candidate; it is a leak if the longest common subsequence covers enough of the item's words, and of its answer:
-what follows an answer mark, or else its last words.
+space is high enough is a candidate; it is a leak if the longest common subsequence covers enough of the item's words, and of what follows
+its answer mark where it has one.
 
 The benchmark is taken in blocks of ITEMS items, each against all documents; what is broadcast is bounded by a block.
 
@@ -35,7 +35,7 @@ RANK, SPARE = 128, 8
 MAX_SHARE = 0.02           # a term in more than this share of all blocks weighs nothing, unless its item has fewer than FEW others
 FEW = 3
 COSINE, COMMON, ANSWER_COMMON = 0.25, 0.75, 0.6
-ANSWER_WORDS, SHORT = 5, 8
+SHORT = 8
 _ANSWER = re.compile(r"(?:^|\s)(?:answer|antwort|réponse|respuesta)\s*[:=]", re.I)
 # Bytes that are no part of a word: ASCII other than letters and digits.
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -76,7 +76,7 @@ class Items:
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
         split = [(i, words(t), words(t[m.end():]) if (m := _ANSWER.search(t)) else []) for i, t in rows]
-        split = [(i, w, a or w[-ANSWER_WORDS:]) for i, w, a in split if w]
+        split = [(i, w, a) for i, w, a in split if w]
         terms = sorted({w for _, ws, _ in split for w in ws})
         return cls([i for i, _, _ in split], [w for _, w, _ in split], [a for _, _, a in split], [frozenset(w) for _, w, _ in split], {w: n for n, w in enumerate(terms)}, *cls._hashed(terms))
 
@@ -87,7 +87,7 @@ class Items:
         return np.sort(h), np.argsort(h)
 
     def found_in(self, item: int, passage: list[bytes]) -> float:
-        """The share of the item's words in common order, or 0 if that or its answer's is too small."""
+        """The share of the item's words in common order, or 0 if that or, where it has one, its answer's is too small."""
         mine = self.words[item]
         if len(mine) < SHORT:
             return float(b" " + b" ".join(mine) + b" " in b" " + b" ".join(passage) + b" ")

@@ -205,6 +205,21 @@ def test_benchmark_passages_are_found_and_nothing_else(spark, table, docs):
     assert latent.leaks(docs.limit(0), bench).collect() == [] and latent.leaks(docs, bench.limit(0)).collect() == []
 
 
+def test_paraphrased_benchmark_passages_are_found(spark, table):
+    rng, others = np.random.default_rng(9), [t for _, t in table if t]
+    items = [(r.item_id, latent.words(r.text)) for r in queries.table(spark, SF, "benchmark").collect()]
+    said, planted = [], set()
+    for n, (i, w) in enumerate((i, w) for i, w in items * 4 if len(w) >= latent.SHORT):
+        new = [b"reworded" + str(k).encode() if k in changed else x for changed in [set(rng.permutation(len(w))[:len(w) // 5].tolist())] for k, x in enumerate(w)]
+        before, after = (" ".join(others[int(rng.integers(len(others)))].split()[:60]) for _ in range(2))
+        said.append((10_000 + n, f"{before} {b' '.join(new).decode()} {after}"))
+        planted.add((10_000 + n, i))
+    docs = queries.table(spark, SF, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(said, "doc_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in latent.leaks(docs, queries.table(spark, SF, "benchmark")).collect()}
+    print("planted", len(planted), "found", len(planted & found))
+    assert len(planted & found) >= 0.99 * len(planted)
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(30):
