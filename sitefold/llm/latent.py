@@ -4,7 +4,7 @@ Passages are windows of blocks of words. The corpus's TF-IDF matrix over the wor
 of all documents) is factorised by a distributed randomised SVD: every task sends its share of A'(A W) for one random W, the shares are
 summed per term, and the small eigenproblem that is left is solved on the driver. Coordinates are scaled to equal variance, so that what all
 passages of a language share does not count. Each passage whose cosine with an item in the latent
-space is high enough is a candidate; it is a leak if the longest common subsequence covers enough of the item's words, and of what follows
+space is high enough, or which has as many of the item's less usual words as a leak must have, is a candidate; it is a leak if the longest common subsequence covers enough of the item's words, and of what follows
 its answer mark where it has one.
 
 The benchmark is taken in blocks of ITEMS items, each against all documents; what is broadcast is bounded by a block.
@@ -31,10 +31,10 @@ from sitefold.runtime import ship_package
 
 ITEMS = 2_000
 BLOCK = 16                 # words of a block; the shortest windows are two blocks
-RANK, SPARE = 128, 8
-MAX_SHARE = 0.02           # a term in more than this share of all blocks weighs nothing, unless its item has fewer than FEW others
+RANK, SPARE = 128, 16
+MAX_SHARE = 0.05           # a term in more than this share of all blocks weighs nothing, unless its item has fewer than FEW others
 FEW = 3
-COSINE, COMMON, ANSWER_COMMON = 0.25, 0.75, 0.6
+COSINE, COMMON, ANSWER_COMMON = 0.2, 0.75, 0.6
 SHORT = 8
 _ANSWER = re.compile(r"(?:^|\s)(?:answer|antwort|réponse|respuesta)\s*[:=]", re.I)
 # Bytes that are no part of a word: ASCII other than letters and digits.
@@ -153,6 +153,13 @@ def _sketch(batches, items: Items, idf: np.ndarray, omega: np.ndarray) -> Iterat
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(y[some, j]) for j in range(y.shape[1]))], names=["term", *(f"y{j}" for j in range(y.shape[1]))])
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of many ranges in turn: which range, and the number."""
+    size = end - begin
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + begin[which]
+
+
 def _matches(batches, items: Items, latent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(id, item, cosine, share) of each document's leaks: per item the passage with the largest share."""
     lengths, heard = np.array([len(w) for w in items.words]), np.abs(latent).sum(1) > 0
@@ -167,6 +174,16 @@ def _matches(batches, items: Items, latent: np.ndarray) -> Iterator[pa.RecordBat
         if lengths.max() <= reach:
             break
         reach *= 2
+    # of those, how many must be among the words that are heard: a passage with as many is a candidate whatever its cosine
+    v, m = len(items.vocabulary), len(items.ids)
+    bags = [np.array(sorted(items.vocabulary[w] for w in bag)) for bag in items.bags]
+    rare = np.array([n - int((~heard[bag]).sum()) for n, bag in zip(need, bags)])
+    member, holder = np.concatenate(bags), np.repeat(np.arange(m), [len(bag) for bag in bags])
+    order = np.argsort(member, kind="stable")
+    holder, posted = holder[order], np.searchsorted(member[order], np.arange(v + 1))
+    column = np.zeros(m, np.int64)
+    for _, mine in scales:
+        column[mine] = np.arange(len(mine))
     for b in _parts(batches):
         cleaned, term, block, first = _terms(b.column("text").to_pylist(), items)
         sums = np.zeros((int(first[-1]), latent.shape[1]), np.float32)
@@ -187,8 +204,16 @@ def _matches(batches, items: Items, latent: np.ndarray) -> Iterator[pa.RecordBat
             w = running[to] - running[at]
             w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
             cosine = w @ q[mine].T
+            hit, lo, hi = cosine >= COSINE, np.maximum(at - 1, first[owner[at]]), np.minimum(at + 2 * step + 1, first[owner[at] + 1])
+            of, entry = _ranges(np.searchsorted(block, lo), np.searchsorted(block, hi))
+            which, place = _ranges(posted[term[entry]], posted[term[entry] + 1])
+            here = np.isin(holder[place], mine)
+            found = np.unique((of[which[here]] * m + holder[place[here]]) * v + term[entry[which[here]]]) // v
+            pair, times = np.unique(found, return_counts=True)
+            pair = pair[(times >= rare[pair % m]) & (rare[pair % m] > 0)]
+            hit[pair // m, column[pair % m]] = True
             seen = -1
-            for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE))):
+            for i, j in zip(*(x.tolist() for x in np.nonzero(hit))):
                 if i != seen:
                     seen, doc, a = i, int(owner[at[i]]), int(nth[at[i]]) * BLOCK
                     if doc not in split:

@@ -205,6 +205,15 @@ def test_benchmark_passages_are_found_and_nothing_else(spark, table, docs):
     assert latent.leaks(docs.limit(0), bench).collect() == [] and latent.leaks(docs, bench.limit(0)).collect() == []
 
 
+def test_benchmark_passage_that_breaks_off_is_found(spark):
+    item = [f"word{k}" for k in range(59)]
+    rows = [(1, "some text before " + " ".join(item[:54])), (2, " ".join(item[:46]) + " and then another end"), (3, " ".join(item[:40])), (4, " ".join(item[:50]) + " answer: no")]
+    bench = [(1, " ".join(item)), (2, " ".join(item[:50]) + " Answer: nine of the seven")]
+    docs = queries.table(spark, SF, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in rows], "doc_id long, text string"))
+    found = latent.leaks(docs, spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(10_001, 1), (10_002, 1), (10_004, 1)}
+
+
 def test_paraphrased_benchmark_passages_are_found(spark, table):
     rng, others = np.random.default_rng(9), [t for _, t in table if t]
     items = [(r.item_id, latent.words(r.text)) for r in queries.table(spark, SF, "benchmark").collect()]
