@@ -125,6 +125,44 @@ def op7_paragraph_dedup(spark, d):
     return paragraphs.remove_repeats(table(spark, d, "documents"))
 
 
+@query("op12_filter_interactions", r"""
+with d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, min(doc_id) over (partition by coalesce(text, '')) as first_id from documents
+), l as (
+  select doc_id, max(quality) = 1 as good, max(toxic) = 1 as bad from labels group by doc_id
+), w as (
+  select d.*, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as words, coalesce(good, false) as good, coalesce(bad, false) as bad from d left join l using (doc_id)
+), m as (
+  select part, case when len(words) < 200 then 'A' else '' end || case when 100 * len(list_distinct(words)) < 50 * len(words) then 'B' else '' end
+    || case when 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end || case when doc_id > first_id then 'E' else '' end as fails,
+    count(*) as n, count(*) filter (where good) as good, count(*) filter (where bad) as bad
+  from w group by 1, 2
+), f as (select unnest(['A', 'B', 'C', 'D', 'E']) as c), o as (
+  select a.c || b.c || c.c || d.c || e.c as filter_order from f a, f b, f c, f d, f e
+  where len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+), s as (
+  select filter_order, step, substr(filter_order, step, 1) as own, substr(filter_order, 1, step - 1) as before from o, (select unnest(range(1, 6)) as step)
+), x as (
+  select part, filter_order, step, own, n, good, bad, contains(fails, own) as failing, fails = own as only_own,
+    translate(fails, before, '') = fails as still, translate(fails, before || own, '') = fails as stays
+  from s, m
+), r as (
+  select part, filter_order, cast(step as integer) as step, own,
+    cast(coalesce(sum(n) filter (where stays), 0) as bigint) as kept, cast(coalesce(sum(n) filter (where failing and still), 0) as bigint) as removed,
+    cast(coalesce(sum(n) filter (where failing and not still), 0) as bigint) as redundant, cast(coalesce(sum(n) filter (where only_own), 0) as bigint) as unique_fails,
+    cast(coalesce(sum(good) filter (where failing and still), 0) as bigint) as good_lost, cast(coalesce(sum(bad) filter (where failing and still), 0) as bigint) as toxic_lost
+  from x group by all
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  cast(sum(removed) over (partition by part, own) as bigint) as shapley
+from r""")
+def op12_filter_interactions(spark, d):
+    from sitefold.llm import interactions
+
+    return interactions.audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query("pipeline")
 def pipeline(spark, d):
     import corpus_pipeline
