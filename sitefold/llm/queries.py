@@ -125,6 +125,39 @@ def op7_paragraph_dedup(spark, d):
     return paragraphs.remove_repeats(table(spark, d, "documents"))
 
 
+@query("op11_phrase_collocations", r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), w as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p
+), total as (
+  select lang, cast(sum(len(ws)) as bigint) as n from w group by lang
+), f as (
+  select lang, k, list_slice(ws, i, i + k - 1) as words, count(*) as a
+  from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, (select unnest([1, 2, 3, 4]) as k) where len(ws) >= k) group by all
+), c as (
+  select * from f where k >= 2 and a >= 30
+), cut as (
+  select c.lang, c.words, c.a, j, x.a as l, y.a as r, cast(2000000 as hugeint) * c.a // (x.a + y.a) as score
+  from (select *, unnest(range(1, k)) as j from c) c
+  join f x on x.lang = c.lang and x.words = list_slice(c.words, 1, c.j) join f y on y.lang = c.lang and y.words = list_slice(c.words, c.j + 1, c.k)
+), best as (
+  select * from cut qualify row_number() over (partition by lang, words order by score, j) = 1
+), inner_words as (
+  select lang, list_slice(words, i, i + m - 1) as words, max(a) as longer
+  from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from c)) group by 1, 2
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(words, ' ')) as rank, array_to_string(words, ' ') as phrase, a, l, r, n,
+  cast(score as bigint) as score
+from best left join inner_words using (lang, words) join total using (lang)
+where longer is null or 100 * longer < 80 * a
+qualify rank <= 2000""")
+def op11_phrase_collocations(spark, d):
+    from sitefold.llm import phrases
+
+    return phrases.collocations(table(spark, d, "documents"))
+
+
 @query("op12_filter_interactions", r"""
 with d as (
   select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, min(doc_id) over (partition by coalesce(text, '')) as first_id from documents
