@@ -196,6 +196,13 @@ def op12_filter_interactions(spark, d):
     return interactions.audit(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+@query("op13_ngram_jaccard_join")
+def op13_ngram_jaccard_join(spark, d):
+    from sitefold.llm import relations
+
+    return relations.join_components(table(spark, d, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, d):
     import corpus_pipeline
