@@ -354,9 +354,7 @@ def packed_first_stages(df: DataFrame, g: str, width: int, x: str = "x", y: str
     Each task reduces its rows to one cross-product matrix per site; what remains per site are the
     six scalar moments of (xhat, x, y), in the layout `fit` takes.
     """
-    cols = [f"g{j:05d}" for j in range(width)] + ["zx", "zy"]
-    rows = df.select(*by, *[F.col(g)[j].cast("double").alias(c) for j, c in enumerate(cols[:-2])], F.col(x).alias("zx"), F.col(y).alias("zy"))
-    a = mo.moments_arrays(rows, cols, by)
+    a = mo.moments_arrays(df, [x, y], by, g, width)
     s = a.select(*by, "n", "mean", mx.first_stage_packed("m2", F.lit(width)).alias("_p"))
     xx, xy, yy, px, py = (F.col("_p")[i] for i in range(5))
     return s.select(*by, "n", F.col("mean")[width].alias(f"m_{x}"), F.col("mean")[width].alias("m_xhat"), F.col("mean")[width + 1].alias(f"m_{y}"),

@@ -7,19 +7,18 @@ the map side, and a shuffle whose size is (groups x pairs), never rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitefold.runtime import cut, join_small
+from sitefold.runtime import join_small
 
-# Beyond this many columns the pair expressions stop fitting one generated aggregate.
-EXPRESSION_WIDTH = 8
-# Matrix cells one task holds before it hands its partial sums over.
-TASK_CELLS = 20_000_000
+TILE = 64                  # columns of a tile: a tile of the product is TILE x TILE numbers
+MERGE_WAYS = 32            # parts of a tile that meet first, before those meet
+TASK_CELLS = 20_000_000    # matrix cells one task holds before it hands its partial sums over
 
 
 def s_name(a: str, b: str) -> str:
@@ -44,19 +43,26 @@ def gram(a: Sequence[str], b: Sequence[str]) -> list[list[Column]]:
     return [[S(i, j) for j in b] for i in a]
 
 
+def complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The rule for nulls in every kernel: a row without a value in one of the columns counts nowhere, as in a fit of those columns.
+    NaN is a value and spreads. A group without a complete row has no statistics."""
+    return df.where(" and ".join(f"`{c}` is not null" for c in cols)) if cols else df
+
+
 def moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("site",), origin: dict[str, float] | None = None) -> DataFrame:
-    """n, means and centred cross-products of `cols` per group, in one pass.
+    """n, means and centred cross-products of `cols` per group over complete rows, in one pass.
 
     covar_pop is a Welford-type running aggregate, so no large raw sums are subtracted. Where an
     earlier pass already gave a rough centre for each column (`origin`), plain sums of shifted
-    products are as accurate and several times cheaper per row. Wide column lists without an origin
-    go through the Arrow kernel.
+    products are as accurate and several times cheaper per row. More expressions than Spark compiles into
+    one aggregate go through the tile kernel, which follows the same rules and gives the same table.
     """
     cols = sorted(set(cols))
+    if not df.isStreaming and 1 + len(cols) + len(pairs(cols)) > int(df.sparkSession.conf.get("spark.sql.codegen.maxFields")):
+        return moments_blocked(df, cols, by)
+    df = complete(df, cols)
     if origin is not None:
         return _shifted_moments(df, cols, by, origin)
-    if len(cols) > EXPRESSION_WIDTH:
-        return moments_blocked(df, cols, by)
     n = F.count(F.lit(1))
     aggs = [n.alias("n")] + [F.avg(c).alias(f"m_{c}") for c in cols]
     aggs += [(F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")) * n).alias(s_name(a, b))
@@ -83,8 +89,104 @@ def centres(m: DataFrame, squares: Sequence[str] = ()) -> dict[str, float]:
     return m.agg(*aggs).first().asDict()
 
 
+def _key_schema(df: DataFrame, by: Sequence[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+
+
+def group_codes(batch: pa.RecordBatch, by: Sequence[str]) -> tuple[np.ndarray, pa.RecordBatch]:
+    """A number for each row's group, and the keys of the groups in the order of the numbers."""
+    if not by:
+        return np.zeros(batch.num_rows, np.int64), batch.select([]).slice(0, 1)
+    keys = batch.select(list(by)).to_pandas()
+    codes = keys.groupby(list(by), sort=False, dropna=False).ngroup().to_numpy()
+    _, first = np.unique(codes, return_index=True)
+    return codes, batch.select(list(by)).take(pa.array(first))
+
+
+def merged(n: np.ndarray, mean_i: np.ndarray, mean_j: np.ndarray, m2: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """One (n, means, centred products) of several: the products add up, and so do those of the deviations of the means."""
+    total = n.sum()
+    gi, gj = n @ mean_i / total, n @ mean_j / total
+    return int(total), gi, gj, m2.sum(0) + ((mean_i - gi) * n[:, None]).T @ (mean_j - gj)
+
+
+def _tile_rows(batches: Iterator[pa.RecordBatch], by: Sequence[str], width: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    salt = TaskContext.get().partitionId() % MERGE_WAYS
+    state: dict[tuple, list] = {}
+
+    def emitted() -> Iterator[pa.RecordBatch]:
+        for key, (row, n, mean, m2) in state.items():
+            for i in range(0, width, TILE):
+                for j in range(i, width, TILE):
+                    values = [pa.array([i // TILE], pa.int32()), pa.array([j // TILE], pa.int32()), pa.array([salt], pa.int32()), pa.array([n], pa.int64()),
+                              *(pa.array([v], pa.list_(pa.float64())) for v in (mean[i:i + TILE], mean[j:j + TILE], m2[i:i + TILE, j:j + TILE].ravel()))]
+                    yield pa.RecordBatch.from_arrays([*row.columns, *values], names=names)
+
+    for b in batches:
+        codes, keys = group_codes(b, by)
+        v = np.asarray(b.column("_v").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, width)
+        for k in range(codes.max() + 1 if len(codes) else 0):
+            part = v[codes == k]
+            n, mean = len(part), part.mean(axis=0)
+            m2 = (part - mean).T @ (part - mean)
+            row = keys.slice(k, 1)
+            key = tuple(row.to_pylist()[0].values()) if by else ()
+            if key in state:
+                _, n0, mean0, m0 = state[key]
+                step, total = mean - mean0, n0 + n
+                state[key][1:] = [total, mean0 + step * (n / total), m0 + m2 + np.outer(step, step) * (n0 * n / total)]
+            else:
+                state[key] = [row, n, mean, m2]
+        # many groups with wide matrices: hand over what is held and go on, parts merge exactly
+        if len(state) * width * width > TASK_CELLS:
+            yield from emitted()
+            state.clear()
+    yield from emitted()
+
+
+def moment_tiles(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("site",), array: str | None = None, width: int = 0) -> DataFrame:
+    """(group, i, j, n, mean_i, mean_j, m2): tiles i <= j of the centred cross-products, TILE columns each, row by row.
+
+    `cols` are scalar columns; `array`, if given, is a column of `width` numbers that come first. A task reduces its batches by one matrix
+    product each and hands over tiles with the means of their own columns only; equal tiles meet in MERGE_WAYS parts, then as one, so
+    neither a group nor a matrix has to pass through one task.
+    """
+    by, width = list(by), width + len(cols)
+    values = [F.col(c).cast("double") for c in cols]
+    packed = F.concat(F.transform(F.col(array), lambda e: e.cast("double")), F.array(*values)) if array else F.array(*values)
+    rows = complete(df, [*cols, *([array] if array else [])]).select(*by, packed.alias("_v"))
+    if array:
+        rows = rows.where(F.when(F.size("_v") != width, F.raise_error(F.lit(f"{array}: not {width - len(cols)} numbers in every row")).cast("boolean")).otherwise(~F.exists("_v", lambda e: e.isNull())))
+    names = [*by, "i", "j", "salt", "n", "mean_i", "mean_j", "m2"]
+    schema = f"{_key_schema(df, by)}i int, j int, salt int, n long, mean_i array<double>, mean_j array<double>, m2 array<double>"
+    parts = rows.mapInArrow(lambda batches: _tile_rows(batches, by, width, names), schema)
+
+    def merge(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        mi, mj = flat("mean_i"), flat("mean_j")
+        n, gi, gj, m2 = merged(t.column("n").to_numpy().astype(np.float64), mi, mj, flat("m2").reshape(t.num_rows, mi.shape[1], mj.shape[1]))
+        values = [pa.array([n], pa.int64()), *(pa.array([v], pa.list_(pa.float64())) for v in (gi, gj, m2.ravel()))]
+        return pa.table([*t.select([*by, "i", "j", "salt"]).slice(0, 1).columns, *values], names=names)
+
+    for keys in ([*by, "i", "j", "salt"], [*by, "i", "j"]):
+        parts = parts.groupBy(*keys).applyInArrow(merge, schema)
+    return parts.drop("salt")
+
+
+def moment_cells(tiles: DataFrame, names: Sequence[str], by: Sequence[str] = ("site",)) -> DataFrame:
+    """(group, a, b, n, mean_a, mean_b, sxy), one row per pair of columns, of tiles whose columns are called `names`."""
+    named = F.array(*[F.lit(c) for c in names])
+    row, col = F.expr("p div size(mean_j)").cast("int"), F.expr("p % size(mean_j)").cast("int")
+    cells = tiles.select(*by, "i", "j", "n", "mean_i", "mean_j", F.posexplode("m2").alias("p", "sxy"))
+    cells = cells.select(*by, "n", (F.col("i") * TILE + row).alias("x"), (F.col("j") * TILE + col).alias("y"), F.get("mean_i", row).alias("mean_a"), F.get("mean_j", col).alias("mean_b"), "sxy")
+    return cells.where("x <= y").select(*by, F.get(named, F.col("x")).alias("a"), F.get(named, F.col("y")).alias("b"), "n", "mean_a", "mean_b", "sxy")
+
+
 def moments_blocked(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("site",)) -> DataFrame:
-    """Same result for wide column lists, from the array kernel."""
+    """The table of `moments` for wide column lists, from the tile kernel."""
     cols = sorted(set(cols))
     d = len(cols)
     a = moments_arrays(df, cols, by)
@@ -93,56 +195,22 @@ def moments_blocked(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("si
                     *[F.col("m2")[k].alias(s_name(cols[i], cols[j])) for k, (i, j) in enumerate(upper)])
 
 
-def moments_arrays(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("site",)) -> DataFrame:
-    """(n, mean, m2) per group with m2 the upper triangle of the centred cross-products, row by row.
+def moments_arrays(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("site",), array: str | None = None, width: int = 0) -> DataFrame:
+    """(n, mean, m2) per group with m2 the upper triangle of the centred cross-products, row by row: the tiles of a group put
+    together, for a solve that needs its whole matrix."""
+    by = list(by)
+    d = width + len(cols)
 
-    Each task reduces its batches to one such triple per group with one matrix product; the triples
-    merge by the pairwise update, cell by cell.
-    """
-    cols, by = list(cols), list(by)
-    d = len(cols)
+    def whole(t: pa.Table) -> pa.Table:
+        mean, m2 = np.empty(d), np.empty((d, d))
+        for r in t.select(["i", "j", "mean_i", "mean_j", "m2"]).to_pylist():
+            x, y = r["i"] * TILE, r["j"] * TILE
+            p, q = len(r["mean_i"]), len(r["mean_j"])
+            mean[x:x + p], mean[y:y + q] = r["mean_i"], r["mean_j"]
+            m2[x:x + p, y:y + q] = np.reshape(r["m2"], (p, q))
+        return pa.table([*t.select([*by, "n"]).slice(0, 1).columns, pa.array([mean], pa.list_(pa.float64())), pa.array([m2[np.triu_indices(d)]], pa.list_(pa.float64()))], names=[*by, "n", "mean", "m2"])
 
-    def emit(state):
-        return pd.DataFrame([(*key, n, mean, m2[np.triu_indices(d)]) for key, (n, mean, m2) in state.items()], columns=[*by, "n", "mean", "m2"])
-
-    def partials(batches):
-        state: dict[tuple, list] = {}
-        for pdf in batches:
-            # many groups with wide matrices: hand over what is held and go on, parts merge exactly
-            if len(state) * d * d > TASK_CELLS:
-                yield emit(state)
-                state = {}
-            for key, part in pdf.groupby(by, sort=False, dropna=False):
-                v = part[cols].to_numpy(dtype=np.float64)
-                n, mean = len(v), v.mean(axis=0)
-                m2 = (v - mean).T @ (v - mean)
-                if key in state:
-                    n0, mean0, m0 = state[key]
-                    step = mean - mean0
-                    total = n0 + n
-                    state[key] = [total, mean0 + step * (n / total), m0 + m2 + np.outer(step, step) * (n0 * n / total)]
-                else:
-                    state[key] = [n, mean, m2]
-        if state:
-            yield emit(state)
-
-    key_schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    parts = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]).mapInPandas(
-        partials, f"{key_schema}, n bigint, mean array<double>, m2 array<double>")
-    parts = cut(parts)
-    # Merging triples: the within parts add up, and so do the products of the deviations of the task
-    # means from the grand mean, weighted by the rows behind them.
-    n = F.col("n")
-    mean_cells = parts.select(*by, "n", F.posexplode("mean").alias("k", "v")).groupBy(*by, "k").agg(
-        F.sum("n").alias("total"), (F.sum(n * F.col("v")) / F.sum("n")).alias("v"))
-    means = mean_cells.groupBy(*by).agg(F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("k", "v"))).alias("g"))
-    means = means.select(*by, "total", F.transform("g", lambda e: e["v"]).alias("grand"))
-    dev = join_small(parts, means, by).withColumn("dev", F.zip_with("mean", "grand", lambda a, b: a - b))
-    between = F.flatten(F.transform("dev", lambda a, i: F.transform(F.slice("dev", i + 1, F.lit(d)), lambda b: a * b * n)))
-    cells = dev.select(*by, "total", "grand", F.posexplode(F.zip_with("m2", between, lambda a, b: a + b)).alias("k", "v"))
-    cell = cells.groupBy(*by, "k").agg(F.sum("v").alias("v"), F.first("total").alias("total"), F.first("grand").alias("grand"))
-    out = cell.groupBy(*by).agg(F.first("total").alias("n"), F.first("grand").alias("mean"), F.array_sort(F.collect_list(F.struct("k", "v"))).alias("c"))
-    return out.select(*by, "n", "mean", F.transform("c", lambda e: e["v"]).alias("m2"))
+    return moment_tiles(df, cols, by, array, width).groupBy(*by).applyInArrow(whole, f"{_key_schema(df, by)}n long, mean array<double>, m2 array<double>")
 
 
 def stat_columns(m: DataFrame) -> list[str]:

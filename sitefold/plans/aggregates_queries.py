@@ -58,6 +58,44 @@ def wide_moments(spark, d):
     return m.select("site", "n", *[r(c, 4).alias(c) for c in mo.stat_columns(m)])
 
 
+# forty columns of the fact table, each pair of them; five hundred of the customers, where a row total sums a column's products with all
+FORTY = [f"({k + 3}*l_partkey + {k * k}*l_linenumber + l_suppkey) % {5 + k % 7}" for k in range(40)]
+HUNDREDS = [f"({k + 1}*c_custkey + {k % 17}*c_nationkey) % {k % 29 + 2} + c_acctbal * {k % 3}" for k in range(500)]
+
+
+@query("forty_columns_agg3c", "AGG3", q.select([f"t AS (SELECT CAST(l_suppkey % 5 AS INT) AS site, row_number() OVER () AS id, [{', '.join(FORTY)}] AS v FROM lineitem)",
+       "u AS (SELECT site, id, unnest(range(40)) AS k, CAST(unnest(v) AS DOUBLE) AS x FROM t)", "m AS (SELECT site, k, avg(x) AS m FROM u GROUP BY ALL)",
+       "c AS (SELECT site, id, list(x - m ORDER BY k) AS v FROM u JOIN m USING (site, k) GROUP BY ALL)",
+       "p AS (SELECT site, unnest(range(40)) AS a, v, unnest(v) AS xa FROM c)", "w AS (SELECT site, a, xa, unnest(range(a, 40)) AS b, unnest(v[a + 1:40]) AS xb FROM p)"],
+       f"SELECT site, CAST(a AS INT) AS a, CAST(b AS INT) AS b, count(*) AS n, {q.rnd('sum(xa*xb)', 4)} AS sxy FROM w GROUP BY site, a, b"))
+def forty_columns(spark, d):
+    rows = fx.table(spark, d, "lineitem").select((F.col("l_suppkey") % 5).cast("int").alias("site"), *[F.expr(e).alias(str(k)) for k, e in enumerate(FORTY)])
+    c = mo.moment_cells(mo.moment_tiles(rows, [str(k) for k in range(40)]), [str(k) for k in range(40)])
+    return c.select("site", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "n", r("sxy", 4).alias("sxy"))
+
+
+@query("five_hundred_columns_agg3d", "AGG3", q.select([f"t AS (SELECT CAST(c_nationkey % 3 AS INT) AS site, [{', '.join(HUNDREDS)}] AS v FROM customer)",
+       "u AS (SELECT site, unnest(range(500)) AS k, unnest(v) AS x, list_sum(v) AS total FROM t)"],
+       f"SELECT site, CAST(k AS INT) AS k, count(*) AS n, {q.rnd('avg(x)', 3)} AS mean, round(covar_pop(x, x)*count(*) / 1e3) + 0e0 AS own, round(covar_pop(x, total)*count(*) / 1e6) + 0e0 AS row_total FROM u GROUP BY site, k"))
+def five_hundred_columns(spark, d):
+    rows = fx.table(spark, d, "customer").select((F.col("c_nationkey") % 3).cast("int").alias("site"), F.array(*[F.expr(e).cast("double") for e in HUNDREDS]).alias("v"))
+    c = mo.moment_cells(mo.moment_tiles(rows, [], array="v", width=500), [str(k) for k in range(500)])
+    both = c.select("site", F.col("a").alias("k"), "n", F.col("mean_a").alias("mean"), "sxy", (F.col("a") == F.col("b")).alias("own")).unionByName(
+        c.where("a <> b").select("site", F.col("b").alias("k"), "n", F.col("mean_b").alias("mean"), "sxy", F.lit(False).alias("own")))
+    out = both.groupBy("site", "k").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.sum(F.when(F.col("own"), F.col("sxy"))).alias("own"), F.sum("sxy").alias("row_total"))
+    return out.select("site", F.col("k").cast("int").alias("k"), "n", r("mean", 3).alias("mean"), r(F.col("own") / 1e3, 0).alias("own"), r(F.col("row_total") / 1e6, 0).alias("row_total"))
+
+
+@query("gwas_of_embeddings_agg1c", "AGG1 SRC2", q.select(["t AS (SELECT label AS site, vec_id % 7 + embedding[1]*2e0 AS x, vec_id % 11 - embedding[2]*3e0 AS y, embedding FROM embeddings)",
+       "u AS (SELECT site, x, y, unnest(range(len(embedding))) AS k, CAST(unnest(embedding) AS DOUBLE) AS g FROM t)",
+       "s AS (SELECT site, k, count(*) AS n, regr_sxx(x, g) AS gg, regr_sxy(x, g) AS gx, regr_syy(x, g) AS xx, regr_sxy(y, g) AS gy, regr_syy(y, g) AS yy FROM u GROUP BY site, k)"],
+       f"SELECT site, 'snp' || k AS snp, n, {q.rnd('gx/gg')} AS beta_x, {q.rnd('sqrt((xx - gx*gx/gg)/(n-2)/gg)')} AS se_x, {q.rnd('gy/gg')} AS beta_y, {q.rnd('sqrt((yy - gy*gy/gg)/(n-2)/gg)')} AS se_y FROM s"))
+def gwas_of_embeddings(spark, d):
+    e = fx.table(spark, d, "embeddings").select(F.col("label").alias("site"), (F.col("vec_id") % 7 + F.get("embedding", F.lit(0)).cast("double") * 2.0).alias("x"),
+                                                (F.col("vec_id") % 11 - F.get("embedding", F.lit(1)).cast("double") * 3.0).alias("y"), F.col("embedding").alias("g"))
+    return gw.gwas_long(e).select("site", "snp", "n", *[r(c).alias(c) for c in ("beta_x", "se_x", "beta_y", "se_y")])
+
+
 @query("federated_sum_agg4", "AGG4", q.select([q.MR, q.mom("mom", MCOLS), q.total("tot", MCOLS, "mom")], "SELECT CAST(n AS BIGINT) AS n, k AS absorbed, " + ", ".join(f"{q.rnd(q.s(a, b), 4)} AS {q.s(a, b)}" for a, b in q.pairs(MCOLS)) + " FROM tot"))
 def federated_sum(spark, d):
     t = mo.combine(mo.moments(fx.mr_rows(spark, d), MCOLS))
