@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,37 @@ def running_within_buckets(df: DataFrame, keys: Sequence[str], order: str, sums:
     return joined.select(*df.columns, *[(F.col(f"_o_{c}") + F.sum(c).over(inside)).alias(prefix + c) for c in sums])
 
 
+def running_log_sums(df: DataFrame, keys: Sequence[str], order: str, log: str, descending: bool = False, prefix: str = "cum_") -> DataFrame:
+    """Running log-sum-exp of `log` over one row per (keys, order) with a `_bucket`.
+
+    The pair (largest logarithm, sum scaled to it) is a monoid: buckets are reduced to one each, the pairs before every bucket are scanned per key
+    (one row per bucket), and rows are scanned inside their bucket. No spread of the logarithms makes a sum overflow or vanish.
+    """
+    keys = list(keys)
+    fields = [*df.schema.fields]
+    scaled = F.max(log).over(Window.partitionBy(*keys, "_bucket"))
+    ends = df.select(*keys, "_bucket", F.col(log).alias("_l"), scaled.alias("_m")).groupBy(*keys, "_bucket", "_m").agg(F.sum(F.exp(F.col("_l") - F.col("_m"))).alias("_s"))
+    ends = ends.select(*keys, "_bucket", (F.col("_m") + F.log("_s")).alias("_end"))
+    turn = -1 if descending else 1
+
+    def scan(values: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.argsort(turn * by.astype(np.float64), kind="stable")
+        return at, np.logaddexp.accumulate(values[at]) if len(at) else values
+
+    def before(t: pa.Table) -> pa.Table:
+        at, run = scan(t.column("_end").to_numpy(), t.column("_bucket").to_numpy())
+        return t.take(pa.array(at)).select([*keys, "_bucket"]).append_column("_before", pa.array(np.concatenate([[-np.inf], run[:-1]])))
+
+    def inside(t: pa.Table) -> pa.Table:
+        at, run = scan(t.column(log).to_numpy(), t.column(order).to_numpy())
+        rows = t.take(pa.array(at))
+        return rows.select([f.name for f in fields]).append_column(prefix + log, pa.array(np.logaddexp(run, rows.column("_before").to_numpy())))
+
+    named = lambda fs: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fs)
+    offsets = ends.groupBy(*keys).applyInArrow(before, f"{named(f for f in fields if f.name in (*keys, '_bucket'))}, _before double")
+    return df.join(offsets, [*keys, "_bucket"]).groupBy(*keys, "_bucket").applyInArrow(inside, f"{named(fields)}, `{prefix}{log}` double")
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], descending: bool = False,
                    prefix: str = "cum_") -> DataFrame:
     """Inclusive running totals of `sums` over distinct values of `order`, per `keys`.

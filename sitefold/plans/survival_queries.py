@@ -83,6 +83,18 @@ def cox_gwas_efron(spark, d):
     return sv.cox_gwas(fx.mr_surv(spark, d), fx.SNPS).select("site", "snp", r("beta").alias("beta"), r("se").alias("se"))
 
 
+# twenty imputed dosages, each a whole number and a fraction
+TWENTY = [f"(snp0*{k + 1} + snp1*{k % 5} + snp2*{k % 3 + 1}) % 3 + u*{k % 4 + 1}" for k in range(20)]
+
+
+@query("cox_gwas_imputed_srv2c", "SRV2", q.select([q.SURV, f"sg AS (SELECT site, time, event, [{', '.join(TWENTY)}] AS v FROM sv)",
+       "sl AS (SELECT site, 0 AS st, time, event, 'snp' || unnest(range(20)) AS snp, unnest(v) AS g FROM sg)", *newton_sql("site, snp", "g", "breslow", "sl")],
+       f"SELECT site, snp, {q.rnd('beta', 5)} AS beta, {q.rnd('1e0/sqrt(info)', 5)} AS se FROM b{STEPS}"))
+def cox_gwas_imputed(spark, d):
+    rows = fx.mr_surv(spark, d).withColumn("g", F.array(*[F.expr(e) for e in TWENTY]))
+    return sv.cox_gwas(rows, 20, ties="breslow").select("site", "snp", r("beta", 5).alias("beta"), r("se", 5).alias("se"))
+
+
 def predicted(spark, d):
     """Survival rows with each site's predicted exposure."""
     return fx.local_rows(fx.mr_surv(spark, d))
@@ -125,6 +137,17 @@ def partial_likelihood(spark, d):
     return sv.partial_likelihood(s, "h", ["site"]).select(r("loss").alias("loss"), "events")
 
 
+@query("partial_likelihood_wide_srv5b", "SRV5", q.select([q.SURV, "h AS (SELECT site, time, event, 400e0*(x - 5*u) AS h FROM sv)",
+       "t AS (SELECT site, time, max(h) AS top, sum(event) AS d, sum(event*h) AS dh FROM h GROUP BY site, time)",
+       "s AS (SELECT site, time, top, d, dh, sum(exp(h - top)) AS s FROM h JOIN t USING (site, time) GROUP BY ALL)",
+       "m AS (SELECT a.site, a.time, max(b.top) AS m FROM t a JOIN t b ON a.site = b.site AND b.time >= a.time GROUP BY ALL)",
+       "c AS (SELECT a.site, a.time, m, sum(b.s*exp(b.top - m)) AS cs FROM m a JOIN s b ON a.site = b.site AND b.time >= a.time GROUP BY ALL)"],
+       f"SELECT {q.rnd('-(sum(dh) - sum(d*(m + ln(cs))))/sum(d)')} AS loss, CAST(sum(d) AS BIGINT) AS events FROM t JOIN c USING (site, time)"))
+def partial_likelihood_wide(spark, d):
+    s = fx.mr_surv(spark, d).withColumn("h", 400.0 * (F.col("x") - 5 * F.col("u")))
+    return sv.partial_likelihood(s, "h", ["site"]).select(r("loss").alias("loss"), "events")
+
+
 CPAIRS = """c AS (SELECT site, time, event, x, count(*) AS n FROM sv GROUP BY ALL),
 p AS (SELECT a.site, sum(a.n*b.n) AS pairs, sum(CASE WHEN a.x > b.x THEN a.n*b.n WHEN a.x = b.x THEN a.n*b.n/2e0 ELSE 0e0 END) AS good
  FROM c a JOIN c b ON a.site = b.site AND a.event = 1 AND (b.time > a.time OR (b.time = a.time AND b.event = 0)) GROUP BY a.site)"""

@@ -67,15 +67,13 @@ def test_unknown_tie_rule(spark, small):
         sv.cox(spark.createDataFrame(small), ["x"], ties="exact")
 
 
-def test_one_huge_tie_is_summed_exactly(spark):
+def test_one_huge_tie_is_summed_exactly():
     """Efron sums of ties far larger than the explicit part, up to everyone at risk failing at once."""
-    from pyspark.sql import functions as F
-
-    for d, s0, e0 in ((1, 5.0, 0.4), (17, 40.0, 12.0), (500, 900.0, 430.0), (4000, 3111.0, 3111.0), (30000, 2.0e7, 1.9e4)):
+    cases = ((1, 5.0, 0.4), (17, 40.0, 12.0), (500, 900.0, 430.0), (4000, 3111.0, 3111.0), (30000, 2.0e7, 1.9e4))
+    got = sv.tie_sums(*(np.array(c) for c in zip(*cases)), "efron")
+    for k, (d, s0, e0) in enumerate(cases):
         q = s0 - np.arange(d) / d * e0
-        i1, i2, lg = sv._tie_sums(F.lit(d), F.lit(s0), F.lit(e0), "efron")
-        got = spark.range(1).select(i1, i2, lg).first()
-        np.testing.assert_allclose(got, [(1 / q).sum(), (1 / q**2).sum(), np.log(q).sum()], rtol=1e-11)
+        np.testing.assert_allclose([g[k] for g in got], [(1 / q).sum(), (1 / q**2).sum(), np.log(q).sum()], rtol=1e-11)
 
 
 def test_heavily_tied_times(spark):
@@ -92,12 +90,64 @@ def test_heavily_tied_times(spark):
     assert abs(got["beta"] - b[0]) < 1e-9 and abs(got["se"] - se[0]) < 1e-9
 
 
-def test_a_constant_instrument_has_no_slope_and_a_fractional_dosage_is_refused(spark, small):
-    df = spark.createDataFrame(small)
-    got = {r["snp"]: r for r in sv.cox_gwas(df.withColumn("flat", F.lit(1)), ["snp0", "flat"]).filter("site = 0").collect()}
-    assert got["flat"]["beta"] is None and got["snp0"]["beta"] is not None and got["snp0"]["converged"]
-    with pytest.raises(Exception, match="dosage"):
-        sv.cox_gwas(df.withColumn("snp0", F.lit(0.4)), ["snp0"]).collect()
+@pytest.mark.parametrize("ties", ["efron", "breslow"])
+def test_imputed_dosages_and_missing_ones(spark, small, ties, monkeypatch):
+    """Any dosage, as columns or packed, with rows that lack one, over several passes and many partitions."""
+    rng = np.random.default_rng(9)
+    p = small.assign(a=small.snp0 + rng.normal(size=len(small)) * 0.2, flat=1.0)
+    missing = rng.random(len(p)) < 0.2
+    df = spark.createDataFrame(p.assign(id=range(len(p)))).withColumn("b", F.when(~F.col("id").isin(np.flatnonzero(missing).tolist()), F.col("a") * F.col("u")))
+    monkeypatch.setattr(sv, "MODELS", 2)
+    got = {(r["site"], r["snp"]): r for r in sv.cox_gwas(df, ["a", "b", "flat"], ties=ties).collect()}
+    packed = {(r["site"], r["snp"]): r for r in sv.cox_gwas(df.withColumn("g", F.array("a", "b")), 2, ties=ties).collect()}
+    assert len(got) == 9 and len(packed) == 6
+    for s, part in p.groupby("site"):
+        b, se = brute.cox(part[["a"]], part.time.to_numpy(), part.event.to_numpy(), np.zeros(len(part)), ties)
+        some = part[~missing[part.index]]
+        c, sc = brute.cox((some.a * some.u).to_frame(), some.time.to_numpy(), some.event.to_numpy(), np.zeros(len(some)), ties)
+        for name, want, err, k in (("a", b[0], se[0], 0), ("b", c[0], sc[0], 1)):
+            for r in (got[s, name], packed[s, f"snp{k}"]):
+                assert r["converged"] and abs(r["beta"] - want) < 1e-8 and abs(r["se"] - err) < 1e-8
+        assert got[s, "flat"]["beta"] is None and got[s, "flat"]["se"] is None
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_ties_and_strata_that_span_partitions(spark, parts, monkeypatch):
+    """One time holds half of the rows, one stratum most of them; packs of few rows."""
+    rng = np.random.default_rng(parts)
+    n = 500
+    p = pd.DataFrame({"x": rng.normal(size=n).round(3), "u": rng.normal(size=n).round(3), "site": rng.choice(4, n, p=[.85, .05, .05, .05]), "id": range(n)})
+    p["time"] = np.where(rng.random(n) < 0.5, 3.0, rng.integers(1, 6, n)).astype(float)
+    p["event"] = (rng.random(n) < 0.6).astype(int)
+    monkeypatch.setattr(sv.od, "bucket_count", lambda df: parts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = spark.createDataFrame(p)
+        rows = sv._dealt(df, F.array("x"), 1 << 20, ["site"], "time", "event")
+        assert rows.count() > 20
+        for strata, codes in (([], np.zeros(n)), (["site"], p.site.to_numpy())):
+            for ties in sv.TIES:
+                b, se = brute.cox(p[["x", "u"]], p.time.to_numpy(), p.event.to_numpy(), codes, ties)
+                got = {r["term"]: r for r in sv.cox(df, ["x", "u"], strata, ties=ties).collect()}
+                assert all(abs(got[c]["beta"] - b[i]) < 1e-8 and abs(got[c]["se"] - se[i]) < 1e-8 for i, c in enumerate(("x", "u")))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_loss_of_any_spread(spark, small):
+    """Log hazards 2,000 apart: what is at risk late is tiny beside what was at risk early."""
+    three = spark.createDataFrame([(1.0, 1, 1000.0), (2.0, 1, 0.0), (3.0, 0, 1.0)], "time double, event int, h double")
+    want = -np.mean([0.0, 0.0 - np.log(np.exp(0.0) + np.exp(1.0))])
+    assert abs(sv.partial_likelihood(three, "h").first()["loss"] - want) < 1e-12
+    rng = np.random.default_rng(1)
+    p = small.assign(h=rng.uniform(-1000, 1000, len(small)))
+    for strata in ([], ["site"]):
+        want = []
+        for i in np.flatnonzero(p.event):
+            at = (p.time >= p.time[i]) & ((p.site == p.site[i]) if strata else True)
+            want.append(np.logaddexp.reduce(p.h[at]) - p.h[i])
+        got = sv.partial_likelihood(spark.createDataFrame(p), "h", strata).first()
+        assert abs(got["loss"] - np.mean(want)) < 1e-9 * np.mean(want) and got["events"] == len(want)
 
 
 def test_loss_of_large_hazards_and_a_fit_that_does_not_converge(spark, small):
