@@ -134,6 +134,22 @@ def bootstrap_interval(spark, d):
     return cv.parameter_interval(bs.two_stage(m, fx.SNPS, "2sps"))
 
 
+@query("bootstrap_draws_cf5c", "CF5", q.select([q.MR], "SELECT CAST(rep AS INT) AS rep, site, count(*) AS draws FROM mr, (SELECT unnest(range(200)) AS rep) WHERE fold < 4 GROUP BY rep, site"))
+def bootstrap_draws(spark, d):
+    return bs.draws(fx.mr_rows(spark, d).filter("fold < 4"), ROW_ID, 200, 1)
+
+
+@query("bootstrap_curved_cf5d", "CF5 AGG22 CF1")
+def bootstrap_curved(spark, d):
+    """Bands of quadratic curves by the three methods, 200 exact replicates each."""
+    train, out = fx.mr_rows(spark, d).filter("fold < 4"), None
+    for method in cf.METHODS:
+        fits = bs.curve_replicates(train, fx.SNPS, ROW_ID, 200, method, 2, (), 1)
+        band = cv.percentile_band(cf.curve_from_coef(fits, 2, 2, (), ("rep",))).withColumn("method", F.lit(method))
+        out = band if out is None else out.unionByName(band)
+    return out
+
+
 @query("regression_metrics_met1", "MET1", q.select([q.MR], f"SELECT site, {q.rnd('avg((y-0.9e0*x)*(y-0.9e0*x))')} AS mse, {q.rnd('avg(abs(y-0.9e0*x))')} AS mae, {q.rnd('1e0 - sum((y-0.9e0*x)*(y-0.9e0*x))/(var_pop(y)*count(*))')} AS r2 FROM mr GROUP BY site"))
 def regression_metrics(spark, d):
     p = fx.mr_rows(spark, d).withColumn("pred", 0.9 * F.col("x"))

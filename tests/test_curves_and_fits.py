@@ -93,26 +93,52 @@ def test_poisson_replicates_are_weighted_moments(mr, pdf):
     assert {(r["rep"], r["site"]): r["n"] for r in again.collect()} == {(r["rep"], r["site"]): r["n"] for r in m.collect()}
 
 
-def test_multinomial_replicates_draw_exactly_n(mr):
-    ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "y"]
-    c = bs.multinomial_counts(mr, ids, 2, 9).groupBy("rep", "site").agg(F.sum("times").alias("t")).toPandas()
-    n = {r["site"]: r["count"] for r in mr.groupBy("site").count().collect()}
-    assert len(c) == 10 and all(r.t == n[r.site] for r in c.itertuples())
+def exact_draws(spark, mr, n_boot, seed):
+    rows = bs.multinomial_counts(mr, IDS, n_boot, seed).toPandas()
+    return {(r.site, r.row): np.array(r.times) for r in rows.itertuples()}, rows
 
 
-def test_bootstrap_centres_on_the_point_estimate(mr):
-    from sitefold.operators import iv
+IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "y"]
 
-    ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "y"]
-    m = bs.replicate_moments(mr, ["snp0", "snp1", "x", "y"], ids, 100, 1)
-    t = bs.two_stage(m, ["snp0", "snp1"], "2sri").toPandas().theta_1
-    e = iv.local_first_stages(mr, ["snp0", "snp1"]).estimates().first()
-    assert abs(t.mean() - e["theta"]) < 0.4 * e["se"] and 0.7 < t.std() / e["robust_se"] < 1.3
-
-
-def test_metric_edge_cases(spark):
-    df = spark.createDataFrame([(0, 0.2), (0, 0.3)], "y int, p double")
-    r = me.classification(df, "p", "y").first()
-    assert r["precision"] == 0.0 and r["recall"] == 0.0 and r["f1"] == 0.0 and r["accuracy"] == 1.0
-    v = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0]), ([1.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
-    assert [r[0] for r in v.select(sc.cosine(F.col("a"), F.col("b"))).collect()] == [None, 1.0]
+
+def test_multinomial_replicates_draw_exactly_n(spark, mr, monkeypatch):
+    monkeypatch.setattr(bs, "LEAF_ROWS", 64)
+    times, rows = exact_draws(spark, mr, 40, 9)
+    n = {r["site"]: r["count"] for r in mr.groupBy("site").count().collect()}
+    w = np.stack(rows.times)
+    for s in n:
+        own = w[(rows.site == s).to_numpy()]
+        assert len(own) == n[s] and (own.sum(0) == n[s]).all()
+        # counts of a multinomial: mean 1, variance 1 - 1/n, rows uncorrelated but for the fixed total
+        assert abs(own.var() - 1) < 0.05
+        half = own[:n[s] // 2].sum(0)
+        assert abs(half.mean() - n[s] // 2) < 4 * np.sqrt(n[s] / 4 / 40) and 0.4 < half.var() / (n[s] / 4) < 1.9
+    again, _ = exact_draws(spark, mr.repartition(7), 40, 9)
+    assert all((again[k] == v).all() for k, v in times.items())
+    other, _ = exact_draws(spark, mr, 40, 10)
+    assert not all((other.get(k, np.zeros(40)) == v).all() for k, v in times.items())
+    assert bs.draws(mr.limit(0), IDS, 3).collect() == []
+    assert {(r["rep"], r["site"], r["draws"]) for r in bs.draws(mr, IDS, 3).collect()} == {(b, s, k) for b in range(3) for s, k in n.items()}
+
+
+@pytest.mark.parametrize("method", cf.METHODS)
+@pytest.mark.parametrize("degree, knots", [(1, ()), (2, ()), (1, (2.5,))])
+def test_curved_replicates_are_weighted_two_stage_fits(spark, mr, method, degree, knots, monkeypatch):
+    monkeypatch.setattr(bs, "LEAF_ROWS", 256)
+    times, _ = exact_draws(spark, mr, 3, 4)
+    p = mr.select("site", "snp0", "snp1", "x", "y", F.xxhash64(F.lit(4), *IDS).alias("h")).toPandas()
+    w = np.stack([times[s, h] for s, h in zip(p.site, p.h)])
+    got = {r["rep"]: r["coef"] for r in bs.curve_replicates(mr, ["snp0", "snp1"], IDS, 3, method, degree, knots, 4).collect()}
+    for rep in range(3):
+        a, c = 0.0, 0.0
+        for s in p.site.unique():
+            k = (p.site == s).to_numpy()
+            own, q = np.sqrt(w[k, rep])[:, None], p[k]
+            z = np.column_stack([np.ones(len(q)), q.snp0, q.snp1])
+            xhat = z @ np.linalg.lstsq(z * own, q.x * own[:, 0], rcond=None)[0]
+            src = xhat if method == "2sps" else q.x.to_numpy()
+            d = np.column_stack([*(src ** j for j in range(1, degree + 1)), *(np.maximum(src - t, 0) for t in knots), *([q.x - xhat] if method == "2sri" else [])])
+            mean = lambda v: (w[k, rep] @ v) / w[k, rep].sum()
+            d, y = d - mean(d), q.y - mean(q.y)
+            a, c = a + (d * own).T @ (d * own), c + (d * own).T @ (y * own[:, 0])
+        np.testing.assert_allclose(got[rep], np.linalg.solve(a, c), rtol=1e-6, atol=1e-9)
