@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitefold.functions import matrix as mx
 from sitefold.functions import scalars as sc
+from sitefold.operators import ordered as od
 
 # The two grids curves are evaluated on, and the range parameters are read from.
 X_GRID = (-3.0, 3.0, 61)
@@ -25,24 +26,47 @@ def with_grid(df: DataFrame, grid: tuple[float, float, int] = X_GRID, name: str
     return df.withColumn("k", k).withColumn(name, F.lit(lo) + F.col("k") * F.lit((hi - lo) / (n - 1)))
 
 
-def interpolate(knots: DataFrame, points: DataFrame, by: Sequence[str], x: str = "x", f: str = "f") -> DataFrame:
-    """Piecewise-linear values at `points`, constant beyond the end knots.
+def _between(at: Column, lo: Column, hi: Column) -> Column:
+    """Linear between two knots (x, f), constant where one of them is missing."""
+    t = (at - lo["x"]) / (hi["x"] - lo["x"])
+    return (F.when(lo.isNull(), hi["f"]).when(hi.isNull(), lo["f"]).when(hi["x"] == lo["x"], lo["f"])
+            .otherwise(lo["f"] + t * (hi["f"] - lo["f"])))
+
+
+def nearest_knots(knots: DataFrame, points: DataFrame, by: Sequence[str], x: str = "x", f: str = "f") -> DataFrame:
+    """(by, x, times, lo, hi) for every distinct point: the last knot at or below it and the first at or above, as structs (x, f); `times` is how
+    often the point occurs.
 
-    Two as-of lookups in one sorted pass per curve: the last knot at or below and the first at or
-    above each point.
+    An as-of join in both directions. Knots and points of all curves are dealt over ranges of (curve, x), so one curve may fill any number
+    of tasks; windows run inside a range, and the nearest knots beyond its edges are carried over from the ranges' own first and last
+    ones, of which there is a row per range and curve. Of several knots at one x the one with the largest value counts.
     """
     by = list(by)
-    u = knots.select(*by, F.col(x).cast("double").alias("_x"), F.col(f).alias("_f"), F.lit(0).alias("_p")).unionByName(
-        points.select(*by, F.col(x).cast("double").alias("_x"), F.lit(None).cast("double").alias("_f"), F.lit(1).alias("_p")))
-    knot = F.when(F.col("_p") == 0, F.struct(F.col("_x").alias("x"), F.col("_f").alias("f")))
-    back = Window.partitionBy(*by).orderBy("_x", "_p").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy("_x", F.col("_p").desc()).rowsBetween(0, Window.unboundedFollowing)
-    u = u.withColumn("_lo", F.last(knot, ignorenulls=True).over(back)).withColumn("_hi", F.first(knot, ignorenulls=True).over(ahead))
-    lo, hi = F.col("_lo"), F.col("_hi")
-    t = (F.col("_x") - lo["x"]) / (hi["x"] - lo["x"])
-    value = (F.when(lo.isNull(), hi["f"]).when(hi.isNull(), lo["f"]).when(hi["x"] == lo["x"], lo["f"])
-             .otherwise(lo["f"] + t * (hi["f"] - lo["f"])))
-    return u.filter("_p = 1").select(*by, F.col("_x").alias(x), value.alias(f))
+    at = F.col(x).cast("double").alias("_x")
+    u = knots.where(F.col(x).isNotNull()).select(*by, at, F.col(f).cast("double").alias("_f")).groupBy(*by, "_x").agg(F.max("_f").alias("_f"), F.lit(True).alias("_knot")).unionByName(
+        points.select(*by, at).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_times")), allowMissingColumns=True)
+    u = u.groupBy(*by, "_x").agg(F.max("_f").alias("_f"), F.max("_knot").alias("_knot"), F.max("_times").alias("_times"))
+    u = od.with_buckets(u, by, "_x")
+    knot = F.when(F.col("_knot"), F.struct(F.col("_x").alias("x"), F.col("_f").alias("f")))
+    edges = u.where("_knot").groupBy(*by, "_bucket").agg(F.max_by(knot, "_x").alias("_last"), F.min_by(knot, "_x").alias("_first"))
+    # every bucket of a curve, those without a knot too: what the buckets before and after carry into it
+    every = u.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n")).join(edges, [*by, "_bucket"], "left")
+    inside = Window.partitionBy(*by).orderBy("_bucket")
+    carried = every.select(*by, "_bucket", F.last("_last", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+                           F.first("_first", ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    own = Window.partitionBy(*by, "_bucket").orderBy("_x")
+    u = u.withColumn("_k", knot).join(carried, [*by, "_bucket"])
+    lo = F.coalesce(F.last("_k", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"))
+    hi = F.coalesce(F.first("_k", ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing)), F.col("_after"))
+    return u.select(*by, F.col("_x").alias(x), F.col("_times").alias("times"), lo.alias("lo"), hi.alias("hi")).where("times is not null")
+
+
+def interpolate(knots: DataFrame, points: DataFrame, by: Sequence[str], x: str = "x", f: str = "f") -> DataFrame:
+    """Piecewise-linear values at `points`, constant beyond the end knots: one row per row of `points`. A curve without knots, and a point
+    without x, have no value."""
+    found = nearest_knots(knots, points, by, x, f)
+    value = F.when(F.col(x).isNotNull(), _between(F.col(x), F.col("lo"), F.col("hi")))
+    return found.select(*by, x, value.alias(f), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_copy")).drop("_copy")
 
 
 def value_at(knots: DataFrame, by: Sequence[str], at: float, x: str = "x", f: str = "f", name: str = "f0") -> DataFrame:
@@ -51,10 +75,7 @@ def value_at(knots: DataFrame, by: Sequence[str], at: float, x: str = "x", f: st
     above = F.col(x) >= F.lit(at)
     pair = F.struct(F.col(x).alias("x"), F.col(f).alias("f"))
     g = knots.groupBy(*by).agg(F.max_by(pair, F.when(below, F.col(x))).alias("lo"), F.min_by(pair, F.when(above, F.col(x))).alias("hi"))
-    lo, hi = F.col("lo"), F.col("hi")
-    t = (F.lit(at) - lo["x"]) / (hi["x"] - lo["x"])
-    value = (F.when(lo.isNull(), hi["f"]).when(hi.isNull(), lo["f"]).when(hi["x"] == lo["x"], lo["f"])
-             .otherwise(lo["f"] + t * (hi["f"] - lo["f"])))
+    value = _between(F.lit(at), F.col("lo"), F.col("hi"))
     return g.select(*by, value.alias(name))
 
 

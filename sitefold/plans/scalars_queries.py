@@ -116,6 +116,22 @@ def interpolate(spark, d):
     return cv.interpolate(fx.curves(mr), pts, ("site", "round")).select("site", "round", r("x").alias("x"), r("f").alias("f"))
 
 
+KNOTS = "kn AS (SELECT site, floor(x*20e0)/20e0 AS x, avg(y) AS f FROM mr GROUP BY 1, 2)"
+
+
+@query("interpolate_rows_jon11b", "JON11 PRJ9", q.select([q.MR, KNOTS,
+       "lo AS (SELECT p.site, p.x, count(*) AS n, max(c.x) AS x0, max(c.f) AS f0 FROM mr p ASOF LEFT JOIN kn c ON p.site=c.site AND p.x >= c.x GROUP BY 1, 2)",
+       "hi AS (SELECT p.site, p.x, max(c.x) AS x1, max(c.f) AS f1 FROM mr p ASOF LEFT JOIN kn c ON p.site=c.site AND p.x <= c.x GROUP BY 1, 2)"],
+       f"""SELECT lo.site, {q.rnd('lo.x')} AS x, n, {q.rnd('CASE WHEN x1 IS NULL THEN f0 WHEN x1 = x0 THEN f0 ELSE f0 + (lo.x-x0)/(x1-x0)*(f1-f0) END')} AS f
+  FROM lo JOIN hi ON lo.site=hi.site AND lo.x=hi.x"""))
+def interpolate_rows(spark, d):
+    """Every row of the fact table as a point on its site's curve."""
+    mr = fx.mr_rows(spark, d)
+    knots = mr.groupBy("site", (F.floor(F.col("x") * 20.0) / 20.0).alias("x")).agg(F.avg("y").alias("f"))
+    out = cv.interpolate(knots, mr.select("site", "x"), ("site",))
+    return out.groupBy("site", "x").agg(F.count(F.lit(1)).alias("n"), F.first("f").alias("f")).select("site", r("x").alias("x"), "n", r("f").alias("f"))
+
+
 @query("anchored_curve_prj10", "PRJ10", q.select(CURVES, f"SELECT c.site, c.round, c.k, {q.rnd('c.f - z.f')} AS f FROM curves c JOIN (SELECT * FROM curves WHERE k = 30) z USING (site, round)"))
 def anchored_curve(spark, d):
     return cv.anchor(fx.curves(fx.mr_rows(spark, d)), ("site", "round")).select("site", "round", "k", r("f").alias("f"))

@@ -73,6 +73,20 @@ def geometric_median(spark, d):
     return fa.geometric_median(fx.updates(spark, d))[0].select("round", F.posexplode("vec").alias("j", "v"))
 
 
+# four steps of the fixed point, unrolled: distances from the mean by the present weights, then new weights
+WEISZFELD = [q.UPD, "w0 AS (SELECT round, site, weight/sum(weight) OVER (PARTITION BY round) AS w, weight/sum(weight) OVER (PARTITION BY round) AS b FROM updw)"]
+for _i in range(4):
+    WEISZFELD += [f"z{_i} AS (SELECT u.round, u.j, sum(b*v) AS z FROM upd u JOIN w{_i} b ON u.round=b.round AND u.site=b.site GROUP BY 1, 2)",
+                  f"d{_i} AS (SELECT u.round, u.site, greatest(sqrt(sum((u.v-z.z)*(u.v-z.z))), 1e-6) AS d FROM upd u JOIN z{_i} z ON u.round=z.round AND u.j=z.j GROUP BY 1, 2)",
+                  f"w{_i + 1} AS (SELECT w.round, w.site, w, (w/d)/sum(w/d) OVER (PARTITION BY w.round) AS b FROM w{_i} w JOIN d{_i} d ON w.round=d.round AND w.site=d.site)"]
+
+
+@query("geometric_median_steps_agr5b", "AGR5", q.select(WEISZFELD, f"SELECT u.round, u.j, {q.rnd('sum(b*v)')} AS v, 4 AS steps FROM upd u JOIN w4 b ON u.round=b.round AND u.site=b.site GROUP BY 1, 2"))
+def geometric_median_four_steps(spark, d):
+    z, _, report = fa.geometric_median_steps(fx.updates(spark, d), max_iter=4, tol=0.0)
+    return z.select("round", F.posexplode("vec").alias("j", "v")).join(report, "round").select("round", "j", r("v").alias("v"), "steps")
+
+
 NB = [q.UPD, "nm AS (SELECT round, site, sqrt(sum(v*v)) AS nrm FROM upd GROUP BY round, site)", "bd AS (SELECT round, 0.95e0*median(nrm) AS b FROM nm GROUP BY round)"]
 
 

@@ -22,6 +22,25 @@ def test_interpolation_matches_numpy_inside_and_outside(spark):
     assert abs(cv.value_at(k, ["c"], 0.1).first()["f0"] - np.interp(0.1, kx, kf)) < 1e-12
 
 
+@pytest.mark.parametrize("buckets", [1, 8, 40])
+def test_points_of_one_curve_are_spread_over_all_tasks(spark, buckets, monkeypatch):
+    """One curve with most of the points, half of them at one x; ranges without a knot; curves without points or knots; nulls."""
+    monkeypatch.setattr(cv.od, "bucket_count", lambda df: buckets)
+    rng = np.random.default_rng(buckets)
+    kx, kf = np.array([-1.0, -0.9, 2.0, 2.5]), rng.normal(size=4)
+    px = np.concatenate([rng.uniform(-3, 3, 800), np.full(800, 0.25), kx])
+    k = spark.createDataFrame([("a", float(x), float(f)) for x, f in zip(kx, kf)] + [("b", 0.0, 7.0), ("c", 1.0, 1.0), ("a", None, 3.0)], "c string, x double, f double")
+    p = spark.createDataFrame([("a", float(x)) for x in px] + [("b", 5.0), ("b", -5.0), ("d", 1.0), ("a", None)], "c string, x double")
+    got = cv.interpolate(k, p, ["c"]).toPandas()
+    assert len(got) == len(px) + 4
+    a = got[(got.c == "a") & got.x.notna()].sort_values("x")
+    np.testing.assert_allclose(a.x, np.sort(px))
+    np.testing.assert_allclose(a.f, np.interp(np.sort(px), kx, kf), atol=1e-12)
+    assert got[got.c == "b"].f.tolist() == [7.0, 7.0] and got[got.c == "d"].f.isna().all() and got[got.x.isna()].f.isna().all()
+    if buckets == 8:
+        assert cv.od.with_buckets(p.where("c = 'a' and x is not null").distinct(), ["c"], "x").select("_bucket").distinct().count() == 8
+
+
 def test_band_of_linear_curves_and_its_anchoring(spark):
     slopes = -0.2 + np.random.default_rng(23).gamma(2.0, 0.1, 151)
     reps = spark.createDataFrame(pd.DataFrame({"rep": range(151), "theta_1": slopes}))

@@ -46,6 +46,43 @@ def test_geometric_median_balances_the_pulls(spark, crowd):
     assert {r["site"]: r["share"] for r in shares.collect()}["s03"] < 0.05
 
 
+def test_distances_of_slices_and_tiles(spark, crowd, monkeypatch):
+    """Several slices and tiles, two rounds of different size, a site alone."""
+    monkeypatch.setattr(fa, "SLICE", 7)
+    monkeypatch.setattr(fa, "SITE_TILE", 5)
+    monkeypatch.setattr(fa, "MERGE_WAYS", 2)
+    u, w = crowd
+    both = frame(spark, u, w).unionByName(frame(spark, u[:4, :9] + 3, w[:4], 1)).unionByName(frame(spark, u[:1], w[:1], 2)).repartition(5)
+    got = {(r["round"], r["site_i"], r["site_j"]): r["d2"] for r in fa.pairwise_distances(both).collect()}
+    assert len(got) == 13 * 12 + 4 * 3
+    for rnd, v in ((0, u), (1, u[:4, :9])):
+        for i in range(len(v)):
+            for j in range(len(v)):
+                if i != j:
+                    want = ((v[i] - v[j]) ** 2).sum()
+                    assert abs(got[rnd, f"s{i:02d}", f"s{j:02d}"] - want) < 1e-9 * max(want, 1)
+    scores = {(r["round"], r["site"]): r["krum_score"] for r in fa.krum_scores(both, 2).collect()}
+    d = ((u[:, None] - u[None]) ** 2).sum(2)
+    for i in range(13):
+        assert abs(scores[0, f"s{i:02d}"] - np.sort(np.delete(d[i], i))[:9].sum()) < 1e-9 * d[i].max()
+    assert len(scores) == 17
+    with pytest.raises(Exception, match="differ in length"):
+        fa.pairwise_distances(frame(spark, u, w).unionByName(frame(spark, u[:2, :5], w[:2]).withColumn("site", F.concat("site", F.lit("x"))))).collect()
+
+
+def test_geometric_median_reports_its_steps(spark, crowd):
+    u, w = crowd
+    both = frame(spark, u, w).unionByName(frame(spark, u[:5], w[:5], 1))
+    z, shares, report = fa.geometric_median_steps(both)
+    assert all(r["converged"] and 1 < r["steps"] <= 100 and r["move"] < 1e-6 for r in report.collect()) and shares.count() == 18
+    for r in z.collect():
+        own = (u, w) if r["round"] == 0 else (u[:5], w[:5])
+        assert brute.pull(*own, np.array(r["vec"])) < 1e-3
+    with pytest.raises(ArithmeticError, match="geometric median"):
+        fa.geometric_median(both, max_iter=1)
+    assert not fa.geometric_median_steps(both, max_iter=1)[2].first()["converged"]
+
+
 def test_medians_and_clipping_of_a_few_numbers(spark):
     values, heavy = [[-3.0], [1.0], [4.0], [6.0], [25.0]], [1.0, 1.0, 1.0, 9.0, 1.0]
     assert vec(fa.median(frame(spark, values, heavy)))[0] == 6.0 and vec(fa.median(frame(spark, values, np.ones(5))))[0] == 4.0 and vec(fa.weighted_median(frame(spark, values, heavy)))[0] == 6.0
