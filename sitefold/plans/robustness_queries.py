@@ -123,6 +123,12 @@ def vrex_path(spark, d):
     return se.vrex_path(site_lin(spark, d), [0.0, 1.0, 10.0, 100.0, 1000.0])
 
 
+@query("vrex_path_two_rob8c", "ROB8")
+def vrex_path_two(spark, d):
+    f = se.two_sls(se.working(bundle(spark, d), "quadratic"), "quadratic")
+    return se.vrex_path(f, [0.0, 1.0, 10.0, 100.0, 1000.0], "quadratic")
+
+
 # per-site slope precisions on a joint or own noise scale
 DIS = [*SITE_LIN, "rs AS (SELECT *, f - 2e0*theta*e + theta*theta*d AS rss, b*b/qq AS h FROM fo)",
        "s2 AS (SELECT *, sum(rss) OVER ()/greatest(sum(n) OVER () - count(*) OVER () - count(*) OVER (), 1) AS joint, rss/greatest(n-2, 1) AS own FROM rs)",
@@ -144,6 +150,20 @@ def site_disagreement_own(spark, d):
     return s.select("site", r("z_joint_1", 5).alias("z_joint_1"), r("theta_joint_1").alias("theta_joint_1"))
 
 
+@query("site_disagreement_p_rob9c", "ROB9 UDF3", q.select([*DIS, "qs AS (SELECT sum(p*(theta - pat/pa)*(theta - pat/pa)) AS q, count(*) AS k FROM rr)"],
+       f"SELECT {q.rnd('q', 5)} AS q, CAST(k - 1 AS BIGINT) AS df, {q.rnd('exp(-q/2e0)*(1e0 + q/2e0)', 9)} AS p FROM qs"))
+def site_disagreement_p(spark, d):
+    """Five sites: four degrees of freedom, whose tail has a closed form."""
+    s = se.site_disagreement(se.working(linear(spark, d), "linear"), "linear")
+    return s.groupBy().agg(F.first("q").alias("q"), F.first("df").alias("df"), F.first("p").alias("p")).select(r("q", 5).alias("q"), F.col("df").cast("bigint").alias("df"), r("p", 9).alias("p"))
+
+
+@query("pairwise_disagreement_rob9d", "ROB9 JON6", q.select(DIS, f"SELECT a.site AS site_i, b.site AS site_j, {q.rnd('(a.theta - b.theta)/sqrt(1e0/a.p + 1e0/b.p)', 5)} AS z FROM rr a JOIN rr b ON a.site <> b.site"))
+def pairwise_disagreement(spark, d):
+    s = se.site_disagreement(se.working(linear(spark, d), "linear"), "linear")
+    return se.pairwise_disagreement(s, "linear").select("site_i", "site_j", r("z", 5).alias("z"))
+
+
 @query("leave_two_out_rob10", "ROB10 JON9", q.select([*LIN_BASE, "dr AS (SELECT x.site AS i, z.site AS j, " + ", ".join(f"t.{c} - x.{c} - z.{c} AS {c}" for c in ("n", "k", "a", "b", "qq", "f", "e", "d")) + f" FROM lb x JOIN lb z ON x.site < z.site, (SELECT {LIN_SUMS} FROM lb) t)", f"fd AS ({LIN.format(src='dr')})"],
        f"SELECT i, j, CAST(n AS BIGINT) AS n, {q.rnd('theta')} AS theta_1, {q.rnd('se')} AS se_1 FROM fd"))
 def leave_two_out(spark, d):
@@ -218,6 +238,45 @@ def iv_invariance(spark, d):
     return se.iv_invariance(bundle(spark, d), "linear").select("model", "site", r("f", 5).alias("f"), "df2")
 
 
+IV_P = [*LIN_BASE, f"ft AS ({LIN.format(src=f'(SELECT {LIN_SUMS} FROM lb)')})",
+        "rz AS (SELECT bun.site, bun.n, s_y__y - 2e0*theta*s_x__y + theta*theta*s_x__x AS rr, s_xhat__y - theta*s_x__xhat AS z0, s_xhat2__y - theta*s_x__xhat2 AS z1, s_xhat__xhat AS q00, s_xhat__xhat2 AS q01, s_xhat2__xhat2 AS q11 FROM bun, ft)",
+        "ex AS (SELECT *, (z0*(q11*z0 - q01*z1) + z1*(q00*z1 - q01*z0))/(q00*q11 - q01*q01) AS ss FROM rz)",
+        "tp AS (SELECT site, pow(1e0 + 2e0*((ss/2e0)/greatest(rr-ss, 1e-12)*(n-3))/(n-3), -(n-3)/2e0) AS p FROM ex)"]
+
+
+@query("iv_invariance_p_rob15b", "ROB15 UDF3", q.select(IV_P, f"SELECT site, {q.rnd('p', 9)} AS p FROM tp"))
+def iv_invariance_p(spark, d):
+    return se.iv_invariance(bundle(spark, d), "linear").select("site", r("p", 9).alias("p"))
+
+
+@query("iv_invariant_sets_rob15c", "ROB15 SET3", q.select(IV_P, f"SELECT 'linear' AS model, 'x' AS predictors, {q.rnd('least(1e0, count(*)*min(p))', 8)} AS p, least(1e0, count(*)*min(p)) > 0.05 AS accepted FROM tp"))
+def iv_invariant_sets(spark, d):
+    return se.iv_invariant_sets(bundle(spark, d), ("linear",)).select("model", "predictors", r("p", 8).alias("p"), "accepted")
+
+
+@query("iv_invariant_members_rob15d", "ROB15 SET3")
+def iv_invariant_members(spark, d):
+    """Both curves: what all accepted ones share, told apart from no accepted curve."""
+    return se.invariant_members(se.iv_invariant_sets(bundle(spark, d)))
+
+
+TAILS = """g AS (SELECT l_linenumber AS line, count(*) AS n, avg(y) AS m FROM mr GROUP BY 1),
+v AS (SELECT line, m*k/2e0 AS x, 2*k AS df FROM g, (SELECT unnest(range(1, 5)) AS k)),
+c AS (SELECT line, df, x, exp(-x/2e0)*list_sum(list_transform(range(0, df//2), lambda j: pow(x/2e0, j)/gamma(j + 1e0))) AS chi2,
+  pow(1e0 + 2e0*x/(df + 5), -(df + 5)/2e0) AS f FROM v)"""
+
+
+@query("even_tails_udf3c", "UDF3", q.select([q.MR, TAILS], f"SELECT line, CAST(df AS INT) AS df, {q.rnd('chi2', 10)} AS chi2, {q.rnd('f', 10)} AS f FROM c"))
+def even_tails(spark, d):
+    """Tails with an even number of degrees of freedom, which have closed forms, at statistics of the fact table."""
+    from sitefold.functions import tails
+
+    g = fx.mr_rows(spark, d).groupBy(F.col("l_linenumber").alias("line")).agg(F.avg("y").alias("m"))
+    v = g.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(4)))).select("line", (F.col("m") * F.col("k") / 2.0).alias("x"), (2 * F.col("k")).cast("int").alias("df"))
+    df = F.col("df").cast("double")
+    return v.select("line", "df", r(tails.chi2_sf("x", df), 10).alias("chi2"), r(tails.f_sf("x", F.lit(2.0), df + 5), 10).alias("f"))
+
+
 @query("dumbbell_rob16", "ROB16", q.select([*SITE_LIN, "fs1 AS (SELECT sum(theta/(se*se))/sum(1e0/(se*se)) AS fe FROM fo)"], f"SELECT site, {q.rnd('e/d')} AS naive, {q.rnd('theta')} AS iv, {q.rnd('1e0/se', 4)} AS precision, {q.rnd('theta - fe')} AS funnel FROM fo, fs1"))
 def dumbbell(spark, d):
     from sitefold.operators import meta as ma
