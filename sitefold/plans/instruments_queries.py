@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sitefold.functions.scalars import r
+from sitefold.operators import comparison as cmp
 from sitefold.operators import curves as cv
 from sitefold.operators import gwas as gw
 from sitefold.operators import iv
@@ -16,7 +17,7 @@ from sitefold.plans.joins_queries import TRUTH_SQL, truth
 from sitefold.plans.registry import query
 from sitefold.plans.scalars_queries import GLOBAL_FS
 from sitefold.plans.windows_queries import LIN, LIN_BASE
-from sitefold.runtime import cut, scalar_row
+from sitefold.runtime import cut, scalar_row, scratch_path
 
 SE_CLASSIC = "sqrt((s_y__y - 2e0*theta*s_x__y + theta*theta*s_x__x)/(n - 1 - k)/info)"
 HC0 = "sqrt((p0*p0*h00 + 2e0*p0*p1*h01 + p1*p1*h11)/(info*info))"
@@ -289,6 +290,89 @@ def estimator_comparison(spark, d):
     return c.select("estimator", *[r(v).alias(v) for v in ("theta1", "se1", "robust_se1")], r("first_stage_F", 3).alias("first_stage_f"), r("partial_r2").alias("partial_r2"), r("abs_diff_from_pooled").alias("abs_diff_from_pooled"))
 
 
+def robust_quad(ctes, name):
+    """CTE `name`: the quadratic fit of rows xh with classical and robust variances."""
+    s = {k: q.s(*v) for k, v in dict(b11=("xhat", "x"), b12=("xhat", "x2"), b21=("xhat2", "x"), b22=("xhat2", "x2")).items()}
+    return f"{name} AS (" + q.select([*ctes, q.mom("xm", Q7, ("site",), "xh"), q.total("xt", Q7, "xm"), quad_fit("xt", "qf"),
+        "rq AS (SELECT xhat - avg(xhat) OVER w AS z1, xhat2 - avg(xhat2) OVER w AS z2, (y - avg(y) OVER w) - t1*(x - avg(x) OVER w) - t2*(x2 - avg(x2) OVER w) AS uu FROM xh, (SELECT theta_1 AS t1, theta_2 AS t2 FROM qf) WINDOW w AS (PARTITION BY site))",
+        "hq AS (SELECT sum(uu*uu*z1*z1) AS h11, sum(uu*uu*z1*z2) AS h12, sum(uu*uu*z2*z2) AS h22 FROM rq)",
+        f"bq AS (SELECT qf.*, {', '.join(f'{c} AS {k}' for k, c in s.items())} FROM qf)"],
+        "SELECT theta_1, theta_2, v_1_1, v_2_2, (b22*b22*h11 - 2e0*b22*b12*h12 + b12*b12*h22)/pow(b11*b22 - b12*b21, 2) AS r_1_1, (b21*b21*h11 - 2e0*b21*b11*h12 + b11*b11*h22)/pow(b11*b22 - b12*b21, 2) AS r_2_2 FROM bq, hq") + ")"
+
+
+QUAD_TABLE = [q.MR, robust_quad(LOCAL_CTES[1:], "ql"), robust_quad([*LOCAL_CF[1:], LCF_ROWS], "qc"),
+              "qm AS (" + q.select(["ml AS (SELECT * FROM (" + q.select([*QUAD_SITES, "ww AS (SELECT theta_1, theta_2, v_2_2/dv AS a, -v_1_2/dv AS b, v_1_1/dv AS c FROM (SELECT *, v_1_1*v_2_2-v_1_2*v_1_2 AS dv FROM qf))"], "SELECT * FROM ww") + "))",
+                                    "sm AS (SELECT sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(a*theta_1+b*theta_2) AS e, sum(b*theta_1+c*theta_2) AS f FROM ml)"],
+                                   "SELECT (c*e-b*f)/(a*c-b*b) AS theta_1, (a*f-b*e)/(a*c-b*b) AS theta_2, sqrt(c/(a*c-b*b)) AS se_1, sqrt(a/(a*c-b*b)) AS se_2 FROM sm") + ")",
+              """qa AS (SELECT 'all rows, quadratic' AS estimator, theta_1, sqrt(v_1_1) AS se1, NULL::DOUBLE AS rse1, theta_2, sqrt(v_2_2) AS se2, NULL::DOUBLE AS rse2, NULL::DOUBLE AS gap, NULL::INT AS rounds FROM ql
+ UNION ALL SELECT 'own first stages, quadratic', theta_1, sqrt(v_1_1), sqrt(r_1_1), theta_2, sqrt(v_2_2), sqrt(r_2_2), 0e0, 2 FROM ql
+ UNION ALL SELECT 'own first stages, quadratic, 5 folds', c.theta_1, sqrt(c.v_1_1), sqrt(c.r_1_1), c.theta_2, sqrt(c.v_2_2), sqrt(c.r_2_2), greatest(abs(c.theta_1 - l.theta_1), abs(c.theta_2 - l.theta_2)), 2 FROM qc c, ql l
+ UNION ALL SELECT 'meta-analysis of sites, quadratic', m.theta_1, se_1, NULL, m.theta_2, se_2, NULL, greatest(abs(m.theta_1 - l.theta_1), abs(m.theta_2 - l.theta_2)), NULL FROM qm m, ql l)"""]
+
+
+@query("quadratic_comparison_iv17b", "IV17 IV9 IV10 IV12", q.select(QUAD_TABLE, f"SELECT estimator, {q.rnd('theta_1')} AS theta1, {q.rnd('se1')} AS se1, {q.rnd('rse1')} AS robust_se1, {q.rnd('theta_2')} AS theta2, {q.rnd('se2')} AS se2, {q.rnd('rse2')} AS robust_se2, {q.rnd('gap')} AS abs_diff_from_pooled, coalesce(rounds, 0) AS rounds FROM qa"))
+def quadratic_comparison(spark, d):
+    t = cmp.comparison_table(fx.mr_rows(spark, d), fx.SNPS, curved=True).where("estimator like '%quadratic%'")
+    return t.select("estimator", *[r(c).alias(c) for c in ("theta1", "se1", "robust_se1", "theta2", "se2", "robust_se2", "abs_diff_from_pooled")], F.coalesce("rounds", F.lit(0)).alias("rounds"))
+
+
+@query("shared_comparison_iv17c", "IV17 IV5 IV14")
+def shared_comparison(spark, d):
+    """Shared instruments: the benchmark has one first stage, and one with own first stages stands beside it for contrast."""
+    return cmp.comparison_table(fx.mr_rows(spark, d), fx.SNPS, shared=True)
+
+
+FS_RECORD = [*LOCAL_CTES, q.mom("xm", Q7, ("site",), "xh"), q.total("xt", Q7, "xm"),
+             "sf AS (SELECT site, sum(resid*resid) AS full_rss, var_pop(x)*count(*) AS red, count(*) AS n FROM xh GROUP BY site)", "ts AS (SELECT sum(full_rss) AS fr, sum(red) AS red, sum(n) AS n, count(*) AS k FROM sf)",
+             "ge AS (SELECT n, k, s_x__x AS xx, s_x2__x2 AS ww, s_x__xhat*s_x__xhat/s_xhat__xhat AS el, (s_x__xhat*s_x__xhat*s_xhat2__xhat2 - 2e0*s_x__xhat*s_x__xhat2*s_xhat__xhat2 + s_x__xhat2*s_x__xhat2*s_xhat__xhat)/(s_xhat__xhat*s_xhat2__xhat2 - s_xhat__xhat2*s_xhat__xhat2) AS ex, (s_x2__xhat*s_x2__xhat*s_xhat2__xhat2 - 2e0*s_x2__xhat*s_x2__xhat2*s_xhat__xhat2 + s_x2__xhat2*s_x2__xhat2*s_xhat__xhat)/(s_xhat__xhat*s_xhat2__xhat2 - s_xhat__xhat2*s_xhat__xhat2) AS e2 FROM xt)"]
+OWN_F = "((red-fr)/(2e0*ts.k))/(fr/(ts.n-3*ts.k)) AS f, (red-fr)/red AS r2, CAST(2*ts.k AS BIGINT) AS df1, CAST(ts.n-3*ts.k AS BIGINT) AS df2, TRUE AS conditional, 'first stages of the sites' AS source"
+
+
+@query("first_stage_record_iv3c", "IV3 AGG8", q.select([*FS_RECORD, f"""al AS (SELECT 'linear' AS basis, 'x' AS endogenous, {OWN_F}, el/((xx - el)/(ge.n - 1 - ge.k)) AS gf FROM ts, ge
+ UNION ALL SELECT 'quadratic', 'x', {OWN_F}, (ex/2e0)/((xx - ex)/(ge.n - 2 - ge.k)) FROM ts, ge
+ UNION ALL SELECT 'quadratic', 'x2', (e2/2e0)/((ww - e2)/(n - 2 - k)), e2/ww, CAST(2 AS BIGINT), CAST(n - 2 - k AS BIGINT), FALSE, 'excluded instruments', NULL FROM ge)"""],
+       f"SELECT basis, endogenous, {q.rnd('f', 3)} AS f, {q.rnd('r2')} AS partial_r2, df1, df2, conditional, source, {q.rnd('gf', 3)} AS generated_instrument_f FROM al"))
+def first_stage_record(spark, d):
+    out = None
+    for basis in iv.BASES:
+        run = iv.local_first_stages(fx.mr_rows(spark, d), fx.SNPS, basis=basis, robust=False)
+        part = cmp.first_stage_record(run).select(F.lit(basis).alias("basis"), "endogenous", r("F", 3).alias("f"), r("partial_r2").alias("partial_r2"), "df1", "df2", "conditional", "source", r("generated_instrument_F", 3).alias("generated_instrument_f"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("curve_band_robust_iv18b", "IV18 IV2", q.select([q.MR, robust_quad(LOCAL_CTES[1:], "ql"), q.GRID61],
+       f"SELECT 'all' AS site, 2 AS round, k, {q.rnd('theta_1*x + theta_2*x*x')} AS f, {q.rnd('theta_1*x + theta_2*x*x - 1.96e0*sqrt(x*x*r_1_1 + x*x*x*x*r_2_2)')} AS f_lo, {q.rnd('theta_1*x + theta_2*x*x + 1.96e0*sqrt(x*x*r_1_1 + x*x*x*x*r_2_2)')} AS f_hi FROM ql, grid"))
+def curve_band_robust(spark, d):
+    c = cmp.run_curve(iv.local_first_stages(fx.mr_rows(spark, d), fx.SNPS, basis="quadratic"))
+    return c.select("site", "round", "k", *[r(v).alias(v) for v in ("f", "f_lo", "f_hi")])
+
+
+@query("site_files_iv11b", "IV11 SRC1 SRC4", q.select(SHARED_FIT, f"SELECT 'shared' AS protocol, {q.rnd('theta')} AS theta, CAST(5 AS BIGINT) AS sites, CAST(n AS BIGINT) AS n FROM th UNION ALL SELECT 'site' AS protocol, f.theta, CAST(5 AS BIGINT), CAST(t.n AS BIGINT) FROM (" + lin_sql(LOCAL_CTES) + ") f, th t"))
+def site_files(spark, d):
+    """Two data sets written as a file per site with a manifest beside them, read back, and fitted by what their manifest says."""
+    import json
+
+    from sitefold.sources import sites as src
+
+    rows = fx.mr_rows(spark, d)
+    names = [x["site"] for x in rows.select("site").distinct().collect()]  # one folder per site
+    out = None
+    for name, shared in (("shared", True), ("site", False)):
+        folder = scratch_path(spark, f"{name}-set")
+        for s in names:
+            src.write_table(rows.where(F.col("site") == s).select(*fx.SNPS, "x", "y"), f"{folder}/site{int(s) + 1:02d}.csv", "csv")
+        doc = json.dumps({"shape": "linear", "shared_snps": shared, "sites": [{"site_id": f"site{int(s) + 1:02d}"} for s in names]})
+        spark.createDataFrame([(doc,)], "value string").coalesce(1).write.text(f"{folder}/manifest.json")
+        df = src.scan_sites(spark, f"{folder}/site*.csv", "csv", rows.select(*fx.SNPS, "x", "y").schema, folders=True)
+        run = iv.from_manifest(src.read_manifest(spark, f"{folder}/manifest.json"), df, fx.SNPS, robust=False)
+        e = run.estimates().select(F.lit(name).alias("protocol"), r("theta").alias("theta"))
+        size = df.agg(F.countDistinct("site").alias("sites"), F.count(F.lit(1)).alias("n"))
+        e = e.crossJoin(size)  # one row and one row
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
 BAND = [*QUAD_SITES[:-2], "bk AS (SELECT sum(n) AS n, count(*) AS k, " + ", ".join(f"sum({q.s(a, b)}) AS {q.s(a, b)}" for a, b in q.pairs(Q7)) + " FROM bun)", quad_fit("bk", "qf"), q.GRID61]
 
 

@@ -28,6 +28,26 @@ def running_moments(spark, d):
     return spark.read.parquet(out).select("site", "n", r("slope").alias("slope"))
 
 
+@query("running_wide_moments_str2b", "STR2 AGG3", q.select(["u AS (SELECT label AS site, unnest(range(len(embedding))) AS k, CAST(unnest(embedding) AS DOUBLE) AS x, list_sum(CAST(embedding AS DOUBLE[])) AS total FROM embeddings)"],
+       f"SELECT site, CAST(k AS INT) AS k, count(*) AS n, {q.rnd('avg(x)')} AS mean, {q.rnd('covar_pop(x, x)*count(*)', 5)} AS own, {q.rnd('covar_pop(x, total)*count(*)', 4)} AS row_total FROM u GROUP BY site, k"))
+def running_wide_moments(spark, d):
+    """All dimensions of the embeddings by label, over several triggers; row totals take in every cell of the matrix."""
+    files, out = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-out")
+    table = fx.table(spark, d, "embeddings").select(F.col("label").alias("site"), "embedding")
+    table.repartition(6).write.parquet(files)
+    width = table.agg(F.max(F.size("embedding"))).first()[0]
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(files)
+
+    def keep(batch, epoch):
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+
+    sm.run_available(sm.running_moment_arrays(stream, [], ("site",), "embedding", width), keep, scratch_path(spark, "stream-cp"), "update")
+    seen = spark.read.parquet(out)
+    last = seen.join(seen.groupBy("site").agg(F.max("epoch").alias("epoch")), ["site", "epoch"]).select("site", "n", F.posexplode(F.arrays_zip("mean")).alias("k", "z"), "m2")
+    row = F.slice("m2", F.col("k") * width + 1, F.lit(width))
+    return last.select("site", "k", "n", r("z.mean").alias("mean"), r(F.get("m2", F.col("k") * (width + 1)), 5).alias("own"), r(F.aggregate(row, F.lit(0.0), lambda a, b: a + b), 4).alias("row_total"))
+
+
 @query("round_barrier_str1", "STR1", q.select([q.EMB, "mw AS (SELECT max(vec_id) AS last, CAST(vec_id % 3 AS INT) AS round, label AS site FROM embeddings GROUP BY 2, 3)",
        "lv AS (SELECT m.round, e.label AS site, e.j, e.v FROM emb e JOIN mw m ON e.vec_id = m.last)"], f"SELECT round, 'complete' AS status, CAST(j AS INT) AS j, {q.rnd('avg(v)')} AS v FROM lv GROUP BY round, j"))
 def round_barrier(spark, d):

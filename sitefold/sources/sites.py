@@ -46,15 +46,16 @@ def site_schema(n_snps: int, survival: bool = False, oracle: bool = True) -> T.S
     return T.StructType(fields)
 
 
-def scan_sites(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None, suffix: str | None = None) -> DataFrame:
-    """Many per-site files as one table; the site column comes from the file name."""
+def scan_sites(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None, suffix: str | None = None, folders: bool = False) -> DataFrame:
+    """Many per-site files as one table; the site column comes from the file name, or with `folders` from the name of the folder that Spark wrote a
+    site's files to."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True)
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(path)
-    return df.select(site_name(suffix or f".{fmt}").alias("site"), *df.columns)
+    return df.select(site_name((suffix or f".{fmt}") + ("/" if folders else "")).alias("site"), *df.columns)
 
 
 def instrument_columns(df: DataFrame, pattern: str = r"^snp") -> list[str]:

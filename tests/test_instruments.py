@@ -189,3 +189,33 @@ def test_identity_gate_fails_loudly(spark):
     assert iv.require_identity(t, F.col("estimator") == "none").count() == 2
     with pytest.raises(Exception, match="differs from the pooled fit"):
         iv.require_identity(t, F.col("estimator") == "a").collect()
+
+
+def test_comparison_tables_have_every_column_and_keep_the_identities(mr):
+    from sitefold.operators import comparison as cmp
+
+    local = {r["estimator"]: r for r in cmp.comparison_table(mr, ["snp0", "snp1"], curved=True).collect()}
+    assert len(local) == 10
+    for name in ("own first stages", "own first stages, quadratic"):
+        r = local[name]
+        assert r["abs_diff_from_pooled"] < 1e-10 and r["rounds"] == 2 and r["first_stage_F"] > 0 and r["generated_instrument_F"] > 0 and 0 < r["partial_r2"] < 1 and r["robust_se1"] > 0
+    assert local["own first stages"]["theta2"] is None and local["own first stages, quadratic"]["robust_se2"] > 0
+    assert abs(local["all rows"]["se1"] - local["own first stages"]["se1"]) < 1e-9
+    shared = {r["estimator"]: r for r in cmp.comparison_table(mr, ["snp0", "snp1"], shared=True).collect()}
+    assert shared["shared instruments"]["abs_diff_from_pooled"] < 1e-10 and shared["all rows, own first stages"]["abs_diff_from_pooled"] is None
+    assert abs(shared["all rows, own first stages"]["theta1"] - local["all rows"]["theta1"]) < 1e-12
+    with pytest.raises(Exception, match="pooled"):
+        cmp.comparison_table(mr, ["snp0", "snp1"], tol=0.0).collect()
+
+
+def test_curve_of_a_run_takes_the_robust_band(mr):
+    from sitefold.operators import comparison as cmp
+    from sitefold.operators import iv
+
+    run = iv.local_first_stages(mr, ["snp0", "snp1"], basis="quadratic")
+    t = {r["term"]: r for r in run.estimates().collect()}
+    row = {round(r["x"], 6): r for r in cmp.run_curve(run).collect()}[2.0]
+    assert abs(row["f"] - (2 * t["x"]["theta"] + 4 * t["x2"]["theta"])) < 1e-9
+    assert abs((row["f_hi"] - row["f"]) - 1.96 * (4 * t["x"]["robust_se"] ** 2 + 16 * t["x2"]["robust_se"] ** 2) ** 0.5) < 1e-9
+    plain = {round(r["x"], 6): r for r in cmp.run_curve(run, robust=False, full_covariance=True).collect()}[2.0]
+    assert abs(plain["f_hi"] - row["f_hi"]) > 1e-9 and row["site"] == "all" and row["round"] == run.rounds

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,51 @@ def test_stream_totals_equal_batch_whatever_the_file_split(spark, mr, tmp_path):
     assert abs(sm.combined_slope(spark.read.parquet(out)).first()["slope"] - (b.s_x__y.sum() / b.s_x__x.sum())) < 1e-10
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_streams_of_many_columns_over_several_triggers(spark, tmp_path, packed):
+    """Nine columns by expressions and any number by state, with missing values, equal to the batch."""
+    rng = np.random.default_rng(3)
+    names = [f"c{k}" for k in range(9)]
+    rows = spark.createDataFrame([(int(i % 3), *(None if rng.random() < 0.02 else float(v) for v in rng.normal(size=9) + 50)) for i in range(200)], "site int, " + ", ".join(f"{c} double" for c in names))
+    inp, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows.repartition(6).write.parquet(inp)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(inp)
+    want = {r["site"]: r for r in mo.moments(rows, names).collect()}
+    if not packed:
+        sm.run_available(sm.running_moments(stream, names), lambda b, _: b.write.mode("overwrite").parquet(out), str(tmp_path / "cp"))
+        got = {r["site"]: (r["n"], [[r[mo.s_name(a, b)] for a in names] for b in names]) for r in spark.read.parquet(out).collect()}
+    else:
+        running = sm.running_moment_arrays(stream.withColumn("g", F.array(*names[:6])), names[6:], array="g", width=6)
+        sm.run_available(running, lambda b, e: b.withColumn("epoch", F.lit(e)).write.mode("append").parquet(out), str(tmp_path / "cp"), "update")
+        seen = spark.read.parquet(out).orderBy("epoch").collect()
+        assert len({r["epoch"] for r in seen}) == 3
+        got = {r["site"]: (r["n"], np.reshape(r["m2"], (9, 9))) for r in seen}
+    for site, r in want.items():
+        assert got[site][0] == r["n"]
+        np.testing.assert_allclose(got[site][1], [[r[mo.s_name(a, b)] for a in names] for b in names], rtol=1e-9, atol=1e-9)
+
+
+def test_the_manifest_decides_and_must_match_the_files(spark, tmp_path):
+    from sitefold.operators import iv
+
+    rng = np.random.default_rng(1)
+    sets = {}
+    for name in ("site01", "site02"):
+        g = rng.integers(0, 3, (40, 2))
+        x = g @ [0.5, 0.3] + rng.normal(size=40)
+        pd.DataFrame({"snp0": g[:, 0], "snp1": g[:, 1], "x": x, "y": 0.4 * x + rng.normal(size=40)}).to_csv(tmp_path / f"{name}.csv", index=False)
+    for shared in (True, False, None):
+        doc = {"sites": [{"site_id": "site01"}, {"site_id": "site02"}]} | ({} if shared is None else {"shared_snps": shared})
+        (tmp_path / f"m{shared}.json").write_text(json.dumps(doc))
+        df = src.scan_sites(spark, str(tmp_path / "site*.csv"), "csv", "snp0 int, snp1 int, x double, y double")
+        run = iv.from_manifest(src.read_manifest(spark, str(tmp_path / f"m{shared}.json")), df, ["snp0", "snp1"], robust=False)
+        sets[shared] = (run.design.instruments, run.estimates().first()["theta"])
+    assert sets[True][0] == ("snp0", "snp1") and sets[False][0] == ("xhat",) and sets[None] == sets[False]
+    (tmp_path / "other.json").write_text(json.dumps({"sites": [{"site_id": "site01"}, {"site_id": "site09"}]}))
+    with pytest.raises(ValueError, match="site09.*site02"):
+        iv.from_manifest(src.read_manifest(spark, str(tmp_path / "other.json")), df, ["snp0", "snp1"])
+
+
 def _messages(spark, path, rows, name):
     spark.createDataFrame(rows, "round int, site string, seq bigint, weight double, vec array<double>").coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema("round int, site string, seq bigint, weight double, vec array<double>").option("maxFilesPerTrigger", 1).parquet(path)
