@@ -77,11 +77,14 @@ def fit_binary(rows: DataFrame, names: Sequence[str], y: str = "y", max_iter: in
     """Logistic regression with site intercepts by reweighted least squares.
 
     Each pass is one aggregate per site; intercepts are eliminated site by site, so the solve is
-    p x p whatever the number of sites.
+    p x p whatever the number of sites. Sites whose outcomes are all alike say nothing about the slopes (their intercept has no
+    finite value) and are left out; a fit that has not converged after `max_iter` passes is an error.
     """
     p = len(names)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    base = rows.select("site", *names, F.col(y).cast("double").alias("_y"))
+    base = mo.complete(rows, [*names, y]).select("site", *names, F.col(y).cast("double").alias("_y"))
+    varied = base.groupBy("site").agg(F.min("_y").alias("_lo"), F.max("_y").alias("_hi")).where("_lo < _hi").select("site")
+    base = join_small(base, varied, ["site"], "left_semi")
     coef = np.zeros(p)
     alpha = None
     sites = None
@@ -112,6 +115,8 @@ def fit_binary(rows: DataFrame, names: Sequence[str], y: str = "y", max_iter: in
         coef = coef + step
         if np.max(np.abs(step)) < tol:
             break
+    else:
+        raise ArithmeticError(f"no convergence in {max_iter} passes; the last changed a coefficient by {np.max(np.abs(step)):.3g}")
     se = np.sqrt(np.diag(np.linalg.inv(h)))
     return rows.sparkSession.createDataFrame([(n, float(b), float(s_)) for n, b, s_ in zip(names, coef, se)],
                                              "term string, beta double, se double")
@@ -144,7 +149,7 @@ def calibrate_intercept(df: DataFrame, z: str, prevalence: float, lo: float = -2
             return float(grid[best])
         i = int(np.clip(np.searchsorted(means, prevalence), 1, points - 1))
         lo, hi = float(grid[i - 1]), float(grid[i])
-    return float((lo + hi) / 2)
+    raise ArithmeticError(f"no intercept between {lo:.6g} and {hi:.6g} gives a mean of {prevalence} to {tol}")
 
 
 def liability_labels(df: DataFrame, value: str, prevalence: float) -> DataFrame:

@@ -42,9 +42,11 @@ def flip_outcome(df: DataFrame, y: str = "y", binary: bool = False) -> DataFrame
 
 def shuffle_outcomes(df: DataFrame, outcomes: list[str], ids: list[str], seed: int = 0) -> DataFrame:
     """Permute outcome columns together within each site: two independent hashed orders of the same
-    rows, joined position by position."""
-    left = od.hashed_rank(df.drop(*outcomes), ["site"], ids, seed, "_pos")
-    right = od.hashed_rank(df, ["site"], ids, seed + 1, "_pos").select("site", "_pos", *outcomes)
+    rows, joined position by position. `ids` need not be unique: the other columns break ties, so rows that still tie are alike
+    and a repeated task deals the same values to the same rows."""
+    fixed = [*ids, *(c for c in df.columns if c not in (*ids, *outcomes, "site"))]
+    left = od.hashed_rank(df.drop(*outcomes), ["site"], fixed, seed, "_pos")
+    right = od.hashed_rank(df, ["site"], [*fixed, *outcomes], seed + 1, "_pos").select("site", "_pos", *outcomes)
     return left.join(right, ["site", "_pos"]).drop("_pos").select(*df.columns)
 
 

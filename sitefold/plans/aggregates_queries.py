@@ -408,6 +408,18 @@ def pivot_matrix(spark, d):
     return me.pivot_scenarios(named, "v", ["median", "krum"])
 
 
+DEFENSES = ("median", "krum", "trimmed_mean", "geometric_median", "fedavg")
+
+
+@query("pivot_all_agg29b", "AGG29", q.select([q.MR], "SELECT CASE site WHEN 0 THEN 'flip' ELSE 'scale' || CAST(site AS VARCHAR) END AS attack, " + ", ".join(f"{q.rnd(f'avg(CASE WHEN fold={k} THEN y END)')} AS {name}" for k, name in enumerate(DEFENSES)) + " FROM mr GROUP BY site"))
+def pivot_all(spark, d):
+    """Every fold is a defense, every site an attack."""
+    s = fx.mr_rows(spark, d).groupBy("site", "fold").agg(r(F.avg("y")).alias("v"))
+    attack = F.when(F.col("site") == 0, "flip").otherwise(F.concat(F.lit("scale"), F.col("site").cast("string")))
+    named = s.select(F.concat(attack, F.lit("|"), F.element_at(F.array(*[F.lit(x) for x in DEFENSES]), F.col("fold") + 1)).alias("scenario"), "v")
+    return me.pivot_scenarios(named, "v", DEFENSES)
+
+
 @query("explained_variance_agg30", "AGG30", q.select([q.MR, gwas_sql(), "fr AS (SELECT site, avg(snp0)/2e0 AS f0, avg(snp1)/2e0 AS f1 FROM mr GROUP BY site)"],
        f"SELECT g.site, {q.rnd('''sum(beta_x*beta_x*2e0*CASE WHEN snp = 'snp0' THEN f0*(1e0-f0) ELSE f1*(1e0-f1) END)''')} AS explained FROM gw g JOIN fr USING (site) GROUP BY g.site"))
 def explained_variance(spark, d):

@@ -138,9 +138,10 @@ def pairwise_distances(spark, d):
 def subset_membership(spark, d):
     s = fx.mr_rows(spark, d).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     sets = se.leave_out_sets(s, 2)
-    kept = sets.join(s, ~F.array_contains("members", F.col("site")))
-    return kept.groupBy("members").agg(F.sum("n").alias("n_left"), F.count(F.lit(1)).alias("sites_left")).select(
-        F.col("members")[0].alias("i"), F.col("members")[1].alias("j"), "n_left", "sites_left")
+    # what is left is the total less the members' own: an equi-join on the members, whatever the number of sites
+    gone = sets.select("members", F.explode("members").alias("site")).join(s, "site").groupBy("members").agg(F.sum("n").alias("gone"), F.count(F.lit(1)).alias("k"))
+    total = s.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sites"))
+    return gone.select(F.col("members")[0].alias("i"), F.col("members")[1].alias("j"), (total.select("n").scalar() - F.col("gone")).alias("n_left"), (total.select("sites").scalar() - F.col("k")).alias("sites_left"))
 
 
 @query("honest_and_malicious_jon10", "JON10 TOP1", q.select([q.MR, "s AS (SELECT site, count(*) AS n FROM mr GROUP BY site)", "bad AS (SELECT site FROM s ORDER BY n DESC, site LIMIT 2)"],

@@ -101,23 +101,34 @@ for _i in range(3):
 
 @query("federated_rounds_cf4b", "CF4 AGR7", q.select(GD, " UNION ALL ".join(f"SELECT {i + 1} AS round, {q.rnd('b')} AS b, {q.rnd('c')} AS c FROM g{i + 1}" for i in range(3))))
 def federated_rounds(spark, d):
+    history, _ = gradient_rounds(spark, d)
+    return history.select("round", r(F.col("vec")[0]).alias("b"), r(F.col("vec")[1]).alias("c"))
+
+
+def gradient_rounds(spark, d, rounds: int = 3):
+    """Local gradient steps on y ~ b x + c x2 within centred sites, averaged by site size; the loss of every global vector at every site."""
     from sitefold.operators import moments as mo
     from sitefold.runtime import cut
 
     m = cut(mo.moments(fx.mr_rows(spark, d).withColumn("x2", F.col("x") * F.col("x")), ["x", "x2", "y"]))
-    sites = m.select("site", F.col("n").alias("n"))
-    glob = m.limit(1).select(F.lit(0).alias("round"), F.array(F.lit(0.0), F.lit(0.0)).alias("vec"))
-    out = None
-    for step in range(1, 4):
-        g = m.withColumn("g", glob.select("vec").scalar())
-        b, c = F.col("g")[0], F.col("g")[1]
+    b, c = F.col("g")[0], F.col("g")[1]
+
+    def message(at, vec):
         db = 0.02 * (mo.S("x", "y") - b * mo.S("x", "x") - c * mo.S("x", "x2")) / F.col("n")
         dc = 0.02 * (mo.S("x2", "y") - b * mo.S("x", "x2") - c * mo.S("x2", "x2")) / F.col("n")
-        msgs = g.select(F.lit(step).alias("round"), "site", F.array(db, dc).alias("vec"), F.col("n").cast("double").alias("weight"))
-        glob = cut(fa.reduce_round(msgs, sites, glob.select(F.lit(step).alias("round"), "vec")))
-        row = glob.select("round", r(F.col("vec")[0]).alias("b"), r(F.col("vec")[1]).alias("c"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        return m.withColumn("g", vec.scalar()).select(F.lit(at).alias("round"), "site", F.array(db, dc).alias("vec"), F.col("n").cast("double").alias("weight"))
+
+    def evaluate(at, vec):
+        rss = mo.S("y", "y") - 2 * (b * mo.S("x", "y") + c * mo.S("x2", "y")) + b * b * mo.S("x", "x") + 2 * b * c * mo.S("x", "x2") + c * c * mo.S("x2", "x2")
+        return m.withColumn("g", vec.scalar()).select(F.lit(at).alias("round"), "site", "n", (rss / F.col("n")).alias("mse"))
+
+    return fa.run_rounds(m.select("site", F.col("n").alias("n")), m.limit(1).select(F.array(F.lit(0.0), F.lit(0.0)).alias("vec")), message, rounds, evaluate)
+
+
+@query("federated_evaluation_cf4c", "CF4 AGG17", q.select(GD, " UNION ALL ".join(f"SELECT {i} AS round, site, n, {q.rnd('(s_y__y - 2e0*(b*s_x__y + c*s_x2__y) + b*b*s_x__x + 2e0*b*c*s_x__x2 + c*c*s_x2__x2)/n')} AS mse FROM mom, g{i}" for i in range(4))))
+def federated_evaluation(spark, d):
+    """The last pass only evaluates: four vectors for three rounds."""
+    return gradient_rounds(spark, d)[1].select("round", "site", "n", r("mse").alias("mse"))
 
 
 @query("bootstrap_band_cf5", "CF5 AGG22")

@@ -113,3 +113,20 @@ def summary_statistics_sink(spark, d):
     src.write_summary_statistics(gw.gwas(fx.mr_rows(spark, d), ("snp0", "snp1", "snp2")), path)
     s = spark.read.parquet(path)
     return s.select(F.col("site").cast("int").alias("site"), "snp", "n", *[r(c).alias(c) for c in ("beta_x", "se_x", "beta_y", "se_y")])
+
+
+@query("result_sinks_snk2", "SNK2 AGG17 AGG19", q.select([q.MR, "k AS (SELECT 'site' || site AS axis, fold AS level, regr_slope(y, x) AS est, count(*) AS n, avg((y - 0.9e0*x)*(y - 0.9e0*x)) AS mse FROM mr GROUP BY site, fold)"],
+       f"""SELECT 'comparison' AS sink, axis, level, {q.rnd('est')} AS est, NULL::DOUBLE AS mse, n FROM k
+ UNION ALL SELECT 'metrics', axis, level, NULL, {q.rnd('mse')}, n FROM k UNION ALL SELECT 'sweep', axis, level, {q.rnd('est')}, {q.rnd('mse')}, n FROM k"""))
+def result_sinks(spark, d):
+    """Comparison, metric and sweep tables written as Parquet, CSV and partitioned Parquet, and read back."""
+    k = fx.mr_rows(spark, d).groupBy(F.concat(F.lit("site"), F.col("site").cast("string")).alias("axis"), F.col("fold").alias("level")).agg(
+        r(F.regr_slope("y", "x")).alias("est"), r(F.avg((F.col("y") - 0.9 * F.col("x")) * (F.col("y") - 0.9 * F.col("x")))).alias("mse"), F.count(F.lit(1)).alias("n"))
+    out = None
+    for sink, fmt, cols, parts in (("comparison", "parquet", ("est",), ()), ("metrics", "csv", ("mse",), ()), ("sweep", "parquet", ("est", "mse"), ("axis",))):
+        table, path = k.select("axis", "level", *cols, "n"), scratch_path(spark, sink)
+        src.write_table(table, path, fmt, parts)
+        back = spark.read.schema(table.schema).format(fmt).option("header", True).load(path)
+        back = back.select(F.lit(sink).alias("sink"), "axis", "level", *[(F.col(c) if c in cols else F.lit(None).cast("double")).alias(c) for c in ("est", "mse")], "n")
+        out = back if out is None else out.unionByName(back)
+    return out

@@ -19,7 +19,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current is None:
         current = spark.conf.get("spark.checkpoint.dir", None)
         if current is None:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             current = tempfile.mkdtemp(prefix="sitefold-")
         sc.setCheckpointDir(current)

@@ -79,6 +79,17 @@ def test_logistic_fit_zeroes_its_gradient(mr, pdf):
         cf.design(mr, "3sls")
 
 
+def test_logistic_fit_leaves_out_sites_of_one_class_and_says_when_it_fails(spark, mr):
+    rows, names = cf.design(mr.drop("y").withColumnRenamed("yb", "y"), "naive", 1)
+    want = cf.fit_binary(rows.where("site <> 2"), names).first()
+    got = cf.fit_binary(rows.withColumn("y", F.when(F.col("site") == 2, 1).otherwise(F.col("y"))), names).first()
+    assert abs(got["beta"] - want["beta"]) < 1e-9 and abs(got["se"] - want["se"]) < 1e-9
+    with pytest.raises(ArithmeticError, match="convergence"):
+        cf.fit_binary(rows, names, max_iter=2)
+    with pytest.raises(ArithmeticError, match="intercept"):
+        cf.calibrate_intercept(mr, "x", 0.2, lo=5.0, hi=6.0)
+
+
 def test_residual_inclusion_equals_two_stage_slope(mr):
     rows = cf.first_stage(mr, mr, ["snp0", "snp1"])
     slopes = {}
