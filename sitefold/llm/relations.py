@@ -35,7 +35,8 @@ from sitefold.runtime import ship_package
 
 WIDTH, PERCENT = 5, 80          # words of a shingle; 100 * intersection >= PERCENT * union
 FREQUENT = (2, 8, 64, 1024)     # sets that hold a shingle, in steps of the global order
-UNIT = 4 << 20                  # shingles of a task counted together
+UNIT = 1 << 20                  # shingles of a task counted together
+ROWS = 1000                     # documents whose sets a task holds at once
 CELL, BLOCK = 200, 256          # sets compared with one leader in a task; sets of a block
 ROUNDS = 3                      # leaders tried before blocks are compared
 
@@ -47,8 +48,12 @@ def _sides(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array([int(mix64(s ^ salt).sum(dtype=np.uint64).view(np.int64)) for s in sets], np.int64) for salt in (np.uint64(0), MIX1))
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [t.encode() if t else b"" for t in batch.column("text").to_pylist()]
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Few rows at a time, with their texts."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            part = b.slice(at, ROWS)
+            yield part, [t.encode() if t else b"" for t in part.column("text").to_pylist()]
 
 
 def _counting(bits: int):
@@ -65,8 +70,8 @@ def _counting(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
-        for b in batches:
-            sets = shingles.sets(_texts(b), WIDTH)
+        for b, texts in _parts(batches):
+            sets = shingles.sets(texts, WIDTH)
             h1, h2 = _sides(sets)
             yield rows(id=b.column("id"), n=[len(s) for s in sets], h1=h1, h2=h2)
             for s, key in zip(sets, zip(h1.tolist(), h2.tolist())):
@@ -94,8 +99,7 @@ def first_places(s: np.ndarray, frequent: keycounts.Filters) -> tuple[np.ndarray
 def _candidates(frequent: keycounts.Filters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            texts = _texts(b)
+        for b, texts in _parts(batches):
             sets = shingles.sets(texts, WIDTH)
             found = [first_places(s, frequent) if len(s) else (s, s) for s in sets]
             some = [i for i, (t, _) in enumerate(found) if len(t)]
