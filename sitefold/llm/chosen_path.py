@@ -2,10 +2,12 @@
 
 In each of `TREES` independent trees a node chooses sets of one to three coordinates of the signature, the more the larger it is (for sets
 of c coordinates 1 / similarity ** c on average, at every level, so that a pair at the threshold keeps one shared branch), and its documents
-branch by their minwise tokens there. Documents that verified links connect already have one label: pairs within a label are
-settled, so only pairs across labels count, and a node with one label ends. A node where few such pairs are left is compared
-exhaustively; a larger one is compared with its smallest document and branches on. Candidates that pass a lenient test on signatures
-are verified on the full sets of shingles, each pair once.
+branch by their minwise tokens there. A node of at most `NODE` documents is compared exhaustively and ends; a larger one branches on.
+
+Documents that verified links connect already have one label, and pairs within a label are settled. Every node is first compared with its
+smallest document, which connects most of a group of copies. What is left is dealt into blocks of documents, and pairs of blocks that hold
+different labels go to tasks of their own: signatures tell which documents there have a possible partner, and the full sets of those
+are compared block against block by products of incidence matrices. Tasks emit links that connect labels, never pairs.
 
 Defined results: documents with equal sets are one class, whose smallest id joins; a document without words has an empty set and no
 links; a null id has its size, a null component, and is kept; rows that share an id share a component. Other columns play no part.
@@ -30,8 +32,9 @@ WIDTH, PERCENT = 5, 75      # words of a shingle; 100 * intersection >= PERCENT
 SIGNATURE, TREES = 96, 16
 DEEPER = (300, 1000)        # a node of more documents branches by two coordinates at once, or by three
 LENIENT = 47                # of 96 coordinates: six standard deviations below 0.75 * 96
-CELL = 200                  # documents that verification brings together for one node, about
-PAIRS_PER_DOCUMENT = 50     # a node with at most this many pairs across labels per document is compared exhaustively
+CELL = 200                  # partners of one document that verification brings together, about
+NODE, BLOCK = 2048, 256     # documents of a node that is compared exhaustively, and of a block of those
+COLUMNS = 4096              # shingles of an incidence matrix at once
 FILTER_WORDS = 1 << 17      # 64-bit words of the filter that spares documents without candidates the join; its size is fixed
 
 
@@ -79,22 +82,106 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([p["a"] for p in ok], pa.int64()), pa.array([p["b"] for p in ok], pa.int64())], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b, cell) whose full sets are similar enough: a cell's documents are brought together, each once. Only documents that
-    a fixed-size filter lets through are moved."""
+def _packed(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, packed): the compressed texts of the documents of `ids` (id), and of a few others: those that a fixed-size filter lets through."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     words = ids.select(bit("id").alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("word", F.expr(f"pmod(xxhash64(id), {FILTER_WORDS * 64}) div 64")).join(F.broadcast(words), "word")
     rows = rows.where(F.expr(f"(bits & shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_WORDS * 64}) % 64 as int))) <> 0")).select("id", "text")
-    packed = written(rows.mapInArrow(_shrunk, "id long, packed binary"), "candidates")
+    return written(rows.mapInArrow(_shrunk, "id long, packed binary"), "candidates")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b, cell) whose full sets are similar enough: a cell's documents are brought together, each once."""
+    packed = _packed(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), docs, id_col, text_col)
     needed = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(packed, "id")
     given = needed.groupBy("cell").agg(F.collect_list(F.struct("id", "packed")).alias("given"))
     asked = pairs.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
     return asked.join(given, "cell").select("asked", "given").mapInArrow(_agree, "a long, b long").distinct()
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each cell that have a partner across labels which sizes and signatures allow."""
+    names = ["cell", "node", "label", "side"]
+    for b in batches:
+        for cell, held in zip(b.column("cell").to_pylist(), b.column("held")):
+            rows = held.values
+            node, label, side, n = (rows.field(c).to_numpy() for c in ("node", "label", "side", "n"))
+            sig = rows.field("sig").flatten().to_numpy().reshape(len(node), -1)
+            left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+            some = np.zeros(len(node), bool)
+            for i in left:
+                fits = (label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))
+                near = right[fits][(sig[right[fits]] == sig[i]).sum(1) >= LENIENT]
+                some[near] = True
+                some[i] |= len(near) > 0
+            some = np.flatnonzero(some)
+            yield pa.RecordBatch.from_arrays([pa.array([cell] * len(some), pa.int64()), pa.array(node[some]), pa.array(label[some]), pa.array(side[some])], names=names)
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of x shares with each of y: products of incidence matrices, some columns at once."""
+    every, column, times = np.unique(np.concatenate([*x, *y, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    shared = times[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(x), len(y)), np.float32)  # exact up to 2**24 a product, and added up in steps of COLUMNS
+    total = np.zeros((len(x), len(y)), np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, z = np.searchsorted(column, [at, at + COLUMNS])
+        dense = np.zeros((len(x) + len(y), COLUMNS), np.float32)
+        dense[row[a:z], column[a:z] - at] = 1
+        np.matmul(dense[:len(x)], dense[len(x):].T, out=out)
+        total += out.astype(np.int64)
+    return total
+
+
+def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect the labels of each cell."""
+    z = zstandard.ZstdDecompressor()
+    for b in batches:
+        for given in b.column("given"):
+            rows = given.as_py()
+            sets = shingles.sets([z.decompress(r["packed"]) for r in rows], WIDTH)
+            size, side, label = np.array([len(s) for s in sets]), np.array([r["side"] for r in rows]), [r["label"] for r in rows]
+            left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+            both = overlaps([sets[i] for i in left], [sets[j] for j in right])
+            close = (both > 0) & (100 * both >= PERCENT * (size[left][:, None] + size[right] - both))
+            up = {k: k for k in label}
+
+            def top(k: int) -> int:
+                while up[k] != k:
+                    up[k] = k = up[up[k]]
+                return k
+
+            found = []
+            for i, j in zip(*np.nonzero(close)):
+                p, q = top(label[left[i]]), top(label[right[j]])
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    found.append((rows[left[i]]["node"], rows[right[j]]["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _block_links(few: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links across labels in the nodes of rows (key, node, label, n): blocks of a node against each other, a task for a pair of blocks."""
+    dealt = written(few.select("key", "node", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block")), "blocks")
+    blocks = dealt.groupBy("key", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    side = lambda s: blocks.select("key", *[F.col(c).alias(s + c) for c in ("block", "least", "most")])
+    met = side("a_").join(side("b_"), "key").where("a_block <= b_block and least(a_least, b_least) <> greatest(a_most, b_most)")
+    met = met.select("key", F.xxhash64("key", "a_block", "b_block").alias("cell"), F.explode(F.expr(
+        "if(a_block = b_block, array(struct(a_block as block, 3 as side)), array(struct(a_block as block, 1 as side), struct(b_block as block, 2 as side)))")).alias("of"))
+    members = written(met.select("key", "cell", "of.*"), "met").join(dealt, ["key", "block"]).select("cell", "side", "node", "label")
+    held = members.join(classes.select("node", F.col("n"), "sig"), "node").groupBy("cell").agg(F.collect_list(F.struct("node", "label", "side", "n", "sig")).alias("held"))
+    asked = written(held.mapInArrow(_possible, "cell long, node long, label long, side int"), "possible")
+    packed = _packed(asked.select(F.col("node").alias("id")), docs, id_col, text_col)
+    given = asked.join(packed.withColumnRenamed("id", "node"), "node").groupBy("cell").agg(F.collect_list(F.struct("node", "label", "side", "packed")).alias("given"))
+    return given.select("given").mapInArrow(_connected, "a long, b long")
+
+
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs that sizes allow and signatures do not rule out, with the number of equal coordinates."""
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("sig").alias("s" + c))
@@ -123,58 +210,55 @@ def _branched(many: DataFrame, level: int) -> DataFrame:
     return branching.select("node", child.alias("key"))
 
 
+def _relabelled(roots: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(node, root) after the links `new`: those between what is connected already are followed through its roots."""
+    if roots is None:
+        return written(components(new), "roots")
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+    new = new.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joint = written(components(new), "joint").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(joint, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return written(moved.unionByName(joint.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti")), "roots")
+
+
+def _unsettled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(key, node, label, n, lead) of the nodes (key) that hold more than one label: n documents, the smallest of which leads."""
+    labelled = members.withColumn("label", F.col("node")) if roots is None else members.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("label"))
+    nodes = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    return written(labelled.join(written(nodes.select("key", "n", "lead"), "nodes"), "key"), "members")
+
+
 def joined(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Classes of documents with equal sets (h1, h2, node, n), and (node, root) for the nodes that links join to others: root is
     the smallest node reachable."""
-    spark = docs.sparkSession
     classes = written(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.min_by("sig", "id").alias("sig")), "classes")
     members = classes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     members = members.select("node", _child(F.lit("root"), "sig", F.col("tree")).alias("key"))
-    roots = spark.createDataFrame([], "node long, root long")
-    tried, linked, level = spark.createDataFrame([], "a long, b long"), False, 0
+    roots, level = None, 0
     while True:
-        # pairs left to compare in each node: all less those already connected
-        if linked:
-            members = members.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("label"))
-        else:
-            members = members.withColumn("label", F.col("node"))
-        by_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead"))
-        nodes = by_label.groupBy("key").agg(F.sum("c").alias("n"), (F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("twice"), F.max_by("label", F.struct("c", "label")).alias("main"), F.min("lead").alias("lead"))
-        inside = written(members.join(nodes.where("twice > 0"), "key"), "members")
-        few = inside.where(F.col("twice") <= 2 * PAIRS_PER_DOCUMENT * F.col("n"))
-        many = inside.where(F.col("twice") > 2 * PAIRS_PER_DOCUMENT * F.col("n"))
-        x = few.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-        y = few.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("first"),
-                       F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL))).alias("cell"))
-        pairs = x.join(y, "key").where("lx <> ly and (first or x < y)").select("x", "y", "cell")
-        stars = many.where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"), F.xxhash64("lead", "node").alias("cell"))
-        pairs = pairs.unionByName(stars).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cell").where("a <> b").groupBy("a", "b").agg(F.min("cell").alias("cell"))
-        likely = written(_likely(pairs.join(tried, ["a", "b"], "left_anti") if level else pairs, classes), "likely")
-        tried = tried.unionByName(likely.select("a", "b"))
-        # first the likeliest partner of each document, which connects most of a group; then the pairs that are still apart
-        best = likely.groupBy("b").agg(F.max_by("a", "same").alias("a"))
-        for wanted in [likely] if level else [likely.join(best, ["a", "b"], "left_semi"), likely.join(best, ["a", "b"], "left_anti")]:
-            if linked:
-                side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-                wanted = wanted.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)")
-            wanted = written(wanted.select("a", "b", "cell"), "pairs")
-            if wanted.isEmpty():
-                continue
-            new = written(verified(wanted, docs, id_col, text_col), "links")
-            if new.isEmpty():
-                continue
-            if linked:  # the new links between what is connected already, then the roots of both
-                new = new.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-                joint = written(components(new), "joint").select(F.col("node").alias("root"), F.col("root").alias("top"))
-                moved = roots.join(joint, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-                roots = written(moved.unionByName(joint.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti")), "roots")
-            else:
-                roots, linked = written(components(new), "roots"), True
-        if many.isEmpty():
-            return classes.select("h1", "h2", "node", "n"), roots
-        # the documents of large nodes branch
+        inside = _unsettled(members, roots)
+        # every document with the smallest of its node, in all trees at once
+        stars = inside.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct().withColumn("cell", F.lit(0).cast("long"))
+        likely = written(_likely(stars, classes), "likely")
+        many = likely.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CELL)
+        wanted = likely.join(many, "a", "left").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("c", F.lit(1)) / CELL))).alias("cell"))
+        new = written(verified(written(wanted, "pairs"), docs, id_col, text_col), "links")
+        if not new.isEmpty():
+            roots = _relabelled(roots, new)
+        # nodes of two are decided; the others up to NODE documents are compared as far as labels still differ
+        left = _unsettled(inside.where("n > 2").select("node", "key"), roots)
+        new = written(_block_links(left.where(F.col("n") <= NODE), classes, docs, id_col, text_col), "links")
+        if not new.isEmpty():
+            roots = _relabelled(roots, new)
+        large = left.where(F.col("n") > NODE)
+        if large.isEmpty():
+            break
+        # the documents of larger nodes branch
         level += 1
-        members = _branched(many.select("node", "key", "n").join(classes.select("node", "sig"), "node"), level)
+        members = _branched(large.select("node", "key", "n").join(classes.select("node", "sig"), "node"), level)
+    if roots is None:
+        roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    return classes.select("h1", "h2", "node", "n"), roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

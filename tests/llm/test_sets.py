@@ -70,6 +70,37 @@ def test_near_duplicates_in_one_dense_group_and_awkward_rows(spark, docs):
     assert chosen_path.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_near_duplicates_by_blocks_and_by_branches(spark, monkeypatch):
+    """Documents near the threshold in chains and in half-similar groups, with small blocks; then with nodes that must branch."""
+    rng = np.random.default_rng(12)
+    base, rows = [f"word{i}" for i in range(100)], []
+    for k in range(90):
+        changed = set(rng.choice(100, int(rng.integers(2, 6)), replace=False).tolist())
+        rows.append(" ".join(f"c{k}x{i}" if i in changed else w for i, w in enumerate(base)))
+    chain = [f"v{i}" for i in range(100)]
+    for k in range(60):
+        chain = chain[3:] + [f"v{k}y{j}" for j in range(3)]
+        rows.append(" ".join(chain))
+    rows = [(int(i), rows[i]) for i in rng.permutation(len(rows))]
+    sets = {i: shingle_set(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = roots(sets, links)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(chosen_path, "BLOCK", 16)
+    for node in (chosen_path.NODE, 40):
+        monkeypatch.setattr(chosen_path, "NODE", node)
+        got = {r.doc_id: r.component_id for r in chosen_path.near_duplicates(frame).collect()}
+        assert {i: c for i, c in got.items() if c != want[i]} == {}, node
+
+
+def test_overlaps_are_counted_exactly(monkeypatch):
+    monkeypatch.setattr(chosen_path, "COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    x, y = ([np.unique(rng.integers(0, 60, int(rng.integers(0, 40)), np.uint64)) for _ in range(n)] for n in (5, 8))
+    assert chosen_path.overlaps(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert chosen_path.overlaps([], y).shape == (0, 8) and chosen_path.overlaps(x, []).shape == (5, 0)
+
+
 def test_a_pair_at_the_threshold_keeps_one_shared_branch_on_every_level(spark):
     rng = np.random.default_rng(6)
     rows = []
