@@ -19,7 +19,7 @@ from sitefold.llm.common import written
 
 KEY_BITS = 44
 MOST = 255                     # a task's count of one key is sent up to this
-BUCKET_BYTES = 32 << 20        # text whose keys meet in one bucket, about
+BUCKET_BYTES = 2 << 20         # text whose keys meet in one bucket, about
 MOST_BUCKETS = 1 << 14
 FILTER_BITS = (20, 30)         # a filter has 2**20 to 2**30 bits: 128 MB at the very most
 
