@@ -33,14 +33,15 @@ SIGNATURE, TREES = 96, 16
 DEEPER = (300, 1000)        # a node of more documents branches by two coordinates at once, or by three
 LENIENT = 47                # of 96 coordinates: six standard deviations below 0.75 * 96
 CELL = 200                  # partners of one document that verification brings together, about
-NODE, BLOCK = 2048, 256     # documents of a node that is compared exhaustively, and of a block of those
+NODE, BLOCK = 2048, 1024    # documents of a node that is compared exhaustively, and of a block of those
+ROWS = 1000                 # documents whose sets a task holds at once
 COLUMNS = 4096              # shingles of an incidence matrix at once
 FILTER_WORDS = 1 << 17      # 64-bit words of the filter that spares documents without candidates the join; its size is fixed
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     minhash, salt = shingles.MinHash(SIGNATURE), MIX1
-    for b in batches:
+    for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         texts = [t.encode() if t else b"" for t in b.column("text").to_pylist()]
         sizes, h1, h2, sig = [], [], [], []
         for s in shingles.sets(texts, WIDTH):
