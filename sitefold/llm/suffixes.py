@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefold.llm import keyfilter
+from sitefold.llm import keycounts, keyfilter
 from sitefold.llm.blocks import from_small_bytes, packed, small_bytes, unpacked, whole
 from sitefold.llm.shingles import span_hashes
 from sitefold.runtime import ship_package
@@ -32,7 +32,7 @@ from sitefold.runtime import ship_package
 WINDOW, GRAM = 50, 20
 BY_ITSELF = 255         # in place of an anchor's offset: the string is dealt by its own hash
 AT_ONCE = 1 << 19        # bytes of text anchored together
-PIECE = 8 << 20          # a longer text is anchored in pieces that overlap by a window
+PIECE = AT_ONCE          # a longer text is anchored in pieces that overlap by a window
 SENT_AT_ONCE = 300_000   # contexts that a task holds before it sends them
 SORTED_AT_ONCE = 100_000
 FINER = 2                # more bits of a bucket for contexts than for keys: they are larger
@@ -260,22 +260,28 @@ def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array([small.compress(t.as_buffer() or b"") for t in b.column("text")], pa.binary())], names=["id", "th", "text"])
 
 
+def _union(edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the maximal runs that arrays of begins and ends in turn cover."""
+    if not edges:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start, end = (np.concatenate([e[k::2] for e in edges]) for k in (0, 1))
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    return start[first], end[np.append(first[1:], len(end)) - 1]
+
+
 def _emptied(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
     small = zstandard.ZstdDecompressor()
     for b in batches:
         sizes, removed, spans, digests, texts = [], [], [], [], []
         for text, runs in zip(b.column("text"), b.column("runs").to_pylist()):
             data = np.frombuffer(small.decompress(text.as_buffer()), np.uint8)
-            change = np.zeros(len(data) + 1, np.int32)
-            for r in runs or ():
-                edges = np.cumsum(from_small_bytes(np.frombuffer(r, np.uint8)), dtype=np.int64)
-                np.add.at(change, edges[::2], 1)
-                np.add.at(change, edges[1::2], -1)
-            gone = np.cumsum(change[:-1]) > 0
-            kept = data[~gone].tobytes()
+            start, end = _union([np.cumsum(from_small_bytes(np.frombuffer(r, np.uint8)), dtype=np.int64) for r in runs or ()])
+            kept = b"".join(data[a:z].tobytes() for a, z in zip(np.append(0, end), np.append(start, len(data))))
             sizes.append(len(data))
-            removed.append(int(gone.sum()))
-            spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
+            removed.append(len(data) - len(kept))
+            spans.append(len(start))
             digests.append(hashlib.sha256(kept).hexdigest())
             texts.append(kept if keep_text else None)
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary())],
@@ -286,9 +292,9 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with `keep_text`, the bytes left (`kept`): one row per document."""
     spark = docs.sparkSession
     ship_package(spark)
-    bits = keyfilter.bucket_bits(spark)
-    fine = bits + FINER
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    bits = keycounts.bucket_bits(spark, rows, "text")  # from the bytes, so that what meets in a bucket does not grow with the input
+    fine = bits + FINER
     keys = rows.mapInArrow(lambda it: keyfilter.dealt(_anchor_keys(it), bits), "bucket int, keys binary")
     held = spark.sparkContext.broadcast(keyfilter.repeated_keys(keys))
     row = "bucket int, contexts binary, id long, th long, runs binary"
@@ -303,7 +309,7 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     spread = F.coalesce("bucket", F.pmod(F.xxhash64("id"), F.lit(1 << fine)).cast("int"))
     # many partitions, since little packed data is much work
-    runs = sent.withColumn("b", spread).repartition(2 << fine, "b").groupBy("b").applyInArrow(met, "id long, th long, runs binary")
+    runs = sent.withColumn("b", spread).repartition(2 << bits, "b").groupBy("b").applyInArrow(met, "id long, th long, runs binary")
     by_document = runs.groupBy("id", "th").agg(F.collect_list("runs").alias("runs"))  # bounded by the document
     texts = rows.mapInArrow(_shrunk, "id long, th long, text binary")
     done = texts.join(by_document, ["id", "th"], "left").select("id", "text", "runs")
