@@ -79,9 +79,8 @@ def _segment(group: pa.Table, bits: int) -> pa.Table:
     return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([out[0]], pa.binary()), "often": pa.array([out[1]], pa.binary())})
 
 
-def repeated_keys(keys: DataFrame) -> Filter:
-    """The filter of rows (bucket, keys) made by `dealt` with `bucket_bits`."""
-    bits = bucket_bits(keys.sparkSession)
+def repeated_keys(keys: DataFrame, bits: int) -> Filter:
+    """The filter of rows (bucket, keys) made by `dealt` with the same bits."""
     out = Filter(np.zeros(1 << (FILTER_BITS - 3), np.uint8), np.zeros(1 << (FILTER_BITS - 3), np.uint8))
     size = 1 << (FILTER_BITS - 3 - bits)
     for r in keys.groupBy("bucket").applyInArrow(lambda t: _segment(t, bits), "bucket int, bits binary, often binary").toLocalIterator():

@@ -296,7 +296,7 @@ def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bits = keycounts.bucket_bits(spark, rows, "text")  # from the bytes, so that what meets in a bucket does not grow with the input
     fine = bits + FINER
     keys = rows.mapInArrow(lambda it: keyfilter.dealt(_anchor_keys(it), bits), "bucket int, keys binary")
-    held = spark.sparkContext.broadcast(keyfilter.repeated_keys(keys))
+    held = spark.sparkContext.broadcast(keyfilter.repeated_keys(keys, bits))
     row = "bucket int, contexts binary, id long, th long, runs binary"
     sent = rows.mapInArrow(lambda it: _contexts(it, fine, held.value), row)
 

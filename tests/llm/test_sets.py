@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sitefold.llm import ann, chosen_path, graph, latent, paragraphs, queries, shingles, suffixes
+from sitefold.llm import ann, chosen_path, graph, keycounts, latent, paragraphs, queries, shingles, suffixes
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -137,7 +137,9 @@ def brute_removal(docs):
     return out
 
 
-def test_later_copies_over_the_whole_table(spark, table):
+@pytest.mark.parametrize("bucket", [2 << 20, 1 << 11])
+def test_later_copies_over_the_whole_table(spark, table, monkeypatch, bucket):
+    monkeypatch.setattr(keycounts, "BUCKET_BYTES", bucket)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.QUERIES["op1_suffix_array_dedup"](spark, SF).collect()}
     assert got == brute_removal([(i, (t or "").encode()) for i, t in table])
 
