@@ -117,10 +117,10 @@ def _contexts(batches: Iterator[pa.RecordBatch], bits: int, found: keyfilter.Fil
         bucket = (whole(t.column("key")).to_numpy().astype(np.uint64) >> np.uint64(keyfilter.KEY_BITS - bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-        for b in np.flatnonzero(np.diff(edges)):
-            # the hashes are formed again where the contexts meet: they would be most of what is sent
-            part = t.take(pa.array(order[edges[b]:edges[b + 1]])).drop_columns(["same", "key"]).combine_chunks()
-            yield _row(int(b), packed(part), None, None, None)
+        # the hashes are formed again where the contexts meet: they would be most of what is sent
+        t = t.drop_columns(["same", "key"]).take(pa.array(order)).combine_chunks()
+        for b in np.flatnonzero(np.diff(edges)):  # slices of one table: rows taken from its chunks would copy all of them every time
+            yield _row(int(b), packed(t.slice(edges[b], edges[b + 1] - edges[b])), None, None, None)
 
     for data, edges, about in _pieces(batches):
         begin, piece, place, key = _anchors(data, edges)
@@ -203,7 +203,7 @@ def _hashes_of(column: pa.Array, skip: np.ndarray | None = None, size: int = 0)
 
 def _later_copies(group: pa.Table) -> Iterator[pa.RecordBatch]:
     """Runs that the longest previous factors of one bucket's contexts find."""
-    t = pa.concat_tables([unpacked(x) for x in group.column("contexts").to_pylist()])
+    t = pa.concat_tables([unpacked(x) for x in group.column("contexts").to_pylist()]).combine_chunks()
     # equal contexts first: all but the smallest document's are later copies whole, and need no sorting
     same, ids = _hashes_of(whole(t.column("bytes"))), whole(t.column("id")).to_numpy()
     offset = whole(t.column("offset")).to_numpy()
