@@ -1,13 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are windows of blocks of words. The corpus's TF-IDF matrix over the words of the benchmark (document frequencies count all passages
-of all documents) is factorised by a distributed randomised SVD: every task sends its share of A'(A W) for one random W, the shares are
-summed per term, and the small eigenproblem that is left is solved on the driver. Coordinates are scaled to equal variance, so that what all
-passages of a language share does not count. Each passage whose cosine with an item in the latent
-space is high enough, or which has as many of the item's less usual words as a leak must have, is a candidate; it is a leak if the longest common subsequence covers enough of the item's words, and of what follows
-its answer mark where it has one.
+Each text is written once as the terms of its words: places in the benchmark's vocabulary, or -1. The TF-IDF matrix of passages over these
+terms (document frequencies count all passages of all documents) is factorised by a distributed randomised SVD: every task sends its share of
+A'(A W) for one random W, the shares are summed per term, and the small eigenproblem that is left is solved on the driver. Coordinates are scaled
+to equal variance, so that what all passages of a language share does not count; a term's direction there, times its IDF, is its vector.
 
-The benchmark is taken in blocks of ITEMS items, each against all documents; what is broadcast is bounded by a block.
+A window's cosine with an item decides alone whether it is a candidate. Windows are one and a half to somewhat over two times as long as the item,
+at every third of their length, so that one of them holds each run of the item's length; words that the benchmark does not have count in a window's
+length. A candidate is a leak if the longest common subsequence with its surroundings covers enough of the item's words and, where the item
+has an answer mark, of what follows it; where the cosine is as high as that of the item itself, fewer words of both its halves are enough (a paraphrase).
+
+The benchmark is taken in blocks of at most ITEMS items and about TERMS words, each against all documents; what is broadcast is bounded by a block.
 
 Defined results: null or empty texts and items without words match nothing; items of fewer than SHORT words must occur word for word;
 repeated rows are found repeatedly; a null id stays null. Other columns play no part.
@@ -15,27 +18,33 @@ repeated rows are found repeatedly; a null id stays null. Other columns play no
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitefold.llm.common import written
 from sitefold.llm.shingles import span_hashes
 from sitefold.llm.shingles import words as runs
 from sitefold.runtime import ship_package
 
-ITEMS = 2_000
-BLOCK = 16                 # words of a block; the shortest windows are two blocks
+ITEMS, TERMS = 20_000, 1 << 16
+PASSAGE = 16               # words of a passage of the TF-IDF matrix
+BLOCK = 4                  # windows are whole blocks of so many words
 RANK, SPARE = 128, 16
-MAX_SHARE = 0.05           # a term in more than this share of all blocks weighs nothing, unless its item has fewer than FEW others
+MAX_SHARE = 0.05           # a term in more than this share of all passages weighs nothing, unless its item has fewer than FEW others
 FEW = 3
-COSINE, COMMON, ANSWER_COMMON = 0.2, 0.75, 0.6
+COMMON, ANSWER_COMMON = 0.75, 0.6
+BAR = 0.5                  # of the cosine that a window with the share COMMON of an item's words has if all words weigh the same
+CLOSE, LOOSE = 0.95, 0.6   # a cosine of so much of the item's own makes the share LOOSE of both its halves enough
 SHORT = 8
+AT_ONCE = 1 << 20          # bytes of text, or of terms, at once
+CELLS = 1 << 22            # cosines at once
 _ANSWER = re.compile(r"(?:^|\s)(?:answer|antwort|réponse|respuesta)\s*[:=]", re.I)
 # Bytes that are no part of a word: ASCII other than letters and digits.
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -49,27 +58,34 @@ def words(text: str | None) -> list[bytes]:
     return clean(text).split()
 
 
-def common(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence, a row of the table being the bits of one integer."""
-    at: dict[bytes, int] = {}
+def _places(a: list) -> dict:
+    """The places of each word of `a` as the bits of one integer."""
+    at: dict = {}
     for i, w in enumerate(a):
         at[w] = at.get(w, 0) | (1 << i)
-    full = (1 << len(a)) - 1
+    return at
+
+
+def _common(at: dict, n: int, b: list) -> int:
+    full = (1 << n) - 1
     row = full
     for w in b:
         if m := at.get(w):
             u = row & m
             row = ((row + u) | (row - u)) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
+
+
+def common(a: list, b: list) -> int:
+    """Length of the longest common subsequence, a row of the table being the bits of one integer."""
+    return _common(_places(a), len(a), b)
 
 
 @dataclass
 class Items:
     ids: list[int]
-    words: list[list[bytes]]
-    answers: list[list[bytes]]
-    bags: list[frozenset[bytes]]
-    vocabulary: dict[bytes, int]
+    terms: list[list[int]]     # of each item's words
+    answers: list[list[int]]   # of what follows its answer mark
     hashes: np.ndarray         # of the vocabulary's words, sorted
     by_hash: np.ndarray        # their terms
 
@@ -77,179 +93,206 @@ class Items:
     def of(cls, rows: list[tuple[int, str]]) -> Items:
         split = [(i, words(t), words(t[m.end():]) if (m := _ANSWER.search(t)) else []) for i, t in rows]
         split = [(i, w, a) for i, w, a in split if w]
-        terms = sorted({w for _, ws, _ in split for w in ws})
-        return cls([i for i, _, _ in split], [w for _, w, _ in split], [a for _, _, a in split], [frozenset(w) for _, w, _ in split], {w: n for n, w in enumerate(terms)}, *cls._hashed(terms))
-
-    @staticmethod
-    def _hashed(terms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(b" ".join(terms), np.uint8)
-        h = span_hashes(data, *runs(data)) if terms else np.zeros(0, np.uint64)
-        return np.sort(h), np.argsort(h)
-
-    def found_in(self, item: int, passage: list[bytes]) -> float:
+        vocabulary = sorted({w for _, ws, _ in split for w in ws})
+        number = {w: n for n, w in enumerate(vocabulary)}
+        data = np.frombuffer(b" ".join(vocabulary), np.uint8)
+        h = span_hashes(data, *runs(data)) if vocabulary else np.zeros(0, np.uint64)
+        return cls([i for i, _, _ in split], [[number[w] for w in ws] for _, ws, _ in split], [[number[w] for w in a] for _, _, a in split],
+                   np.sort(h), np.argsort(h).astype(np.int32))
+
+    @cached_property
+    def bags(self) -> list[frozenset[int]]:
+        return [frozenset(ts) for ts in self.terms]
+
+    @cached_property
+    def places(self) -> list[dict[int, int]]:
+        return [_places(ts) for ts in self.terms]
+
+    def found_in(self, item: int, passage: list[int], close: bool = False) -> float:
         """The share of the item's words in common order, or 0 if that or, where it has one, its answer's is too small."""
-        mine = self.words[item]
+        mine = self.terms[item]
         if len(mine) < SHORT:
-            return float(b" " + b" ".join(mine) + b" " in b" " + b" ".join(passage) + b" ")
-        share = common(mine, passage) / len(mine)
+            return float(any(passage[k:k + len(mine)] == mine for k, t in enumerate(passage) if t == mine[0]))
+        share = _common(self.places[item], len(mine), passage) / len(mine)
+        if share < COMMON and not (close and all(common(half, passage) >= LOOSE * len(half) for half in (mine[:len(mine) // 2], mine[len(mine) // 2:]))):
+            return 0.0
         answer = self.answers[item]
-        return share if share >= COMMON and common(answer, passage) >= ANSWER_COMMON * len(answer) else 0.0
-
-
-def _terms(texts: list[str | None], items: Items) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Cleaned bytes of each text; then for the words that the benchmark has: term and block; and the first block of each text.
-
-    Blocks are numbered over all texts; each text begins a new one and has at least one."""
-    cleaned = [clean(t) for t in texts]
-    data = np.frombuffer(b" ".join(cleaned), np.uint8)
-    begin, end = runs(data)
-    edges = np.searchsorted(begin, np.cumsum([0] + [len(c) + 1 for c in cleaned]))
-    sizes = np.diff(edges)
-    blocks = np.maximum(1, -(-sizes // BLOCK))
-    first = np.concatenate([[0], np.cumsum(blocks)])
-    if not len(begin):
-        return cleaned, np.zeros(0, np.int64), np.zeros(0, np.int64), first
-    h = span_hashes(data, begin, end)
-    at = np.minimum(np.searchsorted(items.hashes, h), len(items.hashes) - 1)
-    known = np.flatnonzero(items.hashes[at] == h)
-    place = np.arange(len(h)) - np.repeat(edges[:-1], sizes)
-    block = np.repeat(first[:-1], sizes) + place // BLOCK
-    return cleaned, items.by_hash[at[known]], block[known], first
-
-
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+        return share if common(answer, passage) >= ANSWER_COMMON * len(answer) else 0.0
+
+
+def _groups(sizes: list[int], most: int) -> Iterator[slice]:
+    """Neighbours whose sizes add up to at most `most`, or one by itself."""
+    at = 0
+    while at < len(sizes):
+        end, size = at + 1, sizes[at]
+        while end < len(sizes) and size + sizes[end] <= most:
+            size += sizes[end]
+            end += 1
+        yield slice(at, end)
+        at = end
+
+
+def _term_of(items: Items, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and term of each word of cleaned text, in pieces that end at blanks."""
+    begins, terms, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
+    while at < len(data):
+        end = data.find(b" ", at + AT_ONCE)
+        end = len(data) if end < 0 else end
+        piece = np.frombuffer(data, np.uint8, end - at, at)
+        begin, stop = runs(piece)
+        if len(begin):
+            h = span_hashes(piece, begin, stop)
+            place = np.minimum(np.searchsorted(items.hashes, h), len(items.hashes) - 1)
+            begins.append(begin + at)
+            terms.append(np.where(items.hashes[place] == h, items.by_hash[place], np.int32(-1)))
+        at = end
+    return np.concatenate(begins), np.concatenate(terms)
+
+
+def _coded(batches, items: Items) -> Iterator[pa.RecordBatch]:
+    """(id, terms): the terms of each text's words as little-endian 32-bit integers."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        cleaned = [clean(t) for t in b.column("text").to_pylist()]
+        for part in _groups([len(c) for c in cleaned], AT_ONCE):
+            begin, term = _term_of(items, b" ".join(cleaned[part]))
+            edges = np.searchsorted(begin, np.cumsum([0] + [len(c) + 1 for c in cleaned[part]]))
+            raw = [term[i:j].astype("<i4").tobytes() for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([b.column("id").slice(part.start, len(raw)), pa.array(raw, pa.binary())], names=["id", "terms"])
 
 
-def _frequencies(batches, items: Items) -> Iterator[pa.RecordBatch]:
-    """Blocks that hold each term; term -1 counts all blocks."""
-    v = len(items.vocabulary)
+def _passages(batches, width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids; the term and the block of `width` words of each word; the first block of each text, which has at least one."""
+    for b in batches:
+        raw = b.column("terms").to_pylist()
+        for part in _groups([len(r) for r in raw], AT_ONCE):
+            sizes = np.array([len(r) // 4 for r in raw[part]])
+            term = np.frombuffer(b"".join(raw[part]), "<i4")
+            first = np.concatenate([[0], np.cumsum(np.maximum(1, -(-sizes // width)))])
+            edges = np.cumsum(sizes) - sizes
+            block = np.repeat(first[:-1], sizes) + (np.arange(len(term)) - np.repeat(edges, sizes)) // width
+            yield b.column("id").slice(part.start, len(sizes)), term, block, first
+
+
+def _sums(vectors: np.ndarray, term: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the vectors of each block's terms."""
+    out = np.zeros((n, vectors.shape[1]), np.float32)
+    if len(term):
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        out[block[starts]] = np.add.reduceat(vectors[term], starts, axis=0)
+    return out
+
+
+def _frequencies(batches, v: int) -> Iterator[pa.RecordBatch]:
+    """Passages that hold each term; term -1 counts all passages."""
     df, n = np.zeros(v, np.int64), 0
-    for b in _parts(batches):
-        _, term, block, first = _terms(b.column("text").to_pylist(), items)
-        df += np.bincount(np.unique(block * v + term) % v, minlength=v)
+    for _, term, block, first in _passages(batches, PASSAGE):
+        known = term >= 0
+        df += np.bincount(np.unique(block[known] * v + term[known]) % v, minlength=v)
         n += int(first[-1])
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, v, dtype=np.int32)), pa.array(np.concatenate([[n], df]))], names=["term", "n"])
+    some = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some]).astype(np.int32)), pa.array(np.concatenate([[n], df[some]]))], names=["term", "n"])
 
 
-def _sketch(batches, items: Items, idf: np.ndarray, omega: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sketch(batches, idf: np.ndarray, omega: np.ndarray) -> Iterator[pa.RecordBatch]:
     """This task's share of A'(A W), one row per term."""
     y = np.zeros(omega.shape)
-    weighted, heard = (omega * idf[:, None]).astype(np.float32), idf > 0
-    for b in _parts(batches):
-        _, term, block, first = _terms(b.column("text").to_pylist(), items)
-        term, block = term[heard[term]], block[heard[term]]
+    weighted, heard = (omega * idf[:, None]).astype(np.float32), np.append(idf > 0, False)
+    for _, term, block, first in _passages(batches, PASSAGE):
+        here = heard[term]
+        term, block = term[here], block[here]
         if not len(term):
             continue
-        starts = np.flatnonzero(np.diff(block, prepend=-1))
-        aw = np.zeros((int(first[-1]), omega.shape[1]), np.float32)
-        aw[block[starts]] = np.add.reduceat(weighted[term], starts, axis=0)
+        aw = _sums(weighted, term, block, int(first[-1]))
         order = np.argsort(term, kind="stable")
         starts = np.flatnonzero(np.diff(term[order], prepend=-1))
         y[term[order][starts]] += np.add.reduceat(aw[block[order]], starts, axis=0) * idf[term[order][starts], None]
     some = np.flatnonzero(np.abs(y).sum(1))
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(y[some, j]) for j in range(y.shape[1]))], names=["term", *(f"y{j}" for j in range(y.shape[1]))])
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(y[some, j].astype(np.float32)) for j in range(y.shape[1]))], names=["term", *(f"y{j}" for j in range(y.shape[1]))])
 
 
-def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of many ranges in turn: which range, and the number."""
-    size = end - begin
-    which = np.repeat(np.arange(len(size)), size)
-    return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + begin[which]
+def _scales(lengths: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(blocks of a third of a window, items): two thirds hold each of the items, and most are not half as long."""
+    out, third, below = [], 1, 0
+    while below < lengths.max():
+        mine = np.flatnonzero((lengths > below) & (lengths <= 2 * third * BLOCK))
+        if len(mine):
+            out.append((third, mine))
+        below, third = 2 * third * BLOCK, max(third + 1, third * 4 // 3)
+    return out
 
 
-def _matches(batches, items: Items, latent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(id, item, cosine, share) of each document's leaks: per item the passage with the largest share."""
-    lengths, heard = np.array([len(w) for w in items.words]), np.abs(latent).sum(1) > 0
-    q = np.array([latent[[items.vocabulary[w] for w in ws]].sum(0) for ws in items.words], np.float32)
+def _matches(batches, items: Items, latent: np.ndarray, unknown: float) -> Iterator[pa.RecordBatch]:
+    """(id, item, cosine, share) of each document's leaks: per item the passage with the largest share. `unknown` is the square of an unknown word's weight."""
+    lengths, heard = np.array([len(ts) for ts in items.terms]), np.append(np.abs(latent).sum(1) > 0, False)
+    q = np.array([latent[ts].sum(0) for ts in items.terms], np.float32)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-    # an order of COMMON of n words leaves out (1 - COMMON) n of them, hence at most as many different ones
-    need = [len(bag) - (len(ws) - math.ceil(COMMON * len(ws))) for bag, ws in zip(items.bags, items.words)]
-    scales, reach = [], BLOCK
-    while True:  # a window of 2 * reach words at every reach words holds each run of up to reach words
-        mine = np.flatnonzero((lengths <= reach) & (lengths > (reach // 2 if scales else 0)))
-        scales.append((reach // BLOCK, mine))
-        if lengths.max() <= reach:
-            break
-        reach *= 2
-    # of those, how many must be among the words that are heard: a passage with as many is a candidate whatever its cosine
-    v, m = len(items.vocabulary), len(items.ids)
-    bags = [np.array(sorted(items.vocabulary[w] for w in bag)) for bag in items.bags]
-    rare = np.array([n - int((~heard[bag]).sum()) for n, bag in zip(need, bags)])
-    member, holder = np.concatenate(bags), np.repeat(np.arange(m), [len(bag) for bag in bags])
-    order = np.argsort(member, kind="stable")
-    holder, posted = holder[order], np.searchsorted(member[order], np.arange(v + 1))
-    column = np.zeros(m, np.int64)
-    for _, mine in scales:
-        column[mine] = np.arange(len(mine))
-    for b in _parts(batches):
-        cleaned, term, block, first = _terms(b.column("text").to_pylist(), items)
-        sums = np.zeros((int(first[-1]), latent.shape[1]), np.float32)
-        term, block = term[heard[term]], block[heard[term]]
-        if len(term):
-            starts = np.flatnonzero(np.diff(block, prepend=-1))
-            sums[block[starts]] = np.add.reduceat(latent[term], starts, axis=0)
-        owner, split = np.repeat(np.arange(len(cleaned)), np.diff(first)), {}
+    share = np.where(lengths < SHORT, 1.0, COMMON)
+    # an order of most of n words leaves out at most so many different ones; halves are rounded by themselves
+    need = [len(bag) - int((1 - LOOSE) * len(ts)) - 1 for bag, ts in zip(items.bags, items.terms)]
+    scales = _scales(lengths)
+    for ids, term, block, first in _passages(batches, BLOCK):
+        blocks, sizes = int(first[-1]), np.diff(first)
+        text = np.searchsorted(block, first)       # where each text's words begin
+        here = heard[term]
+        sums = _sums(latent, term[here], block[here], blocks)
+        foreign = np.bincount(block[term < 0], minlength=blocks).astype(np.float32)
         best: dict[tuple[int, int], tuple[float, float]] = {}
-        for step, mine in scales:
-            if not len(mine):
-                continue
-            # windows of 2 * step blocks at every step blocks of a text
-            nth = np.arange(len(owner)) - first[owner]
-            at = np.flatnonzero(nth % step == 0)
-            running = np.concatenate([np.zeros((1, sums.shape[1]), np.float32), np.cumsum(sums, axis=0)])
-            to = np.minimum(at + 2 * step, first[owner[at] + 1])
-            w = running[to] - running[at]
-            w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
-            cosine = w @ q[mine].T
-            hit, lo, hi = cosine >= COSINE, np.maximum(at - 1, first[owner[at]]), np.minimum(at + 2 * step + 1, first[owner[at] + 1])
-            of, entry = _ranges(np.searchsorted(block, lo), np.searchsorted(block, hi))
-            which, place = _ranges(posted[term[entry]], posted[term[entry] + 1])
-            here = np.isin(holder[place], mine)
-            found = np.unique((of[which[here]] * m + holder[place[here]]) * v + term[entry[which[here]]]) // v
-            pair, times = np.unique(found, return_counts=True)
-            pair = pair[(times >= rare[pair % m]) & (rare[pair % m] > 0)]
-            hit[pair // m, column[pair % m]] = True
-            seen = -1
-            for i, j in zip(*(x.tolist() for x in np.nonzero(hit))):
-                if i != seen:
-                    seen, doc, a = i, int(owner[at[i]]), int(nth[at[i]]) * BLOCK
-                    if doc not in split:
-                        split[doc] = cleaned[doc].split()
-                    passage = split[doc][max(0, a - BLOCK):a + (2 * step + 1) * BLOCK]
-                    bag = frozenset(passage)
-                item = int(mine[j])
-                # most different words of an item must occur before an order of them is looked for
-                if len(items.bags[item] & bag) < need[item] or best.get((doc, item), (0.0, 0.0))[1] >= 1.0:
-                    continue
-                share = items.found_in(item, passage)
-                if share:
-                    best[doc, item] = max(best.get((doc, item), (0.0, 0.0)), (float(cosine[i, j]), share), key=lambda x: x[1])
+        for third, mine in scales:
+            count = -(-sizes // third)
+            owner = np.repeat(np.arange(len(sizes)), count)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            starts = first[owner] + nth * third
+            part, strange = np.add.reduceat(sums, starts, axis=0), np.add.reduceat(foreign, starts)
+            # a window that ends with the text holds those which begin later
+            begun = np.flatnonzero((nth == 0) | (nth + 3 <= count[owner]))
+            window, alien = part[begun], strange[begun]
+            for k in (1, 2):
+                more = np.flatnonzero(nth[begun] + k < count[owner[begun]])
+                window[more] += part[begun[more] + k]
+                alien[more] += strange[begun[more] + k]
+            window /= np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window) + unknown * alien), 1e-12)[:, None]
+            alike = np.sqrt(np.minimum(1.0, lengths[mine] / (3 * third * BLOCK))).astype(np.float32)
+            bar, high, seen = np.maximum(BAR * share[mine] * alike, 1e-6).astype(np.float32), CLOSE * alike, -1
+            rows = max(1, CELLS // len(mine))
+            for at in range(0, len(begun), rows):
+                cosine = window[at:at + rows] @ q[mine].T
+                for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= bar))):
+                    if at + i != seen:
+                        seen = at + i
+                        a = begun[seen]
+                        doc, origin = int(owner[a]), int(text[owner[a]])
+                        lo, hi = origin + max(0, int(nth[a]) - 1) * third * BLOCK, min(int(text[doc + 1]), origin + (int(nth[a]) + 4) * third * BLOCK)
+                        passage = term[lo:hi].tolist()
+                        bag = frozenset(passage)
+                    item = int(mine[j])
+                    # most different words of an item must occur before an order of them is looked for
+                    if len(items.bags[item] & bag) < need[item] or best.get((doc, item), (0.0, 0.0))[1] >= 1.0:
+                        continue
+                    found = items.found_in(item, passage, bool(cosine[i, j] >= high[j]))
+                    if found:
+                        best[doc, item] = max(best.get((doc, item), (0.0, 0.0)), (float(cosine[i, j]), found), key=lambda x: x[1])
         if best:
-            ids = b.column("id")
             yield pa.RecordBatch.from_arrays([ids.take(pa.array([d for d, _ in best])), pa.array([items.ids[i] for _, i in best], pa.int64()),
                                               pa.array([c for c, _ in best.values()], pa.float64()), pa.array([s for _, s in best.values()], pa.float64())], names=["id", "item", "cosine", "share"])
 
 
-def latent_terms(rows: DataFrame, items: Items, seed: int = 5) -> np.ndarray:
-    """Each term's weight times its place in the latent space."""
-    sc = rows.sparkSession.sparkContext
-    held, v, r = sc.broadcast(items), len(items.vocabulary), RANK + SPARE
-    counted = rows.mapInArrow(lambda it: _frequencies(it, held.value), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+def latent_terms(coded: DataFrame, items: Items, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Each term's direction in the latent space times its weight, and the mean square of the weights."""
+    sc = coded.sparkSession.sparkContext
+    v, r = len(items.hashes), RANK + SPARE
+    counted = coded.mapInArrow(lambda it: _frequencies(it, v), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(v + 1)
     counts[counted.column("term").to_numpy() + 1] = counted.column("n").to_numpy()
     idf = np.log((counts[0] + 1) / (counts[1:] + 1)) + 1
     usual = counts[1:] > MAX_SHARE * counts[0]
-    needed = {items.vocabulary[w] for bag in items.bags if sum(not usual[items.vocabulary[w]] for w in bag) < FEW for w in bag}
+    needed = {t for bag in items.bags if sum(not usual[t] for t in bag) < FEW for t in bag}
     usual[list(needed)] = False
     idf[usual] = 0.0
     r = min(r, v)
     omega = np.random.default_rng(seed).standard_normal((v, r)) * (idf > 0)[:, None]
     given = sc.broadcast((idf, omega))
-    schema = "term int, " + ", ".join(f"y{j} double" for j in range(r))
-    shares = rows.mapInArrow(lambda it: _sketch(it, held.value, *given.value), schema).groupBy("term").agg(*[F.sum(f"y{j}").alias(f"y{j}") for j in range(r)]).toArrow()
+    schema = "term int, " + ", ".join(f"y{j} float" for j in range(r))
+    shares = coded.mapInArrow(lambda it: _sketch(it, *given.value), schema).groupBy("term").agg(*[F.sum(f"y{j}").alias(f"y{j}") for j in range(r)]).toArrow()
     y = np.zeros((v, r))
     if shares.num_rows:
         y[shares.column("term").to_numpy()] = np.stack([shares.column(f"y{j}").to_numpy() for j in range(r)], 1)
@@ -259,7 +302,10 @@ def latent_terms(rows: DataFrame, items: Items, seed: int = 5) -> np.ndarray:
     values, turn = np.linalg.eigh(inner @ np.linalg.pinv((omega.T @ y + y.T @ omega) / 2, rcond=1e-10, hermitian=True) @ inner.T)
     leading = np.argsort(-values)[:RANK]
     leading = leading[values[leading] > 1e-9 * max(values.max(), 1e-300)]
-    return (idf[:, None] * (basis @ turn[:, leading]) / np.sqrt(values[leading])).astype(np.float32)
+    at = basis @ turn[:, leading] / np.sqrt(values[leading])
+    size = np.linalg.norm(at, axis=1, keepdims=True)
+    vectors = np.where(size > 1e-9 * max(size.max(), 1e-300), at / np.maximum(size, 1e-300), 0.0) * idf[:, None]
+    return vectors.astype(np.float32), float(np.mean(idf[idf > 0] ** 2)) if (idf > 0).any() else 1.0
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -270,19 +316,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     read = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null")
     found = spark.createDataFrame([], "doc_id long, item_id long, cosine double, common_share double")
     held: list[tuple[int, str]] = []
+    vocabulary: set[bytes] = set()
 
     def search(block: list[tuple[int, str]]) -> None:
         nonlocal found
         items = Items.of(block)
         if items.ids:
-            given = spark.sparkContext.broadcast((items, latent_terms(rows, items)))
-            hits = rows.mapInArrow(lambda it: _matches(it, *given.value), "id long, item long, cosine double, share double")
+            given = spark.sparkContext.broadcast(items)
+            coded = written(rows.mapInArrow(lambda it: _coded(it, given.value), "id long, terms binary"), "benchmark-terms")
+            space = spark.sparkContext.broadcast(latent_terms(coded, items))
+            hits = coded.mapInArrow(lambda it: _matches(it, given.value, *space.value), "id long, item long, cosine double, share double")
             found = found.unionByName(hits.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "cosine", F.col("share").alias("common_share")))
 
     for r in read.orderBy("i", "t").toLocalIterator():
         held.append((r["i"], r["t"]))
-        if len(held) == ITEMS:
+        vocabulary.update(words(r["t"]))
+        if len(held) == ITEMS or len(vocabulary) >= TERMS:
             search(held)
-            held = []
+            held, vocabulary = [], set()
     search(held)
     return found
