@@ -160,35 +160,63 @@ def _coded(batches, items: Items) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("id").slice(part.start, len(raw)), pa.array(raw, pa.binary())], names=["id", "terms"])
 
 
-def _passages(batches, width: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids; the term and the block of `width` words of each word; the first block of each text, which has at least one."""
-    for b in batches:
-        raw = b.column("terms").to_pylist()
-        for part in _groups([len(r) for r in raw], AT_ONCE):
-            sizes = np.array([len(r) // 4 for r in raw[part]])
-            term = np.frombuffer(b"".join(raw[part]), "<i4")
-            first = np.concatenate([[0], np.cumsum(np.maximum(1, -(-sizes // width)))])
-            edges = np.cumsum(sizes) - sizes
-            block = np.repeat(first[:-1], sizes) + (np.arange(len(term)) - np.repeat(edges, sizes)) // width
-            yield b.column("id").slice(part.start, len(sizes)), term, block, first
-
-
-def _sums(vectors: np.ndarray, term: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
-    """The sum of the vectors of each block's terms."""
-    out = np.zeros((n, vectors.shape[1]), np.float32)
-    if len(term):
-        starts = np.flatnonzero(np.diff(block, prepend=-1))
-        out[block[starts]] = np.add.reduceat(vectors[term], starts, axis=0)
+def _passages(batch: pa.RecordBatch, width: int, overlap: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows and terms of neighbouring texts, and the first block of `width` words of each text, which has at least one.
+
+    Texts are padded to whole blocks by a term after the last, -2; long ones come in pieces of which each begins with the last `overlap` words before it."""
+    most = AT_ONCE // 4 // width * width + overlap
+    raw = batch.column("terms").to_pylist()
+    sizes = [len(r) // 4 for r in raw]
+    for part in _groups(sizes, most):
+        texts = [(part.start + k, np.frombuffer(r, "<i4")) for k, r in enumerate(raw[part])]
+        if len(texts) > 1 or sizes[part.start] <= most:
+            pieces = [texts]
+        else:
+            row, t = texts[0]
+            pieces = [[(row, t[at:at + most])] for at in range(0, len(t) - overlap, most - overlap)]
+        for piece in pieces:
+            size = np.array([len(t) for _, t in piece])
+            blocks = np.maximum(1, -(-size // width))
+            first = np.concatenate([[0], np.cumsum(blocks)])
+            term = np.full(int(first[-1]) * width, -2, np.int32)
+            to = np.repeat(first[:-1] * width - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            term[to] = np.concatenate([t for _, t in piece])
+            yield np.array([r for r, _ in piece]), term, first
+
+
+def _sums(vectors: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The sum of the vectors at each row's places."""
+    out = vectors[slots[:, 0]]
+    for k in range(1, slots.shape[1]):
+        out += vectors[slots[:, k]]
+    return out
+
+
+def _merged(sums: np.ndarray, first: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of `times` neighbouring rows of a text, the last perhaps of fewer; and where each text begins. A row of zeros ends both tables."""
+    count = -(-np.diff(first) // times)
+    begin = np.concatenate([[0], np.cumsum(count)])
+    at = np.append(np.repeat(first[:-1] - begin[:-1] * times, count) + np.arange(int(begin[-1])) * times, first[-1])
+    return _runs(sums, at, np.append(np.repeat(first[1:], count), first[-1]), times), begin
+
+
+def _runs(sums: np.ndarray, at: np.ndarray, last: np.ndarray, times: int) -> np.ndarray:
+    """The sums of `times` rows from each of `at`, or of those before `last`; the last row is zero."""
+    out = sums[at]
+    for k in range(1, times):
+        out += sums[np.where(at + k < last, at + k, len(sums) - 1)]
     return out
 
 
 def _frequencies(batches, v: int) -> Iterator[pa.RecordBatch]:
     """Passages that hold each term; term -1 counts all passages."""
     df, n = np.zeros(v, np.int64), 0
-    for _, term, block, first in _passages(batches, PASSAGE):
-        known = term >= 0
-        df += np.bincount(np.unique(block[known] * v + term[known]) % v, minlength=v)
-        n += int(first[-1])
+    for b in batches:
+        for _, term, first in _passages(b, PASSAGE):
+            at = np.flatnonzero(term >= 0)
+            held = np.sort(at // PASSAGE * v + term[at])
+            df += np.bincount(held[np.diff(held, prepend=-1) > 0] % v, minlength=v)
+            n += int(first[-1])
     some = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some]).astype(np.int32)), pa.array(np.concatenate([[n], df[some]]))], names=["term", "n"])
 
@@ -196,83 +224,86 @@ def _frequencies(batches, v: int) -> Iterator[pa.RecordBatch]:
 def _sketch(batches, idf: np.ndarray, omega: np.ndarray) -> Iterator[pa.RecordBatch]:
     """This task's share of A'(A W), one row per term."""
     y = np.zeros(omega.shape)
-    weighted, heard = (omega * idf[:, None]).astype(np.float32), np.append(idf > 0, False)
-    for _, term, block, first in _passages(batches, PASSAGE):
-        here = heard[term]
-        term, block = term[here], block[here]
-        if not len(term):
-            continue
-        aw = _sums(weighted, term, block, int(first[-1]))
-        order = np.argsort(term, kind="stable")
-        starts = np.flatnonzero(np.diff(term[order], prepend=-1))
-        y[term[order][starts]] += np.add.reduceat(aw[block[order]], starts, axis=0) * idf[term[order][starts], None]
+    weighted, heard = np.append(omega * idf[:, None], np.zeros((2, omega.shape[1])), axis=0).astype(np.float32), np.append(idf > 0, [False, False])
+    for b in batches:
+        for _, term, _ in _passages(b, PASSAGE):
+            at = np.flatnonzero(heard[term])
+            if not len(at):
+                continue
+            aw = _sums(weighted, term.reshape(-1, PASSAGE))
+            at = at[np.argsort(term[at], kind="stable")]
+            edges, passage = np.flatnonzero(np.diff(term[at], prepend=-1, append=-1)), at // PASSAGE
+            for i, j, t in zip(edges[:-1].tolist(), edges[1:].tolist(), term[at[edges[:-1]]].tolist()):
+                y[t] += np.add.reduce(aw[passage[i:j]], axis=0)
+    y *= idf[:, None]
     some = np.flatnonzero(np.abs(y).sum(1))
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(y[some, j].astype(np.float32)) for j in range(y.shape[1]))], names=["term", *(f"y{j}" for j in range(y.shape[1]))])
 
 
 def _scales(lengths: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(blocks of a third of a window, items): two thirds hold each of the items, and most are not half as long."""
-    out, third, below = [], 1, 0
+    """(blocks of a third of a window, items): two thirds hold each of the items. Thirds are 1, 2, 3, 4, 6, 8, 12, 16 and so on blocks."""
+    out, below, third, then = [], 0, 1, 2
     while below < lengths.max():
-        mine = np.flatnonzero((lengths > below) & (lengths <= 2 * third * BLOCK))
-        if len(mine):
-            out.append((third, mine))
-        below, third = 2 * third * BLOCK, max(third + 1, third * 4 // 3)
+        reach = 2 * third * BLOCK
+        out.append((third, np.flatnonzero((lengths > below) & (lengths <= reach))))
+        below, third, then = reach, then, 3 if third == 1 else 2 * third
     return out
 
 
 def _matches(batches, items: Items, latent: np.ndarray, unknown: float) -> Iterator[pa.RecordBatch]:
     """(id, item, cosine, share) of each document's leaks: per item the passage with the largest share. `unknown` is the square of an unknown word's weight."""
-    lengths, heard = np.array([len(ts) for ts in items.terms]), np.append(np.abs(latent).sum(1) > 0, False)
+    lengths = np.array([len(ts) for ts in items.terms])
     q = np.array([latent[ts].sum(0) for ts in items.terms], np.float32)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+    # the last but one row is padding, the last an unknown word, which counts in one more column
+    vectors = np.zeros((len(latent) + 2, latent.shape[1] + 1), np.float32)
+    vectors[:-2, :-1] = latent
+    vectors[-1, -1] = unknown
     share = np.where(lengths < SHORT, 1.0, COMMON)
     # an order of most of n words leaves out at most so many different ones; halves are rounded by themselves
     need = [len(bag) - int((1 - LOOSE) * len(ts)) - 1 for bag, ts in zip(items.bags, items.terms)]
     scales = _scales(lengths)
-    for ids, term, block, first in _passages(batches, BLOCK):
-        blocks, sizes = int(first[-1]), np.diff(first)
-        text = np.searchsorted(block, first)       # where each text's words begin
-        here = heard[term]
-        sums = _sums(latent, term[here], block[here], blocks)
-        foreign = np.bincount(block[term < 0], minlength=blocks).astype(np.float32)
+    for b in batches:
         best: dict[tuple[int, int], tuple[float, float]] = {}
-        for third, mine in scales:
-            count = -(-sizes // third)
-            owner = np.repeat(np.arange(len(sizes)), count)
-            nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            starts = first[owner] + nth * third
-            part, strange = np.add.reduceat(sums, starts, axis=0), np.add.reduceat(foreign, starts)
-            # a window that ends with the text holds those which begin later
-            begun = np.flatnonzero((nth == 0) | (nth + 3 <= count[owner]))
-            window, alien = part[begun], strange[begun]
-            for k in (1, 2):
-                more = np.flatnonzero(nth[begun] + k < count[owner[begun]])
-                window[more] += part[begun[more] + k]
-                alien[more] += strange[begun[more] + k]
-            window /= np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window) + unknown * alien), 1e-12)[:, None]
-            alike = np.sqrt(np.minimum(1.0, lengths[mine] / (3 * third * BLOCK))).astype(np.float32)
-            bar, high, seen = np.maximum(BAR * share[mine] * alike, 1e-6).astype(np.float32), CLOSE * alike, -1
-            rows = max(1, CELLS // len(mine))
-            for at in range(0, len(begun), rows):
-                cosine = window[at:at + rows] @ q[mine].T
-                for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= bar))):
-                    if at + i != seen:
-                        seen = at + i
-                        a = begun[seen]
-                        doc, origin = int(owner[a]), int(text[owner[a]])
-                        lo, hi = origin + max(0, int(nth[a]) - 1) * third * BLOCK, min(int(text[doc + 1]), origin + (int(nth[a]) + 4) * third * BLOCK)
-                        passage = term[lo:hi].tolist()
-                        bag = frozenset(passage)
-                    item = int(mine[j])
-                    # most different words of an item must occur before an order of them is looked for
-                    if len(items.bags[item] & bag) < need[item] or best.get((doc, item), (0.0, 0.0))[1] >= 1.0:
-                        continue
-                    found = items.found_in(item, passage, bool(cosine[i, j] >= high[j]))
-                    if found:
-                        best[doc, item] = max(best.get((doc, item), (0.0, 0.0)), (float(cosine[i, j]), found), key=lambda x: x[1])
+        for row, term, first in _passages(b, BLOCK, overlap=5 * scales[-1][0] * BLOCK):
+            thirds = {1: (_sums(vectors, np.append(term, np.full(BLOCK, -2, np.int32)).reshape(-1, BLOCK)), first)}
+            for third, mine in scales:
+                if third > 1:
+                    times = 3 if third == 3 else 2
+                    thirds[third] = _merged(*thirds[third // times], times)
+                if not len(mine):
+                    continue
+                part, begin = thirds[third]
+                owner = np.repeat(np.arange(len(row)), np.diff(begin))
+                nth = np.arange(len(owner)) - begin[owner]
+                last = begin[owner + 1]
+                # a window that ends with the text holds those which begin later
+                at = np.flatnonzero((nth == 0) | (np.arange(len(owner)) + 3 <= last))
+                window = _runs(part, at, last[at], 3)
+                alien, window = window[:, -1], window[:, :-1]
+                size = np.sqrt(np.einsum("ij,ij->i", window, window) + alien)
+                alike = np.sqrt(np.minimum(1.0, lengths[mine] / (3 * third * BLOCK))).astype(np.float32)
+                bar, high, seen = np.maximum(BAR * share[mine] * alike, 1e-6).astype(np.float32), CLOSE * alike, -1
+                turned, rows = np.ascontiguousarray(q[mine].T), max(1, CELLS // len(mine))
+                for lo in range(0, len(at), rows):
+                    cosine = window[lo:lo + rows] @ turned
+                    cosine /= np.maximum(size[lo:lo + rows, None], 1e-12)
+                    for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= bar))):
+                        if lo + i != seen:
+                            seen = lo + i
+                            doc, a = int(owner[at[seen]]), int(nth[at[seen]])
+                            origin, step = int(first[doc]) * BLOCK, third * BLOCK
+                            passage = term[origin + max(0, a - 1) * step:min(int(first[doc + 1]) * BLOCK, origin + (a + 4) * step)].tolist()
+                            bag, key = frozenset(passage), int(row[doc])
+                        item = int(mine[j])
+                        # most different words of an item must occur before an order of them is looked for
+                        if len(items.bags[item] & bag) < need[item] or best.get((key, item), (0.0, 0.0))[1] >= 1.0:
+                            continue
+                        found = items.found_in(item, passage, bool(cosine[i, j] >= high[j]))
+                        if found:
+                            best[key, item] = max(best.get((key, item), (0.0, 0.0)), (float(cosine[i, j]), found), key=lambda x: x[1])
         if best:
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array([d for d, _ in best])), pa.array([items.ids[i] for _, i in best], pa.int64()),
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array([d for d, _ in best])), pa.array([items.ids[i] for _, i in best], pa.int64()),
                                               pa.array([c for c, _ in best.values()], pa.float64()), pa.array([s for _, s in best.values()], pa.float64())], names=["id", "item", "cosine", "share"])
 
 

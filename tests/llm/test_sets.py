@@ -262,6 +262,60 @@ def test_paraphrased_benchmark_passages_are_found(spark, table):
     assert len(planted & found) >= 0.99 * len(planted)
 
 
+def best_run(item, said):
+    """The largest share of the item's words in common order with a run of as many words."""
+    places = [k for k, w in enumerate(said) if w in set(item)]
+    return max((latent.common(item, said[k:k + len(item)]) / len(item) for k in places), default=0.0)
+
+
+def test_the_cosine_keeps_what_the_common_words_of_all_pairs_show(spark, table):
+    rng, others = np.random.default_rng(3), [t.split() for _, t in table if t]
+    items = [(r.item_id, latent.words(r.text)) for r in queries.table(spark, SF, "benchmark").collect()]
+    said = []
+    for n, (_, w) in enumerate(items * 3):
+        w = [x.decode() for x in w]
+        keep = set(rng.permutation(len(w))[:len(w) - len(w) // 5].tolist())
+        new = [w[:-(-4 * len(w) // 5)], [x for k, x in enumerate(w) if k in keep], [x if k in keep else f"other{k}" for k, x in enumerate(w)]][n % 3]
+        before, after = (others[int(rng.integers(len(others)))][:int(rng.integers(60))] for _ in range(2))
+        said.append((10_000 + n, " ".join(before + new + after)))
+    docs = queries.table(spark, SF, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(said, "doc_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in latent.leaks(docs, queries.table(spark, SF, "benchmark")).collect()}
+    texts = {i: latent.words(t) for i, t in [*table, *said]}
+    true = {(d, i) for d, t in texts.items() for i, w in items if 2 * len(set(w) & set(t)) >= len(set(w)) and best_run(w, t) >= latent.COMMON}
+    print("pairs", len(true), "found", len(true & found))
+    assert len(true) >= len(said) and len(true & found) >= 0.95 * len(true)
+    for d, i in found - true:
+        w, t = dict(items)[i], texts[d]
+        assert latent.common(w, t) >= latent.LOOSE * len(w)
+
+
+def test_long_texts_are_searched_in_pieces(monkeypatch):
+    rng = np.random.default_rng(8)
+    item = [f"i{k}" for k in range(40)]
+    items = latent.Items.of([(7, " ".join(item)), (8, "i1 i2 i3")])
+    noise = [f"n{k}" for k in rng.integers(0, 500, 20_000)]
+    at = rng.permutation(19_000)[:60]
+    for k in at:
+        noise[k:k + 1] = [f"{noise[k]} " + " ".join(item)]
+    texts = [None, "", " ".join(noise), " ".join(noise[:at.min()]), " ".join(item)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([1, 2, 3, None, 5], pa.int64()), "text": texts})
+    vectors = rng.standard_normal((len(items.hashes), 128)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    for size in (1 << 20, 1 << 13):
+        monkeypatch.setattr(latent, "AT_ONCE", size)
+        coded = list(latent._coded([batch], items))
+        whole = [t for b in coded for t in b.column("terms").to_pylist()]
+        assert [len(t) // 4 for t in whole] == [len(latent.words(t)) for t in texts]
+        rows = [r for b in latent._matches(coded, items, vectors, 1.0) for r in b.to_pylist()]
+        assert {(r["id"], r["item"]) for r in rows} == {(3, 7), (3, 8), (5, 7), (5, 8)} and all(r["share"] == 1.0 for r in rows)
+        counted = {}
+        for b in latent._frequencies(coded, len(items.hashes)):
+            counted = dict(zip(b.column("term").to_pylist(), b.column("n").to_pylist()))
+        if size == 1 << 20:
+            want = counted
+        assert counted == want and counted[-1] == sum(max(1, -(-len(latent.words(t)) // latent.PASSAGE)) for t in texts)
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(30):
