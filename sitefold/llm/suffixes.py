@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.llm import keycounts, keyfilter
-from sitefold.llm.blocks import from_small_bytes, packed, small_bytes, unpacked, whole
+from sitefold.llm.blocks import from_small_bytes, small_bytes, whole
 from sitefold.llm.shingles import span_hashes
 from sitefold.runtime import ship_package
 
@@ -35,7 +36,7 @@ AT_ONCE = 1 << 19        # bytes of text anchored together
 PIECE = AT_ONCE          # a longer text is anchored in pieces that overlap by a window
 SENT_AT_ONCE = 300_000   # contexts that a task holds before it sends them
 SORTED_AT_ONCE = 100_000
-FINER = 2                # more bits of a bucket for contexts than for keys: they are larger
+FINER = 0                # more bits of a bucket for contexts than for keys; every bit halves what a task packs together
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -99,6 +100,30 @@ def _cut(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[take])])
 
 
+COLUMNS = [("id", np.int64), ("th", np.int64), ("start", np.int64), ("n", np.uint8), ("offset", np.uint8)]
+
+
+def _packed(t: pa.Table) -> bytes:
+    """Contexts as bytes: a count, the columns byte by byte (those of numbers alike are zeros in a row) and the strings, whose sizes follow from n."""
+    parts = [len(t).to_bytes(4, "little")]
+    for name, kind in COLUMNS:
+        parts.append(whole(t.column(name)).to_numpy().astype(kind).view(np.uint8).reshape(len(t), -1).T.tobytes())
+    strings = whole(t.column("bytes"))
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset:strings.offset + len(t) + 1]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*parts, memoryview(strings.buffers()[2])[ends[0]:ends[-1]]]))
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    rows, at, columns = int.from_bytes(data[:4], "little"), 4, {}
+    for name, kind in COLUMNS:
+        size = np.dtype(kind).itemsize
+        columns[name] = pa.array(np.ascontiguousarray(np.frombuffer(data, np.uint8, rows * size, at).reshape(size, rows).T).view(kind).ravel())
+        at += rows * size
+    ends = np.concatenate([[0], np.cumsum(columns["n"].to_numpy().astype(np.int64) + WINDOW - 1)]).astype(np.int32)
+    return pa.table({**columns, "bytes": pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends), pa.py_buffer(data[at:])])})
+
+
 def _contexts(batches: Iterator[pa.RecordBatch], bits: int, found: keyfilter.Filter) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, contexts, id, th, runs): contexts dealt by their anchor, or runs that a smaller document of this task has as well."""
     held: list[pa.Table] = []
@@ -120,7 +145,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], bits: int, found: keyfilter.Fil
         # the hashes are formed again where the contexts meet: they would be most of what is sent
         t = t.drop_columns(["same", "key"]).take(pa.array(order)).combine_chunks()
         for b in np.flatnonzero(np.diff(edges)):  # slices of one table: rows taken from its chunks would copy all of them every time
-            yield _row(int(b), packed(t.slice(edges[b], edges[b + 1] - edges[b])), None, None, None)
+            yield _row(int(b), _packed(t.slice(edges[b], edges[b + 1] - edges[b])), None, None, None)
 
     for data, edges, about in _pieces(batches):
         begin, piece, place, key = _anchors(data, edges)
@@ -151,24 +176,36 @@ def _row(bucket, contexts, i, th, runs) -> pa.RecordBatch:
                                       names=["bucket", "contexts", "id", "th", "runs"])
 
 
+def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, begin and end of the maximal runs that pieces cover, of all documents at once, in order."""
+    if not len(doc):
+        return doc, start, end
+    order = np.lexsort((start, doc))
+    doc, apart = doc[order], int(end.max()) + 1
+    start, end = start[order] + doc * apart, np.maximum.accumulate(end[order] + doc * apart)  # a document's places lie behind those of the one before
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    last = np.append(first[1:], len(end)) - 1
+    return doc[first], start[first] - doc[first] * apart, end[last] - doc[first] * apart
+
+
 def _runs(ids: np.ndarray, ths: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
     """One row per document with its merged runs: gaps and lengths in turn."""
     if not len(ids):
         return
-    order = np.lexsort((start, ths, ids))
-    ids, ths, start, end = ids[order], ths[order], start[order], (start + size)[order]
-    edges = np.append(np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1])])), len(ids))
-    out = []
-    for a, z in zip(edges[:-1], edges[1:]):
-        s, e = start[a:z], np.maximum.accumulate(end[a:z])
-        first = np.concatenate([[True], s[1:] > e[:-1]])
-        s, e = s[first], e[np.append(np.flatnonzero(first)[1:] - 1, z - a - 1)]
-        both = np.empty(2 * len(s), np.int64)
-        both[::2] = s - np.concatenate([[0], e[:-1]])
-        both[1::2] = e - s
-        out.append(small_bytes(both).tobytes())
-    none = pa.nulls(len(out), pa.int32())
-    yield pa.RecordBatch.from_arrays([none, pa.nulls(len(out), pa.binary()), pa.array(ids[edges[:-1]]), pa.array(ths[edges[:-1]]), pa.array(out, pa.binary())], names=["bucket", "contexts", "id", "th", "runs"])
+    order = np.lexsort((ths, ids))
+    ids, ths, start, size = ids[order], ths[order], start[order].astype(np.int64), size[order].astype(np.int64)
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1])])
+    doc, s, e = _merged(np.cumsum(new) - 1, start, start + size)
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    both = np.empty(2 * len(s), np.int64)
+    both[::2] = s - np.concatenate([[0], e[:-1]])
+    both[2 * first] = s[first]
+    both[1::2] = e - s
+    coded = small_bytes(both)
+    ends = np.concatenate([[0], np.flatnonzero(coded < 128) + 1])[np.append(2 * first, len(both))]  # the last byte of a number is below 128
+    n = len(first)
+    out = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(coded)])
+    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(ids[new]), pa.array(ths[new]), out], names=["bucket", "contexts", "id", "th", "runs"])
 
 
 def previous_factors(rank: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -203,7 +240,7 @@ def _hashes_of(column: pa.Array, skip: np.ndarray | None = None, size: int = 0)
 
 def _later_copies(group: pa.Table) -> Iterator[pa.RecordBatch]:
     """Runs that the longest previous factors of one bucket's contexts find."""
-    t = pa.concat_tables([unpacked(x) for x in group.column("contexts").to_pylist()]).combine_chunks()
+    t = pa.concat_tables([_unpacked(x) for x in group.column("contexts").to_pylist()]).combine_chunks()
     # equal contexts first: all but the smallest document's are later copies whole, and need no sorting
     same, ids = _hashes_of(whole(t.column("bytes"))), whole(t.column("id")).to_numpy()
     offset = whole(t.column("offset")).to_numpy()
@@ -260,28 +297,33 @@ def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array([small.compress(t.as_buffer() or b"") for t in b.column("text")], pa.binary())], names=["id", "th", "text"])
 
 
-def _union(edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and ends of the maximal runs that arrays of begins and ends in turn cover."""
-    if not edges:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    start, end = (np.concatenate([e[k::2] for e in edges]) for k in (0, 1))
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order])
-    first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
-    return start[first], end[np.append(first[1:], len(end)) - 1]
+def _covered(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of the maximal runs of every row of lists of coded runs."""
+    coded, row = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    ends = np.frombuffer(coded.buffers()[1], np.int32)[coded.offset:coded.offset + len(coded) + 1].astype(np.int64) if len(coded) else np.zeros(1, np.int64)
+    if ends[-1] == ends[0]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    data = np.frombuffer(coded.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    begun = np.searchsorted(np.flatnonzero(data < 128), ends - ends[0])  # numbers before each value
+    place = np.concatenate([[0], np.cumsum(from_small_bytes(data), dtype=np.int64)])
+    edges = place[1:] - np.repeat(place[begun[:-1]], np.diff(begun))
+    return _merged(np.repeat(row, np.diff(begun) // 2).astype(np.int64), edges[::2], edges[1::2])
 
 
 def _emptied(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
     small = zstandard.ZstdDecompressor()
     for b in batches:
         sizes, removed, spans, digests, texts = [], [], [], [], []
-        for text, runs in zip(b.column("text"), b.column("runs").to_pylist()):
-            data = np.frombuffer(small.decompress(text.as_buffer()), np.uint8)
-            start, end = _union([np.cumsum(from_small_bytes(np.frombuffer(r, np.uint8)), dtype=np.int64) for r in runs or ()])
-            kept = b"".join(data[a:z].tobytes() for a, z in zip(np.append(0, end), np.append(start, len(data))))
+        row, start, end = _covered(b.column("runs"))
+        edges = np.searchsorted(row, np.arange(b.num_rows + 1)).tolist()
+        start, end = start.tolist(), end.tolist()
+        for i, text in enumerate(b.column("text")):
+            data = memoryview(small.decompress(text.as_buffer()))
+            mine = slice(edges[i], edges[i + 1])
+            kept = b"".join([data[a:z] for a, z in zip([0, *end[mine]], [*start[mine], len(data)])])
             sizes.append(len(data))
             removed.append(len(data) - len(kept))
-            spans.append(len(start))
+            spans.append(edges[i + 1] - edges[i])
             digests.append(hashlib.sha256(kept).hexdigest())
             texts.append(kept if keep_text else None)
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary())],
