@@ -23,6 +23,7 @@ from sitefold.operators import moments as mo
 from sitefold.operators import ordered as od
 from sitefold.runtime import cut
 
+SECOND_CELLS = 1 << 16   # replicates x rows whose own regressors are held at once
 LEAF_ROWS = 2048   # rows of a range, about; a task holds the weights of one range at a time
 
 # P(N <= k) for N ~ Poisson(1)
@@ -230,43 +231,54 @@ def _scatter(t: np.ndarray, d: int) -> tuple[float, np.ndarray, np.ndarray]:
 def curve_replicates(df: DataFrame, snps: Sequence[str], ids: Sequence[str], n_boot: int, method: str = "2sri", degree: int = 2,
                      knots: Sequence[float] = (), seed: int = 0, x: str = "x", y: str = "y") -> DataFrame:
     """Both stages refitted on every replicate of exactly n rows per site: (rep, coef), coefficients of the curve's basis, then for 2sri that of
-    the residual. For any polynomial or hinge basis and the three methods of controlfn.
+    the residual. For any polynomial or hinge basis and the three methods of controlfn."""
+    return curves_by_method(df, snps, ids, n_boot, (method,), degree, knots, seed, x, y)[method]
+
+
+def curves_by_method(df: DataFrame, snps: Sequence[str], ids: Sequence[str], n_boot: int, methods: Sequence[str] = cf.METHODS, degree: int = 2,
+                     knots: Sequence[float] = (), seed: int = 0, x: str = "x", y: str = "y") -> dict[str, DataFrame]:
+    """The tables of `curve_replicates` for several methods, which share the packed rows, their draws and the first stages.
 
     naive and 2sri follow from one pass of weighted moments, as the residual is linear in them. 2sps takes powers of each replicate's own
     prediction, so a second pass reads the same packed rows with every replicate's first stage (replicates x sites x instruments numbers)."""
-    if method not in cf.METHODS:
-        raise ValueError(f"method must be one of {cf.METHODS}, got {method!r}")
+    for method in methods:
+        if method not in cf.METHODS:
+            raise ValueError(f"method must be one of {cf.METHODS}, got {method!r}")
     m, p = len(snps), degree + len(knots)
     packed = leaves(df, [*snps, x, y], ids, seed)
     centre = df.agg(*[F.avg(c) for c in (*snps, x, y)]).first()
     centre = np.array([float(c or 0.0) for c in centre])
-    second = method == "2sps"
-    width = m + 2 + (0 if second else p)
+    once = any(method != "2sps" for method in methods)  # a method that follows from the moments of the basis
+    width = m + 2 + (p if once else 0)
     at_centre = _basis(centre[m], degree, knots)
     z, xs, ys, bs = np.arange(m), m, m + 1, np.arange(m + 2, m + 2 + p)
     upper = np.triu_indices(width)
 
     def first_sums(site, w, v):
-        cols = v - centre if second else np.concatenate([v - centre, _basis(v[:, m], degree, knots) - at_centre], axis=1)
+        cols = np.concatenate([v - centre, _basis(v[:, m], degree, knots) - at_centre], axis=1) if once else v - centre
         return w @ np.concatenate([np.ones((len(v), 1)), cols, cols[:, upper[0]] * cols[:, upper[1]]], axis=1)
 
-    sums = _summed(packed, n_boot, first_sums)
-
-    def solved(t: pa.Table) -> pa.Table:
-        a, c = np.zeros((p + 1, p + 1)), np.zeros(p + 1)
-        for r in t.column("t").to_pylist():
-            _, _, s = _scatter(np.array(r), width)
-            pi = np.linalg.lstsq(s[np.ix_(z, z)], s[z, xs], rcond=None)[0]
-            along = np.zeros((width, p + 1))  # the regressors as combinations of the columns: the basis, and x less its prediction
-            along[bs, np.arange(p)] = 1.0
-            along[xs, p], along[z, p] = 1.0, -pi
-            a += along.T @ s @ along
-            c += along.T @ s[:, ys]
-        k = p if method == "naive" else p + 1
-        return pa.table({"rep": t.column("rep").slice(0, 1), "coef": pa.array([np.linalg.solve(a[:k, :k], c[:k])], pa.list_(pa.float64()))})
-
-    if not second:
-        return sums.groupBy("rep").applyInArrow(solved, "rep int, coef array<double>")
+    sums = cut(_summed(packed, n_boot, first_sums))
+
+    def solved(method: str) -> Callable[[pa.Table], pa.Table]:
+        def solve(t: pa.Table) -> pa.Table:
+            a, c = np.zeros((p + 1, p + 1)), np.zeros(p + 1)
+            for r in t.column("t").to_pylist():
+                _, _, s = _scatter(np.array(r), width)
+                pi = np.linalg.lstsq(s[np.ix_(z, z)], s[z, xs], rcond=None)[0]
+                along = np.zeros((width, p + 1))  # the regressors as combinations of the columns: the basis, and x less its prediction
+                along[bs, np.arange(p)] = 1.0
+                along[xs, p], along[z, p] = 1.0, -pi
+                a += along.T @ s @ along
+                c += along.T @ s[:, ys]
+            k = p if method == "naive" else p + 1
+            return pa.table({"rep": t.column("rep").slice(0, 1), "coef": pa.array([np.linalg.solve(a[:k, :k], c[:k])], pa.list_(pa.float64()))})
+
+        return solve
+
+    out = {method: sums.groupBy("rep").applyInArrow(solved(method), "rep int, coef array<double>") for method in methods if method != "2sps"}
+    if "2sps" not in methods:
+        return out
     stages: dict = {}
     for r in sums.collect():
         _, mean, s = _scatter(np.array(r["t"]), width)
@@ -275,19 +287,21 @@ def curve_replicates(df: DataFrame, snps: Sequence[str], ids: Sequence[str], n_b
     above = np.triu_indices(p + 1)
 
     def second_sums(site, w, v):
-        predicted = stages[site][:, :1] + stages[site][:, 1:] @ v[:, :m].T
-        out = np.empty((n_boot, 1 + (p + 1) + len(above[0])))
-        for r in range(n_boot):  # a replicate's own regressors: rows x basis
-            cols = np.column_stack([_basis(predicted[r], degree, knots) - at_centre, v[:, m + 1] - centre[m + 1]])
-            weighted = cols * w[r][:, None]
-            out[r] = np.concatenate([[w[r].sum()], weighted.sum(0), (weighted.T @ cols)[above]])
+        out, step = np.empty((n_boot, 1 + (p + 1) + len(above[0]))), max(1, SECOND_CELLS // max(len(v), 1))
+        outcome = v[:, m + 1] - centre[m + 1]
+        for at in range(0, n_boot, step):  # a replicate's own regressors: replicates x rows, some replicates at once
+            these = slice(at, at + step)
+            predicted = stages[site][these, :1] + stages[site][these, 1:] @ v[:, :m].T
+            cols = [*np.moveaxis(_basis(predicted, degree, knots) - at_centre, -1, 0), np.broadcast_to(outcome, predicted.shape)]
+            weighted = [w[these] * c for c in cols]
+            out[these] = np.column_stack([w[these].sum(1), *(c.sum(1) for c in weighted), *(np.einsum("rm,rm->r", weighted[i], cols[j]) for i, j in zip(*above))])
         return out
 
     def solved_second(t: pa.Table) -> pa.Table:
         s = sum(_scatter(np.array(r), p + 1)[2] for r in t.column("t").to_pylist())
         return pa.table({"rep": t.column("rep").slice(0, 1), "coef": pa.array([np.linalg.solve(s[:p, :p], s[:p, p])], pa.list_(pa.float64()))})
 
-    return _summed(packed, n_boot, second_sums).groupBy("rep").applyInArrow(solved_second, "rep int, coef array<double>")
+    return out | {"2sps": _summed(packed, n_boot, second_sums).groupBy("rep").applyInArrow(solved_second, "rep int, coef array<double>")}
 
 
 def two_stage(rep_moments: DataFrame, snps: Sequence[str], method: str = "2sri") -> DataFrame:

@@ -154,8 +154,7 @@ def bootstrap_draws(spark, d):
 def bootstrap_curved(spark, d):
     """Bands of quadratic curves by the three methods, 200 exact replicates each."""
     train, out = fx.mr_rows(spark, d).filter("fold < 4"), None
-    for method in cf.METHODS:
-        fits = bs.curve_replicates(train, fx.SNPS, ROW_ID, 200, method, 2, (), 1)
+    for method, fits in bs.curves_by_method(train, fx.SNPS, ROW_ID, 200, cf.METHODS, 2, (), 1).items():
         band = cv.percentile_band(cf.curve_from_coef(fits, 2, 2, (), ("rep",))).withColumn("method", F.lit(method))
         out = band if out is None else out.unionByName(band)
     return out

@@ -172,3 +172,20 @@ def test_curved_replicates_are_weighted_two_stage_fits(spark, mr, method, degree
             d, y = d - mean(d), q.y - mean(q.y)
             a, c = a + (d * own).T @ (d * own), c + (d * own).T @ (y * own[:, 0])
         np.testing.assert_allclose(got[rep], np.linalg.solve(a, c), rtol=1e-6, atol=1e-9)
+
+
+def test_methods_share_the_rows_and_their_draws(mr, monkeypatch):
+    calls = []
+    for name in ("leaves", "_summed"):
+        def counted(*args, _name=name, _run=getattr(bs, name)):
+            calls.append(_name)
+            return _run(*args)
+        monkeypatch.setattr(bs, name, counted)
+    together = bs.curves_by_method(mr, ["snp0", "snp1"], IDS, 3, degree=2, seed=4)
+    assert calls.count("leaves") == 1 and calls.count("_summed") == 2
+    for method, fits in together.items():
+        alone = {r["rep"]: r["coef"] for r in bs.curve_replicates(mr, ["snp0", "snp1"], IDS, 3, method, 2, (), 4).collect()}
+        got = {r["rep"]: r["coef"] for r in fits.collect()}
+        assert sorted(got) == sorted(alone) == [0, 1, 2]
+        for rep in got:
+            np.testing.assert_allclose(got[rep], alone[rep], rtol=1e-9)
