@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +111,20 @@ def merged(n: np.ndarray, mean_i: np.ndarray, mean_j: np.ndarray, m2: np.ndarray
     return int(total), gi, gj, m2.sum(0) + ((mean_i - gi) * n[:, None]).T @ (mean_j - gj)
 
 
-def _tile_rows(batches: Iterator[pa.RecordBatch], by: Sequence[str], width: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _numbers(batches: Iterator[pa.RecordBatch], array: str | None, width: int, more: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of complete rows with their numbers: those of `array`, `width` in every row, then `more` scalar ones."""
+    for b in batches:
+        if array:
+            if b.num_rows and pc.any(pc.not_equal(pc.list_value_length(b.column("_v")), width)).as_py():
+                raise ValueError(f"{array}: not {width} numbers in every row")
+            flat = b.column("_v").flatten()
+            if flat.null_count:
+                b = b.filter(pa.array(pc.is_valid(flat).to_numpy(zero_copy_only=False).reshape(b.num_rows, width).all(1)))
+        both = [b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(b.num_rows, n) for c, n in (("_v", width if array else 0), ("_w", more)) if n]
+        yield b, np.concatenate(both, axis=1) if len(both) != 1 else both[0]
+
+
+def _tile_rows(batches: Iterator[tuple[pa.RecordBatch, np.ndarray]], by: Sequence[str], width: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     salt = TaskContext.get().partitionId() % MERGE_WAYS
@@ -124,9 +138,8 @@ def _tile_rows(batches: Iterator[pa.RecordBatch], by: Sequence[str], width: int,
                               *(pa.array([v], pa.list_(pa.float64())) for v in (mean[i:i + TILE], mean[j:j + TILE], m2[i:i + TILE, j:j + TILE].ravel()))]
                     yield pa.RecordBatch.from_arrays([*row.columns, *values], names=names)
 
-    for b in batches:
+    for b, v in batches:
         codes, keys = group_codes(b, by)
-        v = np.asarray(b.column("_v").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, width)
         for k in range(codes.max() + 1 if len(codes) else 0):
             part = v[codes == k]
             n, mean = len(part), part.mean(axis=0)
@@ -154,14 +167,13 @@ def moment_tiles(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("site"
     neither a group nor a matrix has to pass through one task.
     """
     by, width = list(by), width + len(cols)
-    values = [F.col(c).cast("double") for c in cols]
-    packed = F.concat(F.transform(F.col(array), lambda e: e.cast("double")), F.array(*values)) if array else F.array(*values)
-    rows = complete(df, [*cols, *([array] if array else [])]).select(*by, packed.alias("_v"))
-    if array:
-        rows = rows.where(F.when(F.size("_v") != width, F.raise_error(F.lit(f"{array}: not {width - len(cols)} numbers in every row")).cast("boolean")).otherwise(~F.exists("_v", lambda e: e.isNull())))
+    # sizes and nulls of the array are looked at where it is reduced: a condition on it would be evaluated on its own, with every element again
+    parts = [F.col(array).cast("array<double>").alias("_v")] if array else []
+    parts += [F.array(*[F.col(c).cast("double") for c in cols]).alias("_w")] if cols else []
+    rows = complete(df, [*cols, *([array] if array else [])]).select(*by, *parts)
     names = [*by, "i", "j", "salt", "n", "mean_i", "mean_j", "m2"]
     schema = f"{_key_schema(df, by)}i int, j int, salt int, n long, mean_i array<double>, mean_j array<double>, m2 array<double>"
-    parts = rows.mapInArrow(lambda batches: _tile_rows(batches, by, width, names), schema)
+    parts = rows.mapInArrow(lambda batches: _tile_rows(_numbers(batches, array, width - len(cols), len(cols)), by, width, names), schema)
 
     def merge(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()

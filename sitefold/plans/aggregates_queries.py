@@ -9,6 +9,7 @@ from sitefold.operators import iv
 from sitefold.operators import meta as ma
 from sitefold.operators import metrics as me
 from sitefold.operators import moments as mo
+from sitefold.operators.ordered import bucket_count
 from sitefold.operators import sensitivity as se
 from sitefold.plans import fixtures as fx
 from sitefold.plans import sqlparts as q
@@ -78,7 +79,9 @@ def forty_columns(spark, d):
        "u AS (SELECT site, unnest(range(500)) AS k, unnest(v) AS x, list_sum(v) AS total FROM t)"],
        f"SELECT site, CAST(k AS INT) AS k, count(*) AS n, {q.rnd('avg(x)', 3)} AS mean, round(covar_pop(x, x)*count(*) / 1e3) + 0e0 AS own, round(covar_pop(x, total)*count(*) / 1e6) + 0e0 AS row_total FROM u GROUP BY site, k"))
 def five_hundred_columns(spark, d):
-    rows = fx.table(spark, d, "customer").select((F.col("c_nationkey") % 3).cast("int").alias("site"), F.array(*[F.expr(e).cast("double") for e in HUNDREDS]).alias("v"))
+    # few bytes become five hundred numbers: more tasks than the file has splits
+    customers = fx.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal").repartition(bucket_count(spark.range(0)))
+    rows = customers.select((F.col("c_nationkey") % 3).cast("int").alias("site"), F.array(*[F.expr(e).cast("double") for e in HUNDREDS]).alias("v"))
     c = mo.moment_cells(mo.moment_tiles(rows, [], array="v", width=500), [str(k) for k in range(500)])
     both = c.select("site", F.col("a").alias("k"), "n", F.col("mean_a").alias("mean"), "sxy", (F.col("a") == F.col("b")).alias("own")).unionByName(
         c.where("a <> b").select("site", F.col("b").alias("k"), "n", F.col("mean_b").alias("mean"), "sxy", F.lit(False).alias("own")))
