@@ -341,13 +341,13 @@ def protocol_for(manifest: dict):
     return shared_instruments if manifest.get("shared_snps") else local_first_stages
 
 
-def from_manifest(manifest: DataFrame, df: DataFrame, snps: Sequence[str], **options) -> Run:
+def from_manifest(manifest: DataFrame, df: DataFrame, snps: Sequence[str], sites: DataFrame | None = None, **options) -> Run:
     """The protocol that the one document of a manifest table asks for, run on the rows of its sites. Rows of sites that the manifest does not
-    name are refused, and so are sites of the manifest without rows."""
+    name are refused, and so are sites of the manifest without rows. `sites`, where it is known, has the sites of `df`, and spares a scan."""
     docs = manifest.select("shared_snps", F.col("sites.site_id").alias("ids")).take(2)
     if len(docs) != 1:
         raise ValueError(f"one manifest is needed, not {len(docs) or 'none'}")
-    known, found = set(docs[0]["ids"] or ()), {r["site"] for r in df.select("site").distinct().collect()}
+    known, found = set(docs[0]["ids"] or ()), {r["site"] for r in (df if sites is None else sites).select("site").distinct().collect()}
     if known != found:
         raise ValueError(f"sites without rows: {sorted(known - found)}; rows of sites not in the manifest: {sorted(found - known)}")
     return protocol_for({"shared_snps": bool(docs[0]["shared_snps"])})(df, snps, **options)

@@ -350,7 +350,8 @@ def curve_band_robust(spark, d):
 
 @query("site_files_iv11b", "IV11 SRC1 SRC4", q.select(SHARED_FIT, f"SELECT 'shared' AS protocol, {q.rnd('theta')} AS theta, CAST(5 AS BIGINT) AS sites, CAST(n AS BIGINT) AS n FROM th UNION ALL SELECT 'site' AS protocol, f.theta, CAST(5 AS BIGINT), CAST(t.n AS BIGINT) FROM (" + lin_sql(LOCAL_CTES) + ") f, th t"))
 def site_files(spark, d):
-    """Two data sets written as a file per site with a manifest beside them, read back, and fitted by what their manifest says."""
+    """Two data sets written as a file per site with a manifest beside them, read back, and fitted by what their manifest says. A data set's files
+    are written in one pass over the rows, and one over what was written counts the rows of its sites."""
     import json
 
     from sitefold.sources import sites as src
@@ -360,14 +361,15 @@ def site_files(spark, d):
     out = None
     for name, shared in (("shared", True), ("site", False)):
         folder = scratch_path(spark, f"{name}-set")
-        for s in names:
-            src.write_table(rows.where(F.col("site") == s).select(*fx.SNPS, "x", "y"), f"{folder}/site{int(s) + 1:02d}.csv", "csv")
+        src.write_table(rows.select(*fx.SNPS, "x", "y", F.format_string("site%02d.csv", F.col("site") + 1).alias("file")), folder, "csv", ["file"])
         doc = json.dumps({"shape": "linear", "shared_snps": shared, "sites": [{"site_id": f"site{int(s) + 1:02d}"} for s in names]})
         spark.createDataFrame([(doc,)], "value string").coalesce(1).write.text(f"{folder}/manifest.json")
-        df = src.scan_sites(spark, f"{folder}/site*.csv", "csv", rows.select(*fx.SNPS, "x", "y").schema, folders=True)
-        run = iv.from_manifest(src.read_manifest(spark, f"{folder}/manifest.json"), df, fx.SNPS, robust=False)
+        df = src.scan_sites(spark, f"{folder}/file=site*.csv", "csv", rows.select(*fx.SNPS, "x", "y").schema, folders=True)
+        df = df.withColumn("site", F.substring_index("site", "=", -1))  # Spark's folder is file=site01.csv
+        counted = cut(df.groupBy("site").agg(F.count(F.lit(1)).alias("n")))
+        run = iv.from_manifest(src.read_manifest(spark, f"{folder}/manifest.json"), df, fx.SNPS, counted, robust=False)
         e = run.estimates().select(F.lit(name).alias("protocol"), r("theta").alias("theta"))
-        size = df.agg(F.countDistinct("site").alias("sites"), F.count(F.lit(1)).alias("n"))
+        size = counted.agg(F.count("site").alias("sites"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
         e = e.crossJoin(size)  # one row and one row
         out = e if out is None else out.unionByName(e)
     return out

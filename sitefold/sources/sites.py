@@ -34,8 +34,11 @@ SHAPES = ("quadratic", "threshold", "linear", "cox")
 
 
 def site_name(suffix: str) -> Column:
-    """File stem (or the dataset folder carrying the suffix) of the row's source file."""
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)" + re.escape(suffix), 1)
+    """File stem (or the dataset folder carrying the suffix) of the row's source file. It is cut out of the path of every row, so plain searches
+    do it; the pattern, which tries every place of a path, is left to paths without such a stem."""
+    path = F.col("_metadata.file_path")
+    stem = F.substring_index(F.substring_index(path, suffix, 1), "/", -1)
+    return F.when(F.contains(path, F.lit(suffix)) & (stem != ""), stem).otherwise(F.regexp_extract(path, r"([^/]+?)" + re.escape(suffix), 1))
 
 
 def site_schema(n_snps: int, survival: bool = False, oracle: bool = True) -> T.StructType:
