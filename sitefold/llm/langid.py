@@ -30,6 +30,7 @@ from sitefold.runtime import ship_package
 
 ORDER = 3
 ROWS_PER_LANGUAGE, MAX_LANGUAGES, MAX_CONTEXTS, MIN_COUNT = 600, 200, 20_000, 3
+CODED_AT_ONCE, TEXTS_AT_ONCE = 1 << 17, 1 << 20  # bytes whose code lengths are looked up together, and of the texts prepared for that
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -58,8 +59,8 @@ class Model:
         owner_edge = np.append(begin, len(data))
         sizes = np.diff(owner_edge)
         s = self.symbol[data]
-        for at in range(0, len(data), 1 << 20):
-            part = slice(at, min(len(data), at + (1 << 20)))
+        for at in range(0, len(data), CODED_AT_ONCE):
+            part = slice(at, min(len(data), at + CODED_AT_ONCE))
             first = np.searchsorted(owner_edge, at, side="right") - 1
             inside = np.searchsorted(owner_edge, part.stop, side="left")
             owner = np.repeat(np.arange(first, inside), np.minimum(owner_edge[first + 1:inside + 1], part.stop) - np.maximum(owner_edge[first:inside], at))
@@ -188,7 +189,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", pred_c
         at = 0
         while model is not None and at < len(column):
             mine, parts, size = [], [], 0
-            while at < len(column) and size < (4 << 20):
+            while at < len(column) and size < TEXTS_AT_ONCE:
                 if column[at] and _LETTER.search(column[at]):
                     mine.append(at)
                     parts.append(_bytes(column[at]))

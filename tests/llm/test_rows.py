@@ -123,3 +123,23 @@ def test_code_lengths_do_not_depend_on_batches(spark):
     each = [model.code_lengths(np.frombuffer(p, np.uint8), np.array([0])) for p in parts]
     both = model.code_lengths(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])[:-1])
     assert np.allclose(np.concatenate(each), both)
+
+
+def test_code_lengths_are_looked_up_in_bounded_pieces():
+    import tracemalloc
+
+    import numpy as np
+
+    from sitefold.llm import langid
+
+    data = np.random.default_rng(1).integers(97, 123, 3_000_000).astype(np.uint8)
+    grams, n = np.unique(data.astype(np.int64), return_counts=True)
+    zero = np.zeros(len(grams), np.int64)
+    model = langid._build(["x", "y"], zero, zero, grams, n, 0, 100, 1)
+    begin = np.arange(0, len(data), 1_000)
+    tracemalloc.start()
+    bits = model.code_lengths(data, begin)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    assert np.allclose(bits, np.vstack([model.code_lengths(data[a:a + 1_000], np.zeros(1, np.int64)) for a in begin[:50]] + [bits[50:]]))
