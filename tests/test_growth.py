@@ -24,7 +24,7 @@ def test_wide_arrays_are_made_once_a_row(spark):
         np.testing.assert_allclose(r.sxy, ((v[:, 3] - v[:, 3].mean()) * (v[:, 69] - v[:, 69].mean())).sum(), rtol=1e-9)
 
 
-@pytest.mark.parametrize("folder, suffix, want", [("site01.csv", ".csv/", "site01"), ("a.csv.csv", ".csv/", "a"), (".csv", ".csv/", ""), ("plain", ".csv/", "")])
+@pytest.mark.parametrize("folder, suffix, want", [("site01.csv", ".csv/", "site01"), ("a.csv.csv", ".csv/", "a.csv"), (".csv", ".csv/", ""), ("plain", ".csv/", "")])
 def test_site_names_are_cut_without_a_pattern(spark, tmp_path, folder, suffix, want):
     path = f"{tmp_path}/{folder}"
     spark.range(2).coalesce(1).write.parquet(path)
