@@ -7,7 +7,9 @@ branch by their minwise tokens there. A node of at most `NODE` documents is comp
 Documents that verified links connect already have one label, and pairs within a label are settled. Every node is first compared with its
 smallest document, which connects most of a group of copies. What is left is dealt into blocks of documents, and pairs of blocks that hold
 different labels go to tasks of their own: signatures tell which documents there have a possible partner, and the full sets of those
-are compared block against block by products of incidence matrices. Tasks emit links that connect labels, never pairs.
+are compared block against block by products of incidence matrices. Tasks emit links that connect labels, never pairs. A larger node of which
+one label holds all but `OTHERS` documents does not branch: those others meet the whole node, block by block. Signatures travel with one
+byte of each coordinate, and only of documents that a filter of fixed size lets through.
 
 Defined results: documents with equal sets are one class, whose smallest id joins; a document without words has an empty set and no
 links; a null id has its size, a null component, and is kept; rows that share an id share a component. Other columns play no part.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sitefold.llm import shingles
 from sitefold.llm.common import MIX1, mix64, written
-from sitefold.llm.graph import components
+from sitefold.llm.graph import relabelled
 from sitefold.runtime import ship_package
 
 WIDTH, PERCENT = 5, 75      # words of a shingle; 100 * intersection >= PERCENT * union
@@ -34,6 +36,7 @@ DEEPER = (300, 1000)        # a node of more documents branches by two coordinat
 LENIENT = 47                # of 96 coordinates: six standard deviations below 0.75 * 96
 CELL = 200                  # partners of one document that verification brings together, about
 NODE, BLOCK = 2048, 1024    # documents of a node that is compared exhaustively, and of a block of those
+OTHERS = 256                # documents outside a larger node's main label that are compared with all of it
 ROWS = 1000                 # documents whose sets a task holds at once
 COLUMNS = 4096              # shingles of an incidence matrix at once
 FILTER_WORDS = 1 << 17      # 64-bit words of the filter that spares documents without candidates the join; its size is fixed
@@ -83,13 +86,17 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([p["a"] for p in ok], pa.int64()), pa.array([p["b"] for p in ok], pa.int64())], names=["a", "b"])
 
 
+def _among(rows: DataFrame, ids: DataFrame, c: str) -> DataFrame:
+    """The rows whose `c` is in `ids`, and a few others: those that a fixed-size filter lets through."""
+    names = rows.columns
+    words = ids.select(F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64)).alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    rows = rows.withColumn("word", F.expr(f"pmod(xxhash64({c}), {FILTER_WORDS * 64}) div 64")).join(F.broadcast(words), "word")
+    return rows.where(F.expr(f"(bits & shiftleft(1L, cast(pmod(xxhash64({c}), {FILTER_WORDS * 64}) % 64 as int))) <> 0")).select(*names)
+
+
 def _packed(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, packed): the compressed texts of the documents of `ids` (id), and of a few others: those that a fixed-size filter lets through."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
-    words = ids.select(bit("id").alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("word", F.expr(f"pmod(xxhash64(id), {FILTER_WORDS * 64}) div 64")).join(F.broadcast(words), "word")
-    rows = rows.where(F.expr(f"(bits & shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_WORDS * 64}) % 64 as int))) <> 0")).select("id", "text")
+    """(id, packed): the compressed texts of the documents of `ids` (id), and of a few others."""
+    rows = _among(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), ids, "id")
     return written(rows.mapInArrow(_shrunk, "id long, packed binary"), "candidates")
 
 
@@ -109,7 +116,7 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, held in zip(b.column("cell").to_pylist(), b.column("held")):
             rows = held.values
             node, label, side, n = (rows.field(c).to_numpy() for c in ("node", "label", "side", "n"))
-            sig = rows.field("sig").flatten().to_numpy().reshape(len(node), -1)
+            sig = rows.field("brief").flatten().to_numpy().reshape(len(node), -1)
             left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
             some = np.zeros(len(node), bool)
             for i in left:
@@ -167,16 +174,37 @@ def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _block_links(few: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links across labels in the nodes of rows (key, node, label, n): blocks of a node against each other, a task for a pair of blocks."""
+def _block_cells(few: DataFrame) -> DataFrame:
+    """(cell, side, node, label) for the nodes of rows (key, node, label, n): blocks of a node against each other, a cell for a pair of blocks."""
     dealt = written(few.select("key", "node", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block")), "blocks")
     blocks = dealt.groupBy("key", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
     side = lambda s: blocks.select("key", *[F.col(c).alias(s + c) for c in ("block", "least", "most")])
     met = side("a_").join(side("b_"), "key").where("a_block <= b_block and least(a_least, b_least) <> greatest(a_most, b_most)")
     met = met.select("key", F.xxhash64("key", "a_block", "b_block").alias("cell"), F.explode(F.expr(
         "if(a_block = b_block, array(struct(a_block as block, 3 as side)), array(struct(a_block as block, 1 as side), struct(b_block as block, 2 as side)))")).alias("of"))
-    members = written(met.select("key", "cell", "of.*"), "met").join(dealt, ["key", "block"]).select("cell", "side", "node", "label")
-    held = members.join(classes.select("node", F.col("n"), "sig"), "node").groupBy("cell").agg(F.collect_list(F.struct("node", "label", "side", "n", "sig")).alias("held"))
+    return written(met.select("key", "cell", "of.*"), "met").join(dealt, ["key", "block"]).select("cell", "side", "node", "label")
+
+
+def _with_main(large: DataFrame) -> DataFrame:
+    """The rows (key, node, label, n) with the main label of their node, and how many documents have another."""
+    labels = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = labels.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
+    return large.join(main, "key")
+
+
+def _other_cells(large: DataFrame) -> DataFrame:
+    """(cell, side, node, label) of rows with few others: those against each block of their node."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    own, other = F.pmod(F.xxhash64("node"), blocks), F.col("label") != F.col("main")
+    rows = large.select("key", "node", "label", other.alias("other"), own.alias("own"), F.explode(F.when(other, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(own))).alias("block"))
+    side = F.when(~F.col("other"), 2).when(F.col("block") == F.col("own"), 3).otherwise(1)
+    return rows.select(F.xxhash64("key", F.lit("others"), "block").alias("cell"), side.alias("side"), "node", "label")
+
+
+def _cell_links(members: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links across labels in the cells (cell, side, node, label), a task for a cell."""
+    members = written(members, "cells")
+    held = members.join(_among(classes.select("node", "n", "brief"), members, "node"), "node").groupBy("cell").agg(F.collect_list(F.struct("node", "label", "side", "n", "brief")).alias("held"))
     asked = written(held.mapInArrow(_possible, "cell long, node long, label long, side int"), "possible")
     packed = _packed(asked.select(F.col("node").alias("id")), docs, id_col, text_col)
     given = asked.join(packed.withColumnRenamed("id", "node"), "node").groupBy("cell").agg(F.collect_list(F.struct("node", "label", "side", "packed")).alias("given"))
@@ -184,11 +212,16 @@ def _block_links(few: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that sizes allow and signatures do not rule out, with the number of equal coordinates."""
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("sig").alias("s" + c))
+    """Pairs that sizes allow and signatures do not rule out."""
+    side = lambda c: _among(classes.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("brief").alias("s" + c)), pairs, c)
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, e: s + e)
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT)
-    return both.select("a", "b", "cell", equal.alias("same")).where(F.col("same") >= LENIENT).groupBy("a", "b").agg(F.max("same").alias("same"), F.min("cell").alias("cell"))
+    return both.where(equal >= LENIENT).select("a", "b").distinct()
+
+
+def _brief(sig):
+    """A byte of each coordinate: where coordinates agree these do, and few others do."""
+    return F.transform(sig, lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("tinyint"))
 
 
 def _child(key, sig, j):
@@ -211,17 +244,6 @@ def _branched(many: DataFrame, level: int) -> DataFrame:
     return branching.select("node", child.alias("key"))
 
 
-def _relabelled(roots: DataFrame | None, new: DataFrame) -> DataFrame:
-    """(node, root) after the links `new`: those between what is connected already are followed through its roots."""
-    if roots is None:
-        return written(components(new), "roots")
-    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-    new = new.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    joint = written(components(new), "joint").select(F.col("node").alias("root"), F.col("root").alias("top"))
-    moved = roots.join(joint, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return written(moved.unionByName(joint.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti")), "roots")
-
-
 def _unsettled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(key, node, label, n, lead) of the nodes (key) that hold more than one label: n documents, the smallest of which leads."""
     labelled = members.withColumn("label", F.col("node")) if roots is None else members.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("label"))
@@ -232,31 +254,36 @@ def _unsettled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 def joined(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Classes of documents with equal sets (h1, h2, node, n), and (node, root) for the nodes that links join to others: root is
     the smallest node reachable."""
-    classes = written(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.min_by("sig", "id").alias("sig")), "classes")
+    classes = written(signed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("node"), F.min_by("sig", "id").alias("sig")).withColumn("brief", _brief("sig")), "classes")
     members = classes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     members = members.select("node", _child(F.lit("root"), "sig", F.col("tree")).alias("key"))
     roots, level = None, 0
     while True:
         inside = _unsettled(members, roots)
         # every document with the smallest of its node, in all trees at once
-        stars = inside.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct().withColumn("cell", F.lit(0).cast("long"))
+        stars = written(inside.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "stars")
         likely = written(_likely(stars, classes), "likely")
         many = likely.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CELL)
         wanted = likely.join(many, "a", "left").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("c", F.lit(1)) / CELL))).alias("cell"))
         new = written(verified(written(wanted, "pairs"), docs, id_col, text_col), "links")
         if not new.isEmpty():
-            roots = _relabelled(roots, new)
-        # nodes of two are decided; the others up to NODE documents are compared as far as labels still differ
+            roots = relabelled(roots, new)
+        # nodes of two are decided; the others up to NODE documents are compared as far as labels still differ, and larger ones with one main label
         left = _unsettled(inside.where("n > 2").select("node", "key"), roots)
-        new = written(_block_links(left.where(F.col("n") <= NODE), classes, docs, id_col, text_col), "links")
+        cells, large = _block_cells(left.where(F.col("n") <= NODE)), left.where(F.col("n") > NODE)
+        some = not large.isEmpty()
+        if some:
+            large = written(_with_main(large), "large")
+            cells = cells.unionByName(_other_cells(large.where(F.col("others") <= OTHERS)))
+            large = large.where(F.col("others") > OTHERS).select("node", "key", "n")
+        new = written(_cell_links(cells, classes, docs, id_col, text_col), "links")
         if not new.isEmpty():
-            roots = _relabelled(roots, new)
-        large = left.where(F.col("n") > NODE)
-        if large.isEmpty():
+            roots = relabelled(roots, new)
+        if not some or large.isEmpty():
             break
         # the documents of larger nodes branch
         level += 1
-        members = _branched(large.select("node", "key", "n").join(classes.select("node", "sig"), "node"), level)
+        members = written(_branched(large.join(_among(classes.select("node", "sig"), large, "node"), "node"), level), "branches")
     if roots is None:
         roots = docs.sparkSession.createDataFrame([], "node long, root long")
     return classes.select("h1", "h2", "node", "n"), roots
