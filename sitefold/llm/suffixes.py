@@ -2,8 +2,8 @@
 
 A byte goes if a string of `WINDOW` bytes over it also starts in a document with a smaller id. To bring equal strings together without
 moving every suffix, each string is assigned the k-gram with the least hash inside it (its anchor; content alone decides,
-so equal strings have equal anchors). Anchors that occur once in the corpus are dropped by a filter; around the others a context is cut
-that holds all strings of that anchor. Where the contexts of an anchor meet, their suffixes are sorted and the previous and
+so equal strings have equal anchors). A string lies far to the left or to the right of its anchor, so it holds `HALF` bytes that begin or end
+with the anchor: strings whose longer gram occurs once in the corpus are dropped by a filter. From the others of an anchor a context is cut. Where the contexts of an anchor meet, their suffixes are sorted and the previous and
 next suffix of a smaller document give the longest previous factor: at WINDOW and more, the string is a later copy.
 
 Contexts that repeat within a task are sent once, for the smallest document. Anchors that occur very often are dealt by their strings
@@ -31,6 +31,7 @@ from sitefold.llm.shingles import span_hashes
 from sitefold.runtime import ship_package
 
 WINDOW, GRAM = 50, 20
+HALF = GRAM + (WINDOW - GRAM) // 2    # bytes of the gram that the filter is asked for: an anchor with what its strings share on one side
 BY_ITSELF = 255         # in place of an anchor's offset: the string is dealt by its own hash
 AT_ONCE = 1 << 19        # bytes of text anchored together
 PIECE = AT_ONCE          # a longer text is anchored in pieces that overlap by a window
@@ -85,13 +86,29 @@ def _anchors(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return begin, piece, place, hashes[place] >> np.uint64(16)
 
 
+def _longer(data: np.ndarray, begin: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the strings in a row that have the same longer gram, and its 48-bit key."""
+    half = np.where(place - begin >= HALF - GRAM, place - (HALF - GRAM), place)
+    first = np.flatnonzero(np.diff(half, prepend=-1))
+    return first, span_hashes(data, half[first], half[first] + HALF) >> np.uint64(16)
+
+
+def _once_a_piece(key: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    order = np.lexsort((piece, key))
+    k, p = key[order], piece[order]
+    return k[np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])])] if len(k) else k
+
+
 def _anchor_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Keys of longer grams, and of anchors that occur again near by: those only tell which anchors occur very often."""
     for data, edges, _ in _pieces(batches):
-        _, piece, place, key = _anchors(data, edges)
+        begin, piece, place, key = _anchors(data, edges)
+        first, longer = _longer(data, begin, place)
+        yield _once_a_piece(longer, piece[first])
         first = np.flatnonzero(np.diff(place, prepend=-1))
-        order = np.lexsort((key[first], piece[first]))
-        k, p = key[first][order], piece[first][order]
-        yield k[np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])])] if len(k) else k
+        k = _once_a_piece(key[first], piece[first])
+        same = k[1:] == k[:-1]
+        yield k[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(k) else k
 
 
 def _cut(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -149,11 +166,14 @@ def _contexts(batches: Iterator[pa.RecordBatch], bits: int, found: keyfilter.Fil
 
     for data, edges, about in _pieces(batches):
         begin, piece, place, key = _anchors(data, edges)
-        hit = found.repeated(key)
+        first, longer = _longer(data, begin, place)
+        times = np.diff(np.append(first, len(begin)))
+        hit = np.repeat(found.repeated(longer), times)
+        often = np.repeat(found.very_often(longer), times)[hit]
         begin, piece, place, key = begin[hit], piece[hit], place[hit], key[hit]
         if not len(begin):
             continue
-        often = found.very_often(key)
+        often |= found.very_often(key)
         # one context for the strings that follow each other and have the same anchor; alone and dealt by itself under a frequent anchor
         new = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(begin, prepend=-2) != 1) | often | np.concatenate([[False], often[:-1]]))
         n = np.diff(np.append(new, len(begin)))

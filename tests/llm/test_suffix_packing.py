@@ -48,3 +48,23 @@ def test_runs_of_many_documents_are_merged_and_read_again():
     assert {k: set().union(*(range(*r) for r in v)) for k, v in got.items()} == want
     assert all(x[1] < y[0] for v in got.values() for x, y in zip(v, v[1:]))
     assert [len(x) for x in suffixes._covered(pa.array([None, []], pa.list_(pa.binary())))] == [0, 0, 0]
+
+
+def _sent(texts):
+    """How many contexts are sent for texts whose longer grams are the only ones known."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["id", "th", "text"])
+    keys = pa.Table.from_batches(keyfilter.dealt(suffixes._anchor_keys([batch]), 4)).to_pylist()
+    found = keyfilter.Filter(np.zeros(1 << 24, np.uint8), np.zeros(1 << 24, np.uint8))
+    for r in keys:
+        t = keyfilter._segment(pa.table({"bucket": [r["bucket"]], "keys": pa.array([r["keys"]], pa.binary())}), 4)
+        found.bits[r["bucket"] << 20:(r["bucket"] + 1) << 20] = np.frombuffer(t["bits"][0].as_py(), np.uint8)
+    rows = [r["contexts"] for b in suffixes._contexts([batch], 6, found) for r in b.to_pylist() if r["contexts"]]
+    return sum(suffixes._unpacked(r).num_rows for r in rows)
+
+
+def test_strings_around_a_short_common_phrase_are_not_sent():
+    rng = np.random.default_rng(4)
+    other = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    phrase = "in the course of the last years "
+    assert _sent([other(100) + phrase + other(100) for _ in range(50)]) == 0
+    assert _sent([other(100) + phrase + phrase.upper() + other(100) for _ in range(50)]) > 0
