@@ -1,9 +1,9 @@
-"""Work that connects links: large groups with one main label."""
+"""Work that connects links: large groups with one main label, and links that come after components are known."""
 
 import numpy as np
 import pytest
 
-from sitefold.llm import chosen_path
+from sitefold.llm import chosen_path, graph, paragraphs
 
 
 def shingle_set(text):
@@ -47,3 +47,26 @@ def test_signatures_meet_as_one_byte_a_coordinate(spark):
     got = spark.createDataFrame([(sig,)], "sig array<int>").select(chosen_path._brief("sig").alias("brief"))
     assert got.schema["brief"].dataType.simpleString() == "array<tinyint>"
     assert got.first()[0] == [-128, 127, -128, 127, -128, 127]
+
+
+def test_components_are_formed_once_and_carried_on(spark):
+    first = [(i, i + 1) for i in range(1, 20)] + [(50, 60), (70, 80)]
+    new = [(15, 60), (80, 90), (100, 101)]
+    of = graph.components(spark.createDataFrame(first, "a long, b long"))
+    got = {r.node: r.root for r in graph.relabelled(of, spark.createDataFrame(new, "a long, b long")).collect()}
+    assert got == {n: r for n, r in roots({x for p in first + new for x in p}, first + new).items()}
+
+
+def test_links_of_a_large_bucket_are_not_connected_again(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base, said = [f"word{i}" for i in range(60)], []
+    for k in range(120):
+        at = set(rng.choice(60, 4 if k % 2 else 9, replace=False).tolist())
+        said.append(" ".join(f"c{k}x{i}" if i in at else w for i, w in enumerate(base)) + ".")
+    seen = []
+    monkeypatch.setattr(paragraphs, "CELL", 20)
+    monkeypatch.setattr(paragraphs, "components", lambda links: seen.append(links.count()) or graph.components(links))
+    more = []
+    monkeypatch.setattr(paragraphs, "relabelled", lambda of, new: more.append(new.count()) or graph.relabelled(of, new))
+    paragraphs.remove_repeats(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()
+    assert len(seen) == 1 and all(n < seen[0] for n in more)
