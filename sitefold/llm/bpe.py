@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitefold.llm.blocks import block_id, from_small_bytes, in_blocks, offsets, packed, packed_lists, small_bytes, unpacked, unpacked_lists, whole
-from sitefold.llm.common import map_columns, written
+from sitefold.llm.common import give_back, lean, map_columns, written
 from sitefold.runtime import ship_package
 
 BLOCK_BYTES = 32 << 20
@@ -89,6 +89,7 @@ def splitter(said: str):
     return split
 
 
+@lean
 def _split_blocks(batches, said, text_col, ids_col, n_buckets, target) -> Iterator[pa.RecordBatch]:
     split = splitter(said)
     for seq, block in enumerate(in_blocks(batches, text_col, target)):
@@ -164,6 +165,13 @@ def pieces(said: str) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def forget() -> None:
+    """The tokenizer is read again where it is needed again: the last step of `encode` leaves none in a Python worker."""
+    for cached in (library, special_tokens, splitter, pieces):
+        cached.cache_clear()
+    give_back()
+
+
 def spelt(lists: pa.ListArray, said: str) -> pa.Array:
     """Ids joined to their pieces, and those of a list put together."""
     table = pieces(said)
@@ -197,6 +205,12 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col
     schema = T.StructType(keep + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + [T.StructField(c, T.StringType()) for c in [decoded_col] if c])
 
     def join_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from joined(batches)
+        finally:
+            forget()
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data, where, found in zip(b.column("documents"), b.column("positions"), b.column("answers")):
                 block, inside = unpacked(data.as_py()), unpacked(where.as_py())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.llm import shingles
-from sitefold.llm.common import MIX1, mix64, written
+from sitefold.llm.common import MIX1, lean, mix64, written
 from sitefold.llm.graph import relabelled
 from sitefold.runtime import ship_package
 
@@ -42,6 +42,7 @@ COLUMNS = 4096              # shingles of an incidence matrix at once
 FILTER_WORDS = 1 << 17      # 64-bit words of the filter that spares documents without candidates the join; its size is fixed
 
 
+@lean
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     minhash, salt = shingles.MinHash(SIGNATURE), MIX1
     for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
@@ -62,6 +63,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(_signatures, "id long, n long, h1 long, h2 long, sig array<int>")
 
 
+@lean
 def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=3)
     for b in batches:
@@ -73,6 +75,7 @@ def _close(x: np.ndarray, y: np.ndarray) -> bool:
     return both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
+@lean
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdDecompressor()
     for b in batches:
@@ -109,6 +112,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     return asked.join(given, "cell").select("asked", "given").mapInArrow(_agree, "a long, b long").distinct()
 
 
+@lean
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The documents of each cell that have a partner across labels which sizes and signatures allow."""
     names = ["cell", "node", "label", "side"]
@@ -147,6 +151,7 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+@lean
 def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that connect the labels of each cell."""
     z = zstandard.ZstdDecompressor()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitefold.llm.common import map_columns, texts
+from sitefold.llm.common import lean, map_columns, texts
 from sitefold.runtime import ship_package
 
 ORDER = 3
@@ -79,6 +79,7 @@ class Model:
         return out
 
 
+@lean
 def _gram_counts(batches: Iterator[pa.RecordBatch], languages: list[str], order: int) -> Iterator[pa.RecordBatch]:
     """(language, order, gram, n): gram holds the context's bytes, oldest first, and then the byte that followed."""
     for b in batches:

@@ -25,10 +25,11 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefold.llm.common import written
+from sitefold.llm.common import lean, written
 from sitefold.llm.shingles import span_hashes
 from sitefold.llm.shingles import words as runs
 from sitefold.runtime import ship_package
@@ -44,6 +45,7 @@ BAR = 0.5                  # of the cosine that a window with the share COMMON o
 CLOSE, LOOSE = 0.95, 0.6   # a cosine of so much of the item's own makes the share LOOSE of both its halves enough
 SHORT = 8
 AT_ONCE = 1 << 20          # bytes of text, or of terms, at once
+TOGETHER = 1 << 18         # the same where words are hashed and windows summed: a byte takes some thirty there, or some hundred
 CELLS = 1 << 22            # cosines at once
 _ANSWER = re.compile(r"(?:^|\s)(?:answer|antwort|réponse|respuesta)\s*[:=]", re.I)
 # Bytes that are no part of a word: ASCII other than letters and digits.
@@ -132,11 +134,16 @@ def _groups(sizes: list[int], most: int) -> Iterator[slice]:
         at = end
 
 
+def _sizes(column: pa.Array) -> list[int]:
+    """Bytes of each value."""
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
 def _term_of(items: Items, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Begin and term of each word of cleaned text, in pieces that end at blanks."""
     begins, terms, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
     while at < len(data):
-        end = data.find(b" ", at + AT_ONCE)
+        end = data.find(b" ", at + min(AT_ONCE, TOGETHER))
         end = len(data) if end < 0 else end
         piece = np.frombuffer(data, np.uint8, end - at, at)
         begin, stop = runs(piece)
@@ -149,26 +156,27 @@ def _term_of(items: Items, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(begins), np.concatenate(terms)
 
 
+@lean
 def _coded(batches, items: Items) -> Iterator[pa.RecordBatch]:
     """(id, terms): the terms of each text's words as little-endian 32-bit integers."""
     for b in batches:
-        cleaned = [clean(t) for t in b.column("text").to_pylist()]
-        for part in _groups([len(c) for c in cleaned], AT_ONCE):
-            begin, term = _term_of(items, b" ".join(cleaned[part]))
-            edges = np.searchsorted(begin, np.cumsum([0] + [len(c) + 1 for c in cleaned[part]]))
+        for part in _groups(_sizes(b.column("text")), min(AT_ONCE, TOGETHER)):
+            cleaned = [clean(t) for t in b.column("text")[part].to_pylist()]
+            begin, term = _term_of(items, b" ".join(cleaned))
+            edges = np.searchsorted(begin, np.cumsum([0] + [len(c) + 1 for c in cleaned]))
             raw = [term[i:j].astype("<i4").tobytes() for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column("id").slice(part.start, len(raw)), pa.array(raw, pa.binary())], names=["id", "terms"])
 
 
-def _passages(batch: pa.RecordBatch, width: int, overlap: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _passages(batch: pa.RecordBatch, width: int, overlap: int = 0, together: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows and terms of neighbouring texts, and the first block of `width` words of each text, which has at least one.
 
-    Texts are padded to whole blocks by a term after the last, -2; long ones come in pieces of which each begins with the last `overlap` words before it."""
+    Texts are padded to whole blocks by a term after the last, -2; long ones come in pieces of which each begins with the last `overlap` words before it.
+    Neighbours have at most `together` bytes of terms; a text's pieces do not depend on that."""
     most = AT_ONCE // 4 // width * width + overlap
-    raw = batch.column("terms").to_pylist()
-    sizes = [len(r) // 4 for r in raw]
-    for part in _groups(sizes, most):
-        texts = [(part.start + k, np.frombuffer(r, "<i4")) for k, r in enumerate(raw[part])]
+    sizes = [n // 4 for n in _sizes(batch.column("terms"))]
+    for part in _groups(sizes, min(most, together // 4)):
+        texts = [(part.start + k, np.frombuffer(r, "<i4")) for k, r in enumerate(batch.column("terms")[part].to_pylist())]
         if len(texts) > 1 or sizes[part.start] <= most:
             pieces = [texts]
         else:
@@ -208,6 +216,7 @@ def _runs(sums: np.ndarray, at: np.ndarray, last: np.ndarray, times: int) -> np.
     return out
 
 
+@lean
 def _frequencies(batches, v: int) -> Iterator[pa.RecordBatch]:
     """Passages that hold each term; term -1 counts all passages."""
     df, n = np.zeros(v, np.int64), 0
@@ -221,6 +230,7 @@ def _frequencies(batches, v: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some]).astype(np.int32)), pa.array(np.concatenate([[n], df[some]]))], names=["term", "n"])
 
 
+@lean
 def _sketch(batches, idf: np.ndarray, omega: np.ndarray) -> Iterator[pa.RecordBatch]:
     """This task's share of A'(A W), one row per term."""
     y = np.zeros(omega.shape)
@@ -250,6 +260,7 @@ def _scales(lengths: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return out
 
 
+@lean
 def _matches(batches, items: Items, latent: np.ndarray, unknown: float) -> Iterator[pa.RecordBatch]:
     """(id, item, cosine, share) of each document's leaks: per item the passage with the largest share. `unknown` is the square of an unknown word's weight."""
     lengths = np.array([len(ts) for ts in items.terms])
@@ -265,7 +276,7 @@ def _matches(batches, items: Items, latent: np.ndarray, unknown: float) -> Itera
     scales = _scales(lengths)
     for b in batches:
         best: dict[tuple[int, int], tuple[float, float]] = {}
-        for row, term, first in _passages(b, BLOCK, overlap=5 * scales[-1][0] * BLOCK):
+        for row, term, first in _passages(b, BLOCK, overlap=5 * scales[-1][0] * BLOCK, together=TOGETHER):
             thirds = {1: (_sums(vectors, np.append(term, np.full(BLOCK, -2, np.int32)).reshape(-1, BLOCK)), first)}
             for third, mine in scales:
                 if third > 1:
@@ -279,15 +290,14 @@ def _matches(batches, items: Items, latent: np.ndarray, unknown: float) -> Itera
                 last = begin[owner + 1]
                 # a window that ends with the text holds those which begin later
                 at = np.flatnonzero((nth == 0) | (np.arange(len(owner)) + 3 <= last))
-                window = _runs(part, at, last[at], 3)
-                alien, window = window[:, -1], window[:, :-1]
-                size = np.sqrt(np.einsum("ij,ij->i", window, window) + alien)
                 alike = np.sqrt(np.minimum(1.0, lengths[mine] / (3 * third * BLOCK))).astype(np.float32)
                 bar, high, seen = np.maximum(BAR * share[mine] * alike, 1e-6).astype(np.float32), CLOSE * alike, -1
                 turned, rows = np.ascontiguousarray(q[mine].T), max(1, CELLS // len(mine))
                 for lo in range(0, len(at), rows):
-                    cosine = window[lo:lo + rows] @ turned
-                    cosine /= np.maximum(size[lo:lo + rows, None], 1e-12)
+                    window = _runs(part, at[lo:lo + rows], last[at[lo:lo + rows]], 3)
+                    alien, window = window[:, -1], window[:, :-1]
+                    cosine = window @ turned
+                    cosine /= np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window) + alien)[:, None], 1e-12)
                     for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= bar))):
                         if lo + i != seen:
                             seen = lo + i
