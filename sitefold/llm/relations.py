@@ -11,7 +11,8 @@ Relations between sets spare most of the comparisons:
 * Inside the blocks that remain, a set close to one already compared gets its answers from that one's: with x and z at distances dx and dz
   (elements in one set only) from a pivot, their own distance lies between |dx - dz| and dx + dz, which mostly decides; where it does not, their overlap
   follows from the few elements by which they differ from the pivot.
-Every link between different answers is verified on full sets, so components are exact.
+Between rounds one pass of contraction over the new links labels the answers. Every link between different labels is verified on full sets,
+and the components of all links are formed once, at the end, so they are exact.
 
 Defined results: documents with equal sets are one class, whose smallest id joins; a document without words has an empty set and no
 links; a null id has its size and a null component; rows that share an id share a component, if their sets are not empty. Other columns
@@ -21,6 +22,7 @@ play no part. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sitefold.llm import keycounts, shingles
 from sitefold.llm.common import MIX1, mix64, written
-from sitefold.llm.graph import components
+from sitefold.llm.graph import components, contracted
 from sitefold.runtime import ship_package
 
 WIDTH, PERCENT = 5, 80          # words of a shingle; 100 * intersection >= PERCENT * union
@@ -198,7 +200,7 @@ def _pairs_checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in batches:
         for asked, given in zip(b.column("asked"), b.column("given")):
             of = _unpacked(given.as_py())
-            ok = [(p["a"], p["b"]) for p in asked.as_py() if any(_linked(x, y) for x in of.get(p["a"], ()) for y in of.get(p["b"], ()))]
+            ok = list({(p["la"], p["lb"]) for p in asked.as_py() if any(_linked(x, y) for x in of.get(p["a"], ()) for y in of.get(p["b"], ()))})
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in ok], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
@@ -219,7 +221,7 @@ def _blocks_checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                         yield i, np.flatnonzero(fits) + i + 1
 
             found = connecting([s for _, s in entries], label.tolist(), possible())
-            yield pa.RecordBatch.from_arrays([pa.array([entries[p[i]][0]["node"] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([entries[p[i]][0]["label"] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def _given(needed: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -227,10 +229,11 @@ def _given(needed: DataFrame, candidates: DataFrame) -> DataFrame:
     return needed.join(candidates.select("node", "packed"), "node").groupBy("cell").agg(F.collect_list(F.struct("node", "packed")).alias("given"))
 
 
-def _labelled(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return entries.withColumn("label", F.col("node"))
-    return entries.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The entries with the labels that their labels have now."""
+    if labels is None:
+        return entries
+    return entries.join(labels.withColumnRenamed("node", "label"), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
 
 
 def _reachable(a: str, b: str) -> str:
@@ -238,22 +241,27 @@ def _reachable(a: str, b: str) -> str:
     return (f"{100 + PERCENT} * least({a}reach, {b}reach) >= {PERCENT} * ({a}n + {b}n) and 100 * least({a}n, {b}n) >= {PERCENT} * greatest({a}n, {b}n)")
 
 
-def _led(entries: DataFrame, turn: int) -> DataFrame:
-    """(lead, other): the members of each list with its leader, who differs from round to round but is the same for lists of the same sets."""
+def _lists(entries: DataFrame, turn: int) -> DataFrame:
+    """The lists that have more than one label, with their leader, who differs from round to round but is the same for lists of the same sets."""
     key = F.struct((F.col("reach") * 9 < F.col("n") * 8).alias("late"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "reach", "label")
-    lists = written(entries.groupBy("token").agg(F.min(key).alias("lead"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most"), "lists")
-    lists = lists.select("token", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.reach").alias("lead_reach"), F.col("lead.label").alias("lead_label"))
+    lists = entries.groupBy("token").agg(F.min(key).alias("lead"), F.count(F.lit(1)).alias("c"), F.min("label").alias("least"), F.max("label").alias("most"))
+    lists = lists.where("least <> most and c > 2" if turn else "least <> most")  # lists of two sets were decided by the first leader
+    return written(lists.select("token", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.reach").alias("lead_reach"), F.col("lead.label").alias("lead_label")), "lists")
+
+
+def _led(entries: DataFrame, lists: DataFrame) -> DataFrame:
+    """(lead, other, lead_label, label): the members of each list with its leader."""
     pairs = entries.join(lists, "token").where("label <> lead_label and " + _reachable("", "lead_"))
-    return pairs.select("lead", F.col("node").alias("other")).distinct()
+    return pairs.select("lead", F.col("node").alias("other"), "lead_label", "label").distinct()
 
 
 def _star_links(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The pairs that are linked; the partners of a leader are dealt over cells."""
+    """The labels of the pairs that are linked; the partners of a leader are dealt over cells."""
     pairs = written(pairs, "pairs")
     many = pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CELL)
     pairs = pairs.join(many, "lead", "left").withColumn("cell", F.xxhash64("lead", F.pmod(F.xxhash64("other"), F.ceil(F.coalesce("c", F.lit(1)) / CELL))))
     needed = pairs.select("cell", F.explode(F.array("lead", "other")).alias("node")).distinct()
-    asked = pairs.groupBy("cell").agg(F.collect_list(F.struct(F.col("lead").alias("a"), F.col("other").alias("b"))).alias("asked"))
+    asked = pairs.groupBy("cell").agg(F.collect_list(F.struct(F.col("lead").alias("a"), F.col("other").alias("b"), F.col("lead_label").alias("la"), F.col("label").alias("lb"))).alias("asked"))
     return asked.join(_given(needed, candidates), "cell").select("asked", "given").mapInArrow(_pairs_checked, "a long, b long")
 
 
@@ -290,25 +298,27 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = rows.where("id is not null").mapInArrow(_candidates(frequent), CANDIDATE)
     candidates = written(candidates.join(classes, ["node", "h1", "h2", "n"], "left_semi"), "candidates")
     listed = candidates.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select(F.col("e.tokens").alias("token"), "node", "n", (F.col("n") - F.col("e.places")).alias("reach"))
-    shared = listed.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("token")
-    entries = written(listed.join(written(shared, "shared"), "token", "left_semi"), "entries")  # written, so that a long list can be split
     # rows that share an id
-    several = some.select("id", "h1", "h2").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    of_id = some.select("id", "h1", "h2").join(several, "id", "left_semi").join(classes, ["h1", "h2"]).select("id", "node").distinct()
-    links = written(of_id.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")), "links")
-    roots = None if links.isEmpty() else written(components(links), "roots")
+    several = written(some.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("least"), F.max(F.struct("h1", "h2")).alias("most")).where("least <> most").select("id"), "several")
+    links, labels = [], None
+    if not several.isEmpty():
+        of_id = some.select("id", "h1", "h2").join(several, "id", "left_semi").join(classes, ["h1", "h2"]).select("id", "node").distinct()
+        links.append(written(of_id.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")), "links"))
+        labels = written(contracted(links[0]), "labels")
+    # Equal labels mean connected sets, and links are found between labels; what labels do not show yet, only costs comparisons.
+    entries = listed.withColumn("label", F.col("node"))
     for turn in range(ROUNDS + 1):
-        labelled = _labelled(entries, roots)
-        if turn:  # lists of two sets were decided by the first leader; those of one answer are done
-            open_lists = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("least"), F.max("label").alias("most")).where("c > 2 and least <> most")
-            entries = written(labelled.join(written(open_lists.select("token"), "open"), "token", "left_semi"), "entries")
-            labelled, entries = entries, entries.drop("label")
-            if entries.isEmpty():
-                break
-        new = written(_star_links(_led(labelled, turn), candidates) if turn < ROUNDS else _block_links(labelled, candidates), "links")
+        labelled = _labelled(entries, labels)
+        lists = _lists(labelled, turn)
+        entries = written(labelled.join(lists.select("token"), "token", "left_semi"), "entries")  # written, so that a long list can be split
+        if entries.isEmpty():
+            break
+        new = written(_star_links(_led(entries, lists), candidates) if turn < ROUNDS else _block_links(entries, candidates), "links")
+        labels = None
         if not new.isEmpty():
-            links = written(links.unionByName(new).distinct(), "links")
-            roots = written(components(links), "roots")
+            links.append(new)
+            labels = written(contracted(new), "labels") if turn < ROUNDS else None
+    roots = components(reduce(DataFrame.unionByName, links)) if links else None
     of = classes if roots is None else classes.join(roots, "node", "left").withColumn("node", F.coalesce("root", "node"))
     out = signed.join(of.select("h1", "h2", F.col("node").alias("component")), ["h1", "h2"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))

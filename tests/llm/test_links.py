@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sitefold.llm import chosen_path, graph, paragraphs
+from sitefold.llm import chosen_path, graph, paragraphs, relations
 
 
 def shingle_set(text):
@@ -70,3 +70,26 @@ def test_links_of_a_large_bucket_are_not_connected_again(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "relabelled", lambda of, new: more.append(new.count()) or graph.relabelled(of, new))
     paragraphs.remove_repeats(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()
     assert len(seen) == 1 and all(n < seen[0] for n in more)
+
+
+def test_the_join_connects_its_links_once(spark, monkeypatch):
+    words = [f"word{i}" for i in range(90)]
+    rng, said = np.random.default_rng(3), []
+    for k in range(60):
+        at = set(rng.choice(90, 1 + k % 3, replace=False).tolist())
+        said.append(" ".join(f"c{k}x{i}" if i in at else w for i, w in enumerate(words)))
+    calls, rounds = [], []
+    monkeypatch.setattr(relations, "components", lambda links: calls.append(links.count()) or graph.components(links))
+    monkeypatch.setattr(relations, "contracted", lambda links: rounds.append(links.count()) or graph.contracted(links))
+    got = {r.doc_id: r.component_id for r in relations.join_components(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")).collect()}
+    sets = [shingle_set(t) for t in said]
+    assert got == roots(range(60), [(a, b) for b in range(60) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert len(calls) == 1 and len(rounds) > 1
+
+
+def test_one_pass_of_contraction_joins_connected_nodes_only(spark):
+    links = [(50, n) for n in range(40, 60) if n != 50] + [(n, n + 1) for n in range(100, 110)] + [(7, 7)]
+    of = roots({x for p in links for x in p}, links)
+    got = {r.node: r.to for r in graph.contracted(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(to < node and of[to] == of[node] for node, to in got.items())
+    assert {n: got[n] for n in range(41, 60)} == dict.fromkeys(range(41, 60), 40)
