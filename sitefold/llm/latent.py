@@ -45,7 +45,8 @@ BAR = 0.5                  # of the cosine that a window with the share COMMON o
 CLOSE, LOOSE = 0.95, 0.6   # a cosine of so much of the item's own makes the share LOOSE of both its halves enough
 SHORT = 8
 AT_ONCE = 1 << 20          # bytes of text, or of terms, at once
-TOGETHER = 1 << 18         # the same where words are hashed and windows summed: a byte takes some thirty there, or some hundred
+TOGETHER = 1 << 18         # the same where words are hashed: a byte takes some thirty there
+WINDOWED = 1 << 16         # the same where windows are summed: a byte takes over a hundred there
 CELLS = 1 << 22            # cosines at once
 _ANSWER = re.compile(r"(?:^|\s)(?:answer|antwort|réponse|respuesta)\s*[:=]", re.I)
 # Bytes that are no part of a word: ASCII other than letters and digits.
@@ -276,7 +277,7 @@ def _matches(batches, items: Items, latent: np.ndarray, unknown: float) -> Itera
     scales = _scales(lengths)
     for b in batches:
         best: dict[tuple[int, int], tuple[float, float]] = {}
-        for row, term, first in _passages(b, BLOCK, overlap=5 * scales[-1][0] * BLOCK, together=TOGETHER):
+        for row, term, first in _passages(b, BLOCK, overlap=5 * scales[-1][0] * BLOCK, together=WINDOWED):
             thirds = {1: (_sums(vectors, np.append(term, np.full(BLOCK, -2, np.int32)).reshape(-1, BLOCK)), first)}
             for third, mine in scales:
                 if third > 1:

@@ -76,3 +76,27 @@ def test_the_tokenizer_is_forgotten():
     bpe.library(said), bpe.pieces(said)
     bpe.forget()
     assert not any(c.cache_info().currsize for c in (bpe.library, bpe.special_tokens, bpe.splitter, bpe.pieces))
+
+
+def test_windows_are_summed_in_small_pieces():
+    rng = np.random.default_rng(5)
+    v = 2000
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(3000), pa.int64()), "terms": [rng.integers(0, 1900, 400).astype("<i4").tobytes() for _ in range(3000)]})
+    items = latent.Items.of([(i, " ".join(f"w{k}" for k in rng.integers(0, v, 40))) for i in range(300)])
+    assert len(items.hashes) > 1900
+    _, most = peak(lambda: list(latent._matches([batch], items, rng.standard_normal((len(items.hashes), 128)).astype(np.float32), 1.0)))
+    assert most < 25
+
+
+def test_stages_read_few_rows_at_once_unless_the_session_says_otherwise(spark):
+    key, stage = "spark.sql.parquet.columnarReaderBatchSize", corpus_pipeline.in_small_batches(lambda spark, docs, sf_dir: docs)
+    spark.conf.unset(key)
+    try:
+        stage(spark, None, "")
+        assert spark.conf.get(key) == "512"
+        spark.conf.set(key, "99")
+        stage(spark, None, "")
+        assert spark.conf.get(key) == "99"
+    finally:
+        spark.conf.unset(key)
+        spark.conf.unset(corpus_pipeline.BATCH_KEY)
