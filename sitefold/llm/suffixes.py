@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sitefold.llm import keycounts, keyfilter
 from sitefold.llm.blocks import from_small_bytes, small_bytes, whole
-from sitefold.llm.common import mix64
+from sitefold.llm.common import lean, mix64
 from sitefold.runtime import ship_package
 
 WINDOW, GRAM = 50, 20
@@ -155,6 +155,7 @@ def _once_a_piece(key: np.ndarray, piece: np.ndarray) -> np.ndarray:
     return both[np.concatenate([[True], both[1:] != both[:-1]])] >> np.uint64(16) if len(both) else both
 
 
+@lean
 def _anchor_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Keys of longer grams, and of anchors that occur again near by: those only tell which anchors occur very often."""
     for data, edges, _ in _pieces(batches):
@@ -217,26 +218,29 @@ def _copies(same: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ids > least
 
 
+@lean
 def _contexts(batches: Iterator[pa.RecordBatch], bits: int, found: keyfilter.Filter) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, contexts, id, th, runs): contexts dealt by their anchor, or runs that a smaller document of this task has as well."""
     held: list[pa.Table] = []
 
     def sent() -> Iterator[pa.RecordBatch]:
-        t = pa.concat_tables(held)
+        t = pa.concat_tables(held).combine_chunks()
+        held.clear()
         col = lambda c: whole(t.column(c)).to_numpy(zero_copy_only=False)
         copy = _copies(col("same"), col("id"))
         yield from _runs(col("id")[copy], col("th")[copy], col("start")[copy], col("n")[copy] + WINDOW - 1)
-        t = t.filter(pa.array(~copy))
-        bucket = (whole(t.column("key")).to_numpy().astype(np.uint64) >> np.uint64(keyfilter.KEY_BITS - bits)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
+        bucket = (col("key").astype(np.uint64) >> np.uint64(keyfilter.KEY_BITS - bits)).astype(np.int32)
+        order = np.flatnonzero(~copy)
+        order = order[np.argsort(bucket[order], kind="stable")]
         bucket = bucket[order]
         # the hashes are formed again where the contexts meet: they would be most of what is sent
-        t = t.drop_columns(["same", "key"]).take(pa.array(order)).combine_chunks()
+        t = t.drop_columns(["same", "key"])
         edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
         for at in range(0, len(edges) - 1, ROWS_AT_ONCE):
             part = edges[at:at + ROWS_AT_ONCE + 1]
+            contexts = t.take(pa.array(order[part[0]:part[-1]])).combine_chunks()
             none = [pa.nulls(len(part) - 1, kind) for kind in (pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[part[:-1]]), pa.array(_packed_rows(t, part), pa.binary()), *none], names=ROW)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[part[:-1]]), pa.array(_packed_rows(contexts, part - part[0]), pa.binary()), *none], names=ROW)
 
     for data, edges, about in _pieces(batches):
         words = _words(data)
@@ -261,7 +265,6 @@ def _contexts(batches: Iterator[pa.RecordBatch], bits: int, found: keyfilter.Fil
                               "n": pa.array(n.astype(np.uint8)), "offset": pa.array(np.where(often, BY_ITSELF, place - begin).astype(np.uint8)), "same": pa.array(same), "bytes": _cut(data, begin, n + WINDOW - 1)}))
         if sum(t.num_rows for t in held) >= SENT_AT_ONCE:
             yield from sent()
-            held = []
             pa.default_memory_pool().release_unused()
     if held:
         yield from sent()
@@ -390,6 +393,7 @@ def _later_copies(group: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from _runs(ids[of], ths[of], start[of] + shift, many + WINDOW - 1)
 
 
+@lean
 def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     small = zstandard.ZstdCompressor(level=3)
     for b in batches:
@@ -409,6 +413,7 @@ def _covered(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _merged(np.repeat(row, np.diff(begun) // 2).astype(np.int64), edges[::2], edges[1::2])
 
 
+@lean
 def _emptied(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
     small = zstandard.ZstdDecompressor()
     for b in batches:
